@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from .plans import coverage_queries, report_queries, text_queries  # noqa: F401  (they register themselves)
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which candidates the incremental filter keeps over the baseline, and what each adds."""
+    return QUERIES["incremental_filter"](spark, sf_dir)
