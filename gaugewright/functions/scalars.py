@@ -13,7 +13,7 @@ def percentage(covered: Column, total: Column) -> Column:
 
 def percent_text(value: Column) -> Column:
     """Two decimals without trailing zeros."""
-    text = F.regexp_replace(F.format_number(value, "0.00"), r"0+$", "")
+    text = F.regexp_replace(F.format_string("%.2f", value.cast("double")), r"0+$", "")
     return F.regexp_replace(text, r"\.$", "")
 
 
@@ -109,8 +109,8 @@ def json_path(text: Column, path: str, default=None) -> Column:
 
 def first_tagged(text: Column, tag: str) -> Column:
     """What stands between [TAG] and [/TAG], else in the first fenced block, else null."""
-    tagged = F.nullif(F.trim(F.regexp_extract(text, rf"(?s)\[{tag}\](.*?)\[/{tag}\]", 1)), F.lit(""))
-    fenced = F.nullif(F.trim(F.regexp_extract(text, r"(?s)```[a-zA-Z]*\n?(.*?)```", 1)), F.lit(""))
+    found = (F.regexp_extract(text, rf"(?s)\[{tag}\]\s*(.*?)\s*\[/{tag}\]", 1), F.regexp_extract(text, r"(?s)```(?:[a-zA-Z]*\n)?\s*(.*?)\s*```", 1))
+    tagged, fenced = (F.nullif(f, F.lit("")) for f in found)
     return F.coalesce(tagged, fenced)
 
 

@@ -19,9 +19,18 @@ def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return reader.parquet(path)
 
 
+def _late(events: DataFrame, late: str | None) -> DataFrame:
+    """events with a watermark; times without a zone are taken in the session's."""
+    if not late:
+        return events
+    if dict(events.dtypes)["ts"] == "timestamp_ntz":
+        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.withWatermark("ts", late)
+
+
 def windowed(events: DataFrame, width: str, slide: str | None = None, late: str | None = None, keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """window_start, window_end, keys, n, total over tumbling or sliding windows of ``ts``."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = _late(events, late)
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     out = rows.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n", "total")
@@ -29,7 +38,7 @@ def windowed(events: DataFrame, width: str, slide: str | None = None, late: str
 
 def sessions(events: DataFrame, gap: str, late: str | None = None, key: str = "user_id") -> DataFrame:
     """key, session_start, session_end, n: a session ends after a gap without events."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = _late(events, late)
     out = rows.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
     return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
@@ -38,13 +47,13 @@ def distinct_within(events: DataFrame, keys: list[str], late: str) -> DataFrame:
     """First rows of keys, on streams within the watermark's reach."""
     if not events.isStreaming:
         return events.dropDuplicates(keys)
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return _late(events, late).dropDuplicatesWithinWatermark(keys)
 
 
 def within(left: DataFrame, right: DataFrame, key: str, reach: str, late: str = "10 minutes") -> DataFrame:
     """key, left_id, right_id of events of a key where right comes at most ``reach`` after left (a bounded interval join)."""
-    a = left.withWatermark("ts", late).select(F.col(key).alias("__k"), F.col("event_id").alias("left_id"), F.col("ts").alias("left_ts"))
-    b = right.withWatermark("ts", late).select(F.col(key), F.col("event_id").alias("right_id"), F.col("ts").alias("right_ts"))
+    a = _late(left, late).select(F.col(key).alias("__k"), F.col("event_id").alias("left_id"), F.col("ts").alias("left_ts"))
+    b = _late(right, late).select(F.col(key), F.col("event_id").alias("right_id"), F.col("ts").alias("right_ts"))
     on = (F.col("__k") == F.col(key)) & (F.col("right_ts") >= F.col("left_ts")) & (F.col("right_ts") <= F.col("left_ts") + F.expr(f"interval {reach}"))
     return a.join(b, on).select(key, "left_id", "right_id")
 
