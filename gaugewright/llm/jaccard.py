@@ -268,3 +268,19 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> D
     out = found.select("doc_id", "key").join(about, "key")
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     return out.select(back("doc_id"), back("class_id"), "n_copies", "n_links")
+
+
+#: DuckDB SQL for join() over documents: an inverted index of shingles, and reachability for the classes.
+SQL = """
+with recursive w as (select doc_id, coalesce(text, '') t, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') w from documents),
+s as (select doc_id, t, case when len(w) > 0 then list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) end s from w),
+k as (select doc_id, s, case when s is null then 'text:' || md5(t) else md5(array_to_string(s, '|')) end k from s),
+c as (select k, min(doc_id) d, count(*) n_copies, any_value(len(s)) n, any_value(s) s from k group by k),
+x as (select k, unnest(s) g from c where s is not null),
+p as (select a.k ka, b.k kb, count(*) m from x a join x b using (g) where a.k < b.k group by 1, 2),
+e as (select ka, kb from p join c a on a.k = ka join c b on b.k = kb where m::double / (a.n + b.n - m) >= 0.8::double),
+pairs as (select ka a, kb b from e union all select kb, ka from e),
+r(k, d) as (select k, d from c union select pairs.b, r.d from r join pairs on pairs.a = r.k),
+l as (select k, min(d) class_id from r group by k), g as (select a k, count(*) n from pairs group by a)
+select k.doc_id, l.class_id, c.n_copies, coalesce(g.n, 0) n_links from k join c on c.k = k.k join l on l.k = k.k left join g on g.k = k.k
+"""

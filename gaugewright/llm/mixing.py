@@ -92,12 +92,12 @@ sums(source, k, term, total, rate) as (
   select source, k + 1, term * rate / (k + 1), total + term * rate / (k + 1), rate from sums where k < ceil(rate + 12 * sqrt(rate) + 40)
 ),
 drawn as (
-  select doc_id, source, ('0x' || substr(md5('mix:' || doc_id), 1, 13))::bigint / 4503599627370496.0::double u from documents
+  select doc_id, source, ('0x' || substr(md5('mix:' || doc_id), 1, 13))::bigint / 4503599627370496.0::double u, md5(text) text_md5 from documents
 ),
 counted as (
-  select d.doc_id, d.source, s.rate, count(*) filter (s.total <= d.u) copies
+  select d.doc_id, d.source, d.text_md5, s.rate, count(*) filter (s.total <= d.u) copies
   from drawn d join sums s on d.source is not distinct from s.source group by all
 )
-select doc_id, source, rate, copies::int copies, copy::int copy, md5('mix:order:' || doc_id || ':' || copy) shuffle_key
+select doc_id, source, rate, copies::int copies, copy::int copy, md5('mix:order:' || doc_id || ':' || copy) shuffle_key, text_md5
 from (select *, unnest(range(copies)) copy from counted)
 """

@@ -106,4 +106,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op7_poisson_mix": mixing.SQL}
+ORACLES = {"op2_blob_ledger": secrets.SQL, "op7_poisson_mix": mixing.SQL, "op9_jaccard_join": jaccard.SQL}

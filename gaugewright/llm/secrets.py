@@ -133,3 +133,25 @@ def redact(found: DataFrame, mark: str = "[secret]") -> DataFrame:
     pieces = F.zip_with(ends, starts, lambda e, s: F.substring(F.col("text"), (e + 1).cast("int"), (s - e).cast("int")))
     text = F.when(F.size("__cut") > 0, F.array_join(pieces, mark)).otherwise(F.col("text"))
     return held.withColumn("text", text).drop("__cut", "secrets", "blob")
+
+
+def _found_sql(order: int, rule: Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    fits = f"length(regexp_extract(m[i], '{pattern}', {rule.group})) >= {rule.least}"
+    place = "coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0)::bigint + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::bigint"
+    return (
+        f"select doc_id, {order} o, '{rule.kind}' kind, a, a + n e from (select doc_id, unnest(list_transform(list_filter(range(1, len(m) + 1), lambda i: {fits}), lambda i: {{'a': {place}, 'n': length(m[i])}}), recursive := true) "
+        f"from (select doc_id, regexp_extract_all(t, '{pattern}') m, regexp_split_to_array(t, '{pattern}') p from d))"
+    )
+
+
+#: DuckDB SQL for findings of all documents: the same patterns in the other engine, places from what lies between matches.
+SQL = (
+    "with d as (select doc_id, coalesce(text, '') t from documents), f as ("
+    + " union all ".join(_found_sql(i, r) for i, r in enumerate(RULES))
+    + """),
+g as (select doc_id, count(*) filter (kind = 'assign') n_assign, count(*) filter (kind = 'access') n_access, count(*) filter (kind = 'hex') n_hex,
+  string_agg(kind || ':' || a || ':' || e, ',' order by a, o) spans from f group by 1)
+select d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(spans, '')) base_sha256, coalesce(spans, '') spans, sha256(t) blob
+from d left join g on g.doc_id = d.doc_id"""
+)
