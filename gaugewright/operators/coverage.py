@@ -97,7 +97,11 @@ def select_classes(classes: DataFrame, targets: DataFrame, package: str = "packa
 
 
 def positive(*counts: Column) -> Column:
-    return F.greatest(*[F.coalesce(c, F.lit(0)) for c in counts]) > 0
+    """Whether any count is above 0; null counts as 0."""
+    out = F.lit(False)
+    for c in counts:
+        out = out | (F.coalesce(c, F.lit(0)) > 0)
+    return out
 
 
 def class_level(manual: DataFrame, candidate: DataFrame, unit: list[str]) -> DataFrame:
