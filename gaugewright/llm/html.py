@@ -52,6 +52,7 @@ SIGNS = frozenset(
     "subscribe subscription signup login popup modal overlay social share sharing related recommended recommendations pagination pager toolbar masthead header topbar skip search "
     "complementary contentinfo banners copyright legal disclaimer hidden".split()
 )
+NOT_ARTICLES = frozenset("ad ads advert adverts advertisement sponsored promo comment comments reply replies related recommended sidebar".split())
 CONTENT = frozenset("article main post entry story content articlebody maincontent".split())
 
 _TOKEN = re.compile(
@@ -59,6 +60,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_STATE = re.compile(r"(?:has|with|no|is|js)[-_]", re.I)  # of the page rather than of the element
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _MARKS = re.compile(r"[.,;:!?。，…]")
 
@@ -79,18 +81,20 @@ def _opened(name: str, attrs: str, up: Node) -> Node:
     inside = _inside(up)
     if name == "header" and not inside:
         skip = True
+    content &= not skip
     if attrs and not attrs.isspace():
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
         label = " ".join(found.get(k, "") for k in ("class", "id", "role"))
         if label.strip():
             first = label.split()[0]
             step = f"{name}.{re.sub(r'[0-9]+', '', first)}"
-            words = {w.lower() for w in _WORD.findall(label)}
-            whole = {w.lower() for w in re.split(r"[\s_-]+", label)}
-            words |= whole
-            if words & SIGNS and name not in ("html", "body", "article", "main") and not (words & CONTENT and not words & {"comment", "comments", "related", "sidebar", "ad", "ads", "footer", "nav", "menu"}):
+            whole = [w for w in re.split(r"\s+", label.strip()) if not _STATE.match(w)]
+            words = {w.lower() for x in whole for w in (*_WORD.findall(x), *re.split(r"[_-]+", x))}
+            if inside:
+                words.discard("header")
+            if words & (SIGNS if name != "article" else NOT_ARTICLES) and name not in ("html", "body", "main"):
                 skip = True
-            if words & CONTENT and not words & SIGNS:
+            elif words & CONTENT:
                 content = True
         if found.get("itemprop", "").lower() == "articlebody":
             content = True

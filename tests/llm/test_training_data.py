@@ -262,6 +262,14 @@ def test_html(spark):
     assert html.main_text(divs)[0] == " ".join(f"Sentence {i}, which has some length, and marks." for i in range(5))
     assert html.main_text("")[0] == "" and html.main_text("<p")[1] <= 1
     assert html.main_text("plain text, no markup.")[0] == "plain text, no markup."
+    wrapped = PAGE.replace("<article>", '<div class="page has-sidebar"><div class="post-content">').replace("</article>", "</div></div>")
+    assert html.main_text(wrapped)[0] == html.main_text(PAGE)[0]
+    answers = PAGE.replace("<aside>", '<article class="comment"><p>' + "A reader says something long, and says it again, as readers do. " * 9 + "</p></article><aside>")
+    assert html.main_text(answers)[0] == html.main_text(PAGE)[0]
+    split = PAGE.replace("<aside>", '<div id="page-header"><p>Site head, with words.</p></div><div role="complementary">Aside, too.</div><aside>').replace("<article>", '<main><div class="advert-box">Buy, buy!</div>').replace("</article>", "</main>")
+    assert html.main_text(split)[0] == html.main_text(PAGE)[0]
+    short = PAGE.replace("<p>Second   part\nfollows here, it is long enough.</p>", "").replace("First part, with &eacute; and&nbsp;more.", "Ok.")
+    assert html.main_text(short)[0] == "Head & line Ok."
     frame = spark.createDataFrame([(1, "u", None, 1), (2, None, PAGE, 2), (2, None, PAGE, 2)], "page_id long, url string, html string, text int")
     got = html.extract(frame).collect()
     assert [r["n_chars"] for r in got] == [0, 85, 85] or sorted(r["n_chars"] for r in got)[0] == 0
