@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import checks, classify, incremental, selection, statistics
+from ..operators import checks, classify, incremental, selection, sources_text, statistics
 from .registry import query
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -349,3 +349,26 @@ def row_violations(t):
 @query("select o_custkey, count(*) n from orders group by 1 having not count(*) between 5 and 15")
 def group_size_violations(t):
     return checks.outside(t.orders, ["o_custkey"], 5, 15)
+
+
+@query("""
+with l as (unpivot (select o_orderstatus, o_totalprice, o_custkey::double o_custkey from orders) on o_totalprice, o_custkey into name metric value v)
+select o_orderstatus, metric, count(*) n, round(avg(v), 4) mean, round(stddev_samp(v), 4) sd, round(quantile_cont(v, 0.25), 4) q1, round(quantile_cont(v, 0.5), 4) median, round(quantile_cont(v, 0.75), 4) q3 from l group by 1, 2""")
+def described(t):
+    out = sources_text.described(t.orders.select("o_orderstatus", "o_totalprice", "o_custkey"), ["o_orderstatus"], ["o_totalprice", "o_custkey"])
+    return out.select("o_orderstatus", "metric", "n", *[F.round(x, 4).alias(x) for x in ("mean", "sd", "q1", "median", "q3")])
+
+
+@query("""
+select o_custkey, bool_or(contains(lower(o_orderpriority), 'urgent')) named, bool_or(o_orderstatus = 'F') said from orders group by 1""")
+def any_flags(t):
+    return t.orders.groupBy("o_custkey").agg(F.bool_or(F.lower("o_orderpriority").contains("urgent")).alias("named"), F.bool_or(F.col("o_orderstatus") == "F").alias("said"))
+
+
+@query("""
+select o_orderkey, case when o_orderstatus = 'F' then 'sanitized' when o_orderstatus = 'O' then 'baseline' when o_totalprice > 200000 then 'sanitized' when o_totalprice > 100000 then 'baseline' else 'sanitized' end side,
+  case when o_orderstatus = 'F' then 'prefer_sanitized' when o_orderstatus = 'O' then 'fallback_to_baseline' when o_totalprice > 200000 then 'sanitized_failed_without_baseline_recovery' when o_totalprice > 100000 then 'baseline_failed_last_fallback' else 'missing_generated_variant' end reason from orders""")
+def result_choice(t):
+    passed = lambda s: F.when(F.col("o_orderstatus") == s, "passed").otherwise("failed")
+    chosen = sources_text.choose_result(passed("F"), F.col("o_totalprice") > 200000, passed("O"), F.col("o_totalprice") > 100000)
+    return t.orders.select("o_orderkey", chosen.alias("c")).select("o_orderkey", "c.side", "c.reason")

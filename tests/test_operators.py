@@ -207,3 +207,31 @@ def test_budget_and_upsert(spark):
     rows = spark.createDataFrame([("g", 1, 50), ("g", 2, 70), ("g", 3, 10)], "k string, p int, n int")
     assert [(r["p"], r["taken"]) for r in ranking.within_budget(rows, ["k"], ("p",), "n", 100).orderBy("p").collect()] == [(1, 50), (2, 50)]
     assert ranking.clamp_top_n(0) == 1 and ranking.clamp_top_n(500) == 100
+
+
+def test_sources_text(spark):
+    from gaugewright.operators import sources_text as st
+
+    assert value(spark, st.is_test_source(F.lit("A.java"), F.lit("x @Test y"))) and not value(spark, st.is_test_source(F.lit("A.java"), F.lit("x")))
+    code = "package a.b;\nclass Foo_ESTest { }"
+    assert value(spark, st.matches_target(F.lit(code), F.lit("Foo_ESTest"), F.lit("a.b.Foo")))
+    assert not value(spark, st.matches_target(F.lit(code), F.lit("Foo_ESTest"), F.lit("c.Foo")))
+    for selector, want in (("a.Foo_ESTest#x", "a.Foo"), ("a.Foo_Sanitized_ESTest#x", "a.Foo"), ("Foo", "Foo"), (" ", None)):
+        assert value(spark, st.target_of(F.lit(selector))) == want
+    log = "FAILURE in a.T#one\nTest interrupted: a.T#two\n[DROP] a.T#three x fork-exit=1\n[DROP] a.T#four\nFAILURE in b.T#five"
+    assert value(spark, st.failed_methods(F.lit(log), "a.T")) == ["one", "three", "two"]
+    assert value(spark, st.usable_test_name(F.lit(" goodName "), F.lit("x"))) == "goodName"
+    assert value(spark, st.usable_test_name(F.lit("bad;name"), F.lit("x"))) is None and value(spark, st.usable_test_name(F.lit("same_name"), F.lit("same_name"))) is None
+    assert value(spark, st.plausible_body(F.lit("try { } catch (E e) { }"))) and not value(spark, st.plausible_body(F.lit("try { }")))
+    found = value(spark, st.checked_methods(F.lit("@Test public void a() { x(); } @Test public void b() { if (c) { } @Test public void d() { }")))
+    assert [(m["name"], m["valid"]) for m in found] == [("a", True), ("b", False), ("d", True)]
+    assert value(spark, st.first_reason((F.lit(False), "a"), (F.lit(None).cast("boolean"), "b"), (F.lit(True), "c"))) == "c"
+    flows = spark.createDataFrame([("r", "ci.yml", "run: mvn verify"), ("q", "x.txt", "pytest"), ("p", "test.yml", "")], "repo string, name string, content string")
+    assert {r["repo"]: (r["test_in_name"], r["test_in_content"], r["runs_tests"]) for r in st.workflow_flags(flows, ["repo"]).collect()} == {"r": (False, True, True), "q": (False, False, False), "p": (True, False, True)}
+    spans = spark.createDataFrame([("f", 1, 2), ("f", 5, 6), ("f", 9, 9)], "k string, start int, end int")
+    flags = spark.createDataFrame([("f", i, i not in (3, 4)) for i in range(1, 11)], "k string, line int, is_code boolean")
+    assert sorted(tuple(r) for r in st.merge_gaps(spans, flags, ["k"]).select("start", "end").collect()) == [(1, 6), (9, 9)]
+    held = st.held_out(spark.range(20).selectExpr("'k' k", "id"), ["k"], "id", 5, 10)
+    assert {r["n"] for r in held.where("held").groupBy("repeat").agg(F.count("*").alias("n")).collect()} == {5} and held.count() == 200
+    uses = st.declares(F.lit("class A {\n  private Foo f = null;\n  @BeforeEach void x() {\n    a.b.Foo g = null;\n"))
+    assert all(value(spark, c) for c in uses.values())
