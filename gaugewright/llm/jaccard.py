@@ -2,16 +2,19 @@
 
 1. Each document's shingles give HASHES MinHash values and BANDS bucket numbers of ROWS values each; documents with the
    same shingle set are one class, with its least doc_id for it.
-2. Classes that share a bucket are candidates, in the first bucket they share only.  Buckets of up to SMALL classes are
-   compared whole; larger ones in tiles of two blocks of about BLOCK classes, each tile a task's work of its own, so a
-   hot bucket is neither gathered in one place nor written out as pairs.
+2. Classes that share a bucket are candidates, in the first bucket they share only.
 3. MinHash values of a candidate are compared STEP by STEP; it is dropped once the posterior probability that its
    Jaccard likeness reaches the threshold (binomial matches, uniform prior) is below TOLERANCE.
 4. What is left is verified exactly on the whole texts' shingle sets.
 
+Buckets of up to SMALL classes write out their surviving pairs, which are then joined with the texts.  Larger buckets are
+dealt as tiles: two blocks of a bucket that meet in a task of their own, with their texts.  There pruning and
+verification end in one row for each class: its number of links in the tile and one class it is connected to.  So a hot
+bucket is neither gathered in one place nor written out as pairs, and no link is lost.
+
 A pair at the threshold shares no bucket with a chance of (1 - 0.8**5)**30, under 7e-6, and is dropped wrongly with one
 under TOLERANCE a step.  Links make classes (connected components), named by their least doc_id; n_links counts, for each
-document, the different shingle sets at the threshold or above.  Only verified links are written out.
+document, the different shingle sets at the threshold or above.
 
 Cases: null text counts as empty; texts without words are alike only if equal; a null doc_id comes out as null and
 counts as the least; repeated rows are copies of one another; an empty table gives no rows; other columns are ignored.
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,9 @@ THRESHOLD = 0.8
 ROWS, BANDS = 5, 30
 HASHES = ROWS * BANDS
 STEP, TOLERANCE = 15, 1e-6
-SMALL, BLOCK = 64, 256
+SMALL = 64
+#: A block of a large bucket has about so many classes and shingles at most.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 NULL_ID = -(1 << 63)
 
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -118,76 +124,138 @@ def _groups(batches, width: int):
         yield held
 
 
-def _pairs(threshold: float, tiled: bool):
-    """Candidates that survive: (a, b, key_a, key_b), key_a < key_b.  Rows: bucket[, i, j, block], doc_id, key, n, sig, buckets."""
+def _surviving(bucket: int, numbers: np.ndarray, n: np.ndarray, sigs: np.ndarray, one: np.ndarray, other: np.ndarray | None, threshold: float, least: list[int]):
+    """Pairs of rows (one x other, or one with itself) that survive pruning and share no bucket before this one."""
+    found_a, found_b = [], []
+    for at in range(0, len(one), 64):
+        part = one[at : at + 64]
+        against = one if other is None else other
+        a, b = np.repeat(part, len(against)), np.tile(against, len(part))
+        if other is None:
+            a, b = a[a < b], b[a < b]
+        fit = np.minimum(n[a], n[b]) / np.maximum(n[a], n[b]) >= threshold  # sizes alone bound the likeness
+        a, b = a[fit], b[fit]
+        left = survivors(sigs, a, b, least)
+        a, b = a[left], b[left]
+        same = numbers[a] == numbers[b]
+        first = numbers[a, same.argmax(axis=1)] == bucket if len(a) else np.zeros(0, bool)
+        found_a.append(a[first])
+        found_b.append(b[first])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _arrays(group: list, at: int):
+    """ids, keys, numbers, sizes, sigs of a group's rows, whose columns doc_id, key, n, sig, buckets begin at ``at``."""
+    ids, keys, sizes, sigs, lists = zip(*(r[at : at + 5] for r in group), strict=True)
+    return ids, keys, np.array(lists, dtype=np.int64), np.array(sizes), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), HASHES)
+
+
+def _pairs(threshold: float):
+    """(bucket, doc_id, key, n, sig, buckets) sorted by bucket -> surviving (a, b, key_a, key_b), key_a < key_b."""
 
     def run(batches):
         least = needed(threshold)
         out: list[tuple] = []
-        extra = 2 if tiled else 0
-        for group in _groups(batches, 1 + extra):
-            ids, keys, sizes, sigs, lists = zip(*(r[1 + extra + bool(tiled) :] for r in group), strict=True)
-            m = len(ids)
-            if m < 2:
-                continue
-            bucket = group[0][0]
-            numbers = np.array(lists, dtype=np.int64)
-            values = np.frombuffer(b"".join(sigs), np.uint8).reshape(m, HASHES)
-            n = np.array(sizes)
-            if tiled and group[0][1] != group[0][2]:
-                block = np.array([r[3] for r in group])
-                one, other = np.flatnonzero(block == group[0][1]), np.flatnonzero(block == group[0][2])
-            else:
-                one = other = np.arange(m)
-            for at in range(0, len(one), 64):
-                a = np.repeat(one[at : at + 64], len(other))
-                b = np.tile(other, len(one[at : at + 64]))
-                if one is other:
-                    a, b = a[a < b], b[a < b]
-                # sizes alone bound the likeness
-                fit = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
-                a, b = a[fit], b[fit]
-                left = survivors(values, a, b, least)
-                a, b = a[left], b[left]
-                if not len(a):
-                    continue
-                same = numbers[a] == numbers[b]
-                first = numbers[a, same.argmax(axis=1)] == bucket
-                for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True):
-                    i, j = (i, j) if keys[i] < keys[j] else (j, i)
-                    out.append((ids[i], ids[j], keys[i], keys[j]))
-                if len(out) >= 20_000:
-                    yield _pair_batch(out)
-                    out = []
+        for group in _groups(batches, 1):
+            ids, keys, numbers, n, sigs = _arrays(group, 1)
+            a, b = _surviving(group[0][0], numbers, n, sigs, np.arange(len(ids)), None, threshold, least)
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                i, j = (i, j) if keys[i] < keys[j] else (j, i)
+                out.append((ids[i], ids[j], keys[i], keys[j]))
+            if len(out) >= 20_000:
+                yield _pair_batch(out)
+                out = []
         if out:
             yield _pair_batch(out)
 
     return run
 
 
+def common_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs (a, b) of sets.
+
+    Many pairs go through products of the sets' incidence matrix, a slice of shingles at a time; shingles of one set only
+    are left out.
+    """
+    if len(a) <= 4 * len(sets):
+        return np.array([len(sets[i]) + len(sets[j]) - len(np.union1d(sets[i], sets[j])) for i, j in zip(a.tolist(), b.tolist(), strict=True)], dtype=np.int64)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = times[column] > 1
+    rows, column = rows[keep], np.unique(column[keep], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers below 2**24 are exact
+    width = 4096
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, (at, at + width))
+        part = np.zeros((len(sets), width), np.float32)
+        part[rows[lo:hi], column[lo:hi] - at] = 1
+        total += part @ part.T
+    return total[a, b].astype(np.int64)
+
+
+def _tiles(threshold: float, width: int):
+    """(bucket, i, j, block, doc_id, key, n, sig, buckets, text) sorted by tile -> (key, root, links)."""
+
+    def run(batches):
+        least = needed(threshold)
+        for group in _groups(slices(batches), 3):
+            group = list({r[5]: r for r in group}.values())  # rows of one doc_id may have met each other's texts
+            _, keys, numbers, n, sigs = _arrays(group, 4)
+            bucket, i, j = group[0][:3]
+            if i == j:
+                a, b = _surviving(bucket, numbers, n, sigs, np.arange(len(keys)), None, threshold, least)
+            else:
+                block = np.array([r[3] for r in group])
+                a, b = _surviving(bucket, numbers, n, sigs, np.flatnonzero(block == i), np.flatnonzero(block == j), threshold, least)
+            if not len(a):
+                continue
+            used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+            a, b = place[: len(a)], place[len(a) :]
+            sets = [shingles(group[u][9], width) for u in used.tolist()]
+            sizes = n[used]
+            common = common_counts(sets, a, b)
+            linked = common / (sizes[a] + sizes[b] - common) >= threshold
+            a, b = a[linked], b[linked]
+            links = np.bincount(np.concatenate((a, b)), minlength=len(used))
+            root = np.arange(len(used))
+            while True:  # the least place in each connected part
+                low = np.minimum(root[a], root[b])
+                new = root.copy()
+                np.minimum.at(new, a, low)
+                np.minimum.at(new, b, low)
+                new = new[new]
+                if (new == root).all():
+                    break
+                root = new
+            rows = [(keys[used[k]], keys[used[root[k]]], int(links[k])) for k in np.flatnonzero(links).tolist()]
+            if rows:
+                arrays = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "root", "links"])
+
+    return run
+
+
 def _pair_batch(rows: list[tuple]):
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["a", "b", "key_a", "key_b"])
 
 
 def _verify(threshold: float, width: int):
-    """(key_a, key_b, text_a, text_b) -> (key_a, key_b, likeness) of those that reach the threshold and have these keys."""
+    """(key_a, key_b, text_a, text_b) -> (key_a, key_b) of those that reach the threshold and have these keys."""
 
     def run(batches):
-        last: tuple = (None, None)
+        known = lru_cache(64)(lambda text: (s := shingles(text, width), hashlib.blake2b(s.tobytes(), digest_size=16).digest()))
         for batch in slices(batches):
             rows = []
             for key_a, key_b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last[0] != text_a:
-                    last = (text_a, shingles(text_a, width))
-                a, b = last[1], shingles(text_b, width)
-                if any(hashlib.blake2b(s.tobytes(), digest_size=16).digest() != k for s, k in ((a, key_a), (b, key_b))):
-                    continue  # another row with that doc_id
-                if (likeness := jaccard(a, b)) >= threshold:
-                    rows.append((key_a, key_b, likeness))
+                (a, own_a), (b, own_b) = known(text_a), known(text_b)
+                if (own_a, own_b) == (key_a, key_b) and jaccard(a, b) >= threshold:  # else another row with that doc_id
+                    rows.append((key_a, key_b))
             if rows:
-                arrays = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.float64()), strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key_a", "key_b", "likeness"])
+                arrays = [pa.array(x, pa.binary()) for x in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key_a", "key_b"])
 
     return run
 
@@ -206,32 +274,33 @@ def classes(found: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "sig", "buckets"), "doc_id").alias("r")).select("key", "r.*")
 
 
-def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, key_a, key_b) that survive pruning; each pair once."""
+def members(sets: DataFrame) -> DataFrame:
+    """bucket, m, size (classes and shingles in the bucket), doc_id, key, n, sig, buckets: classes of shared buckets."""
     rows = sets.where("n > 0")
-    placed = rows.select("key", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = placed.join(shared, "bucket").join(rows, "key")
-    columns = ["doc_id", "key", "n", "sig", "buckets"]
-    schema = "a long, b long, key_a binary, key_b binary"
-    small = members.where(F.col("m") <= SMALL).select("bucket", *columns).repartition("bucket").sortWithinPartitions("bucket")
-    few = small.mapInArrow(_pairs(threshold, False), schema)
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    large = members.where(F.col("m") > SMALL).withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    tiled = large.withColumn("tile", F.explode(tiles)).select("bucket", "tile.i", "tile.j", "block", *columns)
-    many = tiled.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_pairs(threshold, True), schema)
-    return few.unionByName(many)
+    placed = rows.select("key", "n", F.explode("buckets").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")).where("m > 1")
+    return placed.drop("n").join(shared, "bucket").join(rows, "key").select("bucket", "m", "size", "doc_id", "key", "n", "sig", "buckets")
 
 
 def links(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """key_a, key_b, likeness of all verified links between different shingle sets."""
+    """key, root, links: parts of the verified links of each shingle set, and for each part one set it is connected to."""
     texts = _prepared(docs)
-    pairs = candidates(sets, threshold)
+    found = members(sets)
+    columns = ["doc_id", "key", "n", "sig", "buckets"]
+    small = found.where(F.col("m") <= SMALL).select("bucket", *columns).repartition("bucket").sortWithinPartitions("bucket")
+    pairs = small.mapInArrow(_pairs(threshold), "a long, b long, key_a binary, key_b binary")
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(one, "a").join(other, "b").select("key_a", "key_b", "text_a", "text_b")
-    return joined.mapInArrow(_verify(threshold, width), "key_a binary, key_b binary, likeness double").dropDuplicates(["key_a", "key_b"])
+    verified = joined.mapInArrow(_verify(threshold, width), "key_a binary, key_b binary").dropDuplicates(["key_a", "key_b"])
+    both = F.array(F.struct(F.col("key_a").alias("key"), F.col("key_b").alias("root")), F.struct(F.col("key_b").alias("key"), F.col("key_a").alias("root")))
+    few = verified.select(F.explode(both).alias("e")).select("e.key", "e.root", F.lit(1).cast("long").alias("links"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
+    large = found.where(F.col("m") > SMALL).join(texts, "doc_id").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+    tiled = large.withColumn("tile", F.explode(tiles)).select("bucket", "tile.i", "tile.j", "block", *columns, "text")
+    dealt = tiled.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return few.unionByName(dealt.mapInArrow(_tiles(threshold, width), "key binary, root binary, links long"))
 
 
 def components(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -259,9 +328,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> D
     """doc_id, class_id, n_copies (rows with its shingle set), n_links: a row for each document."""
     found = checkpointed(features(docs, width))
     sets = checkpointed(classes(found))
-    edges = checkpointed(links(docs, sets, threshold, width))
-    named = components(edges.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")), sets.select("key", "doc_id"))
-    degree = edges.select(F.explode(F.array("key_a", "key_b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = checkpointed(links(docs, sets, threshold, width))
+    edges = linked.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")).distinct()
+    named = components(edges, sets.select("key", "doc_id"))
+    degree = linked.groupBy("key").agg(F.sum("links").alias("n_links"))
     copies = found.groupBy("key").agg(F.count(F.lit(1)).alias("n_copies"))
     about = sets.select("key", F.col("doc_id").alias("least")).join(copies, "key").join(named, "key", "left").join(degree, "key", "left")
     about = about.select("key", F.coalesce("class_id", "least").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -325,6 +325,15 @@ def test_jaccard(docs, texts, none, spark, monkeypatch):
     assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in jaccard.join(nulls).collect()) == [("4", "None"), ("5", "5"), ("None", "None"), ("None", "None")]
 
 
+def test_common_counts():
+    rng = random.Random(8)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randint(1, 40))), dtype=np.uint64) for _ in range(20)]
+    a, b = np.triu_indices(20, 1)
+    want = [len(set(sets[i].tolist()) & set(sets[j].tolist())) for i, j in zip(a, b, strict=True)]
+    assert jaccard.common_counts(sets, a, b).tolist() == want
+    assert jaccard.common_counts(sets, a[:5], b[:5]).tolist() == want[:5]
+
+
 def test_shingles_brute_force(texts):
     for t in texts:
         w = re.findall(r"\w+", (t or "").lower())
