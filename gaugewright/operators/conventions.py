@@ -141,3 +141,18 @@ def similarity(pairs: DataFrame, a: str, b: str, k: int = 5) -> DataFrame:
             "lcs_ratio": F.when(most > 0, java.common_length(F.col("__a"), F.col("__b")) / F.nullif(most, F.lit(0))).otherwise(1.0),
         }
     ).drop("__a", "__b")
+
+
+def quality(docs: DataFrame, keys: list[str], code: str = "text") -> DataFrame:
+    """keys, loc (lines with code), functions, complexity (total and mean) and mean length of functions in lines.
+
+    Complexity counts branching words; means are null without functions.
+    """
+    loc = F.size(F.filter(java.code_lines_column(F.col(code)), lambda x: x))
+    branches = r"(?<![\w.])(?:if|for|while|case|catch)\b|&&|\|\||\?(?![>,])"
+    rows = docs.select(*keys, loc.alias("loc"), java.methods_column(F.col(code)).alias("m"))
+    paths = F.transform("m", lambda x: F.size(F.regexp_extract_all(x["body"], F.lit(branches), F.lit(0))) + 1)
+    lengths = F.transform("m", lambda x: F.size(F.split(x["body"], "\n")))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + v)
+    n = F.nullif(F.size("m"), F.lit(0))
+    return rows.select(*keys, "loc", F.size("m").alias("functions"), total(paths).alias("complexity"), (total(paths) / n).alias("mean_complexity"), (total(lengths) / n).alias("mean_length"))

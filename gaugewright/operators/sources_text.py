@@ -164,3 +164,30 @@ def described(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     p = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     rows = long.groupBy(*keys, "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), p.alias("p"))
     return rows.select(*keys, "metric", "n", "mean", "sd", F.col("p")[0].alias("q1"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q3"))
+
+
+def error_locations(logs: DataFrame, keys: list[str], log: str = "text") -> DataFrame:
+    """keys, file, line: distinct places of errors in compiler logs."""
+    pattern = r"(\S+\.java):(\d+): error"
+    both = F.arrays_zip(F.regexp_extract_all(F.col(log), F.lit(pattern), F.lit(1)).alias("file"), F.regexp_extract_all(F.col(log), F.lit(pattern), F.lit(2)).alias("line"))
+    rows = logs.select(*keys, F.explode(both).alias("e"))
+    return rows.select(*keys, "e.file", F.col("e.line").cast("int").alias("line")).distinct()
+
+
+def methods_hit(methods: DataFrame, errors: DataFrame, keys: list[str]) -> DataFrame:
+    """methods(keys, file, name, start, end) that span an error line: spans are spread into lines for an equality join."""
+    lines = methods.withColumn("line", F.explode(F.sequence("start", "end")))
+    return lines.join(errors.select(*keys, "file", "line"), [*keys, "file", "line"], "left_semi").drop("line").distinct()
+
+
+def package_hints(logs: DataFrame, keys: list[str], log: str = "text") -> DataFrame:
+    """keys, symbol, packages: for each missing symbol the packages that its file imports such a name from or that the
+    log reports as missing just before."""
+    from pyspark.sql import Window
+
+    lines = logs.select(*keys, F.posexplode(F.split(log, "\n")).alias("pos", "line"))
+    package = F.nullif(F.regexp_extract("line", r"package\s+([\w.]+)\s+does not exist", 1), F.lit(""))
+    symbol = F.nullif(F.regexp_extract("line", r"symbol:\s+(?:class|variable|interface)\s+(\w+)", 1), F.lit(""))
+    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.select(*keys, "pos", F.last(package, ignorenulls=True).over(w).alias("package"), symbol.alias("symbol")).where("symbol is not null and package is not null")
+    return rows.groupBy(*keys, "symbol").agg(F.array_sort(F.collect_set("package")).alias("packages"))

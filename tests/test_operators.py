@@ -235,3 +235,20 @@ def test_sources_text(spark):
     assert {r["n"] for r in held.where("held").groupBy("repeat").agg(F.count("*").alias("n")).collect()} == {5} and held.count() == 200
     uses = st.declares(F.lit("class A {\n  private Foo f = null;\n  @BeforeEach void x() {\n    a.b.Foo g = null;\n"))
     assert all(value(spark, c) for c in uses.values())
+
+
+def test_members_and_quality(spark):
+    from gaugewright.operators import sources_text as st
+
+    code = "class A {\n int[] xs = {1, 2};\n @Foo(a = 1) private Map<String, B> m;\n static { run(); }\n void f(int a, B<C, D> b) { if (a > 1 && b != null) { } }\n enum K { X }\n class N { void g() { } }\n}"
+    assert [k for k, _ in java.members(code)][:4] == ["field:xs", "field:m", "block:2", "method:f/2"]
+    assert {"type:K", "type:N", "method:g/0"} <= {k for k, _ in java.members(code)}
+    assert java.complexity("{ if (a && b) { } for (;;) { } }") == 4
+    got = conventions.quality(spark.createDataFrame([(1, code), (2, "")], "doc_id int, text string"), ["doc_id"]).orderBy("doc_id").collect()
+    assert (got[0]["functions"], got[0]["complexity"]) == (1, 3) and got[1]["mean_complexity"] is None
+    logs = spark.createDataFrame([(1, "src/A.java:5: error: package x.y does not exist\n  symbol:   class Foo\nsrc/A.java:9: error: z\nsrc/A.java:5: error: w")], "id int, text string")
+    errors = st.error_locations(logs, ["id"])
+    assert {(r["file"], r["line"]) for r in errors.collect()} == {("src/A.java", 5), ("src/A.java", 9)}
+    spans = spark.createDataFrame([(1, "src/A.java", "f", 3, 6), (1, "src/A.java", "g", 7, 8)], "id int, file string, name string, start int, end int")
+    assert [r["name"] for r in st.methods_hit(spans, errors, ["id"]).collect()] == ["f"]
+    assert [(r["symbol"], r["packages"]) for r in st.package_hints(logs, ["id"]).collect()] == [("Foo", ["x.y"])]
