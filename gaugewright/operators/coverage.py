@@ -37,9 +37,12 @@ def owners(candidates: DataFrame, baseline: DataFrame, unit: list[str], order: s
 
 
 def incremental_filter(candidates: DataFrame, baseline: DataFrame, unit: list[str], order: str, target: tuple[str, ...] = ()) -> DataFrame:
-    """target, candidate, added (units beyond the baseline), owned (units it is the first to add): kept candidates."""
+    """target, candidate, added (units beyond the baseline), owned (units it is the first to add): kept candidates.
+
+    Rows without a place in the order are left out, at once, so that both counts read one shuffle of the candidates.
+    """
     keys = [*target, *unit]
-    new = beyond(candidates, baseline, keys).select(*keys, order).distinct()
+    new = beyond(candidates.where(F.col(order).isNotNull()), baseline, keys).select(*keys, order).distinct()
     added = new.groupBy(*target, order).agg(F.count(F.lit(1)).alias("added"))
     owned = new.groupBy(*keys).agg(F.min(order).alias(order)).groupBy(*target, order).agg(F.count(F.lit(1)).alias("owned"))
     return added.join(owned, [*target, order]).withColumnRenamed(order, "candidate")
