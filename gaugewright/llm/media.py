@@ -215,25 +215,26 @@ def store(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
+def _described(batch, keep: bool):
+    """DESCRIBED of the whole of one batch of doc_id, media."""
+    rows = []
+    for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        try:
+            (track, *_), kinds = tracks(data or b"") or [None], "/".join(p[-1].decode("latin-1") for p, _, _ in walk(data or b""))
+        except ValueError:
+            track = None
+        if track is None:
+            rows.append((doc, *[None] * 8))
+            continue
+        starts, ends = track.keyframes()
+        rows.append((doc, track.codec, track.seconds, len(track.starts), len(starts), starts, ends, kinds, read_back(data, track) if keep else None))
+    types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.binary()]
+    names = ["doc_id", "codec", "duration", "n_samples", "n_keyframes", "keyframe_starts", "keyframe_ends", "boxes", "payload"]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
 def _describe(keep: bool):
-    def run(batches):
-        for batch in slices(batches):
-            rows = []
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    (track, *_), kinds = tracks(data or b"") or [None], "/".join(p[-1].decode("latin-1") for p, _, _ in walk(data or b""))
-                except ValueError:
-                    track = None
-                if track is None:
-                    rows.append((doc, *[None] * 8))
-                    continue
-                starts, ends = track.keyframes()
-                rows.append((doc, track.codec, track.seconds, len(track.starts), len(starts), starts, ends, kinds, read_back(data, track) if keep else None))
-            types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.binary()]
-            names = ["doc_id", "codec", "duration", "n_samples", "n_keyframes", "keyframe_starts", "keyframe_ends", "boxes", "payload"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    return run
+    return lambda batches: (_described(b, keep) for b in slices(batches))
 
 
 def describe(media: DataFrame, keep_payload: bool = False) -> DataFrame:
@@ -245,7 +246,7 @@ def describe(media: DataFrame, keep_payload: bool = False) -> DataFrame:
 def _digest(batches):
     """Digests of a file and its payload beside what its walk tells, so that large binaries need not go back to the JVM."""
     for batch in slices(batches):
-        inner = next(_describe(True)([batch.select(["doc_id", "media"])]))
+        inner = _described(batch.select(["doc_id", "media"]), True)
         payloads, files = inner.column("payload").to_pylist(), batch.column("media").to_pylist()
         digests = [
             batch.column("n_bytes"),

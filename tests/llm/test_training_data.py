@@ -179,6 +179,17 @@ def test_media_round_trip(docs, texts, none):
     assert media.digests(media.store(none)).count() == 0
 
 
+def test_media_of_uneven_batches():
+    """Batches of few long and many short texts: a slice may be over its limit."""
+    import pyarrow as pa
+
+    texts = ["a" * 9_000_000, *["b"] * 50, "c" * 9_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    got = pa.Table.from_batches(media._digest(media._store([batch]))).to_pylist()
+    assert [r["n_bytes"] for r in got] == list(map(len, texts))
+    assert all(r["payload_bytes"] == -(-r["n_bytes"] // 576) * 576 for r in got)
+
+
 def test_media_damage(spark):
     file = media.movie(bytes(576 * 70))
     for broken in (file[:50], file[:-1], file.replace(b"stsc", b"xxxx"), b"abc"):
