@@ -137,6 +137,7 @@ def alpha_ordinal(df: DataFrame, keys: list[str], item: str, rater: str, score:
     """keys, n_items, alpha: Krippendorff's alpha with ordinal distance over items with two ratings at least.
 
     Ratings are counted per item and score first; pairs are pairs of score levels of an item, never pairs of raters.
+    There is one key at least (a constant will do).
     """
     counts = df.where(F.col(score).isNotNull()).groupBy(*keys, item, score).agg(F.count(F.lit(1)).cast("double").alias("__n"))
     m = F.sum("__n").over(Window.partitionBy(*keys, item))
@@ -150,7 +151,7 @@ def alpha_ordinal(df: DataFrame, keys: list[str], item: str, rater: str, score:
     per = placed.groupBy(*keys, item).agg(F.first("__m").alias("__m"), F.sum(F.col("__n") * F.col("__place")).alias("__s"), F.sum(F.col("__n") * F.col("__place") * F.col("__place")).alias("__q"))
     observed = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"), F.sum(2 * (F.col("__m") * F.col("__q") - F.col("__s") * F.col("__s")) / (F.col("__m") - 1)).alias("__o"))
     total = levels.select(*keys, "__f", place).groupBy(*keys).agg(F.sum("__f").alias("__n"), F.sum(F.col("__f") * F.col("__place")).alias("__s"), F.sum(F.col("__f") * F.col("__place") * F.col("__place")).alias("__q"))
-    joined = observed.join(total, keys) if keys else observed.crossJoin(total)  # a row each
+    joined = observed.join(total, keys)
     expected = 2 * (F.col("__n") * F.col("__q") - F.col("__s") * F.col("__s")) / (F.col("__n") - 1)
     return joined.select(*keys, "n_items", F.when(expected > 0, 1 - F.col("__o") / expected).alias("alpha"))
 
