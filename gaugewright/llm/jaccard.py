@@ -275,11 +275,18 @@ def classes(found: DataFrame) -> DataFrame:
 
 
 def members(sets: DataFrame) -> DataFrame:
-    """bucket, m, size (classes and shingles in the bucket), doc_id, key, n, sig, buckets: classes of shared buckets."""
-    rows = sets.where("n > 0")
-    placed = rows.select("key", "n", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")).where("m > 1")
-    return placed.drop("n").join(shared, "bucket").join(rows, "key").select("bucket", "m", "size", "doc_id", "key", "n", "sig", "buckets")
+    """bucket, m, size (classes and shingles in the bucket), doc_id, key, n, sig, buckets: classes of shared buckets.
+
+    Bucket rows are three numbers and are shuffled once, for their counts and for the join.  Classes whose least doc_id
+    is the same (rows that share it but not the text) may come up in each other's buckets; pairs look at the bucket lists
+    themselves, so that adds no candidate.
+    """
+    rows = sets.where("n > 0 and doc_id is not null")
+    placed = rows.select("doc_id", F.col("n").cast("int").alias("n"), F.explode("buckets").alias("bucket")).repartition("bucket")
+    # Both sides read the same three columns, so that they share the shuffle.
+    shared = placed.groupBy("bucket").agg(F.count("doc_id").cast("int").alias("m"), F.sum("n").alias("size")).where("m > 1")
+    there = placed.join(shared, "bucket").withColumn("n", F.col("n").cast("long"))
+    return there.join(rows.select("doc_id", "key", "sig", "buckets"), "doc_id").select("bucket", "m", "size", "doc_id", "key", "n", "sig", "buckets")
 
 
 def links(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
@@ -327,14 +334,13 @@ def components(edges: DataFrame, least: DataFrame) -> DataFrame:
 def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """doc_id, class_id, n_copies (rows with its shingle set), n_links: a row for each document."""
     found = checkpointed(features(docs, width))
-    sets = checkpointed(classes(found))
-    linked = checkpointed(links(docs, sets, threshold, width))
+    linked = checkpointed(links(docs, classes(found), threshold, width))
     edges = linked.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")).distinct()
+    sets = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
     named = components(edges, sets.select("key", "doc_id"))
     degree = linked.groupBy("key").agg(F.sum("links").alias("n_links"))
-    copies = found.groupBy("key").agg(F.count(F.lit(1)).alias("n_copies"))
-    about = sets.select("key", F.col("doc_id").alias("least")).join(copies, "key").join(named, "key", "left").join(degree, "key", "left")
-    about = about.select("key", F.coalesce("class_id", "least").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    about = sets.join(named, "key", "left").join(degree, "key", "left")
+    about = about.select("key", F.coalesce("class_id", "doc_id").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     out = found.select("doc_id", "key").join(about, "key")
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     return out.select(back("doc_id"), back("class_id"), "n_copies", "n_links")
