@@ -341,7 +341,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> D
     degree = linked.groupBy("key").agg(F.sum("links").alias("n_links"))
     about = sets.join(named, "key", "left").join(degree, "key", "left")
     about = about.select("key", F.coalesce("class_id", "doc_id").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out = found.select("doc_id", "key").join(about, "key")
+    # Checkpointed, the join has shuffles alone below it, and adaptive execution can split a set with very many copies.
+    out = found.select("doc_id", "key").join(checkpointed(about), "key")
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     return out.select(back("doc_id"), back("class_id"), "n_copies", "n_links")
 
