@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -99,15 +101,15 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> D
 def findings(versions: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
     """versions with ``blob`` and ``secrets``: array<struct<start, order, end, kind>> sorted by start, then rule order.
 
-    Only blobs with a finding are joined back; the others have none.  A blob with very many paths is a skewed key of a
-    plain left join, which adaptive execution splits.
+    Only blobs with a finding are joined back; the others have none.  Their rows are checkpointed, so that the join has
+    nothing but shuffles below it: then adaptive execution can split the paths of a blob that has very many.
     """
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     current = ledger.where("size(spans) > 0").where(" or ".join(f"(rule = '{r.kind}' and rule_version = {r.version})" for r in rules))
     entry = F.transform("spans", lambda s: F.struct(s.start.alias("start"), order[F.col("rule")].alias("order"), s.end.alias("end"), F.col("rule").alias("kind")))
     per = current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(entry))).alias("secrets"))  # one blob's rules
     none = F.array().cast("array<struct<start:long,order:int,end:long,kind:string>>")
-    return blobs(versions).join(per, "blob", "left").withColumn("secrets", F.coalesce("secrets", none))
+    return blobs(versions).join(checkpointed(per), "blob", "left").withColumn("secrets", F.coalesce("secrets", none))
 
 
 def listing(secrets: Column) -> Column:
