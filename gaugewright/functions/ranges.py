@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 
 def parse_spans(spec: Column) -> Column:
     """array<struct<start, end>> of a spec in its order, first occurrences only; bounds may come reversed, tokens that
@@ -32,10 +34,13 @@ def span_token(start: Column, end: Column) -> Column:
 
 def encode(lines: Column) -> Column:
     """The spec of an array of lines: runs of consecutive lines as ``a-b``, joined by ``;``; empty gives ``""``."""
-    ordered = F.array_sort(F.array_distinct(lines))
-    last = F.filter(ordered, lambda x: ~F.array_contains(ordered, x + 1))
-    first = F.filter(ordered, lambda x: ~F.array_contains(ordered, x - 1))
-    return F.array_join(F.zip_with(first, last, span_token), ";")
+
+    def of(ordered: Column) -> Column:
+        last = F.filter(ordered, lambda x: ~F.array_contains(ordered, x + 1))
+        first = F.filter(ordered, lambda x: ~F.array_contains(ordered, x - 1))
+        return F.array_join(F.zip_with(first, last, span_token), ";")
+
+    return bound(F.array_sort(F.array_distinct(lines)), of)
 
 
 def bounds(spec: Column) -> Column:

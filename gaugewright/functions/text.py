@@ -36,18 +36,29 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used, also within lambdas."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
 def shingles(tokens: Column, k: int = 5) -> Column:
     """The set of k tokens in a row; fewer tokens are one shingle, none give the empty set."""
-    n = F.size(tokens)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, k), JOINT))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+
+    def of(t: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, k), JOINT))
+        return F.when(F.size(t) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+
+    return bound(tokens, of)
 
 
 def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
     """Of two arrays as sets; both_empty is 1 or 0 by convention, one empty set gives 0."""
-    x, y = F.size(F.array_distinct(a)), F.size(F.array_distinct(b))
-    common = F.size(F.array_intersect(a, b))
-    return F.when((x == 0) & (y == 0), F.lit(float(both_empty))).otherwise(common / (x + y - common))
+
+    def of(s: Column) -> Column:
+        x, y, common = F.size(s["a"]), F.size(s["b"]), F.size(F.array_intersect(s["a"], s["b"]))
+        return F.when((x == 0) & (y == 0), F.lit(float(both_empty))).otherwise(common / (x + y - common))
+
+    return bound(F.struct(F.array_distinct(a).alias("a"), F.array_distinct(b).alias("b")), of)
 
 
 def containment(a: Column, b: Column) -> Column:
