@@ -44,7 +44,7 @@ BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 NULL_ID = -(1 << 63)
 
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
-FEATURES = "doc_id long, key binary, n long, sig binary, buckets array<long>"
+FEATURES = "doc_id long, tid binary, key binary, n long, sig binary, buckets array<long>"
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ def _features(width: int):
         salt = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(977))
         for batch in slices(batches):
             keys, counts, sigs, buckets = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingles(text, width)
                 counts.append(len(s))
                 if len(s):
@@ -105,8 +105,8 @@ def _features(width: int):
                     keys.append(hashlib.blake2b(b"text" + text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                     sigs.append(b"")
                     buckets.append(np.zeros(0, np.int64))
-            arrays = [batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "n", "sig", "buckets"])
+            arrays = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "tid", "key", "n", "sig", "buckets"])
 
     return run
 
@@ -145,13 +145,13 @@ def _surviving(bucket: int, numbers: np.ndarray, n: np.ndarray, sigs: np.ndarray
 
 
 def _arrays(group: list, at: int):
-    """ids, keys, numbers, sizes, sigs of a group's rows, whose columns doc_id, key, n, sig, buckets begin at ``at``."""
-    ids, keys, sizes, sigs, lists = zip(*(r[at : at + 5] for r in group), strict=True)
-    return ids, keys, np.array(lists, dtype=np.int64), np.array(sizes), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), HASHES)
+    """ids, keys, numbers, sizes, sigs of a group's rows, whose columns doc_id, tid, key, n, sig, buckets begin at ``at``."""
+    docs, tids, keys, sizes, sigs, lists = zip(*(r[at : at + 6] for r in group), strict=True)
+    return list(zip(docs, tids, strict=True)), keys, np.array(lists, dtype=np.int64), np.array(sizes), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(keys), HASHES)
 
 
 def _pairs(threshold: float):
-    """(bucket, doc_id, key, n, sig, buckets) sorted by bucket -> surviving (a, b, key_a, key_b), key_a < key_b."""
+    """(bucket, doc_id, tid, key, n, sig, buckets) sorted by bucket -> surviving (a, tid_a, b, tid_b, key_a, key_b), key_a < key_b."""
 
     def run(batches):
         least = needed(threshold)
@@ -161,7 +161,7 @@ def _pairs(threshold: float):
             a, b = _surviving(group[0][0], numbers, n, sigs, np.arange(len(ids)), None, threshold, least)
             for i, j in zip(a.tolist(), b.tolist(), strict=True):
                 i, j = (i, j) if keys[i] < keys[j] else (j, i)
-                out.append((ids[i], ids[j], keys[i], keys[j]))
+                out.append((*ids[i], *ids[j], keys[i], keys[j]))
             if len(out) >= 20_000:
                 yield _pair_batch(out)
                 out = []
@@ -196,12 +196,11 @@ def common_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nd
 
 
 def _tiles(threshold: float, width: int):
-    """(bucket, i, j, block, doc_id, key, n, sig, buckets, text) sorted by tile -> (key, root, links)."""
+    """(bucket, i, j, block, doc_id, tid, key, n, sig, buckets, text) sorted by tile -> (key, root, links)."""
 
     def run(batches):
         least = needed(threshold)
         for group in _groups(slices(batches), 3):
-            group = list({r[5]: r for r in group}.values())  # rows of one doc_id may have met each other's texts
             _, keys, numbers, n, sigs = _arrays(group, 4)
             bucket, i, j = group[0][:3]
             if i == j:
@@ -213,7 +212,7 @@ def _tiles(threshold: float, width: int):
                 continue
             used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
             a, b = place[: len(a)], place[len(a) :]
-            sets = [shingles(group[u][9], width) for u in used.tolist()]
+            sets = [shingles(group[u][10], width) for u in used.tolist()]
             sizes = n[used]
             common = common_counts(sets, a, b)
             linked = common / (sizes[a] + sizes[b] - common) >= threshold
@@ -238,20 +237,19 @@ def _tiles(threshold: float, width: int):
 
 
 def _pair_batch(rows: list[tuple]):
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["a", "b", "key_a", "key_b"])
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["a", "tid_a", "b", "tid_b", "key_a", "key_b"])
 
 
 def _verify(threshold: float, width: int):
-    """(key_a, key_b, text_a, text_b) -> (key_a, key_b) of those that reach the threshold and have these keys."""
+    """(key_a, key_b, text_a, text_b) -> (key_a, key_b) of those that reach the threshold."""
 
     def run(batches):
-        known = lru_cache(64)(lambda text: (s := shingles(text, width), hashlib.blake2b(s.tobytes(), digest_size=16).digest()))
+        known = lru_cache(64)(lambda text: shingles(text, width))
         for batch in slices(batches):
             rows = []
             for key_a, key_b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                (a, own_a), (b, own_b) = known(text_a), known(text_b)
-                if (own_a, own_b) == (key_a, key_b) and jaccard(a, b) >= threshold:  # else another row with that doc_id
+                if jaccard(known(text_a), known(text_b)) >= threshold:
                     rows.append((key_a, key_b))
             if rows:
                 arrays = [pa.array(x, pa.binary()) for x in zip(*rows, strict=True)]
@@ -261,7 +259,9 @@ def _verify(threshold: float, width: int):
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_or_empty().alias("text"))
+    """doc_id, tid (the text's MD5), text: doc_id alone names no text, as it may be null or repeated."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_or_empty().alias("text"))
+    return rows.select("doc_id", F.unhex(F.md5("text")).alias("tid"), "text")
 
 
 def features(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -270,40 +270,41 @@ def features(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """A row for each shingle set: key, doc_id (its least), n, sig, buckets.  Copies meet after partial aggregation only."""
-    return found.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "sig", "buckets"), "doc_id").alias("r")).select("key", "r.*")
+    """A row for each shingle set: key, doc_id (its least), tid, n, sig, buckets.  Copies meet after partial aggregation only."""
+    least = F.min_by(F.struct("doc_id", "tid", "n", "sig", "buckets"), F.struct("doc_id", "tid"))
+    return found.groupBy("key").agg(least.alias("r")).select("key", "r.*")
 
 
 def members(sets: DataFrame) -> DataFrame:
-    """bucket, m, size (classes and shingles in the bucket), doc_id, key, n, sig, buckets: classes of shared buckets.
+    """bucket, m, size (classes and shingles in the bucket), doc_id, tid, key, n, sig, buckets: classes of shared buckets.
 
-    Bucket rows are three numbers and are shuffled once, for their counts and for the join.  Classes whose least doc_id
-    is the same (rows that share it but not the text) may come up in each other's buckets; pairs look at the bucket lists
-    themselves, so that adds no candidate.
+    Bucket rows are three numbers and are shuffled once, for their counts and for the join.  A class is numbered by a hash
+    of its key, whatever its doc_id.  Should two classes have the same number, they come up in each other's buckets, where
+    pairs are verified like all others.
     """
-    rows = sets.where("n > 0 and doc_id is not null")
-    placed = rows.select("doc_id", F.col("n").cast("int").alias("n"), F.explode("buckets").alias("bucket")).repartition("bucket")
+    rows = sets.where("n > 0").withColumn("number", F.xxhash64("key"))
+    placed = rows.select("number", F.col("n").cast("int").alias("n"), F.explode("buckets").alias("bucket")).repartition("bucket")
     # Both sides read the same three columns, so that they share the shuffle.
-    shared = placed.groupBy("bucket").agg(F.count("doc_id").cast("int").alias("m"), F.sum("n").alias("size")).where("m > 1")
-    there = placed.join(shared, "bucket").withColumn("n", F.col("n").cast("long"))
-    return there.join(rows.select("doc_id", "key", "sig", "buckets"), "doc_id").select("bucket", "m", "size", "doc_id", "key", "n", "sig", "buckets")
+    shared = placed.groupBy("bucket").agg(F.count("number").cast("int").alias("m"), F.sum("n").alias("size")).where("m > 1")
+    there = placed.join(shared, "bucket").drop("n")
+    return there.join(rows, "number").select("bucket", "m", "size", "doc_id", "tid", "key", "n", "sig", "buckets")
 
 
 def links(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """key, root, links: parts of the verified links of each shingle set, and for each part one set it is connected to."""
-    texts = _prepared(docs)
+    texts = _prepared(docs).dropDuplicates(["doc_id", "tid"])  # one text for each class, however often its row is repeated
     found = members(sets)
-    columns = ["doc_id", "key", "n", "sig", "buckets"]
+    columns = ["doc_id", "tid", "key", "n", "sig", "buckets"]
     small = found.where(F.col("m") <= SMALL).select("bucket", *columns).repartition("bucket").sortWithinPartitions("bucket")
-    pairs = small.mapInArrow(_pairs(threshold), "a long, b long, key_a binary, key_b binary")
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(one, "a").join(other, "b").select("key_a", "key_b", "text_a", "text_b")
+    pairs = small.mapInArrow(_pairs(threshold), "a long, tid_a binary, b long, tid_b binary, key_a binary, key_b binary")
+    one = texts.select(F.col("doc_id").alias("a"), F.col("tid").alias("tid_a"), F.col("text").alias("text_a"))
+    other = texts.select(F.col("doc_id").alias("b"), F.col("tid").alias("tid_b"), F.col("text").alias("text_b"))
+    joined = pairs.join(one, ["a", "tid_a"]).join(other, ["b", "tid_b"]).select("key_a", "key_b", "text_a", "text_b")
     verified = joined.mapInArrow(_verify(threshold, width), "key_a binary, key_b binary").dropDuplicates(["key_a", "key_b"])
     both = F.array(F.struct(F.col("key_a").alias("key"), F.col("key_b").alias("root")), F.struct(F.col("key_b").alias("key"), F.col("key_a").alias("root")))
     few = verified.select(F.explode(both).alias("e")).select("e.key", "e.root", F.lit(1).cast("long").alias("links"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
-    large = found.where(F.col("m") > SMALL).join(texts, "doc_id").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    large = found.where(F.col("m") > SMALL).join(texts, ["doc_id", "tid"]).withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     tiled = large.withColumn("tile", F.explode(tiles)).select("bucket", "tile.i", "tile.j", "block", *columns, "text")
     dealt = tiled.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
@@ -311,24 +312,25 @@ def links(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, width:
 
 
 def components(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """key, class_id of each key that has an edge.  edges: a, b (keys); least: key, doc_id.
+    """key, class_id, class_key of each key that has an edge.  edges: a, b (keys); least: key, doc_id.
 
-    Labels start as a key's own doc_id and fall to the least among neighbours; every second step follows each label to
-    its own label (a shortcut over long chains).  Each step is checkpointed; the loop ends when no label changes.
+    Labels are (doc_id, key), as keys may share a doc_id.  They start as a key's own and fall to the least among
+    neighbours; every second step follows each label to its own label (a shortcut over long chains).  Each step is
+    checkpointed; the loop ends when no label changes.
     """
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     nodes = both.select(F.col("a").alias("key")).distinct()
-    labels = checkpointed(nodes.join(least, "key").select("key", F.col("doc_id").alias("own"), F.col("doc_id").alias("label")))
+    labels = checkpointed(nodes.join(least, "key").select("key", F.struct("doc_id", "key").alias("label")))
     while True:
         heard = both.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("heard"))
-        step = labels.join(heard, labels.key == heard.a, "left").select("key", "own", F.least("label", "heard").alias("near"), "label")
-        jump = step.select(F.col("own").alias("__own"), F.col("near").alias("far")).groupBy("__own").agg(F.min("far").alias("far"))
-        step = step.join(jump, step.near == jump.__own, "left").select("key", "own", F.least("near", "far").alias("new"), "label")
+        step = labels.join(heard, labels.key == heard.a, "left").select("key", F.least("label", "heard").alias("near"), "label")
+        jump = step.select(F.col("key").alias("__own"), F.col("near").alias("far"))
+        step = step.join(jump, F.col("near.key") == F.col("__own"), "left").select("key", F.least("near", "far").alias("new"), "label")
         step = checkpointed(step)
         changed = step.where("new < label").limit(1).count()
-        labels = step.select("key", "own", F.col("new").alias("label"))
+        labels = step.select("key", F.col("new").alias("label"))
         if not changed:
-            return labels.select("key", F.col("label").alias("class_id"))
+            return labels.select("key", F.col("label.doc_id").alias("class_id"), F.col("label.key").alias("class_key"))
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:

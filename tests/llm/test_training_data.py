@@ -336,6 +336,33 @@ def test_jaccard(docs, texts, none, spark, monkeypatch):
     assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in jaccard.join(nulls).collect()) == [("4", "None"), ("5", "5"), ("None", "None"), ("None", "None")]
 
 
+@pytest.mark.parametrize("size", (90, 12))  # beyond SMALL and within it
+def test_jaccard_of_null_and_repeated_ids(spark, size):
+    rng = random.Random(11)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(60)]
+        for i in range(size):
+            w = base[:]
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(5)}"
+            rows.append(((None, i % 7, 1000 * group + i)[rng.randrange(3)], " ".join(w)))
+    rows += rows[::9]
+    label, linked = brute_classes([t for _, t in rows])
+    low = {}
+    for k, (d, _) in zip(label, rows, strict=True):
+        low[k] = min(low.get(k, 1 << 62), -1 if d is None else d)
+    want = sorted((-1 if d is None else d, low[k], n) for (d, _), k, n in zip(rows, label, linked, strict=True))
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(-1 if x is None else x for x in (r["doc_id"], r["class_id"], r["n_links"])) for r in got) == want
+
+
+def test_components_of_keys_with_one_doc_id(spark):
+    edges = spark.createDataFrame([("p", "q"), ("r", "s"), ("s", "t")], "a string, b string").selectExpr("cast(a as binary) a", "cast(b as binary) b")
+    least = spark.createDataFrame([("p", 2), ("q", 5), ("r", 5), ("s", 8), ("t", 9)], "key string, doc_id long").selectExpr("cast(key as binary) key", "doc_id")
+    assert {bytes(r["key"]): r["class_id"] for r in jaccard.components(edges, least).collect()} == {b"p": 2, b"q": 2, b"r": 5, b"s": 5, b"t": 5}
+
+
 def test_common_counts():
     rng = random.Random(8)
     sets = [np.array(sorted(rng.sample(range(60), rng.randint(1, 40))), dtype=np.uint64) for _ in range(20)]
