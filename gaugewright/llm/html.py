@@ -4,8 +4,9 @@ A page is read into text blocks, each with the path of open elements from the ro
 under what is never content (scripts, styles, forms, menus ...) are left out at once.  For each path of a page the text
 length and punctuation are summed over its blocks; their ratios to the number of blocks are fused into one figure, which
 is smoothed over neighbouring blocks by the likeness of their paths; a path is content when its figure reaches a share of
-the largest.  The element that holds most of the content so found (an article or main element, else the deepest one
-that holds nearly all of it) gives the text: its blocks in page order.
+the largest.  An element that calls itself content (article, main, a class or id that says so) adds to the figure of what
+is in it, and decides nothing alone.  The element that holds most of the content so found (the deepest one that holds
+nearly all of it, or the next around it that calls itself content) gives the text: its blocks in page order.
 
 Cases: null html counts as empty and gives an empty text, as does a page without content; repeated rows give repeated
 results; text outside any element is a block of the root; unclosed elements end with their parents; nothing is cut; other
@@ -94,7 +95,7 @@ def _opened(name: str, attrs: str, up: Node) -> Node:
                 words.discard("header")
             if words & (SIGNS if name != "article" else NOT_ARTICLES) and name not in ("html", "body", "main"):
                 skip = True
-            elif words & CONTENT:
+            elif words & CONTENT and name not in ("html", "body"):  # these say what the page is, not where its text is
                 content = True
         if found.get("itemprop", "").lower() == "articlebody":
             content = True
@@ -203,6 +204,8 @@ def _alike(a: str, b: str) -> float:
 
 
 REACH, SHARE = 2, 0.2
+#: What a content mark adds to a figure: a factor.
+MARKED = 3.0
 
 
 def figures(found: list[tuple[Node, str, int]]) -> tuple[dict[str, float], np.ndarray]:
@@ -216,11 +219,12 @@ def figures(found: list[tuple[Node, str, int]]) -> tuple[dict[str, float], np.nd
         s[2] += 1
         s[3] += linked
         s[4] += len(text) ** 2
+    marked = {node.path for node, _, _ in found if _content(node)}
     fused = {}
     for path, (chars, marks, n, linked, squares) in sums.items():
         spread = max(squares / n - (chars / n) ** 2, 0) ** 0.5
         plain = max(1 - linked / max(chars, 1), 0)
-        fused[path] = (chars / n + spread) * (0.2 + marks / n) * plain**2
+        fused[path] = (chars / n + spread) * (0.2 + marks / n) * plain**2 * (MARKED if path in marked else 1)
     raw = [fused[b[0].path] for b in found]
     smooth = np.zeros(len(found))
     likeness: dict[tuple[str, str], float] = {}
@@ -242,17 +246,12 @@ def main_text(page: str) -> tuple[str, int, int]:
     found = blocks(page)
     if not found:
         return "", 0, 0
-    marked = [_content(b[0]) for b in found]
-    if any(marked):  # the page says where its content is: ratios choose among these parts
-        kept = [b for b, c in zip(found, marked, strict=True) if c is not None]
-    else:
-        kept = found
-    _, smooth = figures(kept)
+    _, smooth = figures(found)
     chosen = smooth >= SHARE * smooth.max()
     mass: dict[int, float] = {}
     nodes: dict[int, Node] = {}
     total = 0.0
-    for (node, text, _), ok in zip(kept, chosen, strict=True):
+    for (node, text, _), ok in zip(found, chosen, strict=True):
         if not ok:
             continue
         total += len(text)
@@ -271,23 +270,24 @@ def main_text(page: str) -> tuple[str, int, int]:
     holder = outer or holder
     sure = holder.content
     texts = []
-    for (node, text, _), ok in zip(kept, chosen, strict=True):
+    beside = holder.up  # a title beside its text
+    for (node, text, _), ok in zip(found, chosen, strict=True):
         up = node
         while up and up is not holder:
             up = up.up
-        if up is holder and (ok or sure or node.name in HEADINGS):
+        title = node.name in HEADINGS and node.up is beside and (node.content or node.name == "h1")
+        if title or up is holder and (ok or sure or node.name in HEADINGS):
             texts.append(text)
     return " ".join(texts), len(found), len(texts)
 
 
-def _content(node):
-    """The outermost element around the node that is marked as content."""
-    out = None
+def _content(node) -> bool:
+    """Whether the node or an element around it is marked as content."""
     while node:
         if node.content:
-            out = node
+            return True
         node = node.up
-    return out
+    return False
 
 
 def _extract(batches):

@@ -287,6 +287,29 @@ def test_html(spark):
     assert html.main_text("<div " + 'a="' * 2000)[0] is not None
 
 
+PARAGRAPHS = [f"Paragraph {i} of the text, which is long, has commas, and says something. " * 5 for i in range(5)]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def flat(*parts):
+    return " ".join(" ".join(p.split()) for p in parts)
+
+
+def test_html_content_marks_do_not_decide_alone():
+    for mark in ("<h1 class='entry-title'>Title</h1>", "<h1>Title</h1>"):
+        page = f"<body>{mark}<div class='text'>{paragraphs(PARAGRAPHS)}</div></body>"
+        assert html.main_text(page)[0] == flat("Title", *PARAGRAPHS)
+    page = f"<body><div class='post-date'>May 4</div><div class='text'>{paragraphs(PARAGRAPHS)}</div></body>"
+    assert html.main_text(page)[0] == flat(*PARAGRAPHS)
+    page = f"<body><article><p>Teaser.</p></article><div class='text'>{paragraphs(PARAGRAPHS)}</div></body>"
+    assert html.main_text(page)[0] == flat(*PARAGRAPHS)
+    page = f"<body class='single-post'><div class='x'>Few words</div><div class='text'>{paragraphs(PARAGRAPHS)}</div></body>"
+    assert html.main_text(page)[0] == flat(*PARAGRAPHS)
+
+
 def brute_classes(texts, threshold=0.8):
     sets = []
     for t in texts:
