@@ -6,7 +6,10 @@ length and punctuation are summed over its blocks; their ratios to the number of
 is smoothed over neighbouring blocks by the likeness of their paths; a path is content when its figure reaches a share of
 the largest.  An element that calls itself content (article, main, a class or id that says so) adds to the figure of what
 is in it, and decides nothing alone.  The element that holds most of the content so found (the deepest one that holds
-nearly all of it, or the next around it that calls itself content) gives the text: its blocks in page order.
+nearly all of it, or the next around it that calls itself content) gives the text: all its blocks in page order, whatever
+their own figures, so that lists, tables, code and short paragraphs stay.  Elements beside it that hold content by their
+own figures belong to it as well.  Only where the page as a whole is the holder are parts left out that lie before or
+after all content by own figures and are links for the most part.
 
 Cases: null html counts as empty and gives an empty text, as does a page without content; repeated rows give repeated
 results; text outside any element is a block of the root; unclosed elements end with their parents; nothing is cut; other
@@ -246,7 +249,7 @@ def main_text(page: str) -> tuple[str, int, int]:
     found = blocks(page)
     if not found:
         return "", 0, 0
-    _, smooth = figures(found)
+    fused, smooth = figures(found)
     chosen = smooth >= SHARE * smooth.max()
     mass: dict[int, float] = {}
     nodes: dict[int, Node] = {}
@@ -268,19 +271,49 @@ def main_text(page: str) -> tuple[str, int, int]:
     while outer and not outer.content:
         outer = outer.up
     holder = outer or holder
-    sure = holder.content
+    around = []
+    up = holder
+    while up:
+        around.append(id(up))
+        up = up.up
+    # for each block the element it belongs to: the holder, or the outermost one beside the holder or what is around it
+    parts = []
+    for node, _, _ in found:
+        part = up = node
+        while up and id(up) not in around:
+            part, up = up, up.up
+        parts.append(holder if up is holder else part)
+    own = np.array([fused[node.path] >= SHARE * smooth.max() for node, _, _ in found])
+    taken = {id(holder)} | {id(part) for part, ok in zip(parts, chosen & own, strict=True) if ok}
+    whole = holder.name in ("", "html", "body")
+    menus: dict[int, list[float]] = {}
+    if whole:
+        at = np.flatnonzero(own)
+        first, last = (at[0], at[-1]) if len(at) else (0, len(found))
+        for k, (node, text, linked) in enumerate(found):
+            sums = menus.setdefault(id(_below(node, holder)), [0.0, 0.0, 0.0])
+            for place, x in enumerate((len(text), linked, first <= k <= last)):
+                sums[place] += x
     texts = []
-    beside = holder.up  # a title beside its text
-    for (node, text, _), ok in zip(found, chosen, strict=True):
-        up = node
-        while up and up is not holder:
-            up = up.up
-        title = node.name in HEADINGS and node.up is beside and (node.content or node.name == "h1")
-        if title or up is holder and (ok or sure or node.name in HEADINGS):
-            texts.append(text)
+    for part, (node, text, _) in zip(parts, found, strict=True):
+        title = node.name in HEADINGS and node.up is holder.up and (node.content or node.name == "h1")  # a title beside its text
+        if not title and id(part) not in taken:
+            continue
+        if whole and node is not holder:
+            chars, linked, within = menus[id(_below(node, holder))]
+            if not within and linked > chars / 2:
+                continue
+        texts.append(text)
     return " ".join(texts), len(found), len(texts)
 
 
+def _below(node, holder):
+    """The holder's child that the node is in, or the outermost element around the node."""
+    while node is not holder and node.up and node.up is not holder:
+        node = node.up
+    return node
+
+
 def _content(node) -> bool:
     """Whether the node or an element around it is marked as content."""
     while node:

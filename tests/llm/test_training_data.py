@@ -310,6 +310,25 @@ def test_html_content_marks_do_not_decide_alone():
     assert html.main_text(page)[0] == flat(*PARAGRAPHS)
 
 
+def test_html_keeps_all_of_the_text():
+    items = [f"short list item no {i}" for i in range(9)]
+    listed = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    table = "<table>" + "".join(f"<tr><td>{x}</td><td>{i}</td></tr>" for i, x in enumerate(items)) + "</table>"
+    cells = flat(*(f"{x} {i}" for i, x in enumerate(items)))
+    code = "<pre>x = 1</pre><pre>y = x + 1</pre><pre>print</pre><pre>return</pre><pre>end</pre>"
+    menu = "<div class='x'><a href=a>One</a> <a href=b>Two</a></div>"
+    for body, text in ((listed, flat(*items)), (table, cells), (code, "x = 1 y = x + 1 print return end"), ("<p>Yes</p>" * 7, " ".join(["Yes"] * 7))):
+        inner = paragraphs(PARAGRAPHS[:2]) + body + paragraphs(PARAGRAPHS[2:])
+        want = flat(*PARAGRAPHS[:2], text, *PARAGRAPHS[2:])
+        for page in (f"<body>{menu}<div class='y'>{inner}</div></body>", f"<body>{menu}{inner}</body>", f"{menu}{inner}"):
+            assert html.main_text(page)[0] == want
+    many = [f"{p} {i}" for i in range(3) for p in PARAGRAPHS]
+    pieces = paragraphs(many[:13]), paragraphs(many[13:])
+    want = flat(*many)
+    assert html.main_text(f"<body>{menu}<div class='p'>{pieces[0]}</div><div class='q'>{pieces[1]}</div><div class='z'>End</div></body>")[0] == want
+    assert html.main_text(f"<body>{menu}<div><div class='p'>{pieces[0]}</div></div><div><div class='q'>{pieces[1]}</div></div></body>")[0] == want
+
+
 def brute_classes(texts, threshold=0.8):
     sets = []
     for t in texts:
