@@ -1,7 +1,8 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into text blocks, each with the path of open elements from the root (name and first class or id).  Blocks
-under what is never content (scripts, styles, forms, menus ...) are left out at once.  For each path of a page the text
+under what is never content (scripts, styles, forms, menus ...) are left out at once; inside content, words in ids and some in classes say too little for that, and links and marks of
+the element decide.  For each path of a page the text
 length and punctuation are summed over its blocks; their ratios to the number of blocks are fused into one figure, which
 is smoothed over neighbouring blocks by the likeness of their paths; a path is content when its figure reaches a share of
 the largest.  An element that calls itself content (article, main, a class or id that says so) adds to the figure of what
@@ -56,6 +57,12 @@ SIGNS = frozenset(
     "subscribe subscription signup login popup modal overlay social share sharing related recommended recommendations pagination pager toolbar masthead header topbar skip search "
     "complementary contentinfo banners copyright legal disclaimer hidden".split()
 )
+#: Signs that say too little inside content: notes belong to the text, of the others its links and marks decide.
+NOTES = frozenset("alert notice notices notification legal disclaimer header".split())
+WEAK = frozenset("related recommended recommendations search social side aside banner promotion skip".split())
+#: Elements whose ids are often made of a heading's words, and those of them that hold text themselves.
+TEXTS = HEADINGS | frozenset("p li td th dt dd pre blockquote".split())
+SLUGS = TEXTS | frozenset("section article".split())
 NOT_ARTICLES = frozenset("ad ads advert adverts advertisement sponsored promo comment comments reply replies related recommended sidebar".split())
 CONTENT = frozenset("article main post entry story content articlebody maincontent".split())
 
@@ -70,19 +77,20 @@ _MARKS = re.compile(r"[.,;:!?。，…]")
 
 
 class Node:
-    """An open element: its place among others of its page, what it is, and whether it is left out."""
+    """An open element: its place among others of its page, what it is, whether it is left out, and the outermost doubtful element around it."""
 
-    __slots__ = ("name", "path", "up", "skip", "content", "depth")
+    __slots__ = ("name", "path", "up", "skip", "content", "depth", "doubt")
 
-    def __init__(self, name: str, step: str, up, skip: bool, content: bool):
+    def __init__(self, name: str, step: str, up, skip: bool, content: bool, doubt: bool = False):
         self.name, self.up, self.skip, self.content = name, up, skip, content
+        self.doubt = (up.doubt if up else None) or (self if doubt else None)
         self.path = f"{up.path}/{step}" if up else step
         self.depth = up.depth + 1 if up else 0
 
 
 def _opened(name: str, attrs: str, up: Node) -> Node:
     step, skip, content = name, up.skip or name in NEVER, name in ("article", "main")
-    inside = _inside(up)
+    inside, doubt = _inside(up), False
     if name == "header" and not inside:
         skip = True
     content &= not skip
@@ -92,19 +100,35 @@ def _opened(name: str, attrs: str, up: Node) -> Node:
         if label.strip():
             first = label.split()[0]
             step = f"{name}.{re.sub(r'[0-9]+', '', first)}"
-            whole = [w for w in re.split(r"\s+", label.strip()) if not _STATE.match(w)]
-            words = {w.lower() for x in whole for w in (*_WORD.findall(x), *re.split(r"[_-]+", x))}
-            if inside:
-                words.discard("header")
-            if words & (SIGNS if name != "article" else NOT_ARTICLES) and name not in ("html", "body", "main"):
-                skip = True
+            words = _words(label)
+            signs = SIGNS if name != "article" else NOT_ARTICLES
+            within = inside or _content(up)
+            own, role = _words(found.get("class", "")), _words(found.get("role", "")) & signs
+            if not (within or name in SLUGS):
+                own |= _words(found.get("id", ""))
+            elif name not in TEXTS:  # an id made of several words may come from a heading
+                own.add(found.get("id", "").strip().lower())
+            own &= signs
+            if within:
+                own -= NOTES
+                role.discard("header")
+            if (own or role) and name not in ("html", "body", "main"):
+                if within and name != "article" and own <= WEAK and not role:
+                    doubt = name not in TEXTS
+                else:
+                    skip = True
             elif words & CONTENT and name not in ("html", "body"):  # these say what the page is, not where its text is
                 content = True
         if found.get("itemprop", "").lower() == "articlebody":
             content = True
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
             skip = True
-    return Node(name, step, up, skip, content)
+    return Node(name, step, up, skip, content, doubt)
+
+
+def _words(label: str) -> set[str]:
+    whole = [w for w in label.split() if not _STATE.match(w)]
+    return {w.lower() for x in whole for w in (*_WORD.findall(x), *re.split(r"[_-]+", x))}
 
 
 def _inside(node) -> bool:
@@ -187,7 +211,19 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
     if at < len(page):
         parts.append(page[at:])
     close()
-    return out
+    return _sure(out)
+
+
+def _sure(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """Without the blocks of doubtful elements that are links for the most part or have no punctuation."""
+    sums: dict[int, list[int]] = {}
+    for node, text, linked in found:
+        if node.doubt:
+            s = sums.setdefault(id(node.doubt), [0, 0, 0])
+            for k, x in enumerate((len(text), linked, len(_MARKS.findall(text)))):
+                s[k] += x
+    bad = {k for k, (chars, linked, marks) in sums.items() if linked > chars / 2 or not marks}
+    return [b for b in found if id(b[0].doubt) not in bad] if bad else found
 
 
 def _find(page: str, name: str, at: int) -> int:

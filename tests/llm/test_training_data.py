@@ -329,6 +329,30 @@ def test_html_keeps_all_of_the_text():
     assert html.main_text(f"<body>{menu}<div><div class='p'>{pieces[0]}</div></div><div><div class='q'>{pieces[1]}</div></div></body>")[0] == want
 
 
+def test_html_keeps_text_under_ambiguous_names():
+    said = "<p>Others have said this, and more. It is part of the text.</p>"
+    plain = "Others have said this, and more. It is part of the text."
+    for part, text in (
+        (f"<section id='related-work'><h2>Related work</h2>{said}</section>", f"Related work {plain}"),
+        ("<h2 id='search-algorithms'>Search algorithms</h2>", "Search algorithms"),
+        (f"<div id='social-impact'>{said}<ul><li>Jobs</li></ul></div>", f"{plain} Jobs"),
+        (f"<section id='legal-history'>{said}</section>", plain),
+        ("<p class='alert'>Mind the gap</p>", "Mind the gap"),
+        (f"<div class='alert-box'>{said}</div>", plain),
+        (f"<div class='related'>{said}</div>", plain),
+        ("<div class='related'><a href=a>One, two.</a><a href=b>Three.</a></div>", ""),
+        ("<div class='social'>Share Tweet</div>", ""),
+        (f"<div class='comments'>{said}</div>", ""),
+        (f"<div id='comments'>{said}</div>", ""),
+    ):
+        inner = paragraphs(PARAGRAPHS[:2]) + part + paragraphs(PARAGRAPHS[2:])
+        want = flat(*PARAGRAPHS[:2], text, *PARAGRAPHS[2:]) if text else flat(*PARAGRAPHS)
+        for page in (f"<article>{inner}</article>", f"<main>{inner}</main>", f"<div class='post-content'>{inner}</div>"):
+            assert html.main_text(f"<body>{page}</body>")[0] == want, part
+    bare = f"<body><div class='x'>{paragraphs(PARAGRAPHS)}<h2 id='search-algorithms'>Search algorithms</h2><section id='related-work'>{said}</section></div></body>"
+    assert html.main_text(bare)[0] == flat(*PARAGRAPHS, "Search algorithms", plain)
+
+
 def brute_classes(texts, threshold=0.8):
     sets = []
     for t in texts:
