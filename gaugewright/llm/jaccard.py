@@ -258,10 +258,17 @@ def _verify(threshold: float, width: int):
     return run
 
 
+def _id():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+
+
+def _tid():
+    return F.unhex(F.md5(text_or_empty()))
+
+
 def _prepared(docs: DataFrame) -> DataFrame:
     """doc_id, tid (the text's MD5), text: doc_id alone names no text, as it may be null or repeated."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_or_empty().alias("text"))
-    return rows.select("doc_id", F.unhex(F.md5("text")).alias("tid"), "text")
+    return docs.select(_id().alias("doc_id"), _tid().alias("tid"), text_or_empty().alias("text"))
 
 
 def features(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -333,13 +340,31 @@ def components(edges: DataFrame, least: DataFrame) -> DataFrame:
             return labels.select("key", F.col("label.doc_id").alias("class_id"), F.col("label.key").alias("class_key"))
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """doc_id, class_id, n_copies (rows with its shingle set), n_links: a row for each document."""
+def _named(docs: DataFrame, threshold: float, width: int):
+    """Features of all rows, parts of links, shingle sets (key, doc_id, n_copies), and classes of those with a link."""
     found = checkpointed(features(docs, width))
     linked = checkpointed(links(docs, classes(found), threshold, width))
     edges = linked.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")).distinct()
     sets = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
-    named = components(edges, sets.select("key", "doc_id"))
+    return found, linked, sets, components(edges, sets.select("key", "doc_id"))
+
+
+def distinct(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """One row of each class of near copies: of its rows with the least doc_id (null is the least) and text one row.
+
+    Classes and rows are told apart by their texts, so other texts with a doc_id of a copy are classes of their own.
+    """
+    found, _, _, named = _named(docs, threshold, width)
+    least = found.groupBy("key").agg(F.min(F.struct("doc_id", "tid")).alias("r"))
+    kept = least.join(named.where("key <> class_key"), "key", "left_anti").select(F.col("r.doc_id").alias("__id"), F.col("r.tid").alias("__tid"))
+    # Rows of one doc_id and text may differ in other columns: the one with the least hash, whatever their order.
+    rows = docs.groupBy(_id().alias("__id"), _tid().alias("__tid")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row"))
+    return rows.join(kept, ["__id", "__tid"], "left_semi").select("__row.*")
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """doc_id, class_id, n_copies (rows with its shingle set), n_links: a row for each document."""
+    found, linked, sets, named = _named(docs, threshold, width)
     degree = linked.groupBy("key").agg(F.sum("links").alias("n_links"))
     about = sets.join(named, "key", "left").join(degree, "key", "left")
     about = about.select("key", F.coalesce("class_id", "doc_id").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

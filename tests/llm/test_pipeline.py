@@ -76,3 +76,14 @@ def test_stages_on_odd_tables(spark, empty):
     assert (corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0) == empty
     if not empty:
         assert {r["text"] for r in corpus_pipeline.redacted(spark, docs, SF).where("doc_id = 3").collect()} == {"[secret] and words"}
+
+
+def test_near_copies_go_by_row(spark):
+    text = {name: " ".join(f"{name}{i}" for i in range(40)) for name in "abcde"}
+    rows = [(1, text["a"], "x"), (2, text["b"], "x"), (2, text["a"], "x"), (2, text["a"] + " more", "x"), (3, text["c"], "x"), (3, text["c"], "y"), (3, text["c"], "y")]
+    rows += [(None, text["d"], "x"), (None, text["d"], "x"), (None, text["d"] + " more", "x"), (4, text["d"], "x"), (None, text["e"], "x"), (3, None, "x"), (3, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.deduplicated(spark, docs, SF)
+    assert got.dtypes == docs.dtypes
+    kept = [(r["doc_id"], (r["text"] or "-")[0]) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a"), (2, "b"), (3, "c"), (None, "d"), (None, "e"), (3, "-")], key=str)
