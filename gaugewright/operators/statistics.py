@@ -156,12 +156,8 @@ def alpha_ordinal(df: DataFrame, keys: list[str], item: str, rater: str, score:
     return joined.select(*keys, "n_items", F.when(expected > 0, 1 - F.col("__o") / expected).alias("alpha"))
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], item: str, value: str, replicates: int = 200, seed: int = 1) -> DataFrame:
-    """keys, low, high: 2.5 and 97.5 percent bounds of the mean under a Poisson bootstrap of items.
-
-    A row's weight in a replicate is a Poisson(1) number from a hash of (seed, replicate, item): no resampled rows are
-    written, and the weights add up before the shuffle.
-    """
+def _replicated(df: DataFrame, item: str, replicates: int, seed: int) -> DataFrame:
+    """A row for each replicate __rep with the item's Poisson(1) weight __w in it."""
     limits = [0.0]
     term = math.exp(-1)
     for k in range(1, 13):
@@ -169,8 +165,31 @@ def bootstrap_ci(df: DataFrame, keys: list[str], item: str, value: str, replicat
         term /= k
     reps = df.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("__rep"), F.col(item)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    weight = sum((F.when(u >= x, 1).otherwise(0) for x in limits[1:]), F.lit(0))
-    sums = reps.withColumn("__w", weight).groupBy(*keys, "__rep").agg((F.sum(F.col(value) * F.col("__w")) / F.nullif(F.sum("__w"), F.lit(0))).alias("__mean"))
+    return reps.withColumn("__w", sum((F.when(u >= x, 1).otherwise(0) for x in limits[1:]), F.lit(0)))
+
+
+def alpha_ordinal_ci(df: DataFrame, keys: list[str], item: str, rater: str, score: str, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """keys, low, high: 2.5 and 97.5 percent bounds of alpha_ordinal() under a Poisson bootstrap of items.
+
+    An item drawn w times counts as w items with the same ratings.  Replicates whose alpha is null (no item, or one level
+    only) are left out of the bounds.
+    """
+    counts = df.where(F.col(score).isNotNull()).groupBy(*keys, item, score).agg(F.count(F.lit(1)).alias("__k"))
+    drawn = _replicated(counts, item, replicates, seed).where("__w > 0")
+    copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__w")))).withColumn("__item", F.struct(item, "__copy"))
+    rows = copies.withColumn("__rater", F.explode(F.sequence(F.lit(1), F.col("__k").cast("int"))))
+    alphas = alpha_ordinal(rows.select(*keys, "__rep", "__item", "__rater", score), [*keys, "__rep"], "__item", "__rater", score)
+    p = F.percentile("alpha", F.array(F.lit(0.025), F.lit(0.975)))
+    return alphas.groupBy(*keys).agg(p.alias("__p")).select(*keys, F.col("__p")[0].alias("low"), F.col("__p")[1].alias("high"))
+
+
+def bootstrap_ci(df: DataFrame, keys: list[str], item: str, value: str, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """keys, low, high: 2.5 and 97.5 percent bounds of the mean under a Poisson bootstrap of items.
+
+    A row's weight in a replicate is a Poisson(1) number from a hash of (seed, replicate, item): no resampled rows are
+    written, and the weights add up before the shuffle.
+    """
+    sums = _replicated(df, item, replicates, seed).groupBy(*keys, "__rep").agg((F.sum(F.col(value) * F.col("__w")) / F.nullif(F.sum("__w"), F.lit(0))).alias("__mean"))
     p = F.percentile("__mean", F.array(F.lit(0.025), F.lit(0.975)))
     return sums.groupBy(*keys).agg(p.alias("__p")).select(*keys, F.col("__p")[0].alias("low"), F.col("__p")[1].alias("high"))
 

@@ -252,3 +252,15 @@ def test_members_and_quality(spark):
     spans = spark.createDataFrame([(1, "src/A.java", "f", 3, 6), (1, "src/A.java", "g", 7, 8)], "id int, file string, name string, start int, end int")
     assert [r["name"] for r in st.methods_hit(spans, errors, ["id"]).collect()] == ["f"]
     assert [(r["symbol"], r["packages"]) for r in st.package_hints(logs, ["id"]).collect()] == [("Foo", ["x.y"])]
+
+
+def test_bootstrap_of_ordinal_alpha(spark):
+    rows = [("g", i, r, (i % 5) + (1 if (i * 7 + r * 3) % 11 < 3 else 0)) for i in range(80) for r in range(3)] + [("same", i, r, i % 4) for i in range(40) for r in range(2)]
+    frame = spark.createDataFrame(rows, "g string, item int, rater int, score int")
+    alpha = {r["g"]: r["alpha"] for r in statistics.alpha_ordinal(frame, ["g"], "item", "rater", "score").collect()}
+    got = {r["g"]: (r["low"], r["high"]) for r in statistics.alpha_ordinal_ci(frame, ["g"], "item", "rater", "score", 100).collect()}
+    assert got["same"] == (1.0, 1.0)
+    low, high = got["g"]
+    assert low < alpha["g"] < high and 0.005 < high - low < 0.3
+    again = statistics.alpha_ordinal_ci(frame.repartition(3), ["g"], "item", "rater", "score", 100).where("g = 'g'").first()
+    assert (again["low"], again["high"]) == pytest.approx((low, high))
