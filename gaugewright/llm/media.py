@@ -1,12 +1,14 @@
 """Media columns: ISO base media files.
 
 box() and movie() write a file with one track of 8-bit samples; walk() goes through nested boxes of any file of this
-family, and tracks() decodes the sample tables (stts, stsc, stsz or stz2, stco or co64, stss) into codec, duration, and
-the byte range of each sample and keyframe.  Neither reads the media payload; only read_back() cuts it out.
+family, and tracks() decodes the sample tables (stts, stsc, stsz or stz2, stco or co64, stss) and, in fragmented files, the
+runs of each fragment (trex, tfhd, trun) into codec, duration, and the byte range of each sample and keyframe.  Neither
+reads the media payload; only read_back() cuts it out.  Numbers of a file are checked against its size before anything of
+that size is made.
 
 Cases: null bytes count as empty; the payload is padded with bytes 255 to a positive multiple of UNIT; an empty table
 gives no rows; equal texts give equal files and features; a file that ends early or whose tables disagree raises
-ValueError in tracks(), and gives a row with null features in describe(); other columns are ignored.
+ValueError in tracks(), and gives a row with null features in describe() and digests(); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ CHUNK, KEY, SCALE = 32, 12, 48_000
 #: Boxes that hold boxes.
 CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf", b"udta"))
 
+#: Files of this family nest a dozen levels; deeper ones are damaged.
+DEPTH = 64
+
 DESCRIBED = "doc_id long, codec string, duration double, n_samples long, n_keyframes long, keyframe_starts array<long>, keyframe_ends array<long>, boxes string, payload binary"
 
 
@@ -90,6 +95,8 @@ def movie(payload: bytes) -> bytes:
 def walk(data, start: int = 0, end: int | None = None, path: tuple = ()):
     """(path, body start, body end) of each box, outer ones first."""
     end = len(data) if end is None else end
+    if len(path) > DEPTH:
+        raise ValueError("boxes are nested too deep")
     while start + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
@@ -117,6 +124,16 @@ class Track:
     sizes: np.ndarray
     ticks: np.ndarray
     sync: np.ndarray
+    scale: int = 1
+    length: int = 0
+
+    def extended(self, parts: list) -> Track:
+        """The track with the samples of its fragments added; the time is theirs as well where its header gives none."""
+        if not parts:
+            return self
+        starts, sizes, ticks, sync = (np.concatenate([mine, *(p[i] for p in parts)]) for i, mine in enumerate((self.starts, self.sizes, self.ticks, self.sync)))
+        seconds = (self.length or int(ticks.sum())) / max(self.scale, 1)
+        return Track(self.codec, seconds, starts, sizes, ticks, sync.astype(bool), self.scale, self.length)
 
     def keyframes(self) -> tuple[np.ndarray, np.ndarray]:
         return self.starts[self.sync], (self.starts + self.sizes)[self.sync]
@@ -130,6 +147,27 @@ def _table(data, at: int, end: int, columns: int = 1, width: str = ">u4") -> np.
     return np.frombuffer(data, width, n * columns, at + 4).astype(np.int64).reshape(n, columns)
 
 
+def _sizes(data, boxes: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    if b"stsz" in boxes:
+        at, end = boxes[b"stsz"]
+        same, n = struct.unpack_from(">II", data, at + 4)
+        if not same:
+            return _table(data, at + 8, end)[:, 0]
+        if same * n > len(data):
+            raise ValueError("samples are larger than the file")
+        return np.full(n, same, np.int64)
+    if b"stz2" not in boxes:
+        raise ValueError("no stsz")
+    at, end = boxes[b"stz2"]
+    bits, (n,) = data[at + 7], struct.unpack_from(">I", data, at + 8)
+    if bits not in (4, 8, 16) or at + 12 + -(-n * bits // 8) > end:
+        raise ValueError("a table ends early")
+    if bits == 4:
+        raw = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12)
+        return np.stack([raw >> 4, raw & 15], 1).reshape(-1)[:n].astype(np.int64)
+    return np.frombuffer(data, f">u{bits // 8}", n, at + 12).astype(np.int64)
+
+
 def _track(data, boxes: dict[bytes, tuple[int, int]]) -> Track:
     need = [k.decode() for k in (b"mdhd", b"stsd", b"stts", b"stsc") if k not in boxes]
     if need:
@@ -137,54 +175,127 @@ def _track(data, boxes: dict[bytes, tuple[int, int]]) -> Track:
     at, _ = boxes[b"mdhd"]
     scale, length = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
     codec = bytes(data[boxes[b"stsd"][0] + 12 : boxes[b"stsd"][0] + 16]).decode("latin-1")
-    if b"stsz" in boxes:
-        at, end = boxes[b"stsz"]
-        same, n = struct.unpack_from(">II", data, at + 4)
-        sizes = np.full(n, same, np.int64) if same else _table(data, at + 8, end)[:, 0]
-    elif b"stz2" in boxes:
-        at, end = boxes[b"stz2"]
-        bits, (n,) = data[at + 7], struct.unpack_from(">I", data, at + 8)
-        if bits == 4:
-            raw = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12)
-            sizes = np.stack([raw >> 4, raw & 15], 1).reshape(-1)[:n].astype(np.int64)
-        else:
-            sizes = _table(data, at + 8, end, 1, f">u{bits // 8}")[:, 0]
-    else:
-        raise ValueError("no stsz")
+    sizes = _sizes(data, boxes)
     n = len(sizes)
     key = b"co64" if b"co64" in boxes else b"stco"
     if key not in boxes:
         raise ValueError("no stco")
     chunks = _table(data, boxes[key][0] + 4, boxes[key][1], 1, ">u8" if key == b"co64" else ">u4")[:, 0]
     runs = _table(data, boxes[b"stsc"][0] + 4, boxes[b"stsc"][1], 3)
+    if len(runs) and (runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > len(chunks)):
+        raise ValueError("chunks are out of order")
     per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1))) if len(runs) else np.zeros(0, np.int64)
     if len(per) != len(chunks) or per.sum() != n:
         raise ValueError("chunks and samples disagree")
     ends = np.cumsum(sizes)
     first = np.cumsum(per) - per  # a chunk's first sample
-    base = np.concatenate(([0], ends))[first] if n else np.zeros(0, np.int64)
+    base = np.concatenate(([0], ends))[first] if n else np.zeros(len(chunks), np.int64)
     starts = np.repeat(chunks - base, per) + ends - sizes
     times = _table(data, boxes[b"stts"][0] + 4, boxes[b"stts"][1], 2)
-    ticks = np.repeat(times[:, 1], times[:, 0])
-    if len(ticks) != n:
+    if times[:, 0].sum() != n:
         raise ValueError("times and samples disagree")
+    ticks = np.repeat(times[:, 1], times[:, 0])
     sync = np.ones(n, bool)
     if b"stss" in boxes:
+        numbers_ = _table(data, boxes[b"stss"][0] + 4, boxes[b"stss"][1])[:, 0]
+        if len(numbers_) and (numbers_.min() < 1 or numbers_.max() > n):
+            raise ValueError("a keyframe is no sample")
         sync = np.zeros(n, bool)
-        sync[_table(data, boxes[b"stss"][0] + 4, boxes[b"stss"][1])[:, 0] - 1] = True
-    return Track(codec, (length or int(ticks.sum())) / max(scale, 1), starts, sizes, ticks, sync)
+        sync[numbers_ - 1] = True
+    return Track(codec, (length or int(ticks.sum())) / max(scale, 1), starts, sizes, ticks, sync, scale, length)
+
+
+#: Which fields a fragment's header and its runs have, and the mark of a sample that is no keyframe.
+_BASE, _DESCRIPTION, _DURATION, _SIZE, _FLAGS, _NONE, _OWN = 0x1, 0x2, 0x8, 0x10, 0x20, 0x10000, 0x20000
+_RUN_OFFSET, _RUN_FIRST, _RUN_FIELDS, _NOT_SYNC = 0x1, 0x4, (0x100, 0x200, 0x400, 0x800), 0x10000
+
+
+def _began(data, body: int) -> int:
+    """Where the box whose body begins there begins: 16 bytes before if it has a long size, else 8."""
+    long = body >= 16 and struct.unpack_from(">I", data, body - 16)[0] == 1 and bytes(data[body - 12 : body - 8]) == b"moof"
+    return body - (16 if long else 8)
+
+
+def _fields(data, at: int, end: int, flags: int, kinds) -> tuple[dict[int, int], int]:
+    """The optional fields (flag, format) that flags name, and where they end."""
+    out = {}
+    for flag, kind in kinds:
+        if flags & flag:
+            out[flag] = struct.unpack_from(kind, data, at)[0]
+            at += struct.calcsize(kind)
+    if at > end:
+        raise ValueError("a box ends early")
+    return out, at
+
+
+def _fragment(data, moof: int, header: tuple[int, int], runs: list[tuple[int, int]], usual: dict[int, tuple[int, int, int]], at_data: int) -> tuple[int, list[np.ndarray], int]:
+    """(track, [starts, sizes, ticks, sync], end of its data) of a track's runs in the fragment that begins at ``moof``."""
+    at, end = header
+    flags, track = struct.unpack_from(">II", data, at)
+    flags &= 0xFFFFFF
+    own, _ = _fields(data, at + 8, end, flags, ((_BASE, ">Q"), (_DESCRIPTION, ">I"), (_DURATION, ">I"), (_SIZE, ">I"), (_FLAGS, ">I")))
+    defaults = [own.get(f, d) for f, d in zip((_DURATION, _SIZE, _FLAGS), usual.get(track, (0, 0, 0)), strict=True)]
+    base = own[_BASE] if _BASE in own else moof if flags & _OWN or not at_data else at_data
+    place, parts = base, []
+    for at, end in runs:
+        run_flags, n = struct.unpack_from(">II", data, at)
+        run_flags &= 0xFFFFFF
+        head, at = _fields(data, at + 8, end, run_flags, ((_RUN_OFFSET, ">i"), (_RUN_FIRST, ">I")))
+        named = [f for f in _RUN_FIELDS if run_flags & f]
+        if at + 4 * len(named) * n > end or (not named and n * max(defaults[1], 1) > len(data)):
+            raise ValueError("a run ends early")
+        table = np.frombuffer(data, ">u4", len(named) * n, at).astype(np.int64).reshape(n, len(named))
+        ticks, sizes, marks = (table[:, named.index(f)] if f in named else np.full(n, d, np.int64) for f, d in zip(_RUN_FIELDS, defaults, strict=False))
+        if _RUN_FIRST in head and n:
+            marks = marks.copy()
+            marks[0] = head[_RUN_FIRST]
+        place = base + head[_RUN_OFFSET] if _RUN_OFFSET in head else place
+        ends = place + np.cumsum(sizes)
+        parts.append(np.stack([ends - sizes, sizes, ticks, (marks & _NOT_SYNC) == 0]))
+        place = int(ends[-1]) if n else place
+    whole = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64)
+    return track, list(whole), place
 
 
 def tracks(data) -> list[Track]:
     """The tracks of a file; ValueError where it ends early or its tables disagree."""
     out: list[dict] = []
+    usual: dict[int, tuple[int, int, int]] = {}
+    parts: dict[int, list] = {}
+    moof, at_data, header, runs = 0, 0, None, []
+
+    def fragment() -> None:
+        nonlocal header, runs, at_data
+        if header:
+            track, columns, at_data = _fragment(data, moof, header, runs, usual, at_data)
+            parts.setdefault(track, []).append(columns)
+        header, runs = None, []
+
     try:
         for path, at, end in walk(data):
             if path == (b"moov", b"trak"):
                 out.append({})
             elif path[:2] == (b"moov", b"trak"):
                 out[-1][path[-1]] = (at, end)
-        return [_track(data, b) for b in out]
+            elif path == (b"moov", b"mvex", b"trex"):
+                track, _, *values = struct.unpack_from(">IIIII", data, at + 4)
+                usual[track] = tuple(values)
+            elif path in ((b"moof",), (b"moof", b"traf")):
+                fragment()
+                if path == (b"moof",):
+                    moof, at_data = _began(data, at), 0
+            elif path == (b"moof", b"traf", b"tfhd"):
+                header = (at, end)
+            elif path == (b"moof", b"traf", b"trun"):
+                runs.append((at, end))
+        fragment()
+        found = []
+        for boxes in out:
+            track = _track(data, boxes)
+            at = boxes[b"tkhd"][0] if b"tkhd" in boxes else None
+            number = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0] if at is not None else 0
+            found.append(track.extended(parts.get(number, [])))
+        return found
     except (struct.error, IndexError) as e:
         raise ValueError("a box ends early") from e
 
@@ -194,7 +305,7 @@ def read_back(data, track: Track) -> bytes:
     if not len(track.starts):
         return b""
     ends = track.starts + track.sizes
-    if ends.max() > len(data):
+    if ends.max() > len(data) or track.starts.min() < 0:
         raise ValueError("a sample lies beyond the file")
     new = np.flatnonzero(np.concatenate(([True], track.starts[1:] != ends[:-1])))
     last = np.append(new[1:], len(ends)) - 1
@@ -221,13 +332,14 @@ def _described(batch, keep: bool):
     for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         try:
             (track, *_), kinds = tracks(data or b"") or [None], "/".join(p[-1].decode("latin-1") for p, _, _ in walk(data or b""))
+            payload = read_back(data, track) if keep and track else None
         except ValueError:
             track = None
         if track is None:
             rows.append((doc, *[None] * 8))
             continue
         starts, ends = track.keyframes()
-        rows.append((doc, track.codec, track.seconds, len(track.starts), len(starts), starts, ends, kinds, read_back(data, track) if keep else None))
+        rows.append((doc, track.codec, track.seconds, len(track.starts), len(starts), starts, ends, kinds, payload))
     types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.binary()]
     names = ["doc_id", "codec", "duration", "n_samples", "n_keyframes", "keyframe_starts", "keyframe_ends", "boxes", "payload"]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -250,18 +362,19 @@ def _digest(batches):
         payloads, files = inner.column("payload").to_pylist(), batch.column("media").to_pylist()
         digests = [
             batch.column("n_bytes"),
-            pa.array([len(p) for p in payloads], pa.int64()),
-            pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-            pa.array([p[-32:] for p in payloads], pa.binary()),
-            pa.array([len(f) for f in files], pa.int64()),
-            pa.array([hashlib.sha256(f).hexdigest() for f in files]),
+            pa.array([None if p is None else len(p) for p in payloads], pa.int64()),
+            pa.array([None if p is None else hashlib.sha256(p).hexdigest() for p in payloads], pa.string()),
+            pa.array([None if p is None else p[-32:] for p in payloads], pa.binary()),
+            pa.array([None if f is None else len(f) for f in files], pa.int64()),
+            pa.array([None if f is None else hashlib.sha256(f).hexdigest() for f in files], pa.string()),
         ]
         names = ["n_bytes", "payload_bytes", "payload_sha256", "tail", "media_bytes", "media_sha256"]
         yield pa.RecordBatch.from_arrays([*inner.columns[:8], *digests], names=[*inner.schema.names[:8], *names])
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """For store()'s rows: DESCRIBED without the payload, and digests of file and payload, all from the stored bytes."""
+    """For store()'s rows: DESCRIBED without the payload, and digests of file and payload, all from the stored bytes; null
+    where a file is null or damaged (the file's own digest is there then)."""
     ship(stored.sparkSession)
     kept = DESCRIBED.rpartition(", ")[0]
     added = ", n_bytes long, payload_bytes long, payload_sha256 string, tail binary, media_bytes long, media_sha256 string"
