@@ -2,7 +2,7 @@
 
 A source with weight w of all weights W and n of the N rows gets the mean repetition rate w / W * N / n.  Each row draws
 a uniform number from a hash of seed and doc_id, its count is that number put through the inverse of the Poisson
-distribution with its source's rate, and it is exploded into so many copies.  The copies are shuffled by a hash of seed,
+distribution with its source's rate, whatever its size, and it is exploded into so many copies.  The copies are shuffled by a hash of seed,
 doc_id and copy: ``shuffle_key`` is the global order, and rows come dealt by ranges of it.  DataFrame functions only.
 
 Cases: null is a source of its own ("" is another); weights may leave sources out (rate 0) and may name sources that
@@ -12,17 +12,19 @@ the input's other columns are kept, its columns "copies", "copy", "rate" and "sh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import checkpointed, shuffle_partitions
 
-#: Up to so many sources their rates are broadcast; beyond it they are joined by shuffle.
-BROADCAST_SOURCES = 20_000
+#: Up to so many numbers in all sources' tables of sums they are broadcast (16 MB); beyond it they are joined by shuffle.
+BROADCAST_SUMS = 2_000_000
 #: Hexadecimal digits of the uniform number: 52 bits, exact in a double.
 DIGITS = 13
-#: A draw with a larger mean is the sum of draws with equal parts of it: exp(-mean) must not vanish.
-LARGEST_MEAN = 500
+#: Sums reach so many standard deviations (and LEAST more) from the mean; what lies beyond is below the steps of uniform().
+REACH, LEAST = 12, 40
 
 
 def uniform(*keys: Column) -> Column:
@@ -30,16 +32,28 @@ def uniform(*keys: Column) -> Column:
     return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
-def distribution(mean: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... of a Poisson distribution, so far that what is left is below the steps of uniform()."""
-    last = F.ceil(mean + 12 * F.sqrt(mean) + 40).cast("int")
-    start = F.struct(F.exp(-mean).alias("term"), F.array(F.exp(-mean)).alias("sums"))
-
-    def step(s: Column, k: Column) -> Column:
-        term = s.term * mean / k
-        return F.struct(term.alias("term"), F.array_append(s.sums, F.element_at(s.sums, -1) + term).alias("sums"))
-
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s.sums)
+def distribution(known: DataFrame) -> DataFrame:
+    """known (source, rate) with __low and __sums added: P(X <= k) for k = __low, __low + 1, ... of each source's rate.
+
+    log P(X = k) is log P(X = __low) and the running sum of log(rate / j), so that no term vanishes for large rates; __low
+    is 0 up to a rate of 1000, and P(X = __low) follows from Stirling's series beyond.  Sums are made in rows, a source's
+    in one window of some 24 square roots of its rate.
+    """
+    rate = F.col("rate")
+    wide = REACH * F.sqrt(rate) + LEAST
+    low = F.when(rate <= 1000, F.lit(0.0)).otherwise(F.floor(rate - wide).cast("double"))
+    x = F.col("__low") + 1  # log(low!) = log gamma(x)
+    gamma = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x)
+    first = F.when(F.col("__low") == 0, -rate).otherwise(F.col("__low") * F.log(rate) - rate - gamma)
+    terms = known.withColumn("__low", low).withColumn("__first", first)
+    terms = terms.withColumn("__k", F.explode(F.sequence(F.col("__low").cast("long"), F.ceil(rate + wide).cast("long"))))
+    upto = Window.partitionBy("source").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    log = F.when(F.col("__k") == F.col("__low"), F.col("__first")).otherwise(F.log(rate / F.col("__k")))
+    terms = terms.withColumn("__p", F.exp(F.sum(log).over(upto)))
+    terms = terms.withColumn("__sum", F.sum("__p").over(upto))
+    rows = terms.groupBy("source", "rate", F.col("__low").cast("int").alias("__low")).agg(F.array_sort(F.collect_list("__sum")).alias("__sums"))
+    # A rate of 0 has log(0 / k) in it: its sums are all 1.
+    return rows.withColumn("__sums", F.when(F.col("rate") == 0, F.array(F.lit(1.0))).otherwise(F.col("__sums")))
 
 
 def rates(docs: DataFrame, weights: dict | None = None) -> DataFrame:
@@ -59,18 +73,14 @@ def rates(docs: DataFrame, weights: dict | None = None) -> DataFrame:
 def mix(docs: DataFrame, weights: dict | None = None, seed: str = "mix") -> DataFrame:
     """The rows' copies in their new order, with copies, copy (from 0), rate and shuffle_key added."""
     docs = docs.drop("copies", "copy", "rate", "shuffle_key")
-    known = rates(docs, weights)
-    small = known.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_MEAN)).cast("int")
-    known = known.select(F.col("source").alias("__of"), "rate", parts.alias("__parts")).withColumn("__sums", distribution(F.col("rate") / F.col("__parts")))
+    known = checkpointed(distribution(rates(docs, weights)))
+    small = known.agg(F.coalesce(F.sum(F.size("__sums") + 1), F.lit(0))).first()[0] <= BROADCAST_SUMS
+    known = known.withColumnRenamed("source", "__of")
     joined = docs.join(F.broadcast(known) if small else known, F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
-
-    def draw(*keys: Column) -> Column:
-        u = uniform(F.lit(seed), F.col("doc_id"), *keys)
-        return F.size(F.filter("__sums", lambda p: p <= u))
-
-    several = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, i: n + draw(i))
-    counted = joined.withColumn("copies", F.when(F.col("__parts") == 1, draw()).otherwise(several)).drop("__sums", "__parts")
+    u = uniform(F.lit(seed), F.col("doc_id"))
+    # A row leaves a lambda's captured values to be computed for each element: the number is bound once.
+    draw = F.transform(F.array(u), lambda v: F.size(F.filter("__sums", lambda p: p <= v)))[0]
+    counted = joined.withColumn("copies", F.col("__low") + draw).drop("__sums", "__low")
     spread = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
     spread = spread.withColumn("shuffle_key", key)
@@ -80,16 +90,16 @@ def mix(docs: DataFrame, weights: dict | None = None, seed: str = "mix") -> Data
     return spread.withColumn("__part", place).repartitionById(n, "__part").drop("__part").sortWithinPartitions("shuffle_key")
 
 
-#: DuckDB SQL for mix() with equal weights over documents, without the texts.
+#: DuckDB SQL for mix() with equal weights over documents, without the texts.  Its sums begin at 0 for any rate.
 SQL = """
 with recursive rated as (
   select source, (sum(n) over ())::double / ((count(*) over ()) * n) rate
   from (select source, count(*) n from documents group by source)
 ),
-sums(source, k, term, total, rate) as (
-  select source, 0, exp(-rate), exp(-rate), rate from rated
+sums(source, k, log, total, rate) as (
+  select source, 0, -rate, exp(-rate), rate from rated
   union all
-  select source, k + 1, term * rate / (k + 1), total + term * rate / (k + 1), rate from sums where k < ceil(rate + 12 * sqrt(rate) + 40)
+  select source, k + 1, log + ln(rate / (k + 1)), total + exp(log + ln(rate / (k + 1))), rate from sums where k < ceil(rate + 12 * sqrt(rate) + 40)
 ),
 drawn as (
   select doc_id, source, ('0x' || substr(md5('mix:' || doc_id), 1, 13))::bigint / 4503599627370496.0::double u, md5(text) text_md5 from documents
