@@ -3,7 +3,7 @@
 1. Each document's shingles give HASHES MinHash values and BANDS bucket numbers of ROWS values each; documents with the
    same shingle set are one class, with its least doc_id for it.
 2. Classes that share a bucket are candidates, in the first bucket they share only.
-3. MinHash values of a candidate are compared STEP by STEP; it is dropped once the posterior probability that its
+3. MinHash values (their low 8 bits, which are kept) of a candidate are compared STEP by STEP; it is dropped once the posterior probability that its
    Jaccard likeness reaches the threshold (binomial matches, uniform prior) is below TOLERANCE.
 4. What is left is verified exactly on the whole texts' shingle sets.
 
@@ -127,6 +127,7 @@ def _groups(batches, width: int):
 def _surviving(bucket: int, numbers: np.ndarray, n: np.ndarray, sigs: np.ndarray, one: np.ndarray, other: np.ndarray | None, threshold: float, least: list[int]):
     """Pairs of rows (one x other, or one with itself) that survive pruning and share no bucket before this one."""
     found_a, found_b = [], []
+    band = int((numbers == bucket).sum(axis=0).argmax())
     for at in range(0, len(one), 64):
         part = one[at : at + 64]
         against = one if other is None else other
@@ -135,12 +136,12 @@ def _surviving(bucket: int, numbers: np.ndarray, n: np.ndarray, sigs: np.ndarray
             a, b = a[a < b], b[a < b]
         fit = np.minimum(n[a], n[b]) / np.maximum(n[a], n[b]) >= threshold  # sizes alone bound the likeness
         a, b = a[fit], b[fit]
+        for earlier in range(band):  # pairs that meet in a bucket before this one are compared there alone
+            new = numbers[a, earlier] != numbers[b, earlier]
+            a, b = a[new], b[new]
         left = survivors(sigs, a, b, least)
-        a, b = a[left], b[left]
-        same = numbers[a] == numbers[b]
-        first = numbers[a, same.argmax(axis=1)] == bucket if len(a) else np.zeros(0, bool)
-        found_a.append(a[first])
-        found_b.append(b[first])
+        found_a.append(a[left])
+        found_b.append(b[left])
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
@@ -285,15 +286,15 @@ def classes(found: DataFrame) -> DataFrame:
 def members(sets: DataFrame) -> DataFrame:
     """bucket, m, size (classes and shingles in the bucket), doc_id, tid, key, n, sig, buckets: classes of shared buckets.
 
-    Bucket rows are three numbers and are shuffled once, for their counts and for the join.  A class is numbered by a hash
+    Bucket rows are two or three numbers.  A class is numbered by a hash
     of its key, whatever its doc_id.  Should two classes have the same number, they come up in each other's buckets, where
     pairs are verified like all others.
     """
     rows = sets.where("n > 0").withColumn("number", F.xxhash64("key"))
-    placed = rows.select("number", F.col("n").cast("int").alias("n"), F.explode("buckets").alias("bucket")).repartition("bucket")
-    # Both sides read the same three columns, so that they share the shuffle.
+    placed = rows.select("number", F.col("n").cast("int").alias("n"), F.explode("buckets").alias("bucket"))
+    # Counts are combined before their shuffle, and the join's own shuffle may be split where a bucket is very large.
     shared = placed.groupBy("bucket").agg(F.count("number").cast("int").alias("m"), F.sum("n").alias("size")).where("m > 1")
-    there = placed.join(shared, "bucket").drop("n")
+    there = placed.drop("n").join(shared, "bucket")
     return there.join(rows, "number").select("bucket", "m", "size", "doc_id", "tid", "key", "n", "sig", "buckets")
 
 
