@@ -1,20 +1,27 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into text blocks, each with the path of open elements from the root (name and first class or id).  Blocks
-under what is never content (scripts, styles, forms, menus ...) are left out at once; inside content, words in ids and some in classes say too little for that, and links and marks of
-the element decide.  For each path of a page the text
-length and punctuation are summed over its blocks; their ratios to the number of blocks are fused into one figure, which
-is smoothed over neighbouring blocks by the likeness of their paths; a path is content when its figure reaches a share of
-the largest.  An element that calls itself content (article, main, a class or id that says so) adds to the figure of what
-is in it, and decides nothing alone.  The element that holds most of the content so found (the deepest one that holds
-nearly all of it, or the next around it that calls itself content) gives the text: all its blocks in page order, whatever
-their own figures, so that lists, tables, code and short paragraphs stay.  Elements beside it that hold content by their
-own figures belong to it as well.  Only where the page as a whole is the holder are parts left out that lie before or
-after all content by own figures and are links for the most part.
+A page is read into text blocks, each with the path of open elements from the root (name and first class).  For each path
+of a page the text length and the punctuation are summed over its blocks; their ratios to the number of blocks are fused
+into one figure (with the share of text outside links), and the figures are smoothed over neighbouring blocks by the
+likeness of their paths.  Names on a path (article, nav, a class such as "sidebar") are a prior: a factor of the figure,
+which a large enough ratio outweighs.  Paths whose figure reaches the threshold are content:
+
+- a path without a doubtful name needs SHARE of the page's largest figure;
+- one with a word that may also be a heading's or a topic's ("menu-plan", "legal") needs that share and FLOOR;
+- one with a name that says plainly what it is (nav, footer, class "comments") needs as much as the largest figure of the
+  other paths, or FLOOR where there are no others.
+
+The deepest element that holds nearly all content (or the next one around it that calls itself content) gives the text:
+all its blocks in page order, so that its lists, tables, code and short paragraphs stay, but for elements in it with
+doubtful names, which are kept or left out whole by their own mean figure.  Elements beside it whose paths are content
+belong to it as well.  Where the page as a whole is the holder, parts before or after all content that are links for the
+most part are left out.
+
+Pages are read in one pass: each sign is looked at a fixed number of times, whatever is left open or unquoted.
 
 Cases: null html counts as empty and gives an empty text, as does a page without content; repeated rows give repeated
-results; text outside any element is a block of the root; unclosed elements end with their parents; nothing is cut; other
-columns are ignored.
+results; text outside any element is a block of the root; unclosed elements end with their parents; a tag or comment that
+never ends takes the rest of the page with it, as in browsers; nothing is cut; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,193 +44,235 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {
-    "p": frozenset("p".split()),
-    "li": frozenset("li".split()),
-    "dt": frozenset("dt dd".split()),
-    "dd": frozenset("dt dd".split()),
-    "tr": frozenset("tr td th".split()),
-    "td": frozenset("td th".split()),
-    "th": frozenset("td th".split()),
-    "option": frozenset("option".split()),
-    "body": frozenset("head".split()),
+    "li": frozenset("li p".split()),
+    "dt": frozenset("dt dd p".split()),
+    "dd": frozenset("dt dd p".split()),
+    "tr": frozenset("tr td th p".split()),
+    "td": frozenset("td th p".split()),
+    "th": frozenset("td th p".split()),
+    "option": frozenset("option p".split()),
+    "body": frozenset("head p".split()),
 }
+P = frozenset(("p",))
 #: What ends a search for an element to close.
 BOUNDS = {"li": frozenset("ul ol menu".split()), "tr": frozenset(("table",)), "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",))}
-#: Elements that are never content, and words in classes, ids and roles that say so.
-NEVER = frozenset("nav footer aside form button dialog menu head noscript input fieldset".split())
-SIGNS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner nav navbar navigation menu topmenu submenu breadcrumb breadcrumbs "
-    "footer foot sidebar side aside widget widgets comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices notification alert newsletter "
-    "subscribe subscription signup login popup modal overlay social share sharing related recommended recommendations pagination pager toolbar masthead header topbar skip search "
-    "complementary contentinfo banners copyright legal disclaimer hidden".split()
-)
-#: Signs that say too little inside content: notes belong to the text, of the others its links and marks decide.
-NOTES = frozenset("alert notice notices notification legal disclaimer header".split())
-WEAK = frozenset("related recommended recommendations search social side aside banner promotion skip".split())
+BOUND = frozenset("table td th body div section article main blockquote".split())
+#: Elements and words of classes, ids and roles that say what is no main text.
+PLAIN_ELEMENTS = frozenset("nav footer aside form dialog menu button fieldset".split())
+#: ... plainly, wherever they stand in a name; plainly if they are the whole name; as a topic as well.
+PLAIN = frozenset("comment comments commentlist disqus replies footer sidebar navbar topmenu submenu breadcrumb breadcrumbs cookie cookies consent gdpr advert adverts advertisement adsense sponsored newsletter masthead contentinfo complementary pagination pager".split())
+WHOLE = frozenset("ad ads adv advertising sponsor sponsors promo promotion banner banners nav navigation menu foot widget widgets respond reply popup modal overlay share sharing toolbar topbar skip search hidden login signup subscribe subscription recommended recommendations".split())
+TOPICS = frozenset("alert notice notices notification legal disclaimer header related social side aside copyright".split())
 #: Elements whose ids are often made of a heading's words, and those of them that hold text themselves.
 TEXTS = HEADINGS | frozenset("p li td th dt dd pre blockquote".split())
 SLUGS = TEXTS | frozenset("section article".split())
-NOT_ARTICLES = frozenset("ad ads advert adverts advertisement sponsored promo comment comments reply replies related recommended sidebar".split())
 CONTENT = frozenset("article main post entry story content articlebody maincontent".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",
-    re.S,
-)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
 _STATE = re.compile(r"(?:has|with|no|is|js)[-_]", re.I)  # of the page rather than of the element
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_MARKS = re.compile(r"[.,;:!?。，…]")
+_MARKS = re.compile(r"[.,;:!?…](?!\S)|[。，]")  # not those within names and numbers
+_NONE = re.compile(r"display\s*:\s*none")
+
+#: Levels of doubt, and the factors of a figure that come with them; the factor of a content mark.
+CLEAR, TOPIC, NAMED, SURE = 0, 1, 2, 3
+PRIOR = (1.0, 0.3, 0.3, 0.01)
+MARKED = 3.0
+REACH, SHARE, FLOOR = 2, 0.2, 20.0
 
 
 class Node:
-    """An open element: its place among others of its page, what it is, whether it is left out, and the outermost doubtful element around it."""
-
-    __slots__ = ("name", "path", "up", "skip", "content", "depth", "doubt")
-
-    def __init__(self, name: str, step: str, up, skip: bool, content: bool, doubt: bool = False):
-        self.name, self.up, self.skip, self.content = name, up, skip, content
-        self.doubt = (up.doubt if up else None) or (self if doubt else None)
-        self.path = f"{up.path}/{step}" if up else step
-        self.depth = up.depth + 1 if up else 0
-
-
-def _opened(name: str, attrs: str, up: Node) -> Node:
-    step, skip, content = name, up.skip or name in NEVER, name in ("article", "main")
-    inside, doubt = _inside(up), False
-    if name == "header" and not inside:
-        skip = True
-    content &= not skip
-    if attrs and not attrs.isspace():
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
-        label = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-        if label.strip():
-            first = label.split()[0]
-            step = f"{name}.{re.sub(r'[0-9]+', '', first)}"
-            words = _words(label)
-            signs = SIGNS if name != "article" else NOT_ARTICLES
-            within = inside or _content(up)
-            own, role = _words(found.get("class", "")), _words(found.get("role", "")) & signs
-            if not (within or name in SLUGS):
-                own |= _words(found.get("id", ""))
-            elif name not in TEXTS:  # an id made of several words may come from a heading
-                own.add(found.get("id", "").strip().lower())
-            own &= signs
-            if within:
-                own -= NOTES
-                role.discard("header")
-            if (own or role) and name not in ("html", "body", "main"):
-                if within and name != "article" and own <= WEAK and not role:
-                    doubt = name not in TEXTS
-                else:
-                    skip = True
-            elif words & CONTENT and name not in ("html", "body"):  # these say what the page is, not where its text is
-                content = True
-        if found.get("itemprop", "").lower() == "articlebody":
-            content = True
-        if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-            skip = True
-    return Node(name, step, up, skip, content, doubt)
-
-
-def _words(label: str) -> set[str]:
-    whole = [w for w in label.split() if not _STATE.match(w)]
-    return {w.lower() for x in whole for w in (*_WORD.findall(x), *re.split(r"[_-]+", x))}
-
-
-def _inside(node) -> bool:
-    while node:
-        if node.name in ("article", "main"):
-            return True
-        node = node.up
-    return False
-
-
-def blocks(page: str) -> list[tuple[Node, str, int]]:
-    """(element, text, characters within links) of the page's text blocks in order, those left out not among them."""
+    """An open element: its path (a number for each tag path of the page), doubt (the most around it), whether it is or
+    lies in content, and the outermost element with that doubt."""
+
+    __slots__ = ("name", "path", "up", "doubt", "part", "content", "within", "article", "hidden", "depth", "at")
+
+    def __init__(self, name, path, up, doubt, content, hidden, at):
+        self.name, self.path, self.up, self.content, self.at = name, path, up, content, at
+        self.doubt, self.part = doubt, self if doubt else None
+        self.within, self.article, self.hidden, self.depth = content, name in ("article", "main"), hidden, 0
+        if up:
+            self.depth = up.depth + 1
+            self.within |= up.within
+            self.article |= up.article
+            self.hidden |= up.hidden
+            if up.doubt >= doubt:
+                self.doubt, self.part = up.doubt, up.part
+
+
+def words(label: str) -> set[str]:
+    return {w.lower() for x in label.split() if not _STATE.match(x) for w in (*_WORD.findall(x), *re.split(r"[_-]+", x))}
+
+
+def doubt_of(name: str, found: dict[str, str], up: Node) -> int:
+    """How much an element's name, class, id and role speak against main text."""
+    if name in PLAIN_ELEMENTS or (name == "header" and not up.article):
+        return SURE
+    if not found or name in ("html", "body", "main"):
+        return CLEAR
+    labels = [found.get("class", ""), found.get("role", "")]
+    if name not in SLUGS and not up.within:
+        labels.append(found.get("id", ""))
+    whole = {x.lower() for label in labels for x in label.split()}
+    if name not in TEXTS:
+        whole.add(found.get("id", "").strip().lower())
+    parts = set().union(*map(words, labels))
+    if whole & (PLAIN | WHOLE) or parts & PLAIN:
+        return SURE
+    if name in TEXTS and up.within:
+        return CLEAR
+    if parts & WHOLE:
+        return NAMED
+    return TOPIC if (parts | whole) & TOPICS else CLEAR
+
+
+def _opened(name: str, found: dict[str, str], up: Node, paths: dict, at: int) -> Node:
+    doubt = doubt_of(name, found, up)
+    if not found:
+        return Node(name, paths.setdefault((up.path, name), len(paths) + 1), up, doubt, name in ("article", "main") and not doubt, False, at)
+    label = " ".join(found.get(k, "") for k in ("class", "id", "role"))
+    step = name
+    if found.get("class", "").strip():
+        step = f"{name}.{re.sub(r'[0-9]+', '', found['class'].split()[0])}"
+    content = name in ("article", "main") or found.get("itemprop", "").lower() == "articlebody"
+    content |= name not in ("html", "body") and bool(label) and not words(label).isdisjoint(CONTENT)
+    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_NONE.search(found.get("style", "")))
+    return Node(name, paths.setdefault((up.path, step), len(paths) + 1), up, doubt, content and not doubt, hidden, at)
+
+
+def _tag(page: str, at: int, never: set[str]) -> tuple[dict[str, str], int, bool]:
+    """Attributes of the tag whose name ends at ``at``, where it ends, and whether it closes itself.
+
+    A value that opens with a quote that nothing closes ends the tag at the next ``>``; never has the signs that no longer
+    occur, so that they are looked for once.
+    """
+    found: dict[str, str] = {}
+    if page.startswith(">", at):
+        return found, at + 1, False
+    while m := _ATTR.match(page, at):
+        at = m.end()
+        value = ""
+        if m[2]:
+            quote = page[at : at + 1]
+            if quote and quote in "\"'":
+                stop = -1 if quote in never else page.find(quote, at + 1)
+                if stop < 0:
+                    never.add(quote)
+                    stop = page.find(">", at)
+                    return found, len(page) if stop < 0 else stop + 1, False
+                value, at = page[at + 1 : stop], stop + 1
+            else:
+                bare = _BARE.match(page, at)
+                value, at = bare[0], bare.end()
+        found.setdefault(m[1].lower(), value)
+    stop = -1 if ">" in never else page.find(">", at)
+    if stop < 0:
+        never.add(">")
+        return found, len(page), False
+    return found, stop + 1, page[stop - 1] == "/"
+
+
+def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
+    """(element, text, characters within links) of the page's text blocks in order, and all elements, outer ones first."""
     out: list[tuple[Node, str, int]] = []
-    node = Node("", "", None, False, False)
+    paths: dict[tuple[int, str], int] = {}
+    node = Node("", 0, None, CLEAR, False, False, 0)
+    nodes = [node]
+    open_: dict[str, int] = {}
     parts: list[str] = []
-    linked, in_link = 0, 0
-    at = 0
-    lower = None
+    linked, in_link, at, size = 0, False, 0, len(page)
+    never: set[str] = set()
+    lower = ""
 
     def close() -> None:
         nonlocal linked
         if parts:
-            if not node.skip and (text := " ".join(references.unescape("".join(parts)).split())):
+            if not node.hidden and (text := " ".join(references.unescape("".join(parts)).split())):
                 out.append((node, text, linked))
             parts.clear()
         linked = 0
 
-    search = _TOKEN.search
-    while m := search(page, at):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-            linked += (m.start() - at) * bool(in_link)
-        at = m.end()
-        name = m["name"] or m["name2"]
-        if name is None:
-            if m["cdata"]:
-                parts.append(m["cdata"].replace("&", "&amp;"))
+    def leave(to: Node) -> Node:
+        """Closes elements up to and with ``to``."""
+        up = node
+        while True:
+            open_[up.name] -= 1
+            if up is to:
+                return up.up
+            up = up.up
+
+    while at < size:
+        start = page.find("<", at)
+        if start < 0:
+            break
+        m = _NAME.match(page, start + 1)
+        ends = False
+        if not m and page.startswith("/", start + 1):
+            m, ends = _NAME.match(page, start + 2), True
+        if not m and not ends and page[start + 1 : start + 2] not in ("!", "?"):  # a sign of the text
+            stop = start + 1
+            parts.append(page[at:stop])
+            linked += (stop - at) * in_link
+            at = stop
             continue
-        name = name.lower()
-        ends = m["end"] or m["end2"]
-        if name == "br" or name == "wbr":
-            parts.append(" " if name == "br" else "")
+        if start > at:
+            parts.append(page[at:start])
+            linked += (start - at) * in_link
+        if not m:  # a comment, a declaration, or the end of nothing
+            sign, skip, before = ("-->", 4, "<!--") if page.startswith("<!--", start) else ("]]>", 9, "<![CDATA[") if page.startswith("<![CDATA[", start) else (">", 2, "")
+            stop = page.find(sign, start + skip)
+            if before == "<![CDATA[":
+                parts.append(page[start + skip : stop if stop >= 0 else size].replace("&", "&amp;"))
+            at = size if stop < 0 else stop + len(sign)
+            continue
+        name = m[0].lower()
+        found, at, itself = _tag(page, m.end(), never)
+        if name == "br":
+            parts.append(" ")
             continue
         if name in INLINE:
             if name == "a":
-                in_link = 0 if ends else 1
+                in_link = not ends
             continue
         if ends:
             if name in RAW:
                 continue
             close()
-            in_link = 0
-            up = node
-            while up.up and up.name != name:
-                up = up.up
-            if up.up:
-                node = up.up
+            in_link = False
+            if open_.get(name):
+                up = node
+                while up.name != name:
+                    up = up.up
+                node = leave(up)
             continue
         if name in RAW:
-            if not (m["attrs"] or m["attrs2"] or "").rstrip().endswith("/"):
+            if not itself:
                 lower = lower or page.lower()
-                stop = lower.find(f"</{name}", at) if len(lower) == len(page) else _find(page, name, at)
-                at = len(page) if stop < 0 else stop
+                stop = lower.find(f"</{name}", at) if len(lower) == size else _find(page, name, at)
+                at = size if stop < 0 else stop
             continue
         close()
-        in_link = 0
+        in_link = False
         if name in VOID:
             continue
-        if name in CLOSES or name not in INLINE:
-            closes = CLOSES.get(name, frozenset()) | frozenset(("p",))
-            bound = BOUNDS.get(name, frozenset()) | frozenset(("table", "td", "th", "body", "div", "section", "article", "main", "blockquote") if name not in ("td", "th", "tr", "li", "dt", "dd") else ())
-            up, last = node, None
-            while up.up and up.name not in bound:
-                if up.name in closes:
-                    last = up
+        closes = CLOSES.get(name, P)
+        bound = BOUNDS.get(name, BOUND)
+        while any(open_.get(c) for c in closes):
+            up = node
+            while up.up and up.name not in bound and up.name not in closes:
                 up = up.up
-            if last:
-                node = last.up
-        node = _opened(name, m["attrs"] or m["attrs2"] or "", node)
-    if at < len(page):
+            if up.name not in closes or up.name in bound:
+                break
+            node = leave(up)
+        node = _opened(name, found, node, paths, len(nodes))
+        open_[name] = open_.get(name, 0) + 1
+        nodes.append(node)
+    if at < size:
         parts.append(page[at:])
     close()
-    return _sure(out)
-
-
-def _sure(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
-    """Without the blocks of doubtful elements that are links for the most part or have no punctuation."""
-    sums: dict[int, list[int]] = {}
-    for node, text, linked in found:
-        if node.doubt:
-            s = sums.setdefault(id(node.doubt), [0, 0, 0])
-            for k, x in enumerate((len(text), linked, len(_MARKS.findall(text)))):
-                s[k] += x
-    bad = {k for k, (chars, linked, marks) in sums.items() if linked > chars / 2 or not marks}
-    return [b for b in found if id(b[0].doubt) not in bad] if bad else found
+    return out, nodes
 
 
 def _find(page: str, name: str, at: int) -> int:
@@ -231,75 +280,72 @@ def _find(page: str, name: str, at: int) -> int:
     return m.start() if m else -1
 
 
-def _alike(a: str, b: str) -> float:
-    """Share of the steps from the root that two paths have in common."""
-    x, y = a.split("/"), b.split("/")
-    same = 0
-    for p, q in zip(x, y, strict=False):
-        if p != q:
-            break
-        same += 1
-    return same / max(len(x), len(y))
-
-
-REACH, SHARE = 2, 0.2
-#: What a content mark adds to a figure: a factor.
-MARKED = 3.0
+def _alike(a: Node, b: Node) -> float:
+    """Share of the steps from the root that the paths of two elements have in common."""
+    most = max(a.depth, b.depth) + 1
+    while a.path != b.path:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+    return (a.depth + 1) / most
 
 
-def figures(found: list[tuple[Node, str, int]]) -> tuple[dict[str, float], np.ndarray]:
-    """The fused ratio of each path, and the smoothed figure of each block."""
-    sums: dict[str, list[float]] = {}
+def ratios(found: list[tuple[Node, str, int]]) -> dict[int, float]:
+    """The fused ratio of each path: text length (its mean and spread) and punctuation a block, without linked text."""
+    sums: dict[int, list[float]] = {}
     for node, text, linked in found:
         s = sums.setdefault(node.path, [0.0, 0.0, 0.0, 0.0, 0.0])
-        marks = len(_MARKS.findall(text))
-        s[0] += len(text)
-        s[1] += marks
-        s[2] += 1
-        s[3] += linked
-        s[4] += len(text) ** 2
-    marked = {node.path for node, _, _ in found if _content(node)}
-    fused = {}
+        for k, x in enumerate((len(text), len(_MARKS.findall(text)), 1, linked, len(text) ** 2)):
+            s[k] += x
+    out = {}
     for path, (chars, marks, n, linked, squares) in sums.items():
         spread = max(squares / n - (chars / n) ** 2, 0) ** 0.5
-        plain = max(1 - linked / max(chars, 1), 0)
-        fused[path] = (chars / n + spread) * (0.2 + marks / n) * plain**2 * (MARKED if path in marked else 1)
+        out[path] = (chars / n + spread) * (0.2 + marks / n) * max(1 - linked / max(chars, 1), 0) ** 2
+    return out
+
+
+def figures(found: list[tuple[Node, str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each block's own figure and its smoothed one, both with its prior."""
+    fused = ratios(found)
     raw = [fused[b[0].path] for b in found]
+    known: dict[tuple[int, int], float] = {}  # by paths
+    prior = np.array([PRIOR[b[0].doubt] * (MARKED if b[0].within and not b[0].doubt else 1.0) for b in found])
     smooth = np.zeros(len(found))
-    likeness: dict[tuple[str, str], float] = {}
     for i in range(len(found)):
         total = weight = 0.0
         for j in range(max(0, i - REACH), min(len(found), i + REACH + 1)):
             key = (found[i][0].path, found[j][0].path)
-            if key not in likeness:
-                likeness[key] = _alike(*key)
-            w = likeness[key] ** 2 * (1.0, 0.6, 0.3)[abs(i - j)]
+            if key not in known:
+                known[key] = _alike(found[i][0], found[j][0]) ** 2
+            w = known[key] * (1.0, 0.6, 0.3)[abs(i - j)]
             total += w * raw[j]
             weight += w
         smooth[i] = total / weight
-    return fused, smooth
+    return np.array(raw) * prior, smooth * prior
 
 
 def main_text(page: str) -> tuple[str, int, int]:
     """The main text, blocks that could be content, blocks taken."""
-    found = blocks(page)
+    found, nodes = blocks(page)
     if not found:
         return "", 0, 0
-    fused, smooth = figures(found)
-    chosen = smooth >= SHARE * smooth.max()
-    mass: dict[int, float] = {}
-    nodes: dict[int, Node] = {}
-    total = 0.0
+    own, smooth = figures(found)
+    doubt = np.array([b[0].doubt for b in found])
+    sure = doubt == SURE
+    best = max(float(smooth[~sure].max()) if (~sure).any() else 0.0, 0.0)
+    most = max(best, float(smooth.max()))
+    bar = np.where(sure, best or FLOOR, np.where(doubt > 0, max(SHARE * most, FLOOR), SHARE * (best or most)))
+    chosen = (smooth >= bar) & (smooth > 0)
+    if not chosen.any():
+        return "", len(found), 0
+    mass = [0.0] * len(nodes)
     for (node, text, _), ok in zip(found, chosen, strict=True):
-        if not ok:
-            continue
-        total += len(text)
-        up = node
-        while up:
-            nodes[id(up)] = up
-            mass[id(up)] = mass.get(id(up), 0.0) + len(text)
-            up = up.up
-    holder = max((n for k, n in nodes.items() if mass[k] >= 0.8 * total), key=lambda n: n.depth)
+        mass[node.at] += len(text) * bool(ok)
+    total = sum(mass)
+    for node in reversed(nodes[1:]):
+        mass[node.up.at] += mass[node.at]
+    holder = max((n for n in nodes if mass[n.at] >= 0.8 * total), key=lambda n: n.depth)
     # a list item or paragraph that holds nearly all is part of its parent's text
     while holder.up and holder.name in ("p", "li", "ul", "ol", "td", "tr", "tbody", "table", "blockquote", "pre", "dl", "dd", "dt", *HEADINGS) and holder.up.name not in ("", "html", "body"):
         holder = holder.up
@@ -307,56 +353,61 @@ def main_text(page: str) -> tuple[str, int, int]:
     while outer and not outer.content:
         outer = outer.up
     holder = outer or holder
-    around = []
-    up = holder
+    around, up = set(), holder.up
     while up:
-        around.append(id(up))
+        around.add(up.at)
         up = up.up
-    # for each block the element it belongs to: the holder, or the outermost one beside the holder or what is around it
-    parts = []
-    for node, _, _ in found:
-        part = up = node
-        while up and id(up) not in around:
-            part, up = up, up.up
-        parts.append(holder if up is holder else part)
-    own = np.array([fused[node.path] >= SHARE * smooth.max() for node, _, _ in found])
-    taken = {id(holder)} | {id(part) for part, ok in zip(parts, chosen & own, strict=True) if ok}
+    # for each element the holder, or the outermost one that is beside the holder or what is around it
+    parts: list[Node] = []
+    for node in nodes:
+        parts.append(node if node.at in around or node is holder or not node.up or node.up.at in around else parts[node.up.at])
+    kept = _kept(found, own, smooth, holder)
+    taken = {parts[b[0].at].at for b, c, o in zip(found, chosen, own >= bar, strict=True) if c and o} | {holder.at}
     whole = holder.name in ("", "html", "body")
+    first, last = 0, len(found)
     menus: dict[int, list[float]] = {}
     if whole:
-        at = np.flatnonzero(own)
+        at = np.flatnonzero(chosen & (own >= bar))
         first, last = (at[0], at[-1]) if len(at) else (0, len(found))
+        below: list[Node] = []
+        for node in nodes:
+            below.append(node if not node.up or node.up is holder or node is holder or not below[node.up.at].up else below[node.up.at])
         for k, (node, text, linked) in enumerate(found):
-            sums = menus.setdefault(id(_below(node, holder)), [0.0, 0.0, 0.0])
+            sums = menus.setdefault(below[node.at].at, [0.0, 0.0, 0.0])
             for place, x in enumerate((len(text), linked, first <= k <= last)):
                 sums[place] += x
     texts = []
-    for part, (node, text, _) in zip(parts, found, strict=True):
-        title = node.name in HEADINGS and node.up is holder.up and (node.content or node.name == "h1")  # a title beside its text
-        if not title and id(part) not in taken:
+    for (node, text, _), c, k in zip(found, chosen, kept, strict=True):
+        title = node.name in HEADINGS and node.up is holder.up and (node.content or node.name == "h1") and not node.doubt  # beside its text
+        part = parts[node.at]
+        if not title and (part.at not in taken or not (k if part is holder else c or not node.doubt)):
             continue
         if whole and node is not holder:
-            chars, linked, within = menus[id(_below(node, holder))]
+            chars, linked, within = menus[below[node.at].at]
             if not within and linked > chars / 2:
                 continue
         texts.append(text)
     return " ".join(texts), len(found), len(texts)
 
 
-def _below(node, holder):
-    """The holder's child that the node is in, or the outermost element around the node."""
-    while node is not holder and node.up and node.up is not holder:
-        node = node.up
-    return node
-
-
-def _content(node) -> bool:
-    """Whether the node or an element around it is marked as content."""
-    while node:
-        if node.content:
-            return True
-        node = node.up
-    return False
+def _kept(found: list[tuple[Node, str, int]], own: np.ndarray, smooth: np.ndarray, holder: Node) -> np.ndarray:
+    """Which blocks stay if they lie in the holder: those without a doubt of their own there, and those of doubtful
+    elements whose mean figure reaches FLOOR and, but for topics, the share that a path needs."""
+    clear = [i for i, b in enumerate(found) if b[0].doubt <= holder.doubt]
+    most = float(smooth[clear].max()) if clear else 0.0
+    sums: dict[int, list[float]] = {}
+    for i, (node, text, _) in enumerate(found):
+        if node.doubt > holder.doubt:
+            s = sums.setdefault(node.part.at, [0.0, 0.0])
+            s[0] += own[i] * len(text)
+            s[1] += len(text)
+    out = np.ones(len(found), bool)
+    for i, (node, _, _) in enumerate(found):
+        if node.doubt > holder.doubt:
+            mean = sums[node.part.at][0] / sums[node.part.at][1]
+            share = {TOPIC: 0.0, NAMED: SHARE * PRIOR[NAMED], SURE: 1.0}[node.doubt]
+            out[i] = mean >= max(FLOOR, share * most)
+    return out
 
 
 def _extract(batches):
