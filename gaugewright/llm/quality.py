@@ -1,22 +1,31 @@
 """Quality classifier by co-training.
 
-Two views of a document: its words (repetition, shapes, lengths) and its metadata (language, source, size, lines and
-character classes).  Each view has an additive logistic model over hinges at the sample's quantiles.  Over ROUNDS rounds
-each model labels the rows of an unlabelled pool it is confident of, and hands them to the other one; a row is handed
-over once.  On labelled rows held back from that, each view's log-odds are calibrated and the two are combined by
+Two views of a document that share nothing: its words (hashed words and word shapes as shares of all, repetition, length of
+words) and its metadata (language, source, sizes in characters, bytes and lines).  Each view has a logistic model.  Over
+ROUNDS rounds each model labels the unlabelled documents it is confident of, and hands them to the other one, with the label
+of the first round in which it was confident.  It is confident beyond a score (one for each kind) at which, by its labelled
+rows held back from fitting, CONFIDENT of its labels are right; where no score is that good it hands over nothing.  All
+unlabelled documents are the pool, at every size: a round's fit takes steps down a quadratic bound of the loss, with
+gradients and curvatures summed over the whole pool, kind by kind, and of each kind what was handed weighs as much as its
+labelled rows at most.  On the labelled rows held back, each view's log-odds are calibrated and the two are combined by
 logistic regression.  The combined score covers all documents; those with a score of at least KEEP stay.
 
-Only fitting is bounded: LABELLED labelled rows and POOL unlabelled rows, those with the least hash of their doc_id, are
-gathered as feature vectors of some 150 numbers.  Scoring reads every whole text.
+Only labelled rows are bounded: of rows with a label the LABELLED with the least hash of doc_id and content are gathered as
+feature vectors of some 250 numbers, and those beyond are scored but neither fitted nor handed.  Vectors of all documents are
+checkpointed once, half-precision numbers of 470 bytes each.  Memory is linear in a single text.
 
 Cases: null text, language or source count as empty; an empty text has features of its own kind (no words); a doc_id
-with several labels has their least; null labels are ignored; with labels of one kind only, or none, every document has
-that kind's share as its score (1 if there are none), so that nothing goes unjudged; repeated rows have equal scores; an empty table gives no rows;
-other columns are kept by filter_documents and ignored by score.
+with several labels has their least, and several rows of a labelled doc_id are labelled rows each; null labels are ignored;
+with labels of one kind only, or none, every document has that kind's share as its score (1 if there are none), so that
+nothing goes unjudged; repeated rows have equal scores; an empty table gives no rows; other columns are kept by
+filter_documents and ignored by score.
 """
 
 from __future__ import annotations
 
+import math
+import sys
+import types
 import zlib
 from dataclasses import dataclass, field
 
@@ -25,63 +34,111 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices, text_or_empty
+from .common import checkpointed, ship, slices, text_or_empty
+from .shingles import _powers, mix
 
-LABELLED, POOL, ROUNDS = 6000, 6000, 4
+LABELLED, ROUNDS, STEPS = 6000, 3, 2
 CONFIDENT = 0.98
 KEEP = 0.5
 KNOTS = (0.1, 0.3, 0.5, 0.7, 0.9, 0.97)
-SOURCE_BINS = 32
-LANGS = ("en", "de", "fr", "es")
+#: Bins of hashed word shapes, words, languages and sources; numbers before them in either view.
+SHAPES, WORDS, LANG_BINS, SOURCE_BINS = 128, 96, 16, 32
+N_WORDS, N_SIZES = 5, 5
+N_TEXT = N_WORDS + SHAPES + WORDS
 SCORED = "doc_id long, score double, text_score double, metadata_score double, keep boolean"
-
-_CLASS = np.zeros(256, np.int64)  # of bytes: 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 sentence mark, 7 symbol, 8 not ASCII
-_CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[32], _CLASS[10] = 1, 2, 3, 4, 5
-_CLASS[[ord(c) for c in ".,;:?'\"()-"]] = 6
-_CLASS[[ord(c) for c in "!#$%&*+/<=>@[\\]^_`{|}~"]] = 7
-_CLASS[128:] = 8
-
-
-def text_view(text: str) -> list[float]:
-    words = text.split()
-    n = len(words)
-    if not n:
-        return [1.0] + [0.0] * 8
-    chars = sum(map(len, words))
-    distinct = len(set(words))
-    again = sum(map(str.__eq__, words, words[1:])) if n > 1 else 0
-    lower = set(map(str.lower, words))
-    return [
-        0.0,
-        np.log1p(n),
-        distinct / n,
-        np.log(distinct + 1) / np.log(n + 1),
-        again / n,
-        chars / n,
-        sum(map(str.isupper, words)) / n,
-        sum(map(str.isalpha, words)) / n,
-        1 - len(lower) / max(distinct, 1),
-    ]
-
-
-def metadata_view(text: str, lang: str, source: str) -> list[float]:
-    data = text.encode("utf-8", "surrogatepass")
-    counts = np.bincount(_CLASS, weights=np.bincount(np.frombuffer(data, np.uint8), minlength=256), minlength=9)
-    shares = counts / max(len(data), 1)
-    lines = text.count("\n") + 1
-    longest = max(map(len, text.split("\n")))
-    dense = [np.log1p(len(text)), np.log1p(lines), np.log1p(len(text) / lines), longest / max(len(text), 1), *shares.tolist()]
-    return dense + [float(lang == x) for x in LANGS] + [float(zlib.crc32(source.encode()) % SOURCE_BINS == i) for i in range(SOURCE_BINS)]
-
-
-N_TEXT = 9
-N_META = 13
+VECTORS = "doc_id long, tid long, x binary"
+#: Slices of a batch hold so many bytes: each sign of a text takes some 80 bytes while its words are hashed.
+SLICE = 1 << 20
+
+_cache = sys.modules.setdefault("_quality_tables", types.ModuleType("_quality_tables")).__dict__
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point whether it is white space, and its class in a word's shape: lower 1, upper 2, digit 3, other
+    letter 4, any other sign for itself."""
+    if "classes" not in _cache:
+        signs = [chr(i) for i in range(0x110000)]
+        kinds = [1 if c.islower() else 2 if c.isupper() else 3 if c.isnumeric() else 4 if c.isalpha() else 16 + i for i, c in enumerate(signs)]
+        _cache["classes"] = np.array([c.isspace() for c in signs]), np.array(kinds, np.uint64)
+    return _cache["classes"]
+
+
+def _hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the stretches first..last of values."""
+    up, down = _powers(len(values) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((values + np.uint64(1)) * up[: len(values)])))
+    return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+
+
+def text_view(texts: list[str]) -> np.ndarray:
+    """A row of N_TEXT numbers for each text: whether it has no words, distinct words (as share and by logarithms), words
+    that repeat the one before, log of the mean length; then roots of the shares of shapes and of words in their bins.
+
+    Words are runs without white space.  A shape is a word with each run of signs of one class written once.
+    """
+    space, kinds = _classes()
+    points = np.frombuffer(" ".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    inside = np.concatenate(([False], ~space[points], [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first, last = edges[::2], edges[1::2]
+    n = len(texts)
+    out = np.zeros((n, N_TEXT))
+    out[:, 0] = 1
+    if not len(first):
+        return out
+    doc = np.searchsorted(starts, first, side="right") - 1
+    word = _hashes(points.astype(np.uint64), first, last)
+    kind = kinds[points]
+    new = np.concatenate(([True], kind[1:] != kind[:-1]))
+    new[first] = True
+    new &= inside[1:-1]
+    place = np.cumsum(new) - 1
+    ends = np.append(place[first][1:], int(new.sum()))
+    shape = _hashes(kind[new], place[first], ends)
+    count = np.bincount(doc, minlength=n).astype(float)
+    some = count > 0
+    total = np.maximum(count, 1)
+    ranked = np.sort((doc.astype(np.uint64) << np.uint64(44)) | (word >> np.uint64(20)))
+    distinct = np.bincount((ranked[np.concatenate(([True], ranked[1:] != ranked[:-1]))] >> np.uint64(44)).astype(np.int64), minlength=n)
+    again = np.bincount(doc[1:], weights=(word[1:] == word[:-1]) & (doc[1:] == doc[:-1]), minlength=n)
+    out[:, 0] = ~some
+    out[:, 1] = distinct / total
+    out[:, 2] = np.where(some, np.log(distinct + 1) / np.log(total + 1), 0)
+    out[:, 3] = again / total
+    out[:, 4] = np.log1p(np.bincount(doc, weights=last - first, minlength=n) / total)
+    for values, bins, at in ((shape, SHAPES, N_WORDS), (word, WORDS, N_WORDS + SHAPES)):
+        found = np.bincount(doc * bins + (values % np.uint64(bins)).astype(np.int64), minlength=n * bins).reshape(n, bins)
+        out[:, at : at + bins] = np.sqrt(found / total[:, None])
+    return out
+
+
+def sizes(text: str) -> list[float]:
+    chars, size, lines = len(text), len(text.encode("utf-8", "surrogatepass")), text.count("\n") + 1
+    return [math.log1p(chars), math.log1p(size), size / max(chars, 1), math.log1p(lines), math.log1p(chars / lines)]
+
+
+def packed(texts: list[str], langs: list[str], sources: list[str]) -> list[bytes]:
+    """Each document's text view and sizes in half precision, then its bins of language and source."""
+    numbers = np.concatenate([text_view(texts), np.array([sizes(t) for t in texts]).reshape(-1, N_SIZES)], axis=1).astype("<f2")
+    return [row.tobytes() + bytes((zlib.crc32(a.encode()) % LANG_BINS, zlib.crc32(s.encode()) % SOURCE_BINS)) for row, a, s in zip(numbers, langs, sources, strict=True)]
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """Rows of N_TEXT numbers, N_SIZES numbers, and a column for each bin of language and source."""
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), 2 * (N_TEXT + N_SIZES) + 2)
+    numbers = np.ascontiguousarray(raw[:, :-2]).view("<f2").astype(float)
+    bins = np.zeros((len(rows), LANG_BINS + SOURCE_BINS))
+    bins[np.arange(len(rows)), raw[:, -2]] = 1
+    bins[np.arange(len(rows)), LANG_BINS + raw[:, -1].astype(int)] = 1
+    return np.concatenate([numbers, bins], axis=1)
 
 
 @dataclass
 class View:
-    """An additive logistic model: hinges over the first ``dense`` columns, the others as they are."""
+    """A logistic model over standardised columns; the first ``dense`` of them have hinges at quantiles besides."""
 
+    columns: slice
     dense: int
     knots: np.ndarray = field(default_factory=lambda: np.zeros(0))
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -89,38 +146,50 @@ class View:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def expand(self, x: np.ndarray) -> np.ndarray:
-        d = x[:, : self.dense]
-        hinges = np.maximum(d[:, :, None] - self.knots[None], 0).reshape(len(x), -1)
-        full = np.concatenate([d, hinges, x[:, self.dense :]], axis=1)
-        return (full - self.mean) / self.scale
+        """The model's columns of rows, a constant first."""
+        own = x[:, self.columns]
+        d = own[:, : self.dense]
+        hinges = np.maximum(d[:, :, None] - self.knots[None], 0).reshape(len(x), self.dense * len(KNOTS))
+        full = np.concatenate([own, hinges], axis=1)
+        return np.concatenate([np.ones((len(x), 1)), np.clip((full - self.mean) / self.scale, -8, 8)], axis=1)
 
     def prepare(self, x: np.ndarray) -> View:
-        self.knots = np.quantile(x[:, : self.dense], KNOTS, axis=0).T
-        self.mean, self.scale = np.zeros(1), np.ones(1)
-        full = self.expand(x)
-        self.mean, self.scale = full.mean(0), full.std(0) + 1e-6
+        self.knots = np.quantile(x[:, self.columns][:, : self.dense], KNOTS, axis=0).T.reshape(self.dense, len(KNOTS))
+        self.mean, self.scale = np.zeros(1), np.full(1, 1e9)  # nothing is clipped
+        full = self.expand(x)[:, 1:] * 1e9
+        self.mean, self.scale = full.mean(0), np.maximum(full.std(0), 0.02)
         return self
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.weights = logistic(self.expand(x), y)
+    def logit(self, x: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        return np.clip(self.expand(x) @ (self.weights if weights is None else weights), -30, 30)
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.expand(x) @ self.weights[1:] + self.weights[0], -30, 30)
 
+def _curve(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights (the first one the constant) by Newton's method with a ridge on all but the constant."""
-    x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+
+def parts(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the logistic loss of rows x (a constant among their columns) with labels y, and the curvature of the
+    closest quadratic that bounds the loss from above and touches it at w: a step to its least never raises the loss."""
+    z = np.maximum(np.abs(x @ w), 1e-6)
+    return x.T @ (_curve(x @ w) - y), (x.T * (np.tanh(z / 2) / (2 * z))) @ x
+
+
+def step(w: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """w after a step to the bound's least, with a ridge on all but the first weight."""
+    penalty = np.full(len(w), ridge)
     penalty[0] = 1e-6
+    return w - np.linalg.solve(hessian + np.diag(penalty), gradient + penalty * w)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> np.ndarray:
+    """Weights of rows x, whose first column is a constant."""
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * w
-        hessian = (x.T * (p * (1 - p) + 1e-9)) @ x + np.diag(penalty)
-        change = np.linalg.solve(hessian, gradient)
-        w -= change
-        if np.abs(change).max() < 1e-6:
+        new = step(w, *parts(x, y, w))
+        done = np.abs(new - w).max() < 1e-5
+        w = new
+        if done:
             break
     return w
 
@@ -133,109 +202,205 @@ class Model:
     text_scale: np.ndarray = field(default_factory=lambda: np.zeros(2))
     metadata_scale: np.ndarray = field(default_factory=lambda: np.zeros(2))
     join: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    #: For each round, how many documents the metadata model and the text model had been handed.
     handed: tuple = ()
 
     def scores(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Combined, text and metadata scores."""
         if self.constant is not None:
             return (np.full(len(x), self.constant),) * 3
-        a, b = self.text.logit(x[:, :N_TEXT]), self.metadata.logit(x[:, N_TEXT:])
-        curve = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        a, b = self.text_scale[0] + self.text_scale[1] * a, self.metadata_scale[0] + self.metadata_scale[1] * b
-        return curve(self.join[0] + self.join[1] * a + self.join[2] * b), curve(a), curve(b)
+        a = self.text_scale[0] + self.text_scale[1] * self.text.logit(x)
+        b = self.metadata_scale[0] + self.metadata_scale[1] * self.metadata.logit(x)
+        return _curve(self.join[0] + self.join[1] * a + self.join[2] * b), _curve(a), _curve(b)
 
 
-def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """x, y: labelled rows (every third is held back to calibrate); pool: unlabelled rows."""
+@dataclass
+class Past:
+    """A view's weights at the start of a round, and the scores from which on it is confident of the kinds 0 and 1."""
+
+    weights: np.ndarray
+    least: tuple[float, float]
+
+
+def confident(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """For the kinds 0 and 1 the least score (1 - p, p) beyond which CONFIDENT of rows with labels y are of that kind, by
+    the estimate (right + 1) / (n + 2); 2, which no score reaches, if there is none."""
+    out = []
+    for score, right in ((1 - p, y == 0), (p, y == 1)):
+        order = np.argsort(-score, kind="stable")
+        score, n = score[order], np.arange(1, len(order) + 1)
+        last = np.append(score[1:] != score[:-1], True) if len(order) else np.zeros(0, bool)  # equal scores go together
+        good = np.flatnonzero(((np.cumsum(right[order]) + 1) / (n + 2) >= CONFIDENT) & last & (score > 0.5))
+        out.append(float(score[good[-1]]) if len(good) else 2.0)
+    return out[0], out[1]
+
+
+def given(view: View, past: list[Past], x: np.ndarray) -> np.ndarray:
+    """The label that a view hands over with each row: that of its first weights that were confident of it, else NaN."""
+    out = np.full(len(x), np.nan)
+    rows = view.expand(x)
+    for was in past:
+        p, free = _curve(rows @ was.weights), np.isnan(out)
+        out[free & (1 - p >= was.least[0])] = 0
+        out[free & (p >= was.least[1])] = 1
+    return out
+
+
+def pool_sums(views: list[View], past: list[list[Past]], x: np.ndarray) -> list[np.ndarray]:
+    """For each view and kind 0, 1: the number, gradient and Hessian of pool rows that the other view hands to it, flat."""
+    out = []
+    for i, view in enumerate(views):
+        label = given(views[1 - i], past[1 - i], x)
+        for kind in (0.0, 1.0):
+            rows = view.expand(x[label == kind])
+            gradient, hessian = parts(rows, np.full(len(rows), kind), view.weights)
+            out.append(np.concatenate([[len(rows)], gradient, hessian[np.triu_indices(len(gradient))]]))
+    return out
+
+
+def _split(flat: np.ndarray, views: list[View]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    out, at = [], 0
+    for view in views:
+        d = len(view.weights)
+        for _ in (0, 1):
+            n, gradient = flat[at], flat[at + 1 : at + 1 + d]
+            hessian = np.zeros((d, d))
+            hessian[np.triu_indices(d)] = flat[at + 1 + d : at + 1 + d + d * (d + 1) // 2]
+            out.append((n, gradient, hessian + np.triu(hessian, 1).T))
+            at += 1 + d + d * (d + 1) // 2
+    return out
+
+
+def co_train(x: np.ndarray, y: np.ndarray, pool, rounds: int = ROUNDS) -> Model:
+    """x, y: labelled rows (every third is held back to calibrate); pool(views, past) gives pool_sums() over the pool, flat."""
     if not len(y) or y.min() == y.max():
         return Model(constant=float(y.mean()) if len(y) else 1.0)
     held = np.arange(len(y)) % 3 == 2
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)
-    everything = np.concatenate([x[~held], pool])
-    views = [View(N_TEXT).prepare(everything[:, :N_TEXT]), View(N_META).prepare(everything[:, N_TEXT:])]
-    cut = (slice(0, N_TEXT), slice(N_TEXT, None))
-    given = [np.full(len(pool), np.nan), np.full(len(pool), np.nan)]  # labels that each view was handed
+    own, label = x[~held], y[~held]
+    views = [View(slice(0, N_TEXT), 0), View(slice(N_TEXT, None), N_SIZES)]
+    for view in views:
+        view.prepare(own)
+        view.weights = logistic(view.expand(own), label)
+    rows = [view.expand(own) for view in views]
+    kinds = [(label == 0).sum(), (label == 1).sum()]
+    past: list[list[Past]] = [[], []]
     handed = []
-    for round_ in range(rounds + 1):
-        for view, c, own in zip(views, cut, given, strict=True):
-            has = ~np.isnan(own)
-            view.fit(np.concatenate([x[~held][:, c], pool[has][:, c]]), np.concatenate([y[~held], own[has]]))
-        if round_ == rounds or not len(pool):
-            break
+    for _ in range(rounds):
         for i in (0, 1):
-            p = 1 / (1 + np.exp(-views[i].logit(pool[:, cut[i]])))
-            sure = (np.maximum(p, 1 - p) >= CONFIDENT) & np.isnan(given[1 - i])
-            # equal steps for both kinds, in the labelled rows' proportion, the surest first
-            for kind, share in ((1, y.mean()), (0, 1 - y.mean())):
-                rows = np.flatnonzero(sure & ((p >= 0.5) == bool(kind)))
-                most = int(np.ceil(len(pool) * share / rounds))
-                rows = rows[np.argsort(-np.abs(p[rows] - 0.5), kind="stable")][:most]
-                given[1 - i][rows] = kind
-            handed.append(int((~np.isnan(given[1 - i])).sum()))
+            least = confident(_curve(views[i].logit(x[held])), y[held]) if held.any() else (2.0, 2.0)
+            past[i].append(Past(views[i].weights, least))
+        for _ in range(STEPS):
+            sums = _split(pool(views, past), views)
+            for i, view in enumerate(views):
+                gradient, hessian = parts(rows[i], label, view.weights)
+                for kind in (0, 1):
+                    n, g, h = sums[2 * i + kind]
+                    share = min(1.0, kinds[kind] / max(n, 1.0))
+                    gradient, hessian = gradient + share * g, hessian + share * h
+                view.weights = step(view.weights, gradient, hessian)
+        handed.append((int(sums[2][0] + sums[3][0]), int(sums[0][0] + sums[1][0])))
     model = Model(text=views[0], metadata=views[1], handed=tuple(handed))
     if not held.any():
         held = ~held
-    a, b = views[0].logit(x[held][:, cut[0]]), views[1].logit(x[held][:, cut[1]])
-    model.text_scale = logistic(a[:, None], y[held])
-    model.metadata_scale = logistic(b[:, None], y[held])
-    both = np.stack([model.text_scale[0] + model.text_scale[1] * a, model.metadata_scale[0] + model.metadata_scale[1] * b], axis=1)
-    model.join = logistic(both, y[held])
+    a, b = views[0].logit(x[held]), views[1].logit(x[held])
+    one = np.ones(len(a))
+    model.text_scale = logistic(np.stack([one, a], axis=1), y[held])
+    model.metadata_scale = logistic(np.stack([one, b], axis=1), y[held])
+    both = [one, model.text_scale[0] + model.text_scale[1] * a, model.metadata_scale[0] + model.metadata_scale[1] * b]
+    model.join = logistic(np.stack(both, axis=1), y[held])
     return model
 
 
 def _vectors(batches):
-    for batch in slices(batches):
-        doc, text, lang, source = (c.to_pylist() for c in batch.columns)
-        rows = [text_view(t) + metadata_view(t, a, s) for t, a, s in zip(text, lang, source, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
+    for batch in slices(batches, SLICE):
+        doc, tid, *fields = batch.columns
+        yield pa.RecordBatch.from_arrays([doc, tid, pa.array(packed(*(c.to_pylist() for c in fields)), pa.binary())], names=["doc_id", "tid", "x"])
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"))
+    fields = [text_or_empty(c).alias(c) for c in ("text", "lang", "source")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *fields).select("doc_id", F.xxhash64("text", "lang", "source").alias("tid"), "text", "lang", "source")
 
 
 def vectors(docs: DataFrame) -> DataFrame:
+    """VECTORS: a row for each document; tid is a hash of its content."""
     ship(docs.sparkSession)
-    return _prepared(docs).mapInArrow(_vectors, "doc_id long, x array<double>")
-
-
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """The model from at most ``labelled`` labelled and ``pool`` unlabelled rows of docs."""
-    order = F.xxhash64(F.col("doc_id"), F.lit(7))
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("y"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    # A label may lack its document: the sample is of ids that both tables have.
-    both = ids.join(known, "doc_id").distinct().orderBy(order, "doc_id").limit(labelled)
-    free = ids.join(known, "doc_id", "left_anti").where("doc_id is not null").distinct().orderBy(order, "doc_id").limit(pool)
-    chosen = both.unionByName(free.withColumn("y", F.lit(None).cast("int"))).collect()  # labelled + pool ids at most
-    if not chosen:
+    return _prepared(docs).mapInArrow(_vectors, VECTORS)
+
+
+def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """VECTORS and y, the label or null, checkpointed."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(F.col("quality").cast("int")).alias("y"))
+    found = vectors(docs)
+    return checkpointed(found.join(known, found["doc_id"] == known["__id"], "left").drop("__id"))
+
+
+def _pool(found: DataFrame):
+    """pool_sums() over unlabelled rows of with_labels(): a row of sums for each task, added up over two levels.
+
+    Tasks are no more than twice the cluster's cores, so the sums that are shuffled do not grow with the data.
+    """
+    spark = found.sparkSession
+    ship(spark)
+    rows = found.where("y is null").select("x").coalesce(max(2, 2 * spark.sparkContext.defaultParallelism))
+
+    def run(views: list[View], past: list[list[Past]]) -> np.ndarray:
+        size = sum(2 * (1 + d + d * (d + 1) // 2) for d in (len(v.weights) for v in views))
+
+        def of(batches):
+            total = np.zeros(size)
+            for batch in slices(batches, 4 << 20):
+                total += np.concatenate(pool_sums(views, past, unpacked(batch.column(0).to_pylist())))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+        def add(batches):
+            total = np.zeros(size)
+            for batch in batches:
+                for s in batch.column(0).to_pylist():
+                    total += np.frombuffer(s)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+        level = rows.mapInArrow(of, "s binary").repartition(max(1, math.isqrt(2 * spark.sparkContext.defaultParallelism)))
+        whole = level.mapInArrow(add, "s binary").coalesce(1).mapInArrow(add, "s binary").collect()  # one row
+        return sum((np.frombuffer(r["s"]) for r in whole), np.zeros(size))
+
+    return run
+
+
+def fit_vectors(found: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    """The model from with_labels(): at most ``labelled`` labelled rows and all unlabelled ones."""
+    order = F.xxhash64("doc_id", "tid", F.lit(7))
+    sample = found.where("y is not null").orderBy(order, "doc_id", "tid").limit(labelled).select("x", "y").collect()
+    if not sample:
         return Model(constant=1.0)
-    frame = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in chosen], "doc_id long, y int")
-    rows = vectors(docs.join(F.broadcast(frame.select("doc_id")), "doc_id", "left_semi")).collect()
-    label = {r["doc_id"]: r["y"] for r in chosen}
-    rows = sorted({r["doc_id"]: r["x"] for r in rows}.items())
-    x = np.array([r[1] for r in rows])
-    y = np.array([np.nan if label[r[0]] is None else label[r[0]] for r in rows], dtype=float)
-    has = ~np.isnan(y)
-    return co_train(x[has], y[has], x[~has])
+    return co_train(unpacked([bytes(r["x"]) for r in sample]), np.array([r["y"] for r in sample], dtype=float), _pool(found), rounds)
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    return fit_vectors(with_labels(docs, labels), labelled, rounds)
 
 
 def _scored(model: Model):
     def run(batches):
-        for batch in _vectors(batches):
-            x = np.array(batch.column(1).to_pylist()).reshape(batch.num_rows, -1)
-            score, text, metadata = model.scores(x)
-            arrays = [batch.column(0), pa.array(score), pa.array(text), pa.array(metadata), pa.array(score >= KEEP)]
+        for batch in slices(batches, 4 << 20):
+            score, text, metadata = (np.round(s, 9) for s in model.scores(unpacked(batch.column("x").to_pylist())))
+            arrays = [batch.column("doc_id"), pa.array(score), pa.array(text), pa.array(metadata), pa.array(score >= KEEP)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "text_score", "metadata_score", "keep"])
 
     return run
 
 
+def score_vectors(found: DataFrame, model: Model) -> DataFrame:
+    """SCORED of rows of vectors() or with_labels()."""
+    ship(found.sparkSession)
+    return found.select("doc_id", "x").mapInArrow(_scored(model), SCORED)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """SCORED: a row for each document."""
-    ship(docs.sparkSession)
-    return _prepared(docs).mapInArrow(_scored(model), SCORED)
+    return score_vectors(vectors(docs), model)
 
 
 def filter_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -246,7 +411,12 @@ def filter_documents(docs: DataFrame, model: Model) -> DataFrame:
     def keeps(text, lang, source):
         import pandas as pd
 
-        rows = [text_view(t) + metadata_view(t, a, s) for t, a, s in zip(text, lang, source, strict=True)]
-        return pd.Series(model.scores(np.array(rows).reshape(len(rows), -1))[0] >= KEEP)
+        out, at, sizes_ = [], 0, text.str.len().cumsum().to_numpy()
+        while at < len(text):  # so many signs at a time
+            stop = max(at + 1, int(np.searchsorted(sizes_, (sizes_[at - 1] if at else 0) + SLICE)))
+            x = unpacked(packed(*(list(c[at:stop]) for c in (text, lang, source))))
+            out.append(np.round(model.scores(x)[0], 9) >= KEEP)
+            at = stop
+        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
 
     return docs.where(keeps(text_or_empty(), text_or_empty("lang"), text_or_empty("source")))
