@@ -45,7 +45,7 @@ def test_pipeline_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted(map(tuple, docs.select("doc_id", "text", "lang", "source").collect()))
     model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    x = np.array([quality.text_view(t) + quality.metadata_view(t, a, s) for _, t, a, s in rows])
+    x = quality.unpacked(quality.packed(*([r[i] or "" for r in rows] for i in (1, 2, 3))))
     rows = [r for r, k in zip(rows, model.scores(x)[0] >= quality.KEEP, strict=True) if k]
     label, _ = brute_classes([r[1] for r in rows])
     rows = [r for i, r in enumerate(rows) if label[i] == i]
