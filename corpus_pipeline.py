@@ -6,15 +6,13 @@ one's docs.  All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewright.llm import jaccard, mixing, packing, quality, secrets
-from gaugewright.llm.common import read
+from gaugewright.llm.common import read, shared_folder
 from gaugewright.llm.queries import tokenizer_path
 
 
@@ -30,8 +28,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets' spans are replaced; n_chars follows."""
-    ledger = secrets.scan(docs.select("doc_id", "text"))
-    clean = secrets.redact(secrets.findings(docs, ledger))
+    ledger = secrets.Ledger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    ledger.add(docs.select("doc_id", "text"))
+    clean = secrets.redact(secrets.findings(docs, ledger.rows()))
     changed = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", changed).select(*docs.columns)
 
@@ -54,8 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; each one's rows are written in the cluster's shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = os.path.join(shared or tempfile.mkdtemp(prefix="pipeline-"), f"pipeline-{uuid.uuid4().hex}")
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
