@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Token and name patterns.
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|\d+|==|!=|<=|>=|&&|\|\||[{}()\[\];.,+\-*/%<>=!&|^~?:]"
-NAME_PART = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+"
+NAME_PART = r"[A-Z]+(?=[A-Z][a-z]|\d|$)|[A-Z]?[a-z]+|[A-Z]+|\d+"
 IMPORT = r"(?m)^\s*import\s+(?!static\b)([\w.]+(?:\.\*)?)\s*;?"
 TEST_MARKS = ("Test", "ParameterizedTest", "RepeatedTest", "TestFactory")
 #: Joins the tokens of a shingle; no token holds it.
@@ -73,21 +73,25 @@ def imports(code: Column) -> Column:
 
 def name_tokens(name: Column) -> Column:
     """Lower-cased parts of a camel, snake or mixed name; acronyms and digit runs are parts of their own."""
-    return F.transform(F.regexp_extract_all(name, F.lit(NAME_PART), F.lit(0)), F.lower)
+    return F.transform(F.regexp_extract_all(F.translate(name, "_", " "), F.lit(NAME_PART), F.lit(0)), F.lower)
 
 
 def separator(name: Column) -> Column:
     return F.when(name.contains("_"), "underscore").otherwise("camel")
 
 
+def name_prefix(parts: Column) -> Column:
+    """What a name's first part makes of it: test, should, scenario (given or when) or bare."""
+    first = F.try_element_at(parts, F.lit(1))
+    return F.when(first.isin("test", "should"), first).when(first.isin("given", "when"), "scenario").otherwise("bare")
+
+
 def name_shape(name: Column) -> Column:
-    """struct<prefix, separator, lexical>: first word if it is one of the usual ones, and the number of the other words."""
+    """struct<prefix, separator, lexical>: prefix and separator of the name, and the number of its other words."""
     parts = name_tokens(name)
-    first = F.try_element_at(parts, F.lit(1))
-    usual = first.isin("test", "should", "scenario")
-    prefix = F.when(usual, first).otherwise("bare")
-    rest = F.when(usual, F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))).otherwise(parts)
-    lexical = F.size(F.filter(rest, lambda p: p.rlike("[a-z]")))
+    prefix = name_prefix(parts)
+    rest = F.when(prefix != "bare", F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))).otherwise(parts)
+    lexical = F.size(F.filter(rest, lambda p: ~p.rlike(r"^\d+$")))
     return F.struct(prefix.alias("prefix"), separator(name).alias("separator"), lexical.alias("lexical"))
 
 

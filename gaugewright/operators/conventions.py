@@ -30,20 +30,13 @@ def assertion_conformance(candidate: Column, reference: Column) -> tuple[Column,
 
 
 def _content(name: Column) -> Column:
-    parts = name_parts(name)
-    usual = F.coalesce(F.try_element_at(parts, F.lit(1)).isin("test", "should", "given", "when"), F.lit(False))
-    return F.when(usual, F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))).otherwise(parts)
-
-
-def name_parts(name: Column) -> Column:
-    pattern = r"[A-Z]+(?=[A-Z][a-z]|\d|$)|[A-Z]?[a-z]+|[A-Z]+|\d+"
-    return F.transform(F.regexp_extract_all(F.translate(name, "_", " "), F.lit(pattern), F.lit(0)), F.lower)
+    parts = text.name_tokens(name)
+    return F.when(text.name_prefix(parts) != "bare", F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))).otherwise(parts)
 
 
 def name_style(name: Column) -> Column:
-    first = F.try_element_at(name_parts(name), F.lit(1))
-    prefix = F.when(first.isin("test", "should"), first).when(first.isin("given", "when"), "scenario").otherwise("bare")
-    return F.concat_ws(":", prefix, text.separator(name))
+    shape = text.name_shape(name)
+    return F.concat_ws(":", shape["prefix"], shape["separator"])
 
 
 def lexical(name: Column) -> Column:
@@ -97,7 +90,7 @@ def profile(pairs: DataFrame, candidate: str = "candidate", reference: str = "re
     rows = rows.withColumn("__masked", java.mask_column(F.col(candidate)))
     family, idiom = assertion_conformance(F.col("__c_sites"), F.col("__r_sites"))
     style, clarity = naming_conformance(names(F.col("__c_methods"), True), names(F.col("__r_methods"), True))
-    used = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(r"(?m)^\s*import\s+(?:static\s+)?([\w.*]+)\s*;?\s*$"), F.lit(1)))
+    used = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(java.IMPORT), F.lit(1)))
     rows = rows.withColumns(
         {
             "assertion_family": family,
@@ -149,9 +142,8 @@ def quality(docs: DataFrame, keys: list[str], code: str = "text") -> DataFrame:
     Complexity counts branching words; means are null without functions.
     """
     loc = F.size(F.filter(java.code_lines_column(F.col(code)), lambda x: x))
-    branches = r"(?<![\w.])(?:if|for|while|case|catch)\b|&&|\|\||\?(?![>,])"
     rows = docs.select(*keys, loc.alias("loc"), java.methods_column(F.col(code)).alias("m"))
-    paths = F.transform("m", lambda x: F.size(F.regexp_extract_all(x["body"], F.lit(branches), F.lit(0))) + 1)
+    paths = F.transform("m", lambda x: java.complexity(x["body"]))
     lengths = F.transform("m", lambda x: F.size(F.split(x["body"], "\n")))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + v)
     n = F.nullif(F.size("m"), F.lit(0))

@@ -33,21 +33,40 @@ class FooTest {
 }"""
 
 
-def test_methods_and_sites():
+def test_methods_and_sites(spark):
     found = java.methods(FILE)
     assert [m[0] for m in found] == ["make", "shouldParseHTTP2_response", "testOther", "nothing"]
     assert [java.is_test(n, a) for n, a, _ in found] == [False, True, True, False]
-    assert java.assertion_sites(FILE) == [("junit", "junit:assert_equals:binary"), ("junit", "junit:assert_true:comparison"), ("junit", "junit:fail")]
-    assert java.assertion_sites("import org.assertj.core.api.Assertions.assertThat;\nassertThat(v).isNotNull().isEqualTo(3);") == [("assertj", "assertj:isEqualTo")]
-    assert java.assertion_sites("Truth.assertThat(v).isEqualTo(3);") == [("truth", "truth:isEqualTo")]
-    assert java.assertion_sites('String u = "https://x"; fail("a");') == [("junit", "junit:fail")]
-    assert java.assertion_sites("m.perform(x).andExpect(status().isOk());") == [("spring_mockmvc", "spring_mockmvc:status")]
-    assert java.smells(found[1][2]) == ["assertion_roulette", "magic_number_test"]
-    assert java.smells(found[2][2]) == ["exception_handling"]
+    sites = lambda code: [tuple(x) for x in value(spark, java.sites_column(F.lit(code)))]
+    assert sites(FILE) == [("junit", "junit:assert_equals:binary"), ("junit", "junit:assert_true:comparison"), ("junit", "junit:fail")]
+    assert sites("import org.assertj.core.api.Assertions.assertThat;\nassertThat(v).isNotNull().isEqualTo(3);") == [("assertj", "assertj:isEqualTo")]
+    assert sites("Truth.assertThat(v).isEqualTo(3);") == [("truth", "truth:isEqualTo")]
+    assert sites('String u = "https://x"; fail("a");') == [("junit", "junit:fail")]
+    assert sites("m.perform(x).andExpect(status().isOk());") == [("spring_mockmvc", "spring_mockmvc:status")]
+    assert sites("import org.hamcrest.Matchers;\nassertThat(v, is(not(w))); assertThat(ok); other.fail(); a.andExpect;") == [("hamcrest", "hamcrest:is"), ("hamcrest", "hamcrest:assert_that")]
+    assert sites("assertWithMessage(m).that(x).isTrue(); Assertions.assertAll(() -> assertTrue(a && b), () -> assertFalse(x.isOpen())); assertNull(a, b); assertEquals(f(1, 2), new int[] {1, 2}, g)") == [
+        ("truth", "truth:isTrue"), ("junit", "junit:assert_all:arity_2"), ("junit", "junit:assert_true:compound"), ("junit", "junit:assert_false:predicate"), ("junit", "junit:assert_null:arity_2"), ("junit", "junit:assert_equals:extended"),
+    ]
+    assert value(spark, java.sites_column(F.lit(None).cast("string"))) is None and sites("assertTrue(") == [("junit", "junit:assert_true:condition")]
+    smells = lambda body: value(spark, java.smells_column(F.lit(body)))
+    assert smells(found[1][2]) == ["assertion_roulette", "magic_number_test"]
+    assert smells(found[2][2]) == ["exception_handling"]
+    assert smells("{ if (x) { assertEquals(a.toString(), b); assertEquals(a.toString(),\n b); } }") == ["assertion_roulette", "conditional_test_logic", "duplicate_assert", "sensitive_equality"]
+    assert smells("{ run(); }") == ["unknown_test"] and smells("{ assertTrue(f(-1, 0L, 2)) }") == []
     assert java.zero_argument_methods(FILE) == ["shouldParseHTTP2_response", "testOther"]
     assert java.code_lines("a();\n// b\n/* c\n d */ e();\n")[:4] == [True, False, False, True]
 
 
+def test_outline_of_odd_texts():
+    assert java.methods("class A { A() { } int f(int a) throws E, F { } int[] g = {h(1)}; <T> List<T> i(@N T t) { return j(); } }") == [("f", [], "{ }"), ("i", [], "{ return j(); }")]
+    assert java.methods("class A { @X int a; @Test void b() { c(); } class N { void inner() { } } @Y(z = {1, 2}) void d() { } }") == [("b", ["Test"], "{ c(); }"), ("d", ["Y"], "{ }")]
+    assert java.methods("class A { void open() { if (a) {") == [("open", [], "{ if (a) {")]
+    for code in ("", "}}}", ")))", "((((", "class {", "@", "a.b.(", "f(])"):
+        assert java.outline(code).methods == []
+    (call,) = java.calls(java.outline("x = f(a, g(b, c), {d, e}, (h, i)).j(k);"), "f")
+    assert (call["arguments"], call["terminal"], call["lead"]) == (["a", "g(b, c)", "{d, e}", "(h, i)"], "j", " ")
+
+
 def test_longest_common():
     rng = random.Random(2)
     for _ in range(50):
@@ -243,7 +262,7 @@ def test_members_and_quality(spark):
     code = "class A {\n int[] xs = {1, 2};\n @Foo(a = 1) private Map<String, B> m;\n static { run(); }\n void f(int a, B<C, D> b) { if (a > 1 && b != null) { } }\n enum K { X }\n class N { void g() { } }\n}"
     assert [k for k, _ in java.members(code)][:4] == ["field:xs", "field:m", "block:2", "method:f/2"]
     assert {"type:K", "type:N", "method:g/0"} <= {k for k, _ in java.members(code)}
-    assert java.complexity("{ if (a && b) { } for (;;) { } }") == 4
+    assert value(spark, java.complexity(F.lit("{ if (a && b) { } for (;;) { } }"))) == 4
     got = conventions.quality(spark.createDataFrame([(1, code), (2, "")], "doc_id int, text string"), ["doc_id"]).orderBy("doc_id").collect()
     assert (got[0]["functions"], got[0]["complexity"]) == (1, 3) and got[1]["mean_complexity"] is None
     logs = spark.createDataFrame([(1, "src/A.java:5: error: package x.y does not exist\n  symbol:   class Foo\nsrc/A.java:9: error: z\nsrc/A.java:5: error: w")], "id int, text string")
