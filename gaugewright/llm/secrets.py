@@ -83,15 +83,19 @@ def blobs(versions: DataFrame) -> DataFrame:
 
 
 def unseen(versions: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame:
-    """blob, text, todo (names of rules): each blob once that lacks a current (rule, version) pair."""
-    addressed = blobs(versions.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    """blob, text, todo (names of rules): each blob once that lacks a current (rule, version) pair.
+
+    Copies are brought together first, task by task and then by address, so that a blob with very many paths meets the
+    ledger as one row.
+    """
+    addressed = blobs(versions.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))).groupBy("blob").agg(F.first("text").alias("text"))
     every = F.array(*[F.lit(r.kind) for r in rules])
     if ledger is not None:
         current = ledger.where(" or ".join(f"(rule = '{r.kind}' and rule_version = {r.version})" for r in rules))
         done = current.groupBy("blob").agg(F.collect_set("rule").alias("done"))  # as many as there are rules, at most
         addressed = addressed.join(done, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))))
-        return addressed.where("size(todo) > 0").groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
-    return addressed.groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", every)
+        return addressed.where("size(todo) > 0").select("blob", "text", "todo")
+    return addressed.withColumn("todo", every)
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
