@@ -33,16 +33,35 @@ def span_token(start: Column, end: Column) -> Column:
 
 
 def encode(lines: Column) -> Column:
-    """The spec of an array of lines: runs of consecutive lines as ``a-b``, joined by ``;``; empty gives ``""``."""
+    """The spec of an array of lines: runs of consecutive lines as ``a-b``, joined by ``;``; empty gives ``""``.
+
+    A run begins where a line's predecessor in order is not one less, and ends where its successor is not one more: two
+    shifted copies of the sorted lines are compared, so the work is that of sorting them.
+    """
 
     def of(ordered: Column) -> Column:
-        last = F.filter(ordered, lambda x: ~F.array_contains(ordered, x + 1))
-        first = F.filter(ordered, lambda x: ~F.array_contains(ordered, x - 1))
-        return F.array_join(F.zip_with(first, last, span_token), ";")
+        gap = F.array(F.lit(None).cast("long"))
+        whole = F.transform(ordered, lambda x: x.cast("long"))
+        inner = F.slice(whole, 1, F.greatest(F.size(whole) - 1, F.lit(0)))
+        before, after = F.concat(gap, inner), F.concat(F.slice(whole, 2, F.size(whole)), gap)
+        first = F.filter(F.zip_with(whole, before, lambda x, p: F.when(p.isNull() | (p < x - 1), x)), lambda x: x.isNotNull())
+        last = F.filter(F.zip_with(whole, after, lambda x, p: F.when(p.isNull() | (p > x + 1), x)), lambda x: x.isNotNull())
+        return F.when(F.size(whole) == 0, "").otherwise(F.array_join(F.zip_with(first, last, span_token), ";"))
 
     return bound(F.array_sort(F.array_distinct(lines)), of)
 
 
+def line_count(spec: Column) -> Column:
+    """How many different lines a spec names, from its spans alone: no line is written out."""
+
+    def step(s: Column, x: Column) -> Column:
+        new = F.greatest(x.end.cast("long") - F.greatest(x.start.cast("long") - 1, s.upto), F.lit(0).cast("long"))
+        return F.struct((s.n + new).alias("n"), F.greatest(s.upto, x.end.cast("long")).alias("upto"))
+
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("upto"))
+    return F.aggregate(F.array_sort(parse_spans(spec)), start, step, lambda s: s.n)
+
+
 def bounds(spec: Column) -> Column:
     """struct<first, last> line of a spec, null if it has none."""
     spans = parse_spans(spec)

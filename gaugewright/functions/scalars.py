@@ -37,11 +37,17 @@ def parse_timestamp(text: Column) -> Column:
     return text.try_cast("timestamp")
 
 
-def status_from_flags(timeout: Column, failed: Column, skipped: Column) -> Column:
-    """timeout > failed > skipped > passed; null flags (no row) give missing."""
-    missing = timeout.isNull() & failed.isNull() & skipped.isNull()
-    on = lambda c: F.coalesce(c.cast("int"), F.lit(0)) > 0
-    return F.when(missing, "missing").when(on(timeout), "timeout").when(on(failed), "failed").when(on(skipped), "skipped").otherwise("passed")
+#: Named orders in which flags make a status; they differ on purpose and are not to be merged.
+STATUS_ORDERS = {"run": ("timeout", "failed", "skipped"), "copied": ("failed", "timeout", "skipped")}
+
+
+def status_from_flags(timeout: Column, failed: Column, skipped: Column, order: str = "run") -> Column:
+    """The first flag that is on in the named order, else passed; null flags (no row) give missing."""
+    flags = {"timeout": timeout, "failed": failed, "skipped": skipped}
+    out = F.when(timeout.isNull() & failed.isNull() & skipped.isNull(), "missing")
+    for name in STATUS_ORDERS[order]:
+        out = out.when(F.coalesce(flags[name].cast("int"), F.lit(0)) > 0, name)
+    return out.otherwise("passed")
 
 
 def target_id(repo: Column, fqcn: Column) -> Column:

@@ -47,6 +47,9 @@ def best(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def _extreme(df: DataFrame, keys: list[str], pick, order: Column) -> DataFrame:
+    """Rows whose order is null come after all others; of a key that has no other one of them is taken."""
+    known = order.isNotNull()
+    order = F.struct(known if pick is F.max_by else ~known, order)  # the struct itself is never null
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(pick(F.struct(*rest), order).alias("__row")).select(*keys, "__row.*").select(*df.columns)
 
@@ -61,9 +64,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], seq: str) -> DataFra
 
 
 def islands(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, start, end: runs of consecutive integers."""
+    """keys, start, end: runs of consecutive integers.
+
+    Rows are dealt by keys once; repeated values go where they are, and the runs are made there too."""
     w = Window.partitionBy(*keys).orderBy(value)
-    rows = df.select(*keys, value).distinct().withColumn("__run", F.col(value) - F.row_number().over(w))
+    rows = df.select(*keys, value).repartition(*keys).distinct().withColumn("__run", F.col(value) - F.row_number().over(w))
     return rows.groupBy(*keys, "__run").agg(F.min(value).alias("start"), F.max(value).alias("end")).drop("__run")
 
 

@@ -59,6 +59,16 @@ def usage_flags(files: DataFrame, keys: list[str], path: str, phrases: dict[str,
     return files.groupBy(*keys).agg(*flags)
 
 
+#: Ends of archive names that hold no classes to run, and runtime jars that a class path has of its own.
+NO_CLASSES = r"(?i)(?:-(?:sources|javadoc|tests|test-sources|original))\.jar$"
+RUNTIME = r"(?i)(?:^|[/-])?(?:junit|junit-jupiter|junit-platform|hamcrest)[-\w]*-\d[\w.]*\.jar$"
+
+
+def no_artifact(path: Column) -> Column:
+    """Whether a file is no artifact to test with: sources, documentation, or a test runtime's own jar."""
+    return F.coalesce(path.rlike(NO_CLASSES) | path.rlike(RUNTIME), F.lit(False))
+
+
 def fatjar_problem(value: Column) -> Column:
     """Whether an artifact path is a sentinel: empty, FAIL, FAIL:..., SKIP..."""
     return F.coalesce(F.trim(value).rlike(r"(?i)^(fail(:.*)?|skip.*)?$"), F.lit(True))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..functions import java, text
+from . import statistics
 
 #: Marks of test sources, of merged texts, words of workflow files, signs that no test name may have.
 TEST_MARKERS = (
@@ -161,9 +162,8 @@ def held_out(items: DataFrame, keys: list[str], item: str, k: int, repeats: int,
 def described(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """keys, metric, n, mean, sd, q1, median, q3 of each metric column."""
     long = df.unpivot(keys, [F.col(m).cast("double").alias(m) for m in metrics], "metric", "value").where("value is not null")
-    p = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = long.groupBy(*keys, "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), p.alias("p"))
-    return rows.select(*keys, "metric", "n", "mean", "sd", F.col("p")[0].alias("q1"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q3"))
+    rows = long.groupBy(*keys, "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    return statistics.joined(rows, statistics.quantiles(long, [*keys, "metric"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}), [*keys, "metric"])
 
 
 def error_locations(logs: DataFrame, keys: list[str], log: str = "text") -> DataFrame:

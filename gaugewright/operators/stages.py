@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranges, scalars, text
+from . import statistics
 from .coverage import is_target_class, positive
 from .ranking import best, first_wins, order_of, top_k
 
@@ -157,7 +158,8 @@ def reweighted(rows: DataFrame, keys: list[str], first: str, second: str, weight
     spread = rows.withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
     a, b, w = F.col(first), F.col(second), F.col("weight")
     score = F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a * (1 - w) + b * w)
-    return spread.withColumn("__s", score).groupBy(*keys, "weight").agg(F.median("__s").alias("median"))
+    scored = spread.withColumn("__s", score)
+    return statistics.joined(scored.select(*keys, "weight").distinct(), statistics.quantiles(scored, [*keys, "weight"], "__s", {"median": 0.5}), [*keys, "weight"])
 
 
 def style_profile(code: Column) -> dict[str, Column]:

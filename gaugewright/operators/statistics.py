@@ -5,31 +5,61 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from ..functions.text import bound
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """keys and a column for each name in ``at``: quantiles with linear interpolation of the values that are not null.
+
+    Values are counted, ranked by running sums over distinct values and read off at their places: a group of any size is a
+    sorted run of rows, never a buffer in one aggregate.
+    """
+    tied = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    group = Window.partitionBy(*keys)
+    placed = tied.withColumn("__upto", F.sum("__c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(group))
+    holds = lambda place: (F.col("__upto") > place) & (F.col("__upto") - F.col("__c") <= place)
+    out, columns = [], []
+    for i, p in enumerate(at.values()):
+        place = (F.col("__n") - 1) * F.lit(p)
+        out += [F.max(F.when(holds(F.floor(place)), F.col(value))).alias(f"__lo{i}"), F.max(F.when(holds(F.ceil(place)), F.col(value))).alias(f"__hi{i}"), F.max(place - F.floor(place)).alias(f"__part{i}")]
+        columns.append((F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__part{i}")).alias(list(at)[i]))
+    return placed.groupBy(*keys).agg(*out).select(*keys, *columns)
+
+
+def joined(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """Aggregates of the same groups side by side: rows with more's columns by keys, null keys included."""
+    if not keys:
+        return rows.crossJoin(more)  # one row each
+    on = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}")) for k in keys]
+    return rows.alias("__l").join(more.alias("__r"), on, "left").select("__l.*", *[f"__r.{c}" for c in more.columns if c not in keys])
 
 
 def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, n, n_positive, total, q1, median, q3 with linear interpolation."""
-    p = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = df.groupBy(*keys).agg(F.count(value).alias("n"), F.count_if(F.col(value) > 0).alias("n_positive"), F.sum(value).alias("total"), p.alias("__p"))
-    return rows.select(*keys, "n", "n_positive", "total", F.col("__p")[0].alias("q1"), F.col("__p")[1].alias("median"), F.col("__p")[2].alias("q3"))
+    rows = df.groupBy(*keys).agg(F.count(value).alias("n"), F.count_if(F.col(value) > 0).alias("n_positive"), F.sum(value).alias("total"))
+    return joined(rows, quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}), keys)
 
 
 def signs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, available, unavailable, positive, zero, negative, mean, median, least, most."""
     v = F.col(value)
-    return df.groupBy(*keys).agg(
+    rows = df.groupBy(*keys).agg(
         F.count(v).alias("available"),
         F.count_if(v.isNull()).alias("unavailable"),
         F.count_if(v > 0).alias("positive"),
         F.count_if(v == 0).alias("zero"),
         F.count_if(v < 0).alias("negative"),
         F.avg(v).alias("mean"),
-        F.median(v).alias("median"),
         F.min(v).alias("least"),
         F.max(v).alias("most"),
     )
+    return joined(rows, quantiles(df, keys, value, {"median": 0.5}), keys)
 
 
 def ratings(df: DataFrame, keys: list[str], score: str, levels: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -37,7 +67,8 @@ def ratings(df: DataFrame, keys: list[str], score: str, levels: tuple[int, ...]
     s = F.col(score)
     counts = [F.count_if(s == x).alias(f"n_{x}") for x in levels]
     shares = [(F.count_if(s == x) / F.count(s)).alias(f"share_{x}") for x in levels]
-    return df.groupBy(*keys).agg(F.count(s).alias("n"), F.median(s).alias("median"), F.avg(s).alias("mean"), *counts, *shares)
+    rows = df.groupBy(*keys).agg(F.count(s).alias("n"), F.avg(s).alias("mean"), *counts, *shares)
+    return joined(rows, quantiles(df, keys, score, {"median": 0.5}), keys)
 
 
 def midranks(df: DataFrame, keys: list[str], value: str, name: str = "midrank") -> DataFrame:
@@ -107,7 +138,7 @@ def exact_p(sizes: list[float]) -> float:
 
 
 def wilcoxon_exact(df: DataFrame, keys: list[str], difference: str) -> DataFrame:
-    """keys, n, p.  Groups are pair lists of a study (the dynamic programme is quadratic in a group): a thousand rows at most."""
+    """keys, n, p, whatever the size of a group: the work grows with the cube of its pairs, which are those of a study."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys) + ", n long, p double"
 
     def run(pdf):
@@ -115,8 +146,6 @@ def wilcoxon_exact(df: DataFrame, keys: list[str], difference: str) -> DataFrame
 
         d = pdf[difference].dropna()
         d = d[d != 0]
-        if len(d) > 1000:
-            raise ValueError("use wilcoxon_sums() for groups of over 1000 pairs")
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "n": len(d), "p": exact_p(d.tolist())}])
 
     ordered = [f.name for f in df.schema if f.name in keys]
@@ -124,13 +153,21 @@ def wilcoxon_exact(df: DataFrame, keys: list[str], difference: str) -> DataFrame
 
 
 def normal_p(z: Column) -> Column:
-    """Two-sided p of a normal score, by the complementary error function."""
+    """Two-sided p of a normal score: the complementary error function of |z| / sqrt(2), by its series below 3 and by its
+    continued fraction beyond; 1e-15 at most off."""
+
+    def of(x: Column) -> Column:
+        start = F.struct((2 * x / math.sqrt(math.pi)).alias("term"), (2 * x / math.sqrt(math.pi)).alias("sum"))
 
-    @F.pandas_udf("double")
-    def tail(values):
-        return values.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
+        def step(s: Column, k: Column) -> Column:
+            term = s.term * 2 * x * x / (2 * k + 1)
+            return F.struct(term.alias("term"), (s.sum + term).alias("sum"))
 
-    return tail(z.cast("double"))
+        near = 1 - F.exp(-x * x) * F.aggregate(F.sequence(F.lit(1), F.lit(90)), start, step, lambda s: s.sum)
+        below = F.aggregate(F.sequence(F.lit(80), F.lit(1)), x, lambda f, k: x + k / 2 / f)
+        return F.when(x < 3, near).otherwise(F.exp(-x * x) / (math.sqrt(math.pi) * below))
+
+    return F.when(z.isNotNull(), bound(F.abs(z.cast("double")) / math.sqrt(2), of))
 
 
 def alpha_ordinal(df: DataFrame, keys: list[str], item: str, rater: str, score: str) -> DataFrame:
@@ -145,8 +182,11 @@ def alpha_ordinal(df: DataFrame, keys: list[str], item: str, rater: str, score:
     levels = counts.groupBy(*keys, score).agg(F.sum("__n").alias("__f"))
     w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
     levels = levels.withColumn("__upto", F.sum("__f").over(w))  # the distance of two levels is what lies between their middles
-    place = (F.col("__upto") - F.col("__f") / 2).alias("__place")
-    placed = counts.join(levels.select(*keys, score, "__f", place), [*keys, score])
+    # Places are counted from the middle of all, where squares are smallest: the sums below are differences of squares.
+    every = F.sum("__f").over(Window.partitionBy(*keys))
+    levels = levels.withColumn("__place", F.col("__upto") - F.col("__f") / 2 - every / 2)
+    place = F.col("__place")
+    placed = counts.join(levels.select(*keys, score, "__f", "__place"), [*keys, score])
     # sum over pairs of squared distances = 2 (n sum of squares - square of sum), per item and over all
     per = placed.groupBy(*keys, item).agg(F.first("__m").alias("__m"), F.sum(F.col("__n") * F.col("__place")).alias("__s"), F.sum(F.col("__n") * F.col("__place") * F.col("__place")).alias("__q"))
     observed = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"), F.sum(2 * (F.col("__m") * F.col("__q") - F.col("__s") * F.col("__s")) / (F.col("__m") - 1)).alias("__o"))
@@ -156,16 +196,27 @@ def alpha_ordinal(df: DataFrame, keys: list[str], item: str, rater: str, score:
     return joined.select(*keys, "n_items", F.when(expected > 0, 1 - F.col("__o") / expected).alias("alpha"))
 
 
-def _replicated(df: DataFrame, item: str, replicates: int, seed: int) -> DataFrame:
-    """A row for each replicate __rep with the item's Poisson(1) weight __w in it."""
-    limits = [0.0]
-    term = math.exp(-1)
+def draws(item: Column, replicates: int, seed: int = 1) -> Column:
+    """array<int>: an item's Poisson(1) weight in each replicate, from the first eight digits of an MD5 of (seed, replicate,
+    item)."""
+    limits, term = [0.0], math.exp(-1)
     for k in range(1, 13):
         limits.append(limits[-1] + term)
         term /= k
-    reps = df.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("__rep"), F.col(item)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    return reps.withColumn("__w", sum((F.when(u >= x, 1).otherwise(0) for x in limits[1:]), F.lit(0)))
+
+    def weight(rep: Column) -> Column:
+        digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), rep.cast("string"), item.cast("string"))), 1, 8)
+        u = F.conv(digits, 16, 10).cast("double") / float(1 << 32)
+        return F.transform(F.array(u), lambda v: sum((F.when(v >= x, 1).otherwise(0) for x in limits[1:]), F.lit(0)))[0]
+
+    return F.transform(F.sequence(F.lit(1), F.lit(replicates)), weight)
+
+
+def _replicated(df: DataFrame, item: str, replicates: int, seed: int) -> DataFrame:
+    """A row for each replicate __rep with the item's weight __w in it."""
+    key = F.to_json(F.struct(item)) if df.schema[item].dataType.typeName() == "struct" else F.col(item)
+    reps = df.select("*", F.posexplode(draws(key, replicates, seed)).alias("__at", "__w"))
+    return reps.withColumn("__rep", F.col("__at") + 1).drop("__at")
 
 
 def alpha_ordinal_ci(df: DataFrame, keys: list[str], item: str, rater: str, score: str, replicates: int = 200, seed: int = 1) -> DataFrame:
@@ -183,15 +234,62 @@ def alpha_ordinal_ci(df: DataFrame, keys: list[str], item: str, rater: str, scor
     return alphas.groupBy(*keys).agg(p.alias("__p")).select(*keys, F.col("__p")[0].alias("low"), F.col("__p")[1].alias("high"))
 
 
+#: So many keys' sums are held at a time in a task.
+HELD = 4096
+
+
+def _weighted_sums(kinds: list, replicates: int):
+    """Batches of key columns, value and weights -> keys, sums of weighted values, sums of weights, replicate by replicate."""
+
+    def batch_of(found: dict, top: np.ndarray, down: np.ndarray):
+        columns = [pa.array([k[i] for k in found], kind) for i, kind in enumerate(kinds)]
+        sums = [pa.array(list(x[: len(found)]), pa.list_(pa.float64())) for x in (top, down)]
+        return pa.RecordBatch.from_arrays(columns + sums, names=[f"k{i}" for i in range(len(kinds))] + ["__top", "__down"])
+
+    def run(batches):
+        found: dict = {}
+        top, down = (np.zeros((HELD, replicates)) for _ in range(2))
+        for batch in batches:
+            *keys, value, weights = batch.columns
+            w = weights.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, replicates)
+            v = value.to_numpy(zero_copy_only=False)
+            places: dict = {}
+            for i, key in enumerate(zip(*(k.to_pylist() for k in keys), strict=True) if keys else [()] * batch.num_rows):
+                places.setdefault(key, []).append(i)
+            for key, rows in places.items():
+                if key not in found and len(found) == HELD:
+                    yield batch_of(found, top, down)
+                    found = {}
+                    top[:], down[:] = 0, 0
+                at = found.setdefault(key, len(found))
+                top[at] += v[rows] @ w[rows]
+                down[at] += w[rows].sum(axis=0)
+        if found:
+            yield batch_of(found, top, down)
+
+    return run
+
+
 def bootstrap_ci(df: DataFrame, keys: list[str], item: str, value: str, replicates: int = 200, seed: int = 1) -> DataFrame:
     """keys, low, high: 2.5 and 97.5 percent bounds of the mean under a Poisson bootstrap of items.
 
-    A row's weight in a replicate is a Poisson(1) number from a hash of (seed, replicate, item): no resampled rows are
-    written, and the weights add up before the shuffle.
+    One pass: each row has an array of its weights in all replicates, a task adds them up key by key, and only those sums
+    are shuffled; rows are not written once for each replicate.
     """
-    sums = _replicated(df, item, replicates, seed).groupBy(*keys, "__rep").agg((F.sum(F.col(value) * F.col("__w")) / F.nullif(F.sum("__w"), F.lit(0))).alias("__mean"))
-    p = F.percentile("__mean", F.array(F.lit(0.025), F.lit(0.975)))
-    return sums.groupBy(*keys).agg(p.alias("__p")).select(*keys, F.col("__p")[0].alias("low"), F.col("__p")[1].alias("high"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"), draws(F.col(item), replicates, seed).alias("__w"))
+    fields = [rows.schema[k] for k in keys]
+    schema = StructType([*[StructField(f"k{i}", f.dataType) for i, f in enumerate(fields)], *[StructField(n, ArrayType(DoubleType())) for n in ("__top", "__down")]])
+    sums = rows.mapInArrow(_weighted_sums([to_arrow_type(f.dataType) for f in fields], replicates), schema).toDF(*keys, "__top", "__down")
+    each = sums.select(*keys, F.posexplode(F.arrays_zip("__top", "__down")).alias("__rep", "__s"))
+    per = each.groupBy(*keys, "__rep").agg(F.sum("__s.__top").alias("__t"), F.sum("__s.__down").alias("__n"))
+    means = per.where("__n > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("__t") / F.col("__n"))).alias("__m"))  # one for each replicate
+
+    def at(p: float) -> Column:
+        place = (F.size("__m") - 1) * F.lit(p)
+        low, high = (F.try_element_at("__m", (f(place) + 1).cast("int")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (place - F.floor(place))
+
+    return means.select(*keys, at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def pair_summary(df: DataFrame, keys: list[str], left: str, right: str, target: str, tolerance: float = 0.1) -> DataFrame:
@@ -211,10 +309,16 @@ def pair_summary(df: DataFrame, keys: list[str], left: str, right: str, target:
 
 
 def histogram_overlap(a: DataFrame, b: DataFrame, keys: list[str], bin_: str) -> DataFrame:
-    """keys, overlap: sum over bins of the smaller share; rows are keys, bin and n."""
-    share = lambda t: t.withColumn("__p", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
-    x, y = share(a), share(b).select(*keys, bin_, F.col("__p").alias("__q"))
-    both = x.join(y, [*keys, bin_], "left")
+    """keys, overlap: sum over bins of the smaller share; rows are keys, bin and n.  b may lack keys: then each of a's
+    histograms is compared with b's one over the keys that it has."""
+
+    def share(t: DataFrame) -> DataFrame:
+        own = [k for k in keys if k in t.columns]
+        return t.withColumn("__p", F.col("n") / F.sum("n").over(Window.partitionBy(*own)))
+
+    x, y = share(a), share(b).select(*[k for k in keys if k in b.columns], bin_, F.col("__p").alias("__q"))
+    shared = [k for k in keys if k in b.columns]
+    both = x.join(y, [*shared, bin_], "left")
     return both.groupBy(*keys).agg(F.sum(F.least("__p", F.coalesce("__q", F.lit(0.0)))).alias("overlap"))
 
 

@@ -134,15 +134,24 @@ def wilcoxon_sums(t):
     return out.select("c_mktsegment", "n", *[F.col(x).cast("double").alias(x) for x in ("w_plus", "w_minus", "w", "ties")], F.round("z", 6).alias("z"))
 
 
-@query()
-def wilcoxon_normal_p(t):
-    out = statistics.wilcoxon_sums(_differences(t), ["c_mktsegment"], "d")
-    return out.select("c_mktsegment", "n", statistics.normal_p(F.col("z")).alias("p"))
+@query("""
+with z(i, z) as (select i, -i / 100.0 from unnest(range(0, 800)) u(i))
+select n_nationkey, i, z, round(1 - 2 / sqrt(pi()) * (select sum(exp(-power((k + 0.5) * (-z / sqrt(2)) / 20000, 2))) * (-z / sqrt(2)) / 20000 from unnest(range(0, 20000)) v(k)), 6) p from z, nation where n_nationkey = 0""")
+def normal_tail(t):
+    """Two-sided p of normal scores from 0 to -8, against a sum of midpoints in the SQL."""
+    rows = t.nation.where("n_nationkey = 0").select("n_nationkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(799).cast("long"))).alias("i"))
+    rows = rows.withColumn("z", -F.col("i") / F.lit(100.0))
+    return rows.withColumn("p", F.round(statistics.normal_p(F.col("z")), 6))
 
 
-@query()
+@query("""
+with m as (select n_regionkey, floor((median(s_acctbal) - 4500) / 500) d from nation join supplier on n_nationkey = s_nationkey group by n_regionkey, n_nationkey),
+r as (select n_regionkey, d, rank() over w + (count(*) over (partition by n_regionkey, abs(d)) - 1) / 2.0 r, row_number() over (partition by n_regionkey order by abs(d)) - 1 i from m where d <> 0 window w as (partition by n_regionkey order by abs(d))),
+g as (select n_regionkey, count(*) n, least(sum(case when d > 0 then r else 0 end), sum(case when d < 0 then r else 0 end)) w from r group by 1),
+s as (select g.n_regionkey, b, sum(case when (b >> i::int) & 1 = 1 then r else 0 end) x from g join r using (n_regionkey), unnest(range(0, 1 << 10)) u(b) where b < (1 << g.n::int) group by 1, 2)
+select k.n_regionkey, coalesce(g.n, 0) n, coalesce((select least(1.0, 2.0 * count(*) filter (x <= g.w) / count(*)) from s where s.n_regionkey = k.n_regionkey), 1.0)::double p from (select distinct n_regionkey from m) k left join g on g.n_regionkey = k.n_regionkey""")
 def wilcoxon_exact_p(t):
-    """Nations of suppliers' balances against the mean: small groups."""
+    """Nations of suppliers' balances against the mean: small groups, of which the SQL tries all signs."""
     rows = t.nation.join(t.supplier.groupBy("s_nationkey").agg(F.median("s_acctbal").alias("m")), F.col("n_nationkey") == F.col("s_nationkey"))
     return statistics.wilcoxon_exact(rows.select("n_regionkey", F.floor((F.col("m") - 4500) / 500).cast("double").alias("d")), ["n_regionkey"], "d")
 
@@ -172,9 +181,15 @@ def krippendorff_ordinal(t):
     return statistics.alpha_ordinal(rows, ["g"], "item", "rater", "s").withColumn("alpha", F.round("alpha", 6))
 
 
-@query()
+@query("""
+with recursive l(k, term, upto) as (select 0, exp(-1.0::double), exp(-1.0::double) union all select k + 1, term / (k + 1), upto + term / (k + 1) from l where k < 11),
+d as (select c_mktsegment, rep, c_acctbal, ('0x' || substr(md5('1:' || rep || ':' || c_custkey), 1, 8))::bigint / 4294967296.0::double u from customer, unnest(range(1, 201)) r(rep)),
+w as (select c_mktsegment, rep, c_acctbal, (select count(*) from l where upto <= u) w from d),
+m as (select c_mktsegment, rep, sum(w * c_acctbal) / sum(w) m from w group by 1, 2)
+select c_mktsegment, round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.975), 6) high from m group by 1""")
 def bootstrap_ci(t):
-    return statistics.bootstrap_ci(t.customer, ["c_mktsegment"], "c_custkey", "c_acctbal")
+    out = statistics.bootstrap_ci(t.customer, ["c_mktsegment"], "c_custkey", "c_acctbal")
+    return out.select("c_mktsegment", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("""
@@ -201,8 +216,7 @@ select source, round(sum(least(p, coalesce(q, 0))), 6) overlap from s left join
 def histogram_overlap(t):
     own = t.documents.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
     every = own.groupBy("lang").agg(F.sum("n").alias("n"))
-    sources = own.select("source").distinct()
-    return statistics.histogram_overlap(own, sources.join(F.broadcast(every)), ["source"], "lang").withColumn("overlap", F.round("overlap", 6))
+    return statistics.histogram_overlap(own, every, ["source"], "lang").withColumn("overlap", F.round("overlap", 6))
 
 
 @query("""

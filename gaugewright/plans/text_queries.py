@@ -41,12 +41,6 @@ def shingle_jaccard(t):
     return _turns(t).select("conv_id", "turn", F.round(text.jaccard(a, b), 9).alias("score"))
 
 
-@query()
-def lcs_ratio(t):
-    rows = conventions.similarity(_turns(t), "a", "b")
-    return rows.select("conv_id", "turn", F.round("lcs_ratio", 9).alias("lcs_ratio"))
-
-
 @query("""
 select doc_id, length(text) chars, len(string_split(text, chr(10))) lines, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) words, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) distinct_words,
   len(regexp_extract_all(text, '[.,;:!?]')) marks from documents""")
@@ -70,12 +64,11 @@ def source_tokens(t):
 
 @query("""
 with n as (select p_partkey, p_name, 'should' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') || p_size || '_' || p_type as name from part)
-select p_partkey, 'should' prefix, 'underscore' "separator", len(string_split(p_name, ' '))::int + 1 lexical,
-  lower(trim(regexp_replace(regexp_replace(regexp_replace(name, '^should', ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_+', ' ', 'g'))) human from n""")
-def test_name_shape(t):
+select p_partkey, lower(trim(regexp_replace(regexp_replace(regexp_replace(name, '^should', ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_+', ' ', 'g'))) human from n""")
+def humanized_names(t):
     camel = F.array_join(F.transform(F.split("p_name", " "), F.initcap), "")
     name = F.concat(F.lit("should"), camel, F.col("p_size"), F.lit("_"), F.col("p_type"))
-    return t.part.select("p_partkey", text.name_shape(name).alias("s"), text.humanize(name).alias("human")).select("p_partkey", "s.*", "human")
+    return t.part.select("p_partkey", text.humanize(name).alias("human"))
 
 
 _MATCH = """

@@ -19,12 +19,13 @@ LINE_DELTAS = "test_selector string, class_name string, newly_covered_lines stri
 CLASS_DELTAS = "class_name string, added_lines int, added_methods int, added_branches int, added_instructions int"
 
 
-def csv_rows(spark: SparkSession, path: str, schema: str | None = None, missing_is_empty: bool = False) -> DataFrame:
+def csv_rows(spark: SparkSession, path: str, schema: str | None = None, missing_is_empty: bool = False, breaks_in_fields: bool = True) -> DataFrame:
     """Rows of CSV files with a header, quoted as in RFC 4180; all text unless a schema is given.
 
-    With missing_is_empty a path that does not exist is an empty table of the schema.
+    With missing_is_empty a path that does not exist is an empty table of the schema.  A file whose fields may hold line
+    breaks is read by one task; without breaks_in_fields large files are split over tasks.
     """
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", breaks_in_fields).option("mode", "PERMISSIVE")
     if schema is None:
         return reader.csv(path)
     fields = StructType.fromDDL(schema).fieldNames()
@@ -69,11 +70,16 @@ def selector_parts(selector: Column) -> Column:
     return F.struct(F.regexp_replace(selector, r"#[^#]*$", "").alias("test_class"), method.alias("test_method"))
 
 
-def artifact_map(rows: DataFrame) -> DataFrame:
-    """repo, fqcn, path: the last row of each key; either column name for the path will do."""
+def artifact_map(rows: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """repo, fqcn, path: the last row of each key; either column name for the path will do.
+
+    Rows are in the order of the columns ``order``.  Without them it is that of the files' names and, within a file that is
+    read by one task, of its lines.
+    """
     names = [c for c in ("fatjar_path", "fatjar") if c in rows.columns]
     path = F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in names])
-    numbered = rows.withColumn("__seq", F.monotonically_increasing_id())
+    at = [F.col(c) for c in order] or [F.input_file_name(), F.monotonically_increasing_id()]
+    numbered = rows.withColumn("__seq", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(at)]))
     return numbered.groupBy("repo", "fqcn").agg(F.max_by(path, F.col("__seq")).alias("path"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.ranking import upsert
 
@@ -28,22 +29,75 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_upsert(new: DataFrame, path: str, staging: str, keys: list[str], seq: str) -> None:
-    """Replaces rows by key in a Parquet table.  The merged table is written beside it first and moved over then, so a
-    lost executor leaves either the old or the new table."""
+#: Buckets of keys that an upserted table is kept in.
+BUCKETS = 64
+_POINTER = "current"  # a name that readers do not pass over
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    to = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join((path, *parts)))
+    return jvm, to, to().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[int, int, dict[int, str]]:
+    """The number of the table's last whole version (0 for none), that of its buckets, and the folder of each of them."""
+    jvm, to, files = _hadoop(spark, path)
+    if not files.exists(to()):
+        return 0, 0, {}
+    numbers = [int(n.rpartition("-")[2]) for s in files.listStatus(to()) if (n := s.getPath().getName()).startswith(f"{_POINTER}-")]
+    if not numbers:
+        return 0, 0, {}
+    lines = [r["value"].partition(" ") for r in spark.read.text(f"{path}/{_POINTER}-{max(numbers):09d}").collect()]  # a line for each bucket
+    return max(numbers), next(int(v) for k, _, v in lines if k == "buckets"), {int(k): v for k, _, v in lines if k != "buckets"}
+
+
+def read_upserted(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """A table of write_upsert(), in its last whole version."""
+    _, _, buckets = _versions(spark, path)
+    if not buckets:
+        if schema is None:
+            raise ValueError(f"{path} holds no table")
+        return spark.createDataFrame([], schema)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(*[f"{path}/{folder}" for _, folder in sorted(buckets.items())])
+
+
+def write_upsert(new: DataFrame, path: str, keys: list[str], seq: str, buckets: int = BUCKETS) -> None:
+    """Replaces rows by key in a table of Parquet folders, one for each bucket of keys; read it with read_upserted().
+
+    The first write says how many buckets a table has.  One job writes at a time.  Only buckets with a new key are read and
+    written again, into folders of a new version.  A pointer file that lists each
+    bucket's folder is written under another name and renamed last: whatever is lost before, the table is the old version,
+    and from then on it is the new one.  Folders that neither the last version nor the one before names are removed then.
+    """
     spark = new.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        old = new.where("false")
-    upsert(old, new, keys, seq).write.mode("overwrite").parquet(staging)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    source, target = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(conf)
-    files.delete(target, True)
-    files.rename(source, target)
+    jvm, to, files = _hadoop(spark, path)
+    number, known_buckets, there = _versions(spark, path)
+    buckets = known_buckets or buckets
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    new = new.withColumn("__bucket", bucket)
+    touched = sorted(r[0] for r in new.select("__bucket").distinct().collect())  # BUCKETS at most
+    if not touched:
+        return
+    data = new.drop("__bucket")
+    known = [there[b] for b in touched if b in there]
+    old = spark.read.schema(data.schema).parquet(*[f"{path}/{folder}" for folder in known]) if known else data.where("false")
+    version = f"v{number + 1:09d}-{uuid.uuid4().hex}"
+    upsert(old, data, keys, seq).withColumn("__bucket", bucket).write.partitionBy("__bucket").parquet(f"{path}/{version}")
+    now = {**there, **{b: f"{version}/__bucket={b}" for b in touched}}
+    text = f"buckets {buckets}\n" + "".join(f"{b} {folder}\n" for b, folder in sorted(now.items()))
+    staged = to(f"_staged-{uuid.uuid4().hex}")
+    out = files.create(staged)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not files.rename(staged, to(f"{_POINTER}-{number + 1:09d}")):
+        raise OSError(f"version {number + 1} of {path} was written by another job")
+    keep = {folder.partition("/")[0] for folder in (*now.values(), *there.values())}
+    for status in files.listStatus(to()):
+        name = status.getPath().getName()
+        if (name.startswith("v") and name not in keep) or name.startswith("_staged-") or (name.startswith(_POINTER) and int(name.rpartition("-")[2]) < number):
+            files.delete(status.getPath(), True)
 
 
 def split_by(df: DataFrame, column: str, path: str) -> None:

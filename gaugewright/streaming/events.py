@@ -5,7 +5,7 @@ The window functions take streaming and batch frames alike, so a batch run is th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -58,27 +58,86 @@ def within(left: DataFrame, right: DataFrame, key: str, reach: str, late: str =
     return a.join(b, on).select(key, "left_id", "right_id")
 
 
-def first_owners(candidates: DataFrame, unit: str, order: str) -> DataFrame:
+def first_owners(candidates: DataFrame, unit: str, order: str, idle_ms: int | None = None) -> DataFrame:
     """unit, owner, changed: the least order of each unit so far.  Late, earlier candidates retract an owner, so rows come
-    in update mode; ``changed`` counts the owners a unit has had.  State is two numbers a unit."""
+    in update mode; ``changed`` counts the owners a unit has had.
+
+    State is two numbers a unit.  With idle_ms a unit without candidates for so long (processing time) is forgotten, and a
+    later candidate starts it anew; without it state grows with the units, which a run's own end bounds.
+    """
 
     def run(key, frames, state: GroupState):
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         owner, changed = state.get if state.exists else (None, 0)
         least = min(int(f[order].min()) for f in frames)
         if owner is None or least < owner:
             owner, changed = least, changed + 1
         state.update((owner, changed))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({unit: [key[0]], "owner": [owner], "changed": [changed]})
 
     kind = candidates.schema[unit].dataType.simpleString()
-    return candidates.select(unit, order).groupBy(unit).applyInPandasWithState(run, f"{unit} {kind}, owner long, changed long", "owner long, changed long", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return candidates.select(unit, order).groupBy(unit).applyInPandasWithState(run, f"{unit} {kind}, owner long, changed long", "owner long, changed long", "update", timeout)
+
+
+def consumed(lines: DataFrame, key: str, decides: Column, deadline: str, late: str = "0 seconds") -> DataFrame:
+    """key, seen, decided, last_ts, status: what a log has said of each key so far, in update mode.
+
+    lines: key, ts and whatever ``decides`` looks at.  A key is open until a line decides it; once the watermark is
+    ``deadline`` past its last line it comes out a last time, as decided or expired, and its state goes.
+    """
+    rows = _late(lines, late)
+    zone = dict(lines.dtypes)["ts"]
+    rows = rows.select(key, "ts", F.coalesce(decides, F.lit(False)).cast("long").alias("__decides"))
+    wait = int(interval_ms(deadline))
+
+    def run(keys, frames, state: GroupState):
+        import pandas as pd
+
+        seen, decided, last = state.get if state.exists else (0, 0, 0)
+        ended = state.hasTimedOut
+        if ended:
+            state.remove()
+        else:
+            for f in frames:
+                seen, decided = seen + len(f), decided + int(f["__decides"].sum())
+                last = max(last, int(f["ts"].max().value // 1000))
+            state.update((seen, decided, last))
+            state.setTimeoutTimestamp(max(last // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+        status = "decided" if decided else "expired" if ended else "open"
+        yield pd.DataFrame({key: [keys[0]], "seen": [seen], "decided": [decided], "last_us": [last], "status": [status]})
+
+    kind = lines.schema[key].dataType.simpleString()
+    out = rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, seen long, decided long, last_us long, status string", "seen long, decided long, last_us long", "update", GroupStateTimeout.EventTimeTimeout)
+    return out.select(key, "seen", "decided", F.timestamp_micros("last_us").cast(zone).alias("last_ts"), "status")
+
+
+def interval_ms(text: str) -> int:
+    """Milliseconds of an interval such as ``10 minutes``."""
+    number, unit = text.split()
+    return int(number) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")]
+
+
+def inactive(events: DataFrame, key: str, gap: str, late: str | None = None) -> DataFrame:
+    """key, last_start, deadline: for each stretch of a key's events when it began and when its inactivity deadline is."""
+    rows = sessions(events, gap, late, key)
+    return rows.select(key, F.col("session_start").alias("last_start"), F.col("session_end").alias("deadline"))
+
+
+def pending(targets: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Targets that an output table has no row for: what is left to do when a run is taken up again."""
+    return targets.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def upserting(path: str, staging: str, keys: list[str], seq: str):
+def upserting(path: str, keys: list[str], seq: str):
     """A foreachBatch function that upserts each batch by key; a batch that is run again changes nothing."""
-    return lambda batch, _: write_upsert(batch, path, staging, keys, seq)
+    return lambda batch, _: write_upsert(batch, path, keys, seq)
 
 
 def run_once(query: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -283,3 +283,105 @@ def test_bootstrap_of_ordinal_alpha(spark):
     assert low < alpha["g"] < high and 0.005 < high - low < 0.3
     again = statistics.alpha_ordinal_ci(frame.repartition(3), ["g"], "item", "rater", "score", 100).where("g = 'g'").first()
     assert (again["low"], again["high"]) == pytest.approx((low, high))
+
+
+def test_normal_tail(spark):
+    import math
+
+    zs = [0.0, 0.1, -0.5, 1.0, 1.96, -3.0, 4.2, 4.3, -6.0, 12.0, 30.0, None]
+    got = spark.createDataFrame([(i, z) for i, z in enumerate(zs)], "i int, z double").withColumn("p", statistics.normal_p(F.col("z"))).orderBy("i").collect()
+    for r, z in zip(got, zs, strict=True):
+        want = None if z is None else math.erfc(abs(z) / math.sqrt(2))
+        assert r["p"] == want if z is None else abs(r["p"] - want) <= 1e-14 + 1e-9 * want
+
+
+def test_quantiles_without_buffers(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randint(0, 9), rng.random() * 5])) for _ in range(400)] + [("c", None), ("d", 2.5)]
+    rows = [(k, None if v is None else float(v)) for k, v in rows]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r for r in statistics.quartiles(frame, ["k"], "v").collect()}
+    for k in ("a", "b", None, "d"):
+        own = [v for g, v in rows if g == k and v is not None]
+        for name, p in (("q1", 25), ("median", 50), ("q3", 75)):
+            assert got[k][name] == pytest.approx(np.percentile(own, p))
+        assert got[k]["n"] == len(own)
+    assert (got["c"]["n"], got["c"]["median"]) == (0, None)
+    assert statistics.signs(frame, ["k"], "v").where("k = 'd'").first()["median"] == 2.5
+
+
+def test_wilcoxon_of_many_pairs(spark):
+    rng = random.Random(6)
+    d = [round(rng.gauss(0.02, 1), 2) for _ in range(1200)]
+    got = statistics.wilcoxon_exact(spark.createDataFrame([("g", x) for x in d], "g string, d double"), ["g"], "d").first()
+    z = statistics.wilcoxon_sums(spark.createDataFrame([("g", x) for x in d], "g string, d double"), ["g"], "d").withColumn("p", statistics.normal_p(F.col("z"))).first()
+    assert got["n"] == sum(x != 0 for x in d) and abs(got["p"] - z["p"]) < 0.002
+
+
+def test_similar_pairs_by_prefixes(spark):
+    rng = random.Random(9)
+    sets = [sorted({rng.choice("aaaabbbbccccdefghijklmnop") for _ in range(rng.randint(1, 9))}) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(sets)), "i int, a array<string>")
+    for least in (0.0, 0.3, 0.5, 0.8, 1.0):
+        got = {(r["x"], r["y"]): r["jaccard"] for r in matching.jaccard_pairs(frame.withColumnRenamed("i", "x"), frame.withColumnRenamed("i", "y"), "x", "y", "a", least).collect()}
+        want = {}
+        for i, j in itertools.product(range(60), repeat=2):
+            both = len(set(sets[i]) & set(sets[j]))
+            if both and both / len(set(sets[i]) | set(sets[j])) >= least:
+                want[i, j] = both / len(set(sets[i]) | set(sets[j]))
+        assert got == pytest.approx(want)
+
+
+def test_long_line_specs(spark):
+    lines = [x for x in range(1, 120_000) if x % 7 and x % 11]
+    want, start = [], None
+    for x in lines:
+        if start is None or x != last + 1:
+            if start is not None:
+                want.append(f"{start}-{last}" if start != last else str(start))
+            start = x
+        last = x
+    want.append(f"{start}-{last}" if start != last else str(start))
+    rows = spark.createDataFrame([(lines[::-1] + lines[:9],), ([],)], "a array<int>")
+    got = rows.select(ranges.encode(F.col("a")).alias("s")).collect()
+    assert got[0]["s"] == ";".join(want) and got[1]["s"] == ""
+    assert value(spark, ranges.line_count(F.lit("1-2000000000;5;1999999999-2000000001;x"))) == 2_000_000_001
+
+
+def test_extremes_of_null_orders(spark):
+    rows = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("a", 3, 3), ("b", None, 4)], "k string, seq int, v int")
+    assert {r["k"]: r["v"] for r in ranking.first_wins(rows, ["k"], "seq").collect()} == {"a": 3, "b": 4}
+    assert {r["k"]: r["v"] for r in ranking.last_wins(rows, ["k"], "seq").collect()} == {"a": 2, "b": 4}
+
+
+def test_alpha_of_many_ratings(spark):
+    """Places are far from zero: sums of squares must not swallow the differences."""
+    rows = spark.range(40_000).selectExpr("'g' g", "id div 2 item", "id % 2 rater", "cast((id div 2) % 3 + if(id % 20 = 1, 1, 0) as int) score")
+    few = spark.range(400).selectExpr("'g' g", "id div 2 item", "id % 2 rater", "cast((id div 2) % 3 + if(id % 20 = 1, 1, 0) as int) score")
+    many, some = (statistics.alpha_ordinal(r, ["g"], "item", "rater", "score").first()["alpha"] for r in (rows, few))
+    assert 0.5 < some < 1 and abs(many - some) < 0.02
+
+
+def test_registered_functions(spark):
+    from gaugewright.functions import registered
+
+    registered.register(spark)
+    spark.createDataFrame([(1, FILE)], "id int, code string").createOrReplaceTempView("registered_sources")
+    names = spark.sql("select id, m.name from registered_sources, lateral test_method_bodies(code) m").collect()
+    assert [r["name"] for r in names] == ["shouldParseHTTP2_response", "testOther"]
+    calls = spark.sql("select c.name, c.arguments from registered_sources, lateral assertion_sites(code) c").collect()
+    assert [(r["name"], len(r["arguments"])) for r in calls] == [("assertEquals", 2), ("assertTrue", 1), ("fail", 0)]
+    assert [r["line"] for r in spark.sql("select * from explode_ranges('9;3-5;4-6;x;0')").collect()] == [3, 4, 5, 6, 9]
+    assert spark.sql("select java_mask('a // b') m, common_length(array('a', 'b'), array('b')) n").first()["n"] == 1
+
+
+def test_scores_of_ngrams(spark):
+    from gaugewright.operators import reports
+
+    score = lambda a, b, **k: value(spark, reports.ngram_score(F.split(F.lit(a), " "), F.split(F.lit(b), " "), **k))
+    assert score("a b c d e", "a b c d e") == pytest.approx(1.0) and score("x y", "a b") == 0
+    assert 0 < score("a b c x", "a b c d") < 1
+    assert score("if x", "if y", weights={"if": 5.0}, most=1) == pytest.approx(5 / 6) and score("if x", "if y", most=1) == pytest.approx(0.5)
+    assert value(spark, reports.ngram_score(F.array().cast("array<string>"), F.array(F.lit("a")))) is None

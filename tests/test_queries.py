@@ -11,7 +11,7 @@ from gaugewright import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-MAY_BE_EMPTY = {"duplicate_keys", "orphan_parts", "differing_sets"}
+MAY_BE_EMPTY = {"duplicate_keys", "orphan_parts", "differing_sets", "inventory_choice", "similar_turns"}
 
 
 @pytest.fixture(scope="module")

@@ -84,9 +84,9 @@ def test_build_files(spark):
 def test_writers(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = lambda *r: spark.createDataFrame(list(r), "k int, seq int, v string")
-    sinks.write_upsert(rows((1, 1, "a"), (2, 2, "b")), path, path + "-new", ["k"], "seq")
-    sinks.write_upsert(rows((2, 3, "c"), (3, 4, "d"), (3, 5, "e")), path, path + "-new", ["k"], "seq")
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, 1, "a"), (2, 2, "c"), (3, 4, "e")]
+    sinks.write_upsert(rows((1, 1, "a"), (2, 2, "b")), path, ["k"], "seq")
+    sinks.write_upsert(rows((2, 3, "c"), (3, 4, "d"), (3, 5, "e")), path, ["k"], "seq")
+    assert sorted(tuple(r) for r in sinks.read_upserted(spark, path).collect()) == [(1, 1, "a"), (2, 2, "c"), (3, 4, "e")]
     csv = str(tmp_path / "c")
     sinks.write_csv(rows((1, 1, 'x,"y"')), csv)
     sinks.write_csv(rows((2, 2, "z")).select("v", "k", "seq"), csv, fresh=False)
@@ -100,3 +100,47 @@ def test_writers(spark, tmp_path):
     assert {tuple(r) for r in sinks.with_sentinel(left, spark.createDataFrame([(1, "p")], "k int, path string"), ["k"], "path").collect()} == {(1, "p"), (2, "FAIL")}
     sinks.write_text(left, "k", str(tmp_path / "x"))
     assert spark.read.text(str(tmp_path / "x")).count() == 2
+
+
+def test_upserts_survive_a_lost_driver(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, seq int, v string")
+    now = lambda: sorted(tuple(r) for r in sinks.read_upserted(spark, path).collect())
+    sinks.write_upsert(rows((1, 1, "a"), (2, 2, "b")), path, ["k"], "seq", 4)
+    before = sorted(p.name for p in (tmp_path / "t").iterdir())
+
+    class Lost(Exception):
+        pass
+
+    real = sinks._hadoop
+
+    def lost(spark, path):
+        jvm, to, files = real(spark, path)
+
+        class Files:
+            def __getattr__(self, name):
+                if name == "rename":
+                    raise Lost  # data and pointer are written, the pointer is not in its place yet
+                return getattr(files, name)
+
+        return jvm, to, Files()
+
+    monkeypatch.setattr(sinks, "_hadoop", lost)
+    with pytest.raises(Lost):
+        sinks.write_upsert(rows((2, 3, "c"), (3, 4, "d")), path, ["k"], "seq")
+    monkeypatch.undo()
+    assert now() == [(1, 1, "a"), (2, 2, "b")]
+    sinks.write_upsert(rows((3, 4, "d")), path, ["k"], "seq")
+    assert now() == [(1, 1, "a"), (2, 2, "b"), (3, 4, "d")]
+    sinks.write_upsert(rows((2, 5, "e")), path, ["k"], "seq", 9)  # the table keeps its four buckets
+    sinks.write_upsert(rows(), path, ["k"], "seq")
+    assert now() == [(1, 1, "a"), (2, 2, "e"), (3, 4, "d")]
+    names = [p.name for p in (tmp_path / "t").iterdir()]
+    assert not [n for n in names if "staged" in n] and len([n for n in names if n.startswith("current")]) == 2 and before
+
+
+def test_artifacts_go_by_file_and_line(spark, tmp_path):
+    for name, lines in (("a.csv", ["r,C,one.jar"]), ("b.csv", ["r,C,two.jar", "r,C,three.jar"])):
+        (tmp_path / name).write_text("repo,fqcn,fatjar\n" + "\n".join(lines) + "\n")
+    assert readers.artifact_map(readers.csv_rows(spark, str(tmp_path))).first()["path"] == "three.jar"
+    assert readers.csv_rows(spark, str(tmp_path), breaks_in_fields=False).count() == 3

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from gaugewright.operators.coverage import owners
+from gaugewright.sources import sinks
 from gaugewright.streaming import events as streams
 
 PATH = "/root/testdata/sf0.001/events.parquet"
@@ -64,8 +65,35 @@ def test_upserting_sink(spark, tmp_path):
     frame = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 3, "c")], "k int, seq int, v string")
     frame.repartition(2).write.parquet(str(tmp_path / "in"))
     stream = streams.read_events(spark, str(tmp_path / "in"), frame.schema, files_per_trigger=1)
-    sink = streams.upserting(str(tmp_path / "t"), str(tmp_path / "t2"), ["k"], "seq")
+    sink = streams.upserting(str(tmp_path / "t"), ["k"], "seq")
     q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert {r["k"]: r["v"] for r in spark.read.parquet(str(tmp_path / "t")).collect()}[2] == "c"
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    got = sinks.read_upserted(spark, str(tmp_path / "t"))
+    assert {r["k"]: r["v"] for r in got.collect()}[2] == "c" and got.count() == 2
+
+
+def test_log_consumption(spark, tmp_path):
+    """Lines of a key add up over batches; a key whose deadline the watermark passes comes out a last time."""
+    rows = [(1, "2024-01-01 00:00:00", "start"), (2, "2024-01-01 00:01:00", "start"), (2, "2024-01-01 00:02:00", "keep"), (3, "2024-01-01 05:00:00", "start"), (3, "2024-01-01 09:00:00", "start")]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], "k long, ts string, line string").selectExpr("k", "cast(ts as timestamp) ts", "line").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    from pyspark.sql import functions as F
+
+    stream = streams.read_events(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_per_trigger=1)
+    got = streams.run_once(streams.consumed(stream, "k", F.col("line") == "keep", "10 minutes"), "logs", str(tmp_path / "c"), "update").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["k"], []).append((r["seen"], r["decided"], r["status"]))
+    assert (2, 1, "decided") in by[2] and by[1][0] == (1, 0, "open")
+    assert by[1][-1][2] == "expired" and by[2][-1][2] == "decided" and by[3][-1][2] in ("open", "expired")
+
+
+def test_pending_targets(spark):
+    targets = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
+    assert {r["k"] for r in streams.pending(targets, spark.createDataFrame([(2, "x"), (2, "y")], "k int, w string"), ["k"]).collect()} == {1, 3}
+
+
+def test_inactivity_deadlines(spark):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:03:00"), (1, "2024-01-01 01:00:00")], "user_id long, ts string").selectExpr("user_id", "cast(ts as timestamp) ts")
+    got = sorted((str(r["last_start"]), str(r["deadline"])) for r in streams.inactive(rows, "user_id", "5 minutes").collect())
+    assert got == [("2024-01-01 00:00:00", "2024-01-01 00:08:00"), ("2024-01-01 01:00:00", "2024-01-01 01:05:00")]
