@@ -48,6 +48,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder that nothing reads any more."""
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+
+
+def released(df: DataFrame) -> None:
+    """Removes the files of a checkpointed() frame; only for one that no frame still to be read comes from."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        removed(df.sparkSession, file.get())
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, ship, slices, text_or_empty
+from .common import checkpointed, released, ship, slices, text_or_empty
 from .shingles import WIDTH, jaccard, mix, shingles
 
 THRESHOLD = 0.8
@@ -324,11 +324,11 @@ def components(edges: DataFrame, least: DataFrame) -> DataFrame:
 
     Labels are (doc_id, key), as keys may share a doc_id.  They start as a key's own and fall to the least among
     neighbours; every second step follows each label to its own label (a shortcut over long chains).  Each step is
-    checkpointed; the loop ends when no label changes.
+    checkpointed and the one before it removed; the loop ends when no label changes.
     """
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     nodes = both.select(F.col("a").alias("key")).distinct()
-    labels = checkpointed(nodes.join(least, "key").select("key", F.struct("doc_id", "key").alias("label")))
+    held = labels = checkpointed(nodes.join(least, "key").select("key", F.struct("doc_id", "key").alias("label")))
     while True:
         heard = both.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("heard"))
         step = labels.join(heard, labels.key == heard.a, "left").select("key", F.least("label", "heard").alias("near"), "label")
@@ -336,8 +336,11 @@ def components(edges: DataFrame, least: DataFrame) -> DataFrame:
         step = step.join(jump, F.col("near.key") == F.col("__own"), "left").select("key", F.least("near", "far").alias("new"), "label")
         step = checkpointed(step)
         changed = step.where("new < label").limit(1).count()
+        released(held)
+        held = step
         labels = step.select("key", F.col("new").alias("label"))
         if not changed:
+            released(both)
             return labels.select("key", F.col("label.doc_id").alias("class_id"), F.col("label.key").alias("class_key"))
 
 

@@ -51,11 +51,21 @@ def ranks(path: str) -> dict[bytes, int]:
     return {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token != SPECIAL}
 
 
+def usual_split(path: str) -> bool:
+    """Whether a .json file asks for byte-level splitting by PATTERN, without normalising, and adds no token but SPECIAL."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    split = said.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    return plain and said.get("normalizer") is None and {t["content"] for t in said.get("added_tokens", ())} <= {SPECIAL}
+
+
 def encoder(path: str):
     """text -> list of ids, equal to those of the tokenizers library for the .json file at ``path``.
 
-    The ids come from a faster encoder over the same vocabulary; a text that holds the special token's string or that
-    this encoder gives up on (endless runs without a break) is encoded by the tokenizers library itself.
+    The ids come from a faster encoder over the same vocabulary, if the file asks for the pre-split that it knows (see
+    usual_split()); a text that holds the special token's string or that this encoder gives up on (endless runs without a
+    break) is encoded by the tokenizers library itself, and so are all texts of files that ask for anything else.
     """
     if path not in _cache:
         import tiktoken
@@ -70,8 +80,10 @@ def encoder(path: str):
                 exact.exact = Tokenizer.from_file(path)
             return exact.exact.encode(text, add_special_tokens=False).ids
 
+        usual = path.endswith(".tiktoken") or usual_split(path)
+
         def encode(text: str) -> list[int]:
-            if SPECIAL in text:
+            if SPECIAL in text or not usual:
                 return exact(text)
             try:
                 return fast.encode_ordinary(text)
