@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewright.llm import jaccard, mixing, packing, quality, secrets
-from gaugewright.llm.common import read, shared_folder
+from gaugewright.llm.common import read, removed, shared_folder
 from gaugewright.llm.queries import tokenizer_path
 
 
@@ -52,10 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; each one's rows are written in the cluster's shared folder and read again."""
+    """All stages in turn; each one's rows are written in the cluster's shared folder and read again.
+
+    A stage's folder is removed when the next one's is whole; the last one's input stays, as the result reads it.
+    """
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            removed(spark, before)
+        before = f"{base}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
