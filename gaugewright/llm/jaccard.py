@@ -8,9 +8,11 @@
 4. What is left is verified exactly on the whole texts' shingle sets.
 
 Buckets of up to SMALL classes write out their surviving pairs, which are then joined with the texts.  Larger buckets are
-dealt as tiles: two blocks of a bucket that meet in a task of their own, with their texts.  There pruning and
-verification end in one row for each class: its number of links in the tile and one class it is connected to.  So a hot
-bucket is neither gathered in one place nor written out as pairs, and no link is lost.
+dealt as tiles: two blocks of a bucket that meet in a task of their own, first without texts.  Pruning leaves the classes
+that have a surviving pair in the tile, in the first bucket that the pair shares; these alone meet again with their texts
+(a group of copies shares most of its buckets, but its pairs are left in one of them).  There verification ends in one row
+for each class: its number of links in the tile and one class it is connected to.  So a hot bucket is neither gathered in
+one place nor written out as pairs, and no link is lost.
 
 A pair at the threshold shares no bucket with a chance of (1 - 0.8**5)**30, under 7e-6, and is dropped wrongly with one
 under TOLERANCE a step.  Links make classes (connected components), named by their least doc_id; n_links counts, for each
@@ -196,19 +198,41 @@ def common_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nd
     return total[a, b].astype(np.int64)
 
 
+TILE = "bucket long, i int, j int, block int, doc_id long, tid binary, key binary, n long, sig binary, buckets array<long>"
+_TILE_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+
+
+def _tile_pairs(group: list, threshold: float, least: list[int]):
+    """Keys, sizes, and surviving pairs of a tile's rows (TILE, and a text at times)."""
+    _, keys, numbers, n, sigs = _arrays(group, 4)
+    bucket, i, j = group[0][:3]
+    if i == j:
+        return keys, n, *_surviving(bucket, numbers, n, sigs, np.arange(len(keys)), None, threshold, least)
+    block = np.array([r[3] for r in group])
+    return keys, n, *_surviving(bucket, numbers, n, sigs, np.flatnonzero(block == i), np.flatnonzero(block == j), threshold, least)
+
+
+def _needed(threshold: float):
+    """TILE rows sorted by tile -> those that have a surviving pair there."""
+
+    def run(batches):
+        least = needed(threshold)
+        for group in _groups(slices(batches), 3):
+            _, _, a, b = _tile_pairs(group, threshold, least)
+            rows = [group[u] for u in np.unique(np.concatenate((a, b))).tolist()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _TILE_KINDS, strict=True)], names=[c.split()[0] for c in TILE.split(", ")])
+
+    return run
+
+
 def _tiles(threshold: float, width: int):
-    """(bucket, i, j, block, doc_id, tid, key, n, sig, buckets, text) sorted by tile -> (key, root, links)."""
+    """TILE rows with their text, sorted by tile -> (key, root, links)."""
 
     def run(batches):
         least = needed(threshold)
         for group in _groups(slices(batches), 3):
-            _, keys, numbers, n, sigs = _arrays(group, 4)
-            bucket, i, j = group[0][:3]
-            if i == j:
-                a, b = _surviving(bucket, numbers, n, sigs, np.arange(len(keys)), None, threshold, least)
-            else:
-                block = np.array([r[3] for r in group])
-                a, b = _surviving(bucket, numbers, n, sigs, np.flatnonzero(block == i), np.flatnonzero(block == j), threshold, least)
+            keys, n, a, b = _tile_pairs(group, threshold, least)
             if not len(a):
                 continue
             used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
@@ -312,10 +336,12 @@ def links(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, width:
     both = F.array(F.struct(F.col("key_a").alias("key"), F.col("key_b").alias("root")), F.struct(F.col("key_b").alias("key"), F.col("key_a").alias("root")))
     few = verified.select(F.explode(both).alias("e")).select("e.key", "e.root", F.lit(1).cast("long").alias("links"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
-    large = found.where(F.col("m") > SMALL).join(texts, ["doc_id", "tid"]).withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    large = found.where(F.col("m") > SMALL).withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    tiled = large.withColumn("tile", F.explode(tiles)).select("bucket", "tile.i", "tile.j", "block", *columns, "text")
-    dealt = tiled.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    tiled = large.withColumn("tile", F.explode(tiles)).select("bucket", "tile.i", "tile.j", "block", *columns)
+    deal = lambda rows: rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    left = deal(tiled).mapInArrow(_needed(threshold), TILE)
+    dealt = deal(left.join(texts, ["doc_id", "tid"]).select("bucket", "i", "j", "block", *columns, "text"))
     return few.unionByName(dealt.mapInArrow(_tiles(threshold, width), "key binary, root binary, links long"))
 
 
