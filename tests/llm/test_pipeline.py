@@ -87,3 +87,16 @@ def test_near_copies_go_by_row(spark):
     assert got.dtypes == docs.dtypes
     kept = [(r["doc_id"], (r["text"] or "-")[0]) for r in got.collect()]
     assert sorted(kept, key=str) == sorted([(1, "a"), (2, "b"), (3, "c"), (None, "d"), (None, "e"), (3, "-")], key=str)
+
+
+def test_columns_of_other_names_stay(spark):
+    """Columns that the operators name themselves come out of each stage as they were."""
+    extra = ("blob", "secrets", "rate", "copies", "copy", "shuffle_key", "key", "tid", "x", "y", "score", "keep")
+    rows = [(i, f"password=abcdefgh{i} and a text with more words, number {i}", "en", "s", 9, *[f"{c}{i}" for c in extra]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes
+        for r in out.collect():
+            assert all(r[c] == f"{c}{r['doc_id']}" for c in extra)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
