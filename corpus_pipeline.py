@@ -26,18 +26,23 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return jaccard.distinct(docs)
 
 
+def held(docs: DataFrame, *names: str) -> DataFrame:
+    """__row, the whole row, and the named columns: an operator's own column names cannot clash with those of docs."""
+    return docs.select(F.struct(*docs.columns).alias("__row"), *names)
+
+
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets' spans are replaced; n_chars follows."""
     ledger = secrets.Ledger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
     ledger.add(docs.select("doc_id", "text"))
-    clean = secrets.redact(secrets.findings(docs, ledger.rows()))
-    changed = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", changed).select(*docs.columns)
+    clean = secrets.redact(secrets.findings(held(docs, "text"), ledger.rows()))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("__row.n_chars"))}
+    return clean.select(*[new[c].alias(c) if c in new else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to equal weights; copies keep their doc_id."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(held(docs, "doc_id", "source")).select("__row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
