@@ -40,8 +40,10 @@ select c_custkey, variant, measurement_status, incremental_lines::bigint increme
 @query(_FACTS)
 def incremental_status(t):
     c = F.col
-    base = t.orders.groupBy(c("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("base"), F.count_if(c("o_orderstatus") == "F").alias("fin"))
-    by = t.orders.groupBy(c("o_custkey").alias("c_custkey"), c("o_orderpriority").alias("pr")).agg(F.count(F.lit(1)).alias("n"), F.count_if(c("o_orderstatus") == "O").alias("o"), F.max("o_totalprice").alias("top"))
+    # One aggregate of the orders; what is known of a customer as a whole is summed from it, over the same shuffle.
+    counts = {"n": F.count(F.lit(1)), "o": F.count_if(c("o_orderstatus") == "O"), "f": F.count_if(c("o_orderstatus") == "F"), "top": F.max("o_totalprice")}
+    by = t.orders.groupBy(c("o_custkey").alias("c_custkey"), c("o_orderpriority").alias("pr")).agg(*[v.alias(k) for k, v in counts.items()])
+    base = by.groupBy("c_custkey").agg(F.sum("n").alias("base"), F.sum("f").alias("fin"))
     names = dict(zip(PRIORITIES, incremental.VARIANTS[1:], strict=True))
     matrix = by.withColumn("variant", F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[c("pr")])
     rows = incremental.expand(t.customer, matrix, ["c_custkey"]).join(base, "c_custkey", "left")
@@ -152,7 +154,7 @@ s as (select g.n_regionkey, b, sum(case when (b >> i::int) & 1 = 1 then r else 0
 select k.n_regionkey, coalesce(g.n, 0) n, coalesce((select least(1.0, 2.0 * count(*) filter (x <= g.w) / count(*)) from s where s.n_regionkey = k.n_regionkey), 1.0)::double p from (select distinct n_regionkey from m) k left join g on g.n_regionkey = k.n_regionkey""")
 def wilcoxon_exact_p(t):
     """Nations of suppliers' balances against the mean: small groups, of which the SQL tries all signs."""
-    rows = t.nation.join(t.supplier.groupBy("s_nationkey").agg(F.median("s_acctbal").alias("m")), F.col("n_nationkey") == F.col("s_nationkey"))
+    rows = t.nation.join(statistics.quantiles(t.supplier, ["s_nationkey"], "s_acctbal", {"m": 0.5}), F.col("n_nationkey") == F.col("s_nationkey"))
     return statistics.wilcoxon_exact(rows.select("n_regionkey", F.floor((F.col("m") - 4500) / 500).cast("double").alias("d")), ["n_regionkey"], "d")
 
 
@@ -241,7 +243,8 @@ def weighted_closeness(t):
 with m as (select c_nationkey k, c_mktsegment g, median(c_acctbal) m from customer group by 1, 2), w as (select k, max(m) filter (g = 'BUILDING') a, max(m) filter (g = 'MACHINERY') b, max(m) filter (g = 'FURNITURE') f from m group by 1)
 select k, case when b > f then round((a - f) / (b - f), 6) end fit from w""")
 def human_fit(t):
-    wide = t.customer.groupBy(F.col("c_nationkey").alias("k")).pivot("c_mktsegment", ["BUILDING", "MACHINERY", "FURNITURE"]).agg(F.median("c_acctbal"))
+    per = statistics.quantiles(t.customer, ["c_nationkey", "c_mktsegment"], "c_acctbal", {"m": 0.5})
+    wide = per.groupBy(F.col("c_nationkey").alias("k")).agg(*[F.max(F.when(F.col("c_mktsegment") == s, F.col("m"))).alias(s) for s in ("BUILDING", "MACHINERY", "FURNITURE")])
     return wide.select("k", F.round(scalars.fit(F.col("BUILDING"), F.col("FURNITURE"), F.col("MACHINERY")), 6).alias("fit"))
 
 
@@ -249,8 +252,10 @@ def human_fit(t):
 with m as (select n_regionkey r, s_nationkey k, median(s_acctbal) m from supplier join nation on n_nationkey = s_nationkey group by 1, 2)
 select r, round(median(m), 4) median_of_medians, count(*) filter (m > 4500) wins, count(*) filter (m < 4500) losses from m group by 1""")
 def two_stage_median(t):
-    per = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).groupBy(F.col("n_regionkey").alias("r"), "s_nationkey").agg(F.median("s_acctbal").alias("m"))
-    return per.groupBy("r").agg(F.round(F.median("m"), 4).alias("median_of_medians"), F.count_if(F.col("m") > 4500).alias("wins"), F.count_if(F.col("m") < 4500).alias("losses"))
+    rows = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).withColumnRenamed("n_regionkey", "r")
+    per = statistics.quantiles(rows, ["r", "s_nationkey"], "s_acctbal", {"m": 0.5})
+    middle = statistics.quantiles(per, ["r"], "m", {"median_of_medians": 0.5}).withColumn("median_of_medians", F.round("median_of_medians", 4))
+    return middle.join(per, "r").groupBy("r", "median_of_medians").agg(F.count_if(F.col("m") > 4500).alias("wins"), F.count_if(F.col("m") < 4500).alias("losses"))
 
 
 @query("""

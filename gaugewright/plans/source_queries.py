@@ -87,11 +87,12 @@ def _reports(rows, name: str) -> str:
 
 
 def _report(t) -> str:
-    """Coverage reports: a package for each nation, a file for each supplier of it, two lines and a counter a file."""
+    """Coverage reports of at most a hundred suppliers each: a package for a nation, a file for a supplier of it, two lines and a
+    counter a file."""
     line = lambda nr, ci: F.concat(F.lit('<line nr="'), nr, F.lit('" mi="1" ci="'), ci, F.lit('" mb="0" cb="0"/>'))
     body = F.concat(line(F.col("s_suppkey"), F.col("s_nationkey")), line(F.col("s_suppkey") + 1, F.lit(0)), F.lit('<counter type="LINE" missed="1" covered="'), F.col("s_nationkey"), F.lit('"/>'))
     file = F.concat(F.lit('<sourcefile name="S'), "s_suppkey", F.lit('.java">'), body, F.lit("</sourcefile>"))
-    packages = t.supplier.groupBy("s_nationkey").agg(F.array_join(F.collect_list(file), "").alias("files"))  # one nation's files
+    packages = t.supplier.groupBy("s_nationkey", F.expr("s_suppkey div 100")).agg(F.array_join(F.collect_list(file), "").alias("files"))
     return _reports(packages.select(F.concat(F.lit('<package name="p/n'), "s_nationkey", F.lit('">'), "files", F.lit("</package>")).alias("line")), "xml")
 
 
@@ -119,7 +120,7 @@ def class_ids(t):
 select 'rule' kind, p_brand "name", count(*) n from part group by 2
 union all select 'duplication', 'blocks', count(*) from part union all select 'duplication', 'lines', sum(p_size)::bigint from part""")
 def analysis_xml(t):
-    of = lambda item: t.part.groupBy("p_size").agg(F.array_join(F.collect_list(item), "").alias("line")).select("line")  # a report for each size
+    of = lambda item: t.part.groupBy(F.expr("p_partkey div 100")).agg(F.array_join(F.collect_list(item), "").alias("line")).select("line")  # a hundred parts a report
     rules = of(F.concat(F.lit('<violation rule="'), "p_brand", F.lit('">said</violation>')))
     copies = of(F.concat(F.lit('<duplication lines="'), "p_size", F.lit('" tokens="60"></duplication>')))
     found = readers.rule_violations(t._spark, _reports(rules, "rules")).select(F.lit("rule").alias("kind"), F.col("rule").alias("name"), "n")
@@ -170,7 +171,7 @@ def archive_entries(t):
 def tree_entries(t):
     """Landed JSON trees of files and folders."""
     entry = F.struct(F.when(F.col("c_acctbal") < 0, "tree").otherwise("blob").alias("type"), F.concat(F.lit("src/test/C"), "c_custkey", F.lit(".java")).alias("path"))
-    trees = t.customer.groupBy(F.col("c_nationkey").alias("name")).agg(F.to_json(F.struct(F.collect_list(entry).alias("tree"))).alias("body"))
+    trees = t.customer.groupBy(F.col("c_nationkey").alias("name"), F.expr("c_custkey div 100")).agg(F.to_json(F.struct(F.collect_list(entry).alias("tree"))).alias("body"))
     return readers.tree_entries(trees, "name", "body").withColumn("kind", selection.path_kind(F.col("path")))
 
 
