@@ -39,11 +39,11 @@ def _sources(t):
 
 
 @query("""
-select s_suppkey, 'a = ' || repeat(' ', length(s_name) + 7) || ';' || repeat(' ', 5) || chr(10) || 'b ' || repeat(' ', length(s_nationkey::varchar) + 6) || ' = ' || repeat(' ', 3) || ';' masked, [true, true, false] code_lines from supplier""")
+select s_suppkey, 'a = ' || repeat(' ', length(s_name) + 7) || ';' || repeat(' ', 5) || chr(10) || 'b ' || repeat(' ', length(s_nationkey::varchar) + 6) || ' = ' || repeat(' ', 3) || ';' masked, 'true,true,false' code_lines from supplier""")
 def java_mask(t):
     code = F.concat(F.lit('a = "x // '), "s_name", F.lit('"; // c\nb /* '), "s_nationkey", F.lit(" */ = '\"';"))
     lines = java.code_lines_column(F.concat(F.lit("x();\ny(); // "), "s_name", F.lit("\n/* "), "s_name", F.lit(" */")))
-    return t.supplier.select("s_suppkey", java.mask_column(code).alias("masked"), lines.alias("code_lines"))
+    return t.supplier.select("s_suppkey", java.mask_column(code).alias("masked"), F.array_join(F.transform(lines, lambda x: x.cast("string")), ",").alias("code_lines"))
 
 
 @query("""
@@ -83,7 +83,7 @@ def java_quality(t):
 
 
 @query("""
-select s_suppkey, 0.5 assertion_family, 1.0 naming_style, 0.0 fixture_reuse, 0.5 import_conformance from supplier""")
+select s_suppkey, 0.5::double assertion_family, 1.0::double naming_style, 0.0::double fixture_reuse, 0.5::double import_conformance from supplier""")
 def java_conventions(t):
     """A candidate with one JUnit and one AssertJ assertion, a helper's name it never calls, and one of two imports known."""
     reference = F.concat(F.lit("import a.B;\nclass R { void testOne() { assertEquals(1, x); } Foo help"), "s_suppkey", F.lit("() { return null; } }"))
@@ -107,7 +107,7 @@ def name_shapes(t):
 
 @query("""
 select s_suppkey, 'p.n' || s_nationkey package, 'S' || s_suppkey || 'Test' class, 4 junit, 'p.n' || s_nationkey || '.S' || s_suppkey target, 'a.b.S' || s_suppkey fqcn, 'Foo' || 'Bar' || s_suppkey camel,
-  'o_r-' || s_suppkey dir, 'a_b-' || s_suppkey safe, s_name decoded, ['make', 'helper'] helpers from supplier""")
+  'o_r-' || s_suppkey dir, 'a_b-' || s_suppkey safe, s_name decoded, 'make,helper' helpers from supplier""")
 def java_identities(t):
     rows = _sources(t)
     code, key = F.col("text"), F.col("s_suppkey")
@@ -123,7 +123,7 @@ def java_identities(t):
         scalars.repo_to_dir(F.concat(F.lit("o/r-"), key)).alias("dir"),
         scalars.safe_name(F.concat(F.lit("a :b-"), key)).alias("safe"),
         scalars.unbase64_text(F.base64(F.encode("s_name", "UTF-8"))).alias("decoded"),
-        helpers.alias("helpers"),
+        F.array_join(helpers, ",").alias("helpers"),
     )
 
 
@@ -161,18 +161,18 @@ def _logs(t):
 
 
 @query("""
-select c_custkey, c_custkey::int started, 2 skipped, 1 failed, case when c_acctbal < 0 then ['d' || c_nationkey, 'm' || c_nationkey] else [] end methods, 'Caused by: java.lang.IllegalStateException: bad' detail,
-  not c_acctbal < 0 safe, 'src/A.java' file, c_nationkey::int line, ['x.y' || c_nationkey] packages from customer""")
+select c_custkey, c_custkey::int started, 2 skipped, 1 failed, case when c_acctbal < 0 then 'd' || c_nationkey || ',m' || c_nationkey else '' end methods, 'Caused by: java.lang.IllegalStateException: bad' detail,
+  not c_acctbal < 0 safe, 'src/A.java' file, c_nationkey::int line, 'x.y' || c_nationkey packages from customer""")
 def log_facts(t):
     """Summary, failed methods, first telling line, error places and package hints of logs."""
     logs = _logs(t)
     log = F.col("text")
     one = logs.select(
-        "c_custkey", classify.runner_summary(log).alias("s"), sources_text.failed_methods(log, "a.B").alias("methods"), classify.first_line(log, r"^Caused by").alias("detail"),
+        "c_custkey", classify.runner_summary(log).alias("s"), F.array_join(sources_text.failed_methods(log, "a.B"), ",").alias("methods"), classify.first_line(log, r"^Caused by").alias("detail"),
         classify.safe_assertion_failure(log, ["FAILURE in"], ["started="]).alias("safe"),
     ).select("c_custkey", "s.*", "methods", "detail", "safe")
     places, hints = sources_text.error_locations(logs, ["c_custkey"]), sources_text.package_hints(logs, ["c_custkey"])
-    return one.join(places, "c_custkey").join(hints.select("c_custkey", "packages"), "c_custkey")
+    return one.join(places, "c_custkey").join(hints.select("c_custkey", F.array_join("packages", ",").alias("packages")), "c_custkey")
 
 
 @query("""

@@ -128,7 +128,7 @@ def annotated_lines(t):
 
 
 @query("""
-select s_suppkey, 'Foo' || s_nationkey symbol, ['a.b', 'c.d'] packages, 'c.d' missing, 'x/' || s_nationkey || '.java' path from supplier where s_nationkey <> 4""")
+select s_suppkey, 'Foo' || s_nationkey symbol, 'a.b,c.d' packages, 'c.d' missing, 'x/' || s_nationkey || '.java' path from supplier where s_nationkey <> 4""")
 def import_hints(t):
     """Packages of imported classes, which of them nobody declares, and the first source that would."""
     code = F.concat(F.lit("import a.b.Foo"), "s_nationkey", F.lit(";\nimport static c.d.Foo"), "s_nationkey", F.lit(".of;\nimport e.f.*;\n"))
@@ -138,7 +138,7 @@ def import_hints(t):
     missing = reports.missing_imports(rows, declared, ["s_suppkey"])
     files = t.nation.select(F.lit("c.d").alias("package"), F.concat(F.lit("Foo"), "n_nationkey").alias("symbol"), F.explode(F.array(F.concat(F.lit("x/"), "n_nationkey", F.lit(".java")), F.concat(F.lit("y/"), "n_nationkey", F.lit(".java")))).alias("path"))
     found = reports.declaring_sources(missing, files, t.region.select(F.lit("x/4.java").alias("path")))
-    return hints.join(missing.withColumnRenamed("package", "missing"), ["s_suppkey", "symbol"]).join(found.drop("package"), "symbol").select("s_suppkey", "symbol", "packages", "missing", "path")
+    return hints.join(missing.withColumnRenamed("package", "missing"), ["s_suppkey", "symbol"]).join(found.drop("package"), "symbol").select("s_suppkey", "symbol", F.array_join("packages", ",").alias("packages"), "missing", "path")
 
 
 @query("""
@@ -203,12 +203,12 @@ def best_unique(t):
 
 @query("""
 with s as (select l_suppkey, list_distinct(list(l_linenumber + (l_partkey % 60)::int)) a from lineitem group by 1)
-select l_suppkey, len(a)::bigint n, list_sort(a)::int[] lines from s""")
+select l_suppkey, len(a)::bigint n, array_to_string(list_sort(a), ',') lines from s""")
 def line_specs(t):
     """Specs of lines there and back, and their number from the spans alone."""
     lines = t.lineitem.groupBy("l_suppkey").agg(F.collect_set((F.col("l_linenumber") + F.col("l_partkey") % 60).cast("int")).alias("a"))
     spec = lines.select("l_suppkey", ranges.encode(F.col("a")).alias("spec"))
-    return spec.select("l_suppkey", ranges.line_count(F.col("spec")).alias("n"), ranges.decode(F.col("spec")).alias("lines"))
+    return spec.select("l_suppkey", ranges.line_count(F.col("spec")).alias("n"), F.array_join(ranges.decode(F.col("spec")), ",").alias("lines"))
 
 
 @query("""
@@ -253,7 +253,7 @@ select s_suppkey, case when s_nationkey < 5 then 'Improve S' || s_suppkey || ' o
 def filled_templates(t):
     """Texts of a template table with their values put in, by the type of each request."""
     templates = t._spark.createDataFrame([("improve", "Improve {cls} of {repo}."), ("name", "Name {cls}.")], "kind string, template string")
-    rows = t.supplier.select("s_suppkey", F.when(F.col("s_nationkey") < 5, "improve").otherwise("name").alias("kind"), F.concat(F.lit("S"), "s_suppkey").alias("cls"), F.col("s_name").alias("repo"), F.expr("s_nationkey div 5").alias("batch"))
+    rows = t.supplier.select("s_suppkey", F.when(F.col("s_nationkey") < 5, "improve").otherwise("name").alias("kind"), F.concat(F.lit("S"), "s_suppkey").alias("cls"), F.col("s_name").alias("repo"), F.expr("s_nationkey div 5").cast("int").alias("batch"))
     return reports.filled(rows, templates, ["cls", "repo"]).select("s_suppkey", F.col("text").alias("prompt"), "batch")
 
 
