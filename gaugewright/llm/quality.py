@@ -38,7 +38,7 @@ from .common import checkpointed, ship, slices, text_or_empty
 from .shingles import _powers, mix
 
 LABELLED, ROUNDS, STEPS = 6000, 3, 2
-CONFIDENT = 0.98
+CONFIDENT = 0.995
 KEEP = 0.5
 KNOTS = (0.1, 0.3, 0.5, 0.7, 0.9, 0.97)
 #: Bins of hashed word shapes, words, languages and sources; numbers before them in either view.

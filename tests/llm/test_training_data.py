@@ -758,7 +758,8 @@ def plain_training(x, y, pool, rounds):
     return views, tuple(handed)
 
 
-def test_co_training_brute_force(spark):
+def test_co_training_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CONFIDENT", 0.95)  # a few hundred labelled rows cannot show more
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefg", k=rng.randint(2, 8))) for _ in range(300)]
 
