@@ -60,9 +60,9 @@ BOUND = frozenset("table td th body div section article main blockquote".split()
 #: Elements and words of classes, ids and roles that say what is no main text.
 PLAIN_ELEMENTS = frozenset("nav footer aside form dialog menu button fieldset".split())
 #: ... plainly, wherever they stand in a name; plainly if they are the whole name; as a topic as well.
-PLAIN = frozenset("comment comments commentlist disqus replies footer sidebar navbar topmenu submenu breadcrumb breadcrumbs cookie cookies consent gdpr advert adverts advertisement adsense sponsored newsletter masthead contentinfo complementary pagination pager".split())
-WHOLE = frozenset("ad ads adv advertising sponsor sponsors promo promotion banner banners nav navigation menu foot widget widgets respond reply popup modal overlay share sharing toolbar topbar skip search hidden login signup subscribe subscription recommended recommendations".split())
-TOPICS = frozenset("alert notice notices notification legal disclaimer header related social side aside copyright".split())
+PLAIN = frozenset("ad ads comment comments commentlist disqus replies footer sidebar navbar topmenu submenu breadcrumb breadcrumbs cookie cookies consent gdpr advert adverts advertisement adsense sponsored newsletter masthead contentinfo complementary pagination pager".split())
+WHOLE = frozenset("adv advertising sponsor sponsors promo promotion banner banners nav navigation menu foot widget widgets respond reply popup modal overlay share sharing toolbar topbar skip search hidden login signup subscribe subscription recommended recommendations notice notices notification".split())
+TOPICS = frozenset("alert legal disclaimer header related social side aside copyright".split())
 #: Elements whose ids are often made of a heading's words, and those of them that hold text themselves.
 TEXTS = HEADINGS | frozenset("p li td th dt dd pre blockquote".split())
 SLUGS = TEXTS | frozenset("section article".split())
@@ -113,13 +113,13 @@ def doubt_of(name: str, found: dict[str, str], up: Node) -> int:
     if not found or name in ("html", "body", "main"):
         return CLEAR
     labels = [found.get("class", ""), found.get("role", "")]
-    if name not in SLUGS and not up.within:
+    if name not in SLUGS:
         labels.append(found.get("id", ""))
     whole = {x.lower() for label in labels for x in label.split()}
     if name not in TEXTS:
         whole.add(found.get("id", "").strip().lower())
     parts = set().union(*map(words, labels))
-    if whole & (PLAIN | WHOLE) or parts & PLAIN:
+    if whole & (PLAIN | WHOLE) or parts & PLAIN or len(parts & WHOLE) > 1:
         return SURE
     if name in TEXTS and up.within:
         return CLEAR
