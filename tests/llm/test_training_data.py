@@ -596,6 +596,53 @@ def test_html_keeps_text_under_ambiguous_names():
     assert html.main_text(bare)[0] == flat(*PARAGRAPHS, "Search algorithms", plain)
 
 
+SAID = "A reader said this, and more of it, as readers do when they like a thing. " * 6
+NOISE = {
+    "header": "<header><div>Site name, the best site.</div><nav><a href=/>Home</a></nav></header>",
+    "menu": "<ul class='menu'><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>",
+    "menu2": "<div id='main-menu'><a href=a>One</a> <a href=b>Two</a></div>",
+    "crumbs": "<div class='breadcrumbs'>Home &gt; News &gt; Item</div>",
+    "sidebar": "<div class='sidebar'><h3>More</h3><p>Side text, that is not wanted, but has marks. It goes on.</p></div>",
+    "sidebar2": "<div id='sidebar-right'><p>" + SAID + "</p></div>",
+    "aside": "<aside><p>" + SAID + "</p></aside>",
+    "notice": "<div class='cookie-notice'>We use cookies, as all do. Accept them, or leave.</div>",
+    "notice2": "<div class='notice'>This site will be down, on Monday. Sorry.</div>",
+    "ad": "<div class='ad'>Buy this, now. It is good, really.</div>",
+    "ad2": "<div class='advertisement'><p>" + SAID + "</p></div>",
+    "ad3": "<div class='ad-banner'><p>Buy this, now. It is good, really, and cheap.</p></div>",
+    "sponsored": "<section class='sponsored'><p>" + SAID + "</p></section>",
+    "form": "<form><label>Name, please.</label><input><p>Fill this in, and send it. Thank you.</p><button>Send</button></form>",
+    "comments": "<section id='comments'><h2>Comments</h2><div class='comment'><p>" + SAID + "</p></div><div class='comment'><p>" + SAID + "</p></div></section>",
+    "comments2": "<ol class='commentlist'><li><p>" + SAID + "</p></li></ol>",
+    "comments3": "<div class='comment-section'><p>" + SAID + "</p></div>",
+    "related": "<div class='related'><a href=a>Another article, that is like this.</a><a href=b>And a second, of course.</a></div>",
+    "footer": "<footer><p>&copy; 2024 Site, all rights reserved. Contact us, please.</p></footer>",
+    "footer2": "<div class='footer'>&copy; 2024 Site, all rights reserved.</div>",
+    "share": "<div class='share'>Share Tweet Mail</div>",
+    "newsletter": "<div class='newsletter-signup'><p>Sign up, and get our news. It is free.</p></div>",
+    "script": "<script>var x='<p>no</p>';</script><style>p{}</style><noscript>Enable scripts, please.</noscript>",
+    "hidden": "<div style='display:none'>Hidden, text. Not seen.</div><div hidden>Also, hidden.</div>",
+    "popup": "<div class='modal' role='dialog'><p>Subscribe, now. You will like it.</p></div>",
+}
+
+
+@pytest.mark.parametrize("place", ("before", "after", "inside"))
+@pytest.mark.parametrize("tag", ("<article>", "<main>", "<div class='x1'>", "<div id='content'>", ""))
+def test_html_leaves_out_boilerplate(tag, place):
+    """Each kind alone before, after and within the text, and all of them at once."""
+    end = f"</{tag[1:].split()[0].rstrip('>')}>" if tag else ""
+    first, second = "<h1>Head line</h1>" + paragraphs(PARAGRAPHS[:3]), paragraphs(PARAGRAPHS[3:])
+    want = flat("Head line", *PARAGRAPHS)
+    for kind, part in [*NOISE.items(), ("all", "".join(NOISE.values()))]:
+        if place == "inside":
+            if kind in ("header", "all") or not tag:
+                continue
+            page = f"<body>{tag}{first}{part}{second}{end}</body>"
+        else:
+            page = f"<body>{part * (place == 'before')}{tag}{first}{second}{end}{part * (place == 'after')}</body>"
+        assert html.main_text(page)[0] == want, kind
+
+
 def brute_classes(texts, threshold=0.8):
     sets = []
     for t in texts:
