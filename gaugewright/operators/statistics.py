@@ -14,28 +14,43 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from ..functions.text import bound
 
 
+#: Ranks of the bounds that quantiles are looked for in are off by a group's rows over this number at most.
+ACCURACY = 1000
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
-    """keys and a column for each name in ``at``: quantiles with linear interpolation of the values that are not null.
+    """keys and a column for each name in ``at``: exact quantiles with linear interpolation of the values that are not null.
 
-    Values are counted, ranked by running sums over distinct values and read off at their places: a group of any size is a
-    sorted run of rows, never a buffer in one aggregate.
+    A sketch of each group (of bounded size, merged before and after the shuffle) gives bounds around each quantile, some
+    three thousandths of the ranks to either side.  Values below the bounds are only counted, values between them are counted
+    one by one, and running sums over those give the value at the place: no group's values meet in one buffer or one sort.
+    Groups of up to ACCURACY values are taken whole.
     """
-    tied = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    group = Window.partitionBy(*keys)
-    placed = tied.withColumn("__upto", F.sum("__c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(group))
-    holds = lambda place: (F.col("__upto") > place) & (F.col("__upto") - F.col("__c") <= place)
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    reach = 3.0 / ACCURACY
+    cuts = [c for p in at.values() for c in (max(p - reach, 0.0), min(p + reach, 1.0))]
+    found = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"), F.percentile_approx("__v", cuts, ACCURACY).alias("__cuts"))
+    small = F.col("__n") <= ACCURACY
+    bounds = [F.struct(F.lit(i).alias("i"), F.when(small, F.col("__least")).otherwise(F.col("__cuts")[2 * i]).alias("low"), F.when(small, F.col("__most")).otherwise(F.col("__cuts")[2 * i + 1]).alias("high")) for i in range(len(at))]
+    rows = joined(known, found.select(*keys, "__n", F.array(*bounds).alias("__b")), keys)
+    near = rows.select(*keys, "__n", "__v", F.explode(F.filter("__b", lambda x: F.col("__v") <= x["high"])).alias("__b"))
+    counts = near.groupBy(*keys, "__n", F.col("__b.i").alias("__i"), F.when(F.col("__v") >= F.col("__b.low"), F.col("__v")).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    upto = Window.partitionBy(*keys, "__i").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("__upto", F.sum("__c").over(upto))
     out, columns = [], []
-    for i, p in enumerate(at.values()):
+    for i, (name, p) in enumerate(at.items()):
         place = (F.col("__n") - 1) * F.lit(p)
-        out += [F.max(F.when(holds(F.floor(place)), F.col(value))).alias(f"__lo{i}"), F.max(F.when(holds(F.ceil(place)), F.col(value))).alias(f"__hi{i}"), F.max(place - F.floor(place)).alias(f"__part{i}")]
-        columns.append((F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__part{i}")).alias(list(at)[i]))
+        holds = lambda rank, i=i: (F.col("__i") == i) & F.col("__v").isNotNull() & (F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank)
+        out += [F.max(F.when(holds(F.floor(place)), F.col("__v"))).alias(f"__lo{i}"), F.max(F.when(holds(F.ceil(place)), F.col("__v"))).alias(f"__hi{i}"), F.max(place - F.floor(place)).alias(f"__part{i}")]
+        whole = F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__part{i}")
+        columns.append(F.when(whole.isNotNull(), whole).otherwise(F.raise_error(F.lit("a quantile lies outside its bounds")).cast("double")).alias(name))
     return placed.groupBy(*keys).agg(*out).select(*keys, *columns)
 
 
 def joined(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
-    """Aggregates of the same groups side by side: rows with more's columns by keys, null keys included."""
+    """rows with the columns of more, which has a row for each group, by keys, null keys included."""
     if not keys:
-        return rows.crossJoin(more)  # one row each
+        return rows.join(more, F.lit(True), "left")  # more is one row
     on = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}")) for k in keys]
     return rows.alias("__l").join(more.alias("__r"), on, "left").select("__l.*", *[f"__r.{c}" for c in more.columns if c not in keys])
 

@@ -312,6 +312,22 @@ def test_quantiles_without_buffers(spark):
     assert statistics.signs(frame, ["k"], "v").where("k = 'd'").first()["median"] == 2.5
 
 
+def test_quantiles_of_large_groups(spark):
+    """Groups beyond ACCURACY: ties, skewed values, a constant group, and no keys at all."""
+    import numpy as np
+
+    rows = spark.range(30_000).selectExpr("case when id % 3 = 0 then 'a' when id % 3 = 1 then 'b' else null end k", "case when id % 3 = 0 then cast(id * id % 7919 as double) / 3 when id % 3 = 1 then 4.0 else exp(cast(id as double) / 3000) end v")
+    data = [(r["k"], r["v"]) for r in rows.collect()]
+    ps = {"low": 0.0, "q1": 0.25, "median": 0.5, "most": 0.999, "top": 1.0}
+    got = {r["k"]: r for r in statistics.quantiles(rows, ["k"], "v", ps).collect()}
+    for k in ("a", "b", None):
+        own = [v for g, v in data if g == k]
+        for name, p in ps.items():
+            assert got[k][name] == pytest.approx(np.percentile(own, 100 * p), rel=1e-12), (k, name)
+    (every,) = statistics.quantiles(rows, [], "v", ps).collect()
+    assert every["median"] == pytest.approx(np.percentile([v for _, v in data], 50))
+
+
 def test_wilcoxon_of_many_pairs(spark):
     rng = random.Random(6)
     d = [round(rng.gauss(0.02, 1), 2) for _ in range(1200)]
