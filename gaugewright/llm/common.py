@@ -86,6 +86,13 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text; null for null."""
+    step = "case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end"
+    byte = f"list_reduce(range(8), lambda x, i: {step}, xor(c, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda s: ascii(s)::bigint), lambda c, b: {byte}, 4294967295::bigint), 4294967295)"
+
+
 def slices(batches, limit: int = 8 << 20):
     """Record batches cut so that each holds about ``limit`` bytes, one row at least."""
     for batch in batches:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html, jaccard, media, mixing, packing, quality, secrets, sharding, tokens
+from . import fingerprints, html, jaccard, media, merkle, mixing, packing, quality, secrets, sharding, tokens, tries, urls
 from .common import read, shared_folder
 
 
@@ -90,6 +90,20 @@ def op10_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_vectors(found, quality.fit_vectors(found))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(read(spark, sf_dir, "documents"))
+
+
+def op12_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees learn from the URLs that rules judge and judge the others."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.fit(urls.labelled_by_rules(pages)))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.nodes(read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,8 +123,17 @@ QUERIES = {
         op8_tag_path_ratios,
         op9_jaccard_join,
         op10_co_training_quality,
+        op11_merkle_manifest,
+        op12_boosted_url_filter,
+        op13_prefix_trie,
         pipeline,
     )
 }
 
-ORACLES = {"op2_blob_ledger": secrets.SQL, "op7_poisson_mix": mixing.SQL, "op9_jaccard_join": jaccard.SQL}
+ORACLES = {
+    "op2_blob_ledger": secrets.SQL,
+    "op7_poisson_mix": mixing.SQL,
+    "op9_jaccard_join": jaccard.SQL,
+    "op11_merkle_manifest": merkle.sql(),
+    "op13_prefix_trie": tries.SQL,
+}

@@ -14,6 +14,8 @@ WANTED = {
     "op8_tag_path_ratios": "page_id bigint, url string, text string, n_chars bigint",
     "op9_jaccard_join": "doc_id bigint, class_id bigint, n_links bigint",
     "op10_co_training_quality": "doc_id bigint, score double, keep boolean",
+    "op11_merkle_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
+    "op12_boosted_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
 }
 
 
