@@ -3,12 +3,15 @@
 Two views of a document that share nothing: its words (hashed words and word shapes as shares of all, repetition, length of
 words) and its metadata (language, source, sizes in characters, bytes and lines).  Each view has a logistic model.  Over
 ROUNDS rounds each model labels the unlabelled documents it is confident of, and hands them to the other one, with the label
-of the first round in which it was confident.  It is confident beyond a score (one for each kind) at which, by its labelled
-rows held back from fitting, CONFIDENT of its labels are right; where no score is that good it hands over nothing.  All
-unlabelled documents are the pool, at every size: a round's fit takes steps down a quadratic bound of the loss, with
-gradients and curvatures summed over the whole pool, kind by kind, and of each kind what was handed weighs as much as its
-labelled rows at most.  On the labelled rows held back, each view's log-odds are calibrated and the two are combined by
-logistic regression.  The combined score covers all documents; those with a score of at least KEEP stay.
+of the first round in which it was confident.  Of each kind it is confident of its most certain documents: each round
+SHARE more of as many as the kind has in the pool by its share of the labelled rows, and none below a score beyond which more
+than 1 - CONFIDENT of the labelled rows held back from fitting are of the other kind.  Both are shares, so they hold alike at
+every size.  All unlabelled documents are the pool: a round counts the pool's scores in a fixed number of bins, then takes
+steps down a quadratic bound of the loss, with gradients and curvatures summed over the whole pool, kind by kind.  Of each
+kind what was handed weighs as much as its labelled rows at most, and less by the errors, on rows held back, of the view that
+hands it against those of the view that gets it; a label that the latter is sure to be wrong teaches nothing.  On the rows
+held back each view's log-odds are calibrated and the two are combined by logistic regression.  The combined score covers all documents; those with a score of
+at least KEEP stay.
 
 Only labelled rows are bounded: of rows with a label the LABELLED with the least hash of doc_id and content are gathered as
 feature vectors of some 250 numbers, and those beyond are scored but neither fitted nor handed.  Vectors of all documents are
@@ -38,8 +41,10 @@ from .common import checkpointed, ship, slices, text_or_empty
 from .shingles import _powers, mix
 
 LABELLED, ROUNDS, STEPS = 6000, 3, 2
-CONFIDENT = 0.995
+CONFIDENT, SHARE, PRIOR = 0.99, 0.15, 10
 KEEP = 0.5
+#: Log-odds are within LIMIT to either side; bins in which the pool's are counted.
+LIMIT, BINS = 30.0, 2400
 KNOTS = (0.1, 0.3, 0.5, 0.7, 0.9, 0.97)
 #: Bins of hashed word shapes, words, languages and sources; numbers before them in either view.
 SHAPES, WORDS, LANG_BINS, SOURCE_BINS = 128, 96, 16, 32
@@ -161,7 +166,7 @@ class View:
         return self
 
     def logit(self, x: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-        return np.clip(self.expand(x) @ (self.weights if weights is None else weights), -30, 30)
+        return np.clip(self.expand(x) @ (self.weights if weights is None else weights), -LIMIT, LIMIT)
 
 
 def _curve(z: np.ndarray) -> np.ndarray:
@@ -202,7 +207,7 @@ class Model:
     text_scale: np.ndarray = field(default_factory=lambda: np.zeros(2))
     metadata_scale: np.ndarray = field(default_factory=lambda: np.zeros(2))
     join: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    #: For each round, how many documents the metadata model and the text model had been handed.
+    #: For each round, how many documents of the kinds 0 and 1 the text model and then the metadata model had been handed.
     handed: tuple = ()
 
     def scores(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,41 +221,77 @@ class Model:
 
 @dataclass
 class Past:
-    """A view's weights at the start of a round, and the scores from which on it is confident of the kinds 0 and 1."""
+    """A view's weights at the start of a round, and how far below and above 0 its log-odds are where it is confident of the
+    kinds 0 and 1."""
 
     weights: np.ndarray
     least: tuple[float, float]
+    #: The same by the rows held back alone, whatever the share.
+    sure: tuple[float, float]
+    #: The share of wrong labels among rows held back that it is confident of, by kind, drawn to that of all rows that it
+    #: takes to be of the kind as PRIOR rows would.
+    errors: tuple[float, float]
 
 
-def confident(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """For the kinds 0 and 1 the least score (1 - p, p) beyond which CONFIDENT of rows with labels y are of that kind, by
-    the estimate (right + 1) / (n + 2); 2, which no score reaches, if there is none."""
+def binned(z: np.ndarray) -> np.ndarray:
+    """How many log-odds lie in each of BINS bins."""
+    return np.bincount(np.clip(((z + LIMIT) * (BINS / (2 * LIMIT))).astype(int), 0, BINS - 1), minlength=BINS).astype(float)
+
+
+def confident(z: np.ndarray, y: np.ndarray, counts: np.ndarray, share: float) -> list[tuple[float, float]]:
+    """``least``, ``sure`` and ``errors`` of Past; z: the log-odds of rows held back, y: their
+    labels, counts: binned() of the pool, share: of each kind's number there, by the labels."""
     out = []
-    for score, right in ((1 - p, y == 0), (p, y == 1)):
-        order = np.argsort(-score, kind="stable")
-        score, n = score[order], np.arange(1, len(order) + 1)
-        last = np.append(score[1:] != score[:-1], True) if len(order) else np.zeros(0, bool)  # equal scores go together
-        good = np.flatnonzero(((np.cumsum(right[order]) + 1) / (n + 2) >= CONFIDENT) & last & (score > 0.5))
-        out.append(float(score[good[-1]]) if len(good) else 2.0)
-    return out[0], out[1]
+    for kind, sign in ((0, -1), (1, 1)):
+        edges = np.arange(BINS) * (2 * LIMIT / BINS) - LIMIT
+        beyond = np.cumsum(counts[::-sign])[::-1]  # of a bin and those that are more certain
+        within = np.flatnonzero(beyond <= share * beyond[0] * np.mean(y == kind))
+        least = edges[within[0]] if len(within) else math.inf
+        order = np.argsort(-sign * z, kind="stable")
+        score, right = sign * z[order], y[order] == kind
+        last = np.append(score[1:] != score[:-1], True)  # equal scores go together
+        good = np.flatnonzero(last & (np.cumsum(right) >= CONFIDENT * np.arange(1, len(order) + 1)))
+        sure = score[good[-1]] if len(good) else np.nextafter(score[0], math.inf)
+        sure = max(sure, np.nextafter(0, 1))
+        beyond = right[score >= max(least, sure)]
+        out.append((float(max(least, sure)), float(sure), (np.count_nonzero(~beyond) + PRIOR * error(right[score > 0])) / (len(beyond) + PRIOR)))
+    return list(zip(*out, strict=True))
+
+
+def error(right: np.ndarray) -> float:
+    """The share of wrong ones, as (wrong + 1) / (rows + 2)."""
+    return (np.count_nonzero(~right) + 1) / (len(right) + 2)
 
 
 def given(view: View, past: list[Past], x: np.ndarray) -> np.ndarray:
-    """The label that a view hands over with each row: that of its first weights that were confident of it, else NaN."""
+    """The label that a view hands over with each row: that of its first weights that were confident of it, else NaN.  A row
+    of which the view that gets it is sure to be of the other kind teaches nothing: refused() has those."""
     out = np.full(len(x), np.nan)
     rows = view.expand(x)
     for was in past:
-        p, free = _curve(rows @ was.weights), np.isnan(out)
-        out[free & (1 - p >= was.least[0])] = 0
-        out[free & (p >= was.least[1])] = 1
+        z, free = np.clip(rows @ was.weights, -LIMIT, LIMIT), np.isnan(out)
+        out[free & (-z >= was.least[0])] = 0
+        out[free & (z >= was.least[1])] = 1
     return out
 
 
+def refused(view: View, last: Past, x: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Rows whose handed label the view that gets them is sure to be wrong, as of the round's start."""
+    z = np.clip(view.expand(x) @ last.weights, -LIMIT, LIMIT)
+    return ((label == 1) & (-z >= last.sure[0])) | ((label == 0) & (z >= last.sure[1]))
+
+
+def pool_counts(views: list[View], x: np.ndarray) -> list[np.ndarray]:
+    """binned() of either view's log-odds of pool rows."""
+    return [binned(view.logit(x)) for view in views]
+
+
 def pool_sums(views: list[View], past: list[list[Past]], x: np.ndarray) -> list[np.ndarray]:
     """For each view and kind 0, 1: the number, gradient and Hessian of pool rows that the other view hands to it, flat."""
     out = []
     for i, view in enumerate(views):
         label = given(views[1 - i], past[1 - i], x)
+        label[refused(view, past[i][-1], x, label)] = np.nan
         for kind in (0.0, 1.0):
             rows = view.expand(x[label == kind])
             gradient, hessian = parts(rows, np.full(len(rows), kind), view.weights)
@@ -272,7 +313,8 @@ def _split(flat: np.ndarray, views: list[View]) -> list[tuple[float, np.ndarray,
 
 
 def co_train(x: np.ndarray, y: np.ndarray, pool, rounds: int = ROUNDS) -> Model:
-    """x, y: labelled rows (every third is held back to calibrate); pool(views, past) gives pool_sums() over the pool, flat."""
+    """x, y: labelled rows (every third is held back to calibrate); pool(views, past) gives pool_sums() over the pool, flat, and
+    pool(views, None) pool_counts()."""
     if not len(y) or y.min() == y.max():
         return Model(constant=float(y.mean()) if len(y) else 1.0)
     held = np.arange(len(y)) % 3 == 2
@@ -287,20 +329,23 @@ def co_train(x: np.ndarray, y: np.ndarray, pool, rounds: int = ROUNDS) -> Model:
     kinds = [(label == 0).sum(), (label == 1).sum()]
     past: list[list[Past]] = [[], []]
     handed = []
-    for _ in range(rounds):
-        for i in (0, 1):
-            least = confident(_curve(views[i].logit(x[held])), y[held]) if held.any() else (2.0, 2.0)
-            past[i].append(Past(views[i].weights, least))
+    for round_ in range(rounds if held.any() else 0):
+        counts = pool(views, None).reshape(2, BINS)
+        for i, view in enumerate(views):
+            past[i].append(Past(view.weights, *confident(view.logit(x[held]), y[held], counts[i], SHARE * (round_ + 1))))
+        # What is handed weighs the less the surer of its own is the view that gets it.
+        own_errors = [error((view.logit(x[held]) > 0) == (y[held] == 1)) for view in views]
+        trust = [[e**2 / (e**2 + other**2) for other in past[1 - i][-1].errors] for i, e in enumerate(own_errors)]
         for _ in range(STEPS):
             sums = _split(pool(views, past), views)
             for i, view in enumerate(views):
                 gradient, hessian = parts(rows[i], label, view.weights)
                 for kind in (0, 1):
                     n, g, h = sums[2 * i + kind]
-                    share = min(1.0, kinds[kind] / max(n, 1.0))
+                    share = trust[i][kind] * min(1.0, kinds[kind] / max(n, 1.0))
                     gradient, hessian = gradient + share * g, hessian + share * h
                 view.weights = step(view.weights, gradient, hessian)
-        handed.append((int(sums[2][0] + sums[3][0]), int(sums[0][0] + sums[1][0])))
+        handed.append(tuple(int(s[0]) for s in sums))
     model = Model(text=views[0], metadata=views[1], handed=tuple(handed))
     if not held.any():
         held = ~held
@@ -338,7 +383,7 @@ def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _pool(found: DataFrame):
-    """pool_sums() over unlabelled rows of with_labels(): a row of sums for each task, added up over two levels.
+    """pool_counts() and pool_sums() over unlabelled rows of with_labels(): a row of sums for each task, added up over two levels.
 
     Tasks are no more than twice the cluster's cores, so the sums that are shuffled do not grow with the data.
     """
@@ -346,13 +391,14 @@ def _pool(found: DataFrame):
     ship(spark)
     rows = found.where("y is null").select("x").coalesce(max(2, 2 * spark.sparkContext.defaultParallelism))
 
-    def run(views: list[View], past: list[list[Past]]) -> np.ndarray:
-        size = sum(2 * (1 + d + d * (d + 1) // 2) for d in (len(v.weights) for v in views))
+    def run(views: list[View], past: list[list[Past]] | None) -> np.ndarray:
+        size = 2 * BINS if past is None else sum(2 * (1 + d + d * (d + 1) // 2) for d in (len(v.weights) for v in views))
 
         def of(batches):
             total = np.zeros(size)
             for batch in slices(batches, 4 << 20):
-                total += np.concatenate(pool_sums(views, past, unpacked(batch.column(0).to_pylist())))
+                x = unpacked(batch.column(0).to_pylist())
+                total += np.concatenate(pool_counts(views, x) if past is None else pool_sums(views, past, x))
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
         def add(batches):

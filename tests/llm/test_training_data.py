@@ -760,6 +760,23 @@ def test_quality(spark, none):
     assert quality.score(none, model).count() == 0
 
 
+def test_both_views_teach_both_kinds(spark):
+    """At the production parameters, on the given tables; what the rounds add does not cost held-out accuracy."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    found = quality.with_labels(docs, labels.where("doc_id % 3 > 0"))
+    held = {r["doc_id"]: bool(r["quality"]) for r in labels.where("doc_id % 3 = 0").collect()}
+    right = {}
+    for rounds in (0, 3):
+        model = quality.fit_vectors(found, rounds=rounds)
+        got = by_id(quality.score_vectors(found, model))
+        right[rounds] = sum(got[i]["keep"] == q for i, q in held.items()) / len(held)
+    assert len(model.handed) == 3 and min(model.handed[-1]) > 0
+    assert right[3] >= max(right[0], 0.98)
+    whole = quality.fit(docs, labels)
+    assert min(whole.handed[-1]) > 0
+
+
 def plain_training(x, y, pool, rounds):
     """co_train() row by row: pseudo-labels by their first confident round, steps by summed outer products."""
     held = [i for i in range(len(y)) if i % 3 == 2]
@@ -771,26 +788,44 @@ def plain_training(x, y, pool, rounds):
     chance = lambda row, w: 1 / (1 + np.exp(-np.clip(row @ w, -30, 30)))
     labels = [{}, {}]  # of pool rows, by the view that gives them
     handed = []
-    for _ in range(rounds):
+    wide = 2 * quality.LIMIT / quality.BINS
+    for round_ in range(rounds):
+        errors, sures, before = {}, {}, [v.weights for v in views]
         for i, v in enumerate(views):
-            p = [chance(r, v.weights) for r in v.expand(x[held])]
+            logit = [float(np.clip(r @ v.weights, -quality.LIMIT, quality.LIMIT)) for r in v.expand(x[held])]
+            ours = [float(np.clip(r @ v.weights, -quality.LIMIT, quality.LIMIT)) for r in v.expand(pool)]
+            errors[i] = (sum((z > 0) != (y[k] == 1) for z, k in zip(logit, held, strict=True)) + 1) / (len(held) + 2)
             for kind in (0, 1):
-                score = [q if kind else 1 - q for q in p]
-                good = [t for t in set(score) if t > 0.5 and (sum(y[held[k]] == kind for k in range(len(held)) if score[k] >= t) + 1) / (sum(s >= t for s in score) + 2) >= quality.CONFIDENT]
-                if good:
-                    for k, row in enumerate(v.expand(pool)):
-                        q = chance(row, v.weights)
-                        if (q if kind else 1 - q) >= min(good) and k not in labels[i]:
-                            labels[i][k] = kind
+                sign = 1 if kind else -1
+                score = [(sign * z, y[k] == kind) for z, k in zip(logit, held, strict=True)]
+                most = quality.SHARE * (round_ + 1) * len(ours) * sum(y[k] == kind for k in held) / len(held)
+                bins = [min(int((z + quality.LIMIT) / wide), quality.BINS - 1) for z in ours]
+                bins = bins if kind else [quality.BINS - 1 - b for b in bins]
+                enough = next(b for b in range(quality.BINS) if sum(q >= b for q in bins) <= most) * wide - quality.LIMIT
+                good = [t for t, _ in score if sum(ok for q, ok in score if q >= t) >= quality.CONFIDENT * sum(q >= t for q, _ in score)]
+                sure = min(good) if good else np.nextafter(max(score)[0], 99)
+                sures[i, kind] = max(sure, np.nextafter(0, 1))
+                least = max(enough, sures[i, kind])
+                beyond = [ok for q, ok in score if q >= least]
+                called = [ok for q, ok in score if q > 0]
+                base = (sum(not ok for ok in called) + 1) / (len(called) + 2)
+                errors[i, kind] = (sum(not ok for ok in beyond) + quality.PRIOR * base) / (len(beyond) + quality.PRIOR)
+                for k, z in enumerate(ours):
+                    if sign * z >= least and k not in labels[i]:
+                        labels[i][k] = kind
         for _ in range(quality.STEPS):
-            new = []
+            new, used = [], {}
             for i, v in enumerate(views):
                 rows = [(r, label, 1.0) for r, label in zip(v.expand(x[own]), y[own], strict=True)]
-                other = labels[1 - i]
                 every = v.expand(pool)
+                own_logit = [float(np.clip(r @ before[i], -quality.LIMIT, quality.LIMIT)) for r in every]
+                taken = lambda k, kind: (-1 if kind else 1) * own_logit[k] < sures[i, 1 - kind]  # noqa: E731, B023
+                other = {k: kind for k, kind in labels[1 - i].items() if taken(k, kind)}
+                used[i] = other
                 for k, kind in other.items():
                     n = sum(z == kind for z in other.values())
-                    rows.append((every[k], kind, min(1.0, sum(y[own] == kind) / n)))
+                    trust = errors[i] ** 2 / (errors[i] ** 2 + errors[1 - i, kind] ** 2)
+                    rows.append((every[k], kind, trust * min(1.0, sum(y[own] == kind) / n)))
                 d = len(v.weights)
                 g, h = v.weights * 1.0, np.eye(d)
                 g[0], h[0, 0] = 1e-6 * v.weights[0], 1e-6
@@ -801,12 +836,11 @@ def plain_training(x, y, pool, rounds):
                 new.append(v.weights - np.linalg.solve(h, g))
             for v, w in zip(views, new, strict=True):
                 v.weights = w
-        handed.append((len(labels[0]), len(labels[1])))
+        handed.append(tuple(sum(z == kind for z in used[i].values()) for i in (0, 1) for kind in (0, 1)))
     return views, tuple(handed)
 
 
-def test_co_training_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(quality, "CONFIDENT", 0.95)  # a few hundred labelled rows cannot show more
+def test_co_training_brute_force(spark):
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefg", k=rng.randint(2, 8))) for _ in range(300)]
 
@@ -824,10 +858,9 @@ def test_co_training_brute_force(spark, monkeypatch):
     free = found.where("y is null").collect()
     x, pool = (quality.unpacked([bytes(r["x"]) for r in rs]) for rs in (known, free))
     views, handed = plain_training(x, np.array([float(r["y"]) for r in known]), pool, 2)
-    assert model.handed == handed and handed[1][0] > 0 and handed[1][1] > 0  # both views teach
+    assert model.handed == handed and min(handed[1]) > 0  # both views teach both kinds
     for got, want in ((model.text, views[0]), (model.metadata, views[1])):
         assert np.abs(got.weights - want.weights).max() < 1e-6
-    monkeypatch.undo()  # the decisions are those of the production parameter
     scores = by_id(quality.score(docs, quality.fit_vectors(found, rounds=2)))
     assert sum(scores[i]["keep"] == (not kinds[i]) for i in range(600, 900)) >= 297
     again = by_id(quality.score_vectors(found, quality.fit_vectors(quality.with_labels(docs.repartition(3), labels), rounds=2)))
