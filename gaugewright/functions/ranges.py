@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .text import bound
 
+#: Lines of one spec that decode() writes out at most.
+MOST = 10_000_000
+
 
 def parse_spans(spec: Column) -> Column:
     """array<struct<start, end>> of a spec in its order, first occurrences only; bounds may come reversed, tokens that
@@ -21,11 +24,33 @@ def parse_spans(spec: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(tokens, span), lambda s: s.start.isNotNull() & s.end.isNotNull()))
 
 
+def merged_spans(spec: Column, positive: bool = True) -> Column:
+    """Ascending array<struct<start, end>> of a spec's lines, no two of which touch; lines below 1 are dropped if
+    ``positive``.  This form of a spec grows with its text, however many lines it names."""
+    spans = F.transform(parse_spans(spec), lambda s: F.struct(s.start.cast("long").alias("start"), s.end.cast("long").alias("end")))
+    if positive:
+        spans = F.transform(F.filter(spans, lambda s: s.end > 0), lambda s: F.struct(F.greatest(s.start, F.lit(1).cast("long")).alias("start"), s.end.alias("end")))
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last.start.alias("start"), F.greatest(last.end, s.end).alias("end"))))
+        return F.when((F.size(done) > 0) & (s.start <= F.try_element_at(done, F.lit(-1)).end + 1), longer).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:bigint,end:bigint>>"), step)
+
+
 def decode(spec: Column, positive: bool = True) -> Column:
-    """Ascending distinct lines of a spec; lines below 1 are dropped if ``positive``."""
-    lines = F.flatten(F.transform(parse_spans(spec), lambda s: F.sequence(s.start, s.end)))
-    lines = F.array_sort(F.array_distinct(lines))
-    return F.filter(lines, lambda x: x > 0) if positive else lines
+    """Ascending distinct lines of a spec; lines below 1 are dropped if ``positive``.
+
+    Lines are written out, so a spec of more than MOST is an error here: its spans say the same, see merged_spans().
+    """
+
+    def of(spans: Column) -> Column:
+        total = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s.end - s.start + 1)
+        lines = F.flatten(F.transform(spans, lambda s: F.sequence(s.start.cast("int"), s.end.cast("int"))))
+        return F.when(total <= MOST, lines).otherwise(F.raise_error(F.lit(f"a line spec names more than {MOST} lines")).cast("array<int>"))
+
+    return bound(merged_spans(spec, positive), of)
 
 
 def span_token(start: Column, end: Column) -> Column:
@@ -51,15 +76,9 @@ def encode(lines: Column) -> Column:
     return bound(F.array_sort(F.array_distinct(lines)), of)
 
 
-def line_count(spec: Column) -> Column:
+def line_count(spec: Column, positive: bool = True) -> Column:
     """How many different lines a spec names, from its spans alone: no line is written out."""
-
-    def step(s: Column, x: Column) -> Column:
-        new = F.greatest(x.end.cast("long") - F.greatest(x.start.cast("long") - 1, s.upto), F.lit(0).cast("long"))
-        return F.struct((s.n + new).alias("n"), F.greatest(s.upto, x.end.cast("long")).alias("upto"))
-
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("upto"))
-    return F.aggregate(F.array_sort(parse_spans(spec)), start, step, lambda s: s.n)
+    return F.aggregate(merged_spans(spec, positive), F.lit(0).cast("long"), lambda n, s: n + s.end - s.start + 1)
 
 
 def bounds(spec: Column) -> Column:

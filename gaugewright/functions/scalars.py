@@ -75,9 +75,21 @@ def duration(start: Column, end: Column, now: Column | None = None) -> Column:
     return F.coalesce(end, F.current_timestamp() if now is None else now) - start
 
 
+def utf8_text(content: Column) -> Column:
+    """The text of bytes as UTF-8; those that are none are dropped.
+
+    Such bytes become U+FFFD, which goes; one that the text has itself is written another way meanwhile.
+    """
+    mark, own, kept = "\ufdd0", "\ufdd0\ufdd1", "\ufdd0\ufdd2"
+    text = content.cast("string")
+    escaped = F.replace(F.replace(text, F.lit(mark), F.lit(own)), F.lit("\ufffd"), F.lit(kept))
+    valid = F.replace(F.make_valid_utf8(escaped), F.lit("\ufffd"), F.lit(""))
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.replace(valid, F.lit(kept), F.lit("\ufffd")), F.lit(own), F.lit(mark)))
+
+
 def unbase64_text(text: Column) -> Column:
-    """Decoded base64 text; null if it is no base64."""
-    return F.decode(F.try_to_binary(text, F.lit("base64")), "UTF-8")
+    """Decoded base64 text without bytes that are no UTF-8; null if it is no base64."""
+    return utf8_text(F.try_to_binary(text, F.lit("base64")))
 
 
 def digest_of_set(items: Column) -> Column:

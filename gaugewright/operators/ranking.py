@@ -1,10 +1,12 @@
-"""Ranking, top-k, first and last rows, upserts, islands, budgets."""
+"""Ranking, top-k, first and last rows, upserts, budgets."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 #: Named orders of test deltas: columns, minus for falling.  They differ on purpose and are not to be merged.
 ORDERS = {
     "filter": ("-added_lines", "-added_instructions", "-added_branches", "-added_methods"),
@@ -63,25 +65,6 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], seq: str) -> DataFra
     return out.select(*keys, seq, "__row.*").select(*old.columns)
 
 
-def islands(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, start, end: runs of consecutive integers.
-
-    Rows are dealt by keys once; repeated values go where they are, and the runs are made there too."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    rows = df.select(*keys, value).repartition(*keys).distinct().withColumn("__run", F.col(value) - F.row_number().over(w))
-    return rows.groupBy(*keys, "__run").agg(F.min(value).alias("start"), F.max(value).alias("end")).drop("__run")
-
-
-def coalesce_spans(df: DataFrame, keys: list[str], start: str, end: str, reach: int = 1) -> DataFrame:
-    """keys, start, end: spans merged when one starts at most ``reach`` after what lies before it ends."""
-    before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("__held", F.max(end).over(before))
-    rows = rows.withColumn("__new", F.when(F.col("__held").isNull() | (F.col(start) > F.col("__held") + reach), 1).otherwise(0))
-    rows = rows.withColumn("__run", F.sum("__new").over(upto))
-    return rows.groupBy(*keys, "__run").agg(F.min(start).alias("start"), F.max(end).alias("end")).drop("__run")
-
-
 def largest_span(df: DataFrame, keys: list[str]) -> DataFrame:
     """The longest span of each key, the first one of equal ones."""
     return best(df, keys, F.col("start") - F.col("end"), F.col("start"))
@@ -102,22 +85,23 @@ def unique_right(best: DataFrame, left: list[str], right: str, score: str) -> Da
 
 def within_budget(df: DataFrame, keys: list[str], order: tuple | list, size: str, most: int, count: int | None = None) -> DataFrame:
     """Rows taken in order until a budget of sizes (and a count) is spent; ``taken`` is the part of the size that fits."""
-    w = Window.partitionBy(*keys).orderBy(*order_of(order))
-    rows = df.withColumn("__before", F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__n", F.row_number().over(w))
-    rows = rows.withColumn("taken", F.greatest(F.least(F.col(size), F.lit(most) - F.col("__before")), F.lit(0)))
+    by = order_of(order)
+    rows = ordered.running(ordered.by_range(df, keys, by), by, {"__before": ("sum", F.col(size)), "__n": ("sum", F.lit(1))}, upto=-1)
+    before, n = F.coalesce("__before", F.lit(0)), F.coalesce("__n", F.lit(0))
+    rows = rows.withColumn("taken", F.greatest(F.least(F.col(size), F.lit(most) - before), F.lit(0)))
     kept = F.col("taken") > 0
     if count is not None:
-        kept = kept & (F.col("__n") <= count)
-    return rows.where(kept).drop("__before", "__n")
+        kept = kept & (n < count)
+    return rows.where(kept).drop("__before", "__n", "__key", "__bucket")
 
 
 def depth(df: DataFrame, keys: list[str], pos: str, change: str, name: str = "depth") -> DataFrame:
-    """Sum of ``change`` over the rows before each row."""
-    w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(change).over(w), F.lit(0)))
+    """Sum of ``change`` over the rows before each row; ``pos`` is an integer."""
+    rows = ordered.running(ordered.by_position(df, keys, F.col(pos)), [F.col(pos)], {name: ("sum", F.col(change))}, upto=-1)
+    return rows.withColumn(name, F.coalesce(name, F.lit(0))).drop("__key", "__bucket")
 
 
 def after_marker(df: DataFrame, keys: list[str], pos: str, marker: Column) -> DataFrame:
     """Rows after the first one that is a marker; all rows of keys without one go."""
-    w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__seen", F.max(marker.cast("int")).over(w)).where("__seen = 1").drop("__seen")
+    first = df.where(marker).groupBy(F.struct(*keys).alias("__key")).agg(F.min(pos).alias("__first"))
+    return df.withColumn("__key", F.struct(*keys)).join(first, "__key").where(F.col(pos) > F.col("__first")).select(*df.columns)

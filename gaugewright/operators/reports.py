@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import java, text
-from .ranking import ORDERS, coalesce_spans, largest_span, order_of, top_k, within_budget
+from .ordered import merged
+from .ranking import ORDERS, largest_span, order_of, top_k, within_budget
 
 #: Where a repository's contributing file may be, and what a candidate's path must hold to be a source root.
 CONTRIBUTING = ("CONTRIBUTING.md", "contributing.md", ".github/CONTRIBUTING.md", ".github/contributing.md", "docs/CONTRIBUTING.md", "docs/contributing.md")
@@ -120,7 +121,7 @@ def package_context(files: DataFrame, keys: list[str], package: str, most_files:
 def line_blocks(spans: DataFrame, lines: DataFrame, keys: list[str], most: int = 25) -> DataFrame:
     """keys, start, end, shown, others: the largest of each key's spans (merged where they touch), its first ``most`` source
     lines with tabs as four blanks and HTML signs escaped, and the other spans as ``a-b;c``."""
-    whole = coalesce_spans(spans, keys, "start", "end")
+    whole = merged(spans, keys, "start", "end")
     largest = largest_span(whole, keys)
     rest = whole.join(largest.select(*keys, F.col("start").alias("__start")), keys).where("start <> __start")
     token = F.when(F.col("start") == F.col("end"), F.col("start").cast("string")).otherwise(F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..functions import java, text
-from . import statistics
+from . import ordered, statistics
 
 #: Marks of test sources, of merged texts, words of workflow files, signs that no test name may have.
 TEST_MARKERS = (
@@ -138,16 +138,15 @@ def merge_gaps(spans: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame
     spans: keys, start, end, coalesced before; flags: keys, line, is_code.  Code lines are counted up once, so a gap is
     free of code where the count is the same on both sides: two equality joins, no join of spans with lines between.
     """
-    from pyspark.sql import Window
-
-    upto = F.sum(F.col("is_code").cast("int")).over(Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    counted = flags.select(*keys, "line", upto.alias("__code"))
+    line = ordered.by_position(flags.select(*keys, "line", "is_code"), keys, F.col("line"))
+    counted = ordered.running(line, [F.col("line")], {"__code": ("sum", F.col("is_code").cast("long"))})
     at = lambda c, n: counted.select(*keys, F.col("line").alias(c), F.col("__code").alias(n))
-    w = Window.partitionBy(*keys).orderBy("start")
-    rows = spans.withColumn("__held", F.lag("end").over(w)).withColumn("__last", F.col("start") - 1)
+    rows = ordered.running(ordered.by_position(spans, keys, F.col("start")), [F.col("start")], {"__held": ("last", F.col("end"))}, upto=-1)
+    rows = rows.withColumn("__last", F.col("start") - 1)
     rows = rows.join(at("__held", "__a"), [*keys, "__held"], "left").join(at("__last", "__b"), [*keys, "__last"], "left")
-    rows = rows.withColumn("__run", F.sum(F.when(F.col("__a") == F.col("__b"), 0).otherwise(1)).over(w))
-    return rows.groupBy(*keys, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
+    head = F.when(F.col("__a") == F.col("__b"), F.lit(None)).otherwise(F.col("start"))
+    runs = ordered.running(rows, [F.col("start")], {"__run": ("max", head)})
+    return runs.groupBy(*keys, F.col("__run").alias("start")).agg(F.max("end").alias("end"))
 
 
 def held_out(items: DataFrame, keys: list[str], item: str, k: int, repeats: int, seed: int = 1) -> DataFrame:

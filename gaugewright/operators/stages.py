@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranges, scalars, text
-from . import statistics
+from . import ordered, statistics
 from .coverage import is_target_class, positive
 from .ranking import best, first_wins, order_of, top_k
 
@@ -43,24 +43,31 @@ def retry(rows: DataFrame, failures: list[DataFrame], keys: list[str]) -> DataFr
 
 
 def target_lines(line_deltas: DataFrame, keys: list[str], target: Column) -> DataFrame:
-    """keys, target_lines: distinct lines that are newly or fully covered in the target class or one nested in it."""
+    """keys, target_lines: distinct lines that are newly or fully covered in the target class or one nested in it; keys
+    without such a line have no row."""
     rows = line_deltas.where(is_target_class(F.col("class_name"), target))
-    lines = F.concat(ranges.decode(F.col("newly_covered_lines"), False), ranges.decode(F.col("upgraded_to_full_lines"), False))
-    return rows.select(*keys, F.explode(F.array_distinct(lines)).alias("line")).groupBy(*keys).agg(F.count_distinct("line").alias("target_lines"))
+    spans = F.concat(ranges.merged_spans(F.col("newly_covered_lines"), False), ranges.merged_spans(F.col("upgraded_to_full_lines"), False))
+    return _line_total(rows.select(*keys, F.inline(spans)), keys, keys, "target_lines")
 
 
 def target_percentage(line_deltas: DataFrame, keys: list[str], target: Column, total: Column) -> DataFrame:
     """keys, percentage: distinct newly covered (class, line) of the target over its number of lines."""
     rows = line_deltas.where(is_target_class(F.col("class_name"), target)).withColumn("__total", total)
-    lines = rows.select(*keys, "class_name", "__total", F.explode(ranges.decode(F.col("newly_covered_lines"))).alias("line"))
-    per = lines.groupBy(*keys).agg(F.count_distinct("class_name", "line").alias("__n"), F.max("__total").alias("__t"))
+    spans = rows.select(*keys, "class_name", F.inline(ranges.merged_spans(F.col("newly_covered_lines"))))
+    lines = _line_total(spans, keys, [*keys, "class_name"], "__n")
+    per = lines.join(rows.groupBy(*keys).agg(F.max("__total").alias("__t")), keys)
     return per.select(*keys, scalars.percentage(F.col("__n"), F.col("__t")).alias("percentage"))
 
 
+def _line_total(spans: DataFrame, keys: list[str], within: list[str], name: str) -> DataFrame:
+    """Distinct lines of spans by ``within``, added up by keys: spans are merged and measured, lines are not written out."""
+    return ordered.merged(spans, within, "start", "end").groupBy(*keys).agg(F.sum(F.col("end") - F.col("start") + 1).alias(name))
+
+
 def method_deltas(test_deltas: DataFrame, line_deltas: DataFrame, keys: list[str], target: Column) -> DataFrame:
     """test_deltas of methods that have line deltas, with their entries (class, lines) and added lines of the target:
     the sum over entries, not distinct across classes."""
-    n = F.size(ranges.decode(F.col("newly_covered_lines")))
+    n = ranges.line_count(F.col("newly_covered_lines"))
     per = line_deltas.withColumn("__n", F.when(is_target_class(F.col("class_name"), target), n).otherwise(0)).groupBy(*keys)
     entry = F.struct("class_name", F.col("newly_covered_lines").alias("lines"))
     found = per.agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.sum("__n").alias("target_added_lines"))  # the classes that one test touches

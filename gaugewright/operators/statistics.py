@@ -12,39 +12,100 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.text import bound
+from ..sources.folders import checkpointed
+from . import ordered
 
 
-#: Ranks of the bounds that quantiles are looked for in are off by a group's rows over this number at most.
-ACCURACY = 1000
+#: Groups of up to EXACT values are aggregated whole; in larger ones bounds close in until no more lie between them.
+EXACT = 100_000
+#: A sketch's ranks are off by a group's rows over ACCURACY at most; its quantiles are asked for at STEPS steps.
+ACCURACY, STEPS = 2000, 400
+
+
+def known_values(value: str) -> Column:
+    """Null and NaN are no values."""
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
-    """keys and a column for each name in ``at``: exact quantiles with linear interpolation of the values that are not null.
+    """keys and a column for each name in ``at``: exact quantiles with linear interpolation of the values that are known; no
+    row for groups without one.  Infinite values count as such; between minus and plus infinity lies NaN.
 
-    A sketch of each group (of bounded size, merged before and after the shuffle) gives bounds around each quantile, some
-    three thousandths of the ranks to either side.  Values below the bounds are only counted, values between them are counted
-    one by one, and running sums over those give the value at the place: no group's values meet in one buffer or one sort.
-    Groups of up to ACCURACY values are taken whole.
+    Where no group has more than EXACT values it is one aggregate.  Else the values at a quantile's two places are selected:
+    see at_ranks().
     """
-    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    reach = 3.0 / ACCURACY
-    cuts = [c for p in at.values() for c in (max(p - reach, 0.0), min(p + reach, 1.0))]
-    found = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"), F.percentile_approx("__v", cuts, ACCURACY).alias("__cuts"))
-    small = F.col("__n") <= ACCURACY
-    bounds = [F.struct(F.lit(i).alias("i"), F.when(small, F.col("__least")).otherwise(F.col("__cuts")[2 * i]).alias("low"), F.when(small, F.col("__most")).otherwise(F.col("__cuts")[2 * i + 1]).alias("high")) for i in range(len(at))]
-    rows = joined(known, found.select(*keys, "__n", F.array(*bounds).alias("__b")), keys)
-    near = rows.select(*keys, "__n", "__v", F.explode(F.filter("__b", lambda x: F.col("__v") <= x["high"])).alias("__b"))
-    counts = near.groupBy(*keys, "__n", F.col("__b.i").alias("__i"), F.when(F.col("__v") >= F.col("__b.low"), F.col("__v")).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    upto = Window.partitionBy(*keys, "__i").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("__upto", F.sum("__c").over(upto))
-    out, columns = [], []
-    for i, (name, p) in enumerate(at.items()):
-        place = (F.col("__n") - 1) * F.lit(p)
-        holds = lambda rank, i=i: (F.col("__i") == i) & F.col("__v").isNotNull() & (F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank)
-        out += [F.max(F.when(holds(F.floor(place)), F.col("__v"))).alias(f"__lo{i}"), F.max(F.when(holds(F.ceil(place)), F.col("__v"))).alias(f"__hi{i}"), F.max(place - F.floor(place)).alias(f"__part{i}")]
-        whole = F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__part{i}")
-        columns.append(F.when(whole.isNotNull(), whole).otherwise(F.raise_error(F.lit("a quantile lies outside its bounds")).cast("double")).alias(name))
-    return placed.groupBy(*keys).agg(*out).select(*keys, *columns)
+    known = df.where(known_values(value)).select(*keys, F.col(value).cast("double").alias("__v"))
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    largest = sizes.agg(F.max("__n")).first()[0] or 0
+    places = list(at.values())
+    if largest <= EXACT:
+        found = known.groupBy(*keys).agg(F.percentile("__v", places).alias("__q"), F.count(F.lit(1)).alias("__n")).where("__n > 0")
+        return found.select(*keys, *[F.col("__q")[i].alias(name) for i, name in enumerate(at)])
+    place = lambda p: (F.col("__n") - 1) * F.lit(p)
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(p)), F.ceil(place(p))) for p in places])))
+    wanted = sizes.where("__n > 0").select(*keys, "__n", "__low", "__high", F.explode(ranks).alias("__rank"))
+    found = at_ranks(known, wanted, keys, EXACT)
+    by_rank = F.map_from_entries(F.collect_list(F.struct("__rank", "__v")))  # two for each quantile at most
+    per = found.groupBy(*keys).agg(F.first("__n").alias("__n"), by_rank.alias("__at"))
+
+    def between(p: float) -> Column:
+        low, high, part = F.col("__at")[F.floor(place(p))], F.col("__at")[F.ceil(place(p))], place(p) - F.floor(place(p))
+        return F.when(low == high, low).when((low == -math.inf) & (high < math.inf), low).otherwise(low + (high - low) * part)
+
+    return per.select(*keys, *[between(p).alias(name) for name, p in at.items()])
+
+
+def at_ranks(known: DataFrame, wanted: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """wanted (keys, __n, __rank) with __v: the value at a rank, from 0, among known(keys, __v); __low and __high are the
+    group's least and largest value.
+
+    Of each rank it is known how many values are up to a lower bound and how many lie strictly between it and an upper one.
+    The rank is one of the bounds', or lies between; then a sketch of what lies between, of bounded size, gives closer
+    bounds, whose rows are counted exactly.  Each step leaves a hundredth of the rows; once there are ``most`` or fewer, they
+    are counted value by value.  Copies of a value are one value, and bounds are values, so a step always gets on.
+    """
+    state = _counted(known, wanted.withColumnRenamed("__n", "__all"), keys).withColumnRenamed("__all", "__n")
+    while True:
+        state = checkpointed(state)
+        open_ = state.where((F.col("__rank") >= F.col("__upto")) & (F.col("__rank") < F.col("__upto") + F.col("__inside")) & (F.col("__inside") > most))
+        if open_.limit(1).count() == 0:
+            break
+        between = _between(known, open_, keys)
+        steps = [i / STEPS for i in range(STEPS + 1)]
+        cuts = between.groupBy(*keys, "__rank").agg(F.percentile_approx("__v", steps, ACCURACY).alias("__cuts"))
+        place = (F.col("__rank") - F.col("__upto")) * STEPS / F.col("__inside")
+        index = lambda i: F.get("__cuts", i.cast("int"))  # null outside
+        low, high = index(F.floor(place) - 1), index(F.ceil(place) + 2)
+        closer = joined(open_, cuts, [*keys, "__rank"]).withColumns({"__l": F.coalesce(low, "__low"), "__h": F.coalesce(high, "__high")})
+        closer = closer.select(*keys, "__n", "__rank", F.col("__l").alias("__low"), F.col("__h").alias("__high"))
+        rest = joined(state, open_.select(*keys, "__rank", F.lit(True).alias("__open")), [*keys, "__rank"]).where("__open is null").drop("__open")
+        state = rest.unionByName(_counted(known, closer.withColumnRenamed("__n", "__all"), keys).withColumnRenamed("__all", "__n"))
+    inside = (F.col("__rank") >= F.col("__upto")) & (F.col("__rank") < F.col("__upto") + F.col("__inside"))
+    values = _between(known, state.where(inside), keys).groupBy(*keys, "__rank", "__upto", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.col("__upto") + F.sum("__c").over(Window.partitionBy(*keys, "__rank").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))  # ``most`` rows at most
+    hit = values.withColumn("__last", upto).where((F.col("__last") > F.col("__rank")) & (F.col("__last") - F.col("__c") <= F.col("__rank"))).select(*keys, "__rank", "__v")
+    edge = F.when(F.col("__rank") < F.col("__upto"), F.col("__low")).otherwise(F.col("__high"))
+    return joined(state, hit, [*keys, "__rank"]).select(*keys, "__n", "__rank", F.coalesce("__v", edge).alias("__v"))
+
+
+def _between(known: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, __rank, __upto, __v: the values strictly between each rank's bounds."""
+    bounds = state.groupBy(*keys).agg(F.collect_list(F.struct("__rank", "__upto", "__low", "__high")).alias("__b"))  # a few a group
+    rows = joined(known, bounds, keys).where("__b is not null")
+    each = rows.select(*keys, "__v", F.explode(F.filter("__b", lambda b: (F.col("__v") > b["__low"]) & (F.col("__v") < b["__high"]))).alias("__b"))
+    return each.select(*keys, "__b.__rank", "__b.__upto", "__v")
+
+
+def _counted(known: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """state with __upto and __inside: how many values are up to __low, and strictly between __low and __high."""
+    bounds = state.groupBy(*keys).agg(F.collect_list(F.struct("__rank", "__low", "__high")).alias("__b"))
+    rows = joined(known, bounds, keys).where("__b is not null")
+    each = rows.select(*keys, "__v", F.explode(F.filter("__b", lambda b: F.col("__v") < b["__high"])).alias("__b"))
+    counts = each.groupBy(*keys, F.col("__b.__rank").alias("__rank")).agg(F.count_if(F.col("__v") <= F.col("__b.__low")).alias("__upto"), F.count_if(F.col("__v") > F.col("__b.__low")).alias("__inside"))
+    zero = F.lit(0).cast("long")
+    every = F.col("__low") == F.col("__high")  # all of one value: none is below the upper bound
+    found = joined(state.drop("__upto", "__inside"), counts, [*keys, "__rank"])
+    return found.withColumns({"__upto": F.when(every, F.col("__all")).otherwise(F.coalesce("__upto", zero)), "__inside": F.coalesce("__inside", zero)})
 
 
 def joined(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,13 +118,14 @@ def joined(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
 
 def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, n, n_positive, total, q1, median, q3 with linear interpolation."""
-    rows = df.groupBy(*keys).agg(F.count(value).alias("n"), F.count_if(F.col(value) > 0).alias("n_positive"), F.sum(value).alias("total"))
+    v = F.when(known_values(value), F.col(value))
+    rows = df.groupBy(*keys).agg(F.count(v).alias("n"), F.count_if(v > 0).alias("n_positive"), F.sum(v).alias("total"))
     return joined(rows, quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}), keys)
 
 
 def signs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, available, unavailable, positive, zero, negative, mean, median, least, most."""
-    v = F.col(value)
+    v = F.when(known_values(value), F.col(value))
     rows = df.groupBy(*keys).agg(
         F.count(v).alias("available"),
         F.count_if(v.isNull()).alias("unavailable"),
@@ -79,19 +141,27 @@ def signs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def ratings(df: DataFrame, keys: list[str], score: str, levels: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """keys, n, median, mean and for each level its number n_L and share share_L."""
-    s = F.col(score)
+    s = F.when(known_values(score), F.col(score))
     counts = [F.count_if(s == x).alias(f"n_{x}") for x in levels]
     shares = [(F.count_if(s == x) / F.count(s)).alias(f"share_{x}") for x in levels]
     rows = df.groupBy(*keys).agg(F.count(s).alias("n"), F.avg(s).alias("mean"), *counts, *shares)
     return joined(rows, quantiles(df, keys, score, {"median": 0.5}), keys)
 
 
+def below(counts: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
+    """counts (a row for each group and value) with __below: the sum of ``n`` over the group's smaller values.
+
+    Values are dealt by ranges, each adds up its own and what the ranges before it hold of the group.
+    """
+    rows = ordered.running(ordered.by_range(counts, keys, [F.col(value)]), [F.col(value)], {"__below": ("sum", F.col(n))}, upto=-1)
+    return rows.withColumn("__below", F.coalesce("__below", F.lit(0))).drop("__key", "__bucket")
+
+
 def midranks(df: DataFrame, keys: list[str], value: str, name: str = "midrank") -> DataFrame:
     """Average ranks from 1 within each group."""
     tied = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = tied.withColumn(name, F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2.0)
-    return df.join(placed.drop("__n"), [*keys, value])
+    placed = below(tied, keys, value, "__n").withColumn(name, F.col("__below") + (F.col("__n") + 1) / 2.0)
+    return df.join(placed.drop("__n", "__below"), [*keys, value])
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -121,9 +191,7 @@ def wilcoxon_sums(df: DataFrame, keys: list[str], difference: str) -> DataFrame:
     midranks of sizes, and its normal score with the tie correction and no continuity correction."""
     rows = df.where(F.col(difference) != 0).withColumn("__size", F.abs(F.col(difference)))
     groups = rows.groupBy(*keys, "__size").agg(F.count(F.lit(1)).alias("__t"), F.count_if(F.col(difference) > 0).alias("__up"))
-    w = Window.partitionBy(*keys).orderBy("__size").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("__t").over(w), F.lit(0)) + (F.col("__t") + 1) / 2.0
-    placed = groups.withColumn("__rank", rank)
+    placed = below(groups, keys, "__size", "__t").withColumn("__rank", F.col("__below") + (F.col("__t") + 1) / 2.0)
     t = F.col("__t").cast("double")
     sums = placed.groupBy(*keys).agg(
         F.sum("__t").alias("n"), F.sum(F.col("__rank") * F.col("__up")).alias("w_plus"), F.sum(F.col("__rank") * (F.col("__t") - F.col("__up"))).alias("w_minus"), F.sum(t * t * t - t).alias("ties")

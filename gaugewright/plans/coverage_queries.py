@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ranges, scalars
-from ..operators import coverage, ranking
+from ..operators import coverage, ordered, ranking
 from .registry import query
 
 
@@ -128,7 +128,7 @@ select l_suppkey, min(l_orderkey) as "start", max(l_orderkey) as "end" from r gr
 
 @query(_RUNS)
 def line_ranges(t):
-    return ranking.islands(t.lineitem, ["l_suppkey"], "l_orderkey")
+    return ordered.islands(t.lineitem, ["l_suppkey"], "l_orderkey")
 
 
 @query("""
@@ -160,7 +160,7 @@ m as (select user_id, min(a) as "start", max(b) as "end" from r group by user_id
 def _event_spans(t):
     hour = F.expr("timestampdiff(HOUR, timestamp_ntz'1970-01-01', ts)")
     spans = t.events.select("user_id", hour.alias("a"), (hour + F.floor(F.col("value") / 100).cast("long")).alias("b"))
-    return ranking.coalesce_spans(spans, ["user_id"], "a", "b")
+    return ordered.merged(spans, ["user_id"], "a", "b")
 
 
 @query(_SPANS + "select * from m")

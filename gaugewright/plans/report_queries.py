@@ -60,10 +60,12 @@ def incremental_status(t):
 
 
 @query("""
-select o_orderpriority, count(o_totalprice) n, count(*) filter (o_totalprice > 0) n_positive, round(sum(o_totalprice), 2) total, round(quantile_cont(o_totalprice, 0.25), 4) q1,
-  round(quantile_cont(o_totalprice, 0.5), 4) median, round(quantile_cont(o_totalprice, 0.75), 4) q3 from orders group by 1""")
+select o_orderpriority, count(v) n, count(*) filter (v > 0) n_positive, round(sum(v), 2) total, round(quantile_cont(v, 0.25), 4) q1,
+  round(quantile_cont(v, 0.5), 4) median, round(quantile_cont(v, 0.75), 4) q3 from (select o_orderpriority, case when o_orderkey % 40 > 0 then o_totalprice end v from orders) group by 1""")
 def variant_quartiles(t):
-    out = statistics.quartiles(t.orders, ["o_orderpriority"], "o_totalprice")
+    """Some values are NaN, which counts as none."""
+    rows = t.orders.withColumn("v", F.when(F.col("o_orderkey") % 40 > 0, F.col("o_totalprice")).otherwise(float("nan")))
+    out = statistics.quartiles(rows, ["o_orderpriority"], "v")
     return out.select("o_orderpriority", "n", "n_positive", F.round("total", 2).alias("total"), *[F.round(x, 4).alias(x) for x in ("q1", "median", "q3")])
 
 

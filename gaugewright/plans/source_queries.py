@@ -5,12 +5,13 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import selection, stages
 from ..sources import readers, sinks
-from ..sources.folders import fresh_folder, put
+from ..sources.folders import fresh_folder
 from .registry import query
 
 
@@ -131,19 +132,19 @@ def analysis_xml(t):
 
 
 @query("""
-select r_name "name", 'Region ' || r_regionkey text, false is_first from region where r_name <> 'ASIA'
-union all select 'ASIA', 'Region ' || r_regionkey, true from region where r_name = 'ASIA'""")
+select n_name "name", 'Caf of ' || n_name || chr(10) text, n_name = (select min(n_name) from nation) is_first from nation""")
 def source_files(t):
-    """Whole files, and the first path of a wanted name among several."""
+    """Whole files with a byte that is no UTF-8, and the first path of a wanted name among several.
+
+    One task writes a folder for each nation, with a file of the same name in each."""
     root = fresh_folder(t._spark, "sources")
-    for r in t.region.collect():  # five files
-        for folder in ("b", "a") if r["r_name"] == "ASIA" else ("b",):
-            put(t._spark, f"{root}/{folder}/{r['r_name']}.java", f"Region {r['r_regionkey']}".encode())
-    files = readers.source_files(t._spark, root)
-    names = t._spark.createDataFrame([("ASIA.java",), ("NONE.java",)], "name string")
+    content = F.unhex(F.concat(F.hex(F.lit("Caf")), F.lit("E9"), F.hex(F.concat(F.lit(" of "), "n_name")))).cast("string")
+    t.nation.select("n_name", content.alias("value")).coalesce(1).write.partitionBy("n_name").text(root)
+    files = readers.source_files(t._spark, root, "part-*.txt")
+    names = files.select(F.element_at(F.split("path", "/"), -1).alias("name")).distinct()
     first = readers.files_by_name(t._spark, root, names).select("path", F.lit(True).alias("is_first"))
-    kept = files.join(first, "path", "left").where("is_first or path not like '%ASIA.java'")
-    return kept.select(F.regexp_extract("path", r"([^/]+)\.java$", 1).alias("name"), "text", F.coalesce("is_first", F.lit(False)).alias("is_first"))
+    kept = files.join(first, "path", "left")
+    return kept.select(F.url_decode(F.regexp_extract("path", r"n_name=([^/]+)/", 1)).alias("name"), "text", F.coalesce("is_first", F.lit(False)).alias("is_first"))
 
 
 @query("""
@@ -156,15 +157,26 @@ def log_lines(t):
 @query("""
 select n_name || '.jar' archive, 'p/' || n_name || '.class' entry, 52 + n_regionkey major from nation union all select n_name || '.jar', 'notes.txt', null from nation""")
 def archive_entries(t):
+    """Archives made and written by the tasks, one a nation and a broken one for each region."""
+
+    @F.pandas_udf("binary")
+    def archive(name: pd.Series, major: pd.Series) -> pd.Series:
+        def made(n, m):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr(f"p/{n}.class", b"\xca\xfe\xba\xbe\0\0" + int(m).to_bytes(2, "big") + b"rest")
+                z.writestr("notes.txt", "text")
+            return out.getvalue()
+
+        return pd.Series([made(n, m) for n, m in zip(name, major, strict=True)])
+
     root = fresh_folder(t._spark, "archives")
-    for r in t.nation.collect():  # twenty-five small files
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            z.writestr(f"p/{r['n_name']}.class", b"\xca\xfe\xba\xbe\0\0" + (52 + r["n_regionkey"]).to_bytes(2, "big") + b"rest")
-            z.writestr("notes.txt", "text")
-        put(t._spark, f"{root}/{r['n_name']}.jar", out.getvalue())
-    put(t._spark, f"{root}/broken.jar", b"no archive")
-    return readers.archive_entries(t._spark, root).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("archive"), "entry", F.col("major").cast("int").alias("major"))
+    whole = t.nation.select(F.col("n_name").alias("archive"), archive("n_name", F.col("n_regionkey") + 52).cast("string").alias("value"))
+    broken = t.region.select(F.concat(F.lit("broken "), "r_name").alias("archive"), F.lit("no archive").alias("value"))
+    whole.unionByName(broken).write.partitionBy("archive").text(root)
+    found = readers.archive_entries(t._spark, root, "part-*.txt")
+    name = F.concat(F.url_decode(F.regexp_extract("path", r"archive=([^/]+)/", 1)), F.lit(".jar"))
+    return found.select(name.alias("archive"), "entry", F.col("major").cast("int").alias("major"))
 
 
 @query("select c_nationkey \"name\", 'src/test/C' || c_custkey || '.java' path, 'test' kind from customer where c_acctbal >= 0")
@@ -230,20 +242,31 @@ def text_report(t):
     return t._spark.read.text(_text(t, line))
 
 
+#: Build files: what they say, and the source and target version that holds.
+_BUILDS = (
+    ("<properties><java.version>1.8</java.version><junit.version>4.{}</junit.version></properties>", "1.8", "1.8"),
+    ("<properties><maven.compiler.source>1.8</maven.compiler.source><maven.compiler.release>17</maven.compiler.release></properties>", "1.8", "17"),
+    ("<properties><compiler.source>11</compiler.source></properties>", "11", "11"),
+    ("sourceCompatibility = 1.8\njava { toolchain { languageVersion = JavaLanguageVersion.of(17) } }", "1.8", "17"),
+    ("<properties><v>21</v><maven.compiler.target>${v}</maven.compiler.target></properties>", "21", "21"),
+    ("<plugin><source>9</source><target>10</target></plugin>", "9", "10"),
+    ("with:\n  java-version: '11'", "11", "11"),
+    ("targetCompatibility = JavaVersion.VERSION_1_7", "1_7", "1_7"),
+    ("nothing", None, None),
+)
+
+
 @query("""
-with m(i, text, want) as (values (1, '1.8', 8), (2, '17', 17), (3, '1.7', 7))
-select n_nationkey, n_name, case n_regionkey when 0 then 8 when 1 then 17 when 2 then 7 end java_version, case when n_regionkey = 0 then '4.' || n_nationkey else '4.13' end "version" from nation""")
+with m(i, source, target, major) as (values {}) select n_nationkey, source, target, major java_version, case when i = 0 then '4.' || n_nationkey else '4.13' end "version" from nation join m on i = n_nationkey % {}""".format(
+    ", ".join("({}, {}, {}, {})".format(i, *[repr(v) if v else "null" for v in (a, b)], (a.removeprefix("1.").removeprefix("1_") if a else "null")) for i, (_, a, b) in enumerate(_BUILDS)), len(_BUILDS)
+))
 def build_files(t):
-    """Java versions of build files and properties resolved from them."""
-    text = (
-        F.when(F.col("n_regionkey") == 0, F.concat(F.lit("<properties><java.version>1.8</java.version><junit.version>4."), "n_nationkey", F.lit("</junit.version></properties>")))
-        .when(F.col("n_regionkey") == 1, F.lit("sourceCompatibility = JavaVersion.VERSION_17"))
-        .when(F.col("n_regionkey") == 2, F.lit("java-version: '1.7'"))
-        .otherwise(F.lit("nothing"))
-    )
-    rows = t.nation.withColumn("text", text)
-    value = F.when(F.col("n_regionkey") == 0, "${junit.version}").otherwise("4.13")
-    return rows.select("n_nationkey", "n_name", readers.java_version(F.col("text")).alias("java_version"), readers.resolve_properties(F.col("text"), value).alias("version"))
+    """Java versions of build files, source and target, and properties resolved from them."""
+    which = F.col("n_nationkey") % len(_BUILDS)
+    said = F.array(*[F.lit(text) for text, _, _ in _BUILDS])[which.cast("int")]
+    rows = t.nation.withColumn("text", F.replace(said, F.lit("{}"), F.col("n_nationkey").cast("string")))
+    value = F.when(which == 0, "${junit.version}").otherwise("4.13")
+    return rows.select("n_nationkey", readers.java_versions(F.col("text"))["source"].alias("source"), readers.java_versions(F.col("text"))["target"].alias("target"), readers.java_version(F.col("text")).alias("java_version"), readers.resolve_properties(F.col("text"), value).alias("version"))
 
 
 @query("""

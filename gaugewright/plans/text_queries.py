@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import conventions, matching, ranking
+from ..operators import conventions, matching, ordered, ranking
 from ..streaming import events as streams
 from .registry import query
 
@@ -159,10 +159,12 @@ def interval_join(t):
 @query("""
 select a.event_id, b.event_id last_view from (select * from events where event_type = 'purchase') a asof left join (select user_id, event_id, ts from events where event_type = 'view') b on a.user_id = b.user_id and a.ts >= b.ts""")
 def asof_join(t):
-    """The latest view at or before each purchase of a user: one union and a running last value instead of a join."""
-    w = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "view", 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = t.events.where("event_type in ('view', 'purchase')")
-    seen = rows.withColumn("last_view", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(w))
+    """The latest view at or before each purchase of a user: a running last value instead of a join, carried from day
+    to day, so that a busy user's events do not meet in one task."""
+    order = [F.col("ts"), F.when(F.col("event_type") == "view", 0).otherwise(1), F.col("event_id")]
+    day = F.expr("timestampdiff(DAY, timestamp_ntz'1970-01-01', ts)")
+    rows = ordered.by_position(t.events.where("event_type in ('view', 'purchase')"), ["user_id"], day, 1)
+    seen = ordered.running(rows, order, {"last_view": ("last", F.when(F.col("event_type") == "view", F.col("event_id")))})
     return seen.where("event_type = 'purchase'").select("event_id", "last_view")
 
 

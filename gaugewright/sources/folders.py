@@ -33,11 +33,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
-
-def put(spark: SparkSession, path: str, content: bytes) -> None:
-    """Writes one small file through the file system that the path names."""
-    jvm = spark.sparkContext._jvm
-    to = jvm.org.apache.hadoop.fs.Path(path)
-    out = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(to, True)
-    out.write(bytearray(content))
-    out.close()

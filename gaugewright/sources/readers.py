@@ -7,6 +7,7 @@ counted in ``bad_fields``.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.scalars import utf8_text
+
 TEST_DELTAS = "test_selector string, added_lines int, added_methods int, added_branches int, added_instructions int"
 LINE_DELTAS = "test_selector string, class_name string, newly_covered_lines string, upgraded_to_full_lines string"
 CLASS_DELTAS = "class_name string, added_lines int, added_methods int, added_branches int, added_instructions int"
@@ -136,9 +139,9 @@ def duplicated_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def source_files(spark: SparkSession, path: str, pattern: str = "*.java") -> DataFrame:
-    """path, text: whole files; bytes that are no UTF-8 are replaced."""
+    """path, text: whole files; bytes that are no UTF-8 are dropped.  Spark's scan leaves empty files out."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return rows.select("path", F.decode("content", "UTF-8").alias("text"))
+    return rows.select("path", utf8_text(F.col("content")).alias("text"))
 
 
 def files_by_name(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
@@ -159,12 +162,12 @@ def tree_entries(rows: DataFrame, name: str, body: str) -> DataFrame:
     return rows.select(name, F.explode(F.from_json(F.col(body), schema)["tree"]).alias("e")).where("e.type = 'blob'").select(name, "e.path")
 
 
-def archive_entries(spark: SparkSession, path: str) -> DataFrame:
+def archive_entries(spark: SparkSession, path: str, pattern: str = "*.{jar,zip}") -> DataFrame:
     """path, entry, major: entries of zip archives; class files have the major version of their header, others null.
 
     An archive is read whole by one task, and entries are streamed from it; broken archives give no rows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jar,zip}").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
 
     def run(batches):
         import pandas as pd
@@ -189,32 +192,49 @@ def archive_entries(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, entry string, major int")
 
 
-#: Java version texts of a build file, in the order in which they are asked; the first that is found holds.
-JAVA_VERSION = (
-    r"<maven\.compiler\.release>\s*([\d.]+)",
-    r"<maven\.compiler\.source>\s*([\d.]+)",
-    r"<maven\.compiler\.target>\s*([\d.]+)",
-    r"<java\.version>\s*([\d.]+)",
-    r"<release>\s*([\d.]+)",
-    r"<source>\s*([\d.]+)",
-    r"<target>\s*([\d.]+)",
-    r"languageVersion\s*(?:=|\.set\()\s*JavaLanguageVersion\.of\((\d+)",
-    r"(?:source|target)Compatibility\s*=?\s*['\"]?(?:JavaVersion\.VERSION_)?([\d._]+)",
-    r"java-version:\s*['\"]?([\d.]+)",
-)
+#: Names of properties and tags, and texts of other build tools, that say a Java version, in the order in which
+#: they are asked.  ``{}`` stands for source or target.
+VERSION_PROPERTIES = ("maven.compiler.{}", "compiler.{}", "java.version", "maven.compiler.release")
+VERSION_TAGS = ("maven.compiler.{}", "compiler.{}", "{}", "java.version", "maven.compiler.release", "release")
+VERSION_TEXTS = (r"{}Compatibility\s*=?\s*['\"]?(?:JavaVersion\.VERSION_)?([\d._]+)", r"JavaLanguageVersion\.of\((\d+)", r"java-version:\s*['\"]?([\d.]+)")
+
+
+def java_versions(text: Column) -> Column:
+    """struct<source, target>: the Java versions that a build file asks for, as written; null if it says nothing.
+
+    Properties come first (with one reference resolved), then tags, then other tools' texts, each in its list's order; the
+    one that is not said is as the other.
+    """
+
+    def asked(kind: str) -> Column:
+        named = [resolve_properties(text, F.nullif(_property(text, p.format(kind)), F.lit(""))) for p in VERSION_PROPERTIES]
+        tags = [F.regexp_extract(text, f"<{re.escape(t.format(kind))}>([\\d.]+)</{re.escape(t.format(kind))}>", 1) for t in VERSION_TAGS]
+        texts = [F.regexp_extract(text, p.replace("{}", kind), 1) for p in VERSION_TEXTS]
+        return F.coalesce(*named, *[F.nullif(found, F.lit("")) for found in (*tags, *texts)])
+
+    source, target = asked("source"), asked("target")
+    return F.struct(F.coalesce(source, target).alias("source"), F.coalesce(target, source).alias("target"))
 
 
 def java_version(text: Column) -> Column:
-    """Major Java version a build file asks for, null if it says nothing; 1.8 and 1_8 are 8."""
-    found = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in JAVA_VERSION])
-    return F.regexp_replace(F.translate(found, "_", "."), r"^1\.", "").try_cast("double").cast("int")
+    """Major source version, null if the file says none; 1.8 and 1_8 are 8."""
+    return F.regexp_replace(F.translate(java_versions(text)["source"], "_", "."), r"^1\.", "").try_cast("double").cast("int")
+
+
+#: The first block of properties, and one of them.
+_BLOCK, _PROPERTY = r"(?s)<properties>(.*?)</properties>", r"<([^/>]+)>([^<]+)</\1>"
+
+
+def _property(text: Column, name: str | Column) -> Column:
+    """The last value of a property in the text's block of them, trimmed; null if there is none."""
+    block = F.regexp_extract(text, _BLOCK, 1)
+    names = F.transform(F.regexp_extract_all(block, F.lit(_PROPERTY), F.lit(1)), F.trim)
+    values = F.regexp_extract_all(block, F.lit(_PROPERTY), F.lit(2))
+    place = F.array_position(F.reverse(names), F.lit(name) if isinstance(name, str) else name)
+    return F.when(place > 0, F.trim(F.try_element_at(F.reverse(values), place.cast("int"))))
 
 
 def resolve_properties(text: Column, value: Column) -> Column:
-    """value with one level of ``${name}`` replaced from the text's <properties>."""
+    """value with one level of ``${name}`` replaced from the text's <properties>; itself if there is no such property."""
     name = F.regexp_extract(value, r"^\$\{([^}]+)\}$", 1)
-    block = F.regexp_extract(text, r"(?s)<properties>(.*?)</properties>", 1)
-    keys = F.regexp_extract_all(block, F.lit(r"<([\w.\-]+)>([^<]*)</"), F.lit(1))
-    values = F.regexp_extract_all(block, F.lit(r"<([\w.\-]+)>([^<]*)</"), F.lit(2))
-    place = F.array_position(keys, name)
-    return F.when((name != "") & (place > 0), F.trim(F.try_element_at(values, place.cast("int")))).otherwise(value)
+    return F.coalesce(F.when(name != "", _property(text, name)), value)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewright.functions import java, ranges, scalars, text
-from gaugewright.operators import classify, conventions, coverage, incremental, matching, ranking, selection, statistics
+from gaugewright.operators import classify, conventions, coverage, incremental, matching, ranking, selection, stages, statistics
 
 
 def value(spark, column):
@@ -191,6 +191,7 @@ def test_scalars(spark):
     assert value(spark, text.fqcn_of_path(F.lit("m/src/main/java/a/b/C.java"))) == "a.b.C"
     assert value(spark, F.lit("org/x-1").rlike(text.glob_to_regex("org/?-*")))
     assert value(spark, scalars.unbase64_text(F.lit("aGk="))) == "hi"
+    assert value(spark, scalars.unbase64_text(F.lit("Y2Fm6SB4"))) == "caf x" and value(spark, scalars.unbase64_text(F.lit("?"))) is None
     assert value(spark, text.class_of(F.lit("class A {} class B {}"), F.lit("B"))) == "B"
     assert value(spark, text.strip_comments_keep_strings(F.lit('a "//x" // y'))) == 'a "//x" '
 
@@ -363,7 +364,17 @@ def test_long_line_specs(spark):
     rows = spark.createDataFrame([(lines[::-1] + lines[:9],), ([],)], "a array<int>")
     got = rows.select(ranges.encode(F.col("a")).alias("s")).collect()
     assert got[0]["s"] == ";".join(want) and got[1]["s"] == ""
-    assert value(spark, ranges.line_count(F.lit("1-2000000000;5;1999999999-2000000001;x"))) == 2_000_000_001
+    wide = F.lit("1-2000000000;5;1999999999-2000000001;x")
+    assert value(spark, ranges.line_count(wide)) == 2_000_000_001
+    assert [tuple(s) for s in value(spark, ranges.merged_spans(F.lit("9;0-2;4;3;7-8"), False))] == [(0, 4), (7, 9)]
+    assert [tuple(s) for s in value(spark, ranges.merged_spans(F.lit("0;9;0-2")))] == [(1, 2), (9, 9)] and value(spark, ranges.merged_spans(F.lit(None))) == []
+    rows = spark.createDataFrame([("t", "C", "1-2000000000", "5"), ("t", "C$A", "1999999999-2000000001", ""), ("u", "C", "", "x"), ("u", "D", "1", "")], "k string, class_name string, newly_covered_lines string, upgraded_to_full_lines string")
+    assert [tuple(r) for r in stages.target_lines(rows, ["k"], F.lit("C")).collect()] == [("t", 2_000_000_001)]
+    assert [tuple(r) for r in stages.target_percentage(rows, ["k"], F.lit("C"), F.lit(4_000_000_006)).collect()] == [("t", pytest.approx(100 * 2_000_000_003 / 4_000_000_006))]
+    deltas = stages.method_deltas(spark.createDataFrame([("t",)], "k string"), rows, ["k"], F.lit("C"))
+    assert deltas.first()["target_added_lines"] == 2_000_000_003
+    with pytest.raises(Exception, match="more than"):
+        value(spark, ranges.decode(wide))
 
 
 def test_extremes_of_null_orders(spark):

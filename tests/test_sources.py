@@ -62,6 +62,11 @@ def test_files_and_archives(spark, tmp_path):
     put(tmp_path / "src/b/T.java", "class T {}")
     put(tmp_path / "src/a/T.java", "class T {}")
     assert readers.source_files(spark, str(tmp_path / "src")).count() == 2
+    bad = {"Latin": b"caf\xe9 x", "Cut": "a\u20ac".encode()[:-1], "Fine": "\ufffd \ufdd0\ufdd1 \u20ac".encode(), "Both": b"\xff" + "\ufffd\ufdd0\ufdd2".encode() + b"\xc3"}
+    for name, content in bad.items():
+        put(tmp_path / f"bad/{name}.java", content)
+    got = {r["path"].rsplit("/", 1)[1][:-5]: r["text"] for r in readers.source_files(spark, str(tmp_path / "bad")).collect()}
+    assert got == {name: content.decode("utf-8", "ignore") for name, content in bad.items()}
     names = spark.createDataFrame([("T.java",)], "name string")
     assert readers.files_by_name(spark, str(tmp_path / "src"), names).first()["path"].endswith("/a/T.java")
     data = io.BytesIO()
@@ -77,6 +82,16 @@ def test_build_files(spark):
     texts = ["<properties><maven.compiler.source>1.8</maven.compiler.source></properties>", "sourceCompatibility = JavaVersion.VERSION_17", "java-version: '21'", "nothing"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert [r["v"] for r in rows.select("i", readers.java_version(F.col("t")).alias("v")).orderBy("i").collect()] == [8, 17, 21, None]
+    pairs = {
+        "<maven.compiler.source>1.8</maven.compiler.source><maven.compiler.release>17</maven.compiler.release>": ("1.8", "17"),
+        "<compiler.source>11</compiler.source>": ("11", "11"),
+        "<properties><compiler.target>9</compiler.target></properties><source>8</source>": ("8", "9"),
+        "sourceCompatibility = 1.8\njava { toolchain { languageVersion = JavaLanguageVersion.of(17) } }": ("1.8", "17"),
+        "<properties><java.version>${x}</java.version></properties>": ("${x}", "${x}"),
+        "": (None, None),
+    }
+    found = spark.createDataFrame([(t,) for t in pairs], "t string").select("t", readers.java_versions(F.col("t")).alias("v")).collect()
+    assert {r["t"]: tuple(r["v"]) for r in found} == pairs
     one = spark.createDataFrame([("<properties><a.b> 5 </a.b></properties>", "${a.b}"), ("", "7")], "t string, v string")
     assert [r[0] for r in one.select(readers.resolve_properties(F.col("t"), F.col("v"))).collect()] == ["5", "7"]
 
