@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import coverage_queries, java_queries, report_queries, source_queries, stage_queries, surface_queries, text_queries  # noqa: F401  (they register themselves)
+from .plans import coverage_queries, facts_queries, java_queries, report_queries, source_queries, stage_queries, surface_queries, text_queries  # noqa: F401  (they register themselves)
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

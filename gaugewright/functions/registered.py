@@ -52,7 +52,7 @@ class ExplodeRanges:
 
 def register(spark: SparkSession) -> None:
     spark.udf.register("java_mask", java._udf(java.mask, "string"))
-    spark.udf.register("java_methods", java._udf(lambda c: [{"name": n, "annotations": a, "body": b, "is_test": java.is_test(n, a)} for n, a, b in java.methods(c)], java._METHOD_TYPE))
+    spark.udf.register("java_methods", java._udf(java.method_rows, java._METHOD_TYPE))
     spark.udf.register("java_code_lines", java._udf(java.code_lines, "array<boolean>"))
 
     @F.pandas_udf("int")

@@ -74,11 +74,13 @@ def naming_conformance(candidate: Column, reference: Column) -> tuple[Column, Co
     return tuple(F.when(known, F.when(some, v).otherwise(0.0)) for v in (style, clarity))
 
 
-def fixture_reuse(masked: Column, helpers: Column) -> Column:
-    """Calls of the reference's helpers over these and constructions; null without helpers, 0 without either."""
-    calls = F.size(F.filter(F.regexp_extract_all(masked, F.lit(r"(?<![\w.])([a-z]\w*)\s*\("), F.lit(1)), lambda c: F.array_contains(helpers, c)))
-    made = F.regexp_count(masked, F.lit(r"\bnew\s+[A-Z]\w*\s*[(<]"))
-    return F.when(F.size(helpers) > 0, F.when(calls + made > 0, calls / F.nullif(calls + made, F.lit(0))).otherwise(0.0))
+def fixture_reuse(calls: Column, helpers: Column) -> Column:
+    """Calls of the reference's helpers over these and constructions; null without helpers, 0 without either.
+
+    ``calls`` are a file's calls, as java.calls_column() has them: a construction follows ``new``, a helper's call no dot."""
+    made = F.size(F.filter(calls, lambda c: c["constructs"]))
+    reused = F.size(F.filter(calls, lambda c: (c["lead"] != ".") & ~c["constructs"] & F.array_contains(helpers, c["name"])))
+    return F.when(F.size(helpers) > 0, F.coalesce(reused / F.nullif(reused + made, F.lit(0)), F.lit(0.0)))
 
 
 def profile(pairs: DataFrame, candidate: str = "candidate", reference: str = "reference") -> DataFrame:
@@ -87,7 +89,7 @@ def profile(pairs: DataFrame, candidate: str = "candidate", reference: str = "re
     rows = pairs
     for side, column in (("c", candidate), ("r", reference)):
         rows = rows.withColumn(f"__{side}_methods", java.methods_column(F.col(column))).withColumn(f"__{side}_sites", java.sites_column(F.col(column)))
-    rows = rows.withColumn("__masked", java.mask_column(F.col(candidate)))
+    rows = rows.withColumn("__calls", java.calls_column(F.col(candidate), ".*"))
     family, idiom = assertion_conformance(F.col("__c_sites"), F.col("__r_sites"))
     style, clarity = naming_conformance(names(F.col("__c_methods"), True), names(F.col("__r_methods"), True))
     used = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(java.IMPORT), F.lit(1)))
@@ -97,13 +99,13 @@ def profile(pairs: DataFrame, candidate: str = "candidate", reference: str = "re
             "assertion_idiom": idiom,
             "naming_style": style,
             "naming_clarity": clarity,
-            "fixture_reuse": fixture_reuse(F.col("__masked"), F.array_distinct(names(F.col("__r_methods"), False))),
+            "fixture_reuse": fixture_reuse(F.col("__calls"), F.array_distinct(names(F.col("__r_methods"), False))),
             "import_conformance": text.containment(used(candidate), used(reference)),
         }
     )
     rows = rows.withColumn("assertion_conformance", (F.col("assertion_family") + F.col("assertion_idiom")) / 2).withColumn("naming_conformance", (F.col("naming_style") + F.col("naming_clarity")) / 2)
     parts = [F.col(c) for c in ("assertion_conformance", "naming_conformance", "fixture_reuse", "import_conformance")]
-    return rows.withColumn("conformance", scalars.mean_of_available(*parts)).drop("__c_methods", "__c_sites", "__r_methods", "__r_sites", "__masked")
+    return rows.withColumn("conformance", scalars.mean_of_available(*parts)).drop("__c_methods", "__c_sites", "__r_methods", "__r_sites", "__calls")
 
 
 def test_bodies(docs: DataFrame, keys: list[str], code: str = "text") -> DataFrame:

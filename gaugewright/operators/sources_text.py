@@ -150,11 +150,13 @@ def merge_gaps(spans: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame
 
 
 def held_out(items: DataFrame, keys: list[str], item: str, k: int, repeats: int, seed: int = 1) -> DataFrame:
-    """keys, item, repeat, held: for each repeat k items of a key by hash order are held out, the others not."""
+    """keys, item, repeat, held: for each repeat k items of a key by hash order are held out, the others not.
+
+    A key's items are methods of one target, or targets of one repository."""
     from pyspark.sql import Window
 
     spread = items.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    w = Window.partitionBy(*keys, "repeat").orderBy(F.xxhash64(F.lit(seed), F.col("repeat"), F.col(item)), item)
+    w = Window.partitionBy(*keys, "repeat").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("repeat").cast("string"), F.col(item).cast("string"))), item)
     return spread.withColumn("held", F.row_number().over(w) <= k)
 
 

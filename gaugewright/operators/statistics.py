@@ -295,28 +295,6 @@ def draws(item: Column, replicates: int, seed: int = 1) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(replicates)), weight)
 
 
-def _replicated(df: DataFrame, item: str, replicates: int, seed: int) -> DataFrame:
-    """A row for each replicate __rep with the item's weight __w in it."""
-    key = F.to_json(F.struct(item)) if df.schema[item].dataType.typeName() == "struct" else F.col(item)
-    reps = df.select("*", F.posexplode(draws(key, replicates, seed)).alias("__at", "__w"))
-    return reps.withColumn("__rep", F.col("__at") + 1).drop("__at")
-
-
-def alpha_ordinal_ci(df: DataFrame, keys: list[str], item: str, rater: str, score: str, replicates: int = 200, seed: int = 1) -> DataFrame:
-    """keys, low, high: 2.5 and 97.5 percent bounds of alpha_ordinal() under a Poisson bootstrap of items.
-
-    An item drawn w times counts as w items with the same ratings.  Replicates whose alpha is null (no item, or one level
-    only) are left out of the bounds.
-    """
-    counts = df.where(F.col(score).isNotNull()).groupBy(*keys, item, score).agg(F.count(F.lit(1)).alias("__k"))
-    drawn = _replicated(counts, item, replicates, seed).where("__w > 0")
-    copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__w")))).withColumn("__item", F.struct(item, "__copy"))
-    rows = copies.withColumn("__rater", F.explode(F.sequence(F.lit(1), F.col("__k").cast("int"))))
-    alphas = alpha_ordinal(rows.select(*keys, "__rep", "__item", "__rater", score), [*keys, "__rep"], "__item", "__rater", score)
-    p = F.percentile("alpha", F.array(F.lit(0.025), F.lit(0.975)))
-    return alphas.groupBy(*keys).agg(p.alias("__p")).select(*keys, F.col("__p")[0].alias("low"), F.col("__p")[1].alias("high"))
-
-
 #: So many keys' sums are held at a time in a task.
 HELD = 4096
 
@@ -353,6 +331,15 @@ def _weighted_sums(kinds: list, replicates: int):
     return run
 
 
+def _replicate_sums(rows: DataFrame, keys: list[str], replicates: int) -> DataFrame:
+    """keys, __rep, __t, __n: of rows (keys, __v, __w) the sums of weighted values and of weights in each replicate."""
+    fields = [rows.schema[k] for k in keys]
+    schema = StructType([*[StructField(f"k{i}", f.dataType) for i, f in enumerate(fields)], *[StructField(n, ArrayType(DoubleType())) for n in ("__top", "__down")]])
+    sums = rows.mapInArrow(_weighted_sums([to_arrow_type(f.dataType) for f in fields], replicates), schema).toDF(*keys, "__top", "__down")
+    each = sums.select(*keys, F.posexplode(F.arrays_zip("__top", "__down")).alias("__rep", "__s"))
+    return each.groupBy(*keys, "__rep").agg(F.sum("__s.__top").alias("__t"), F.sum("__s.__down").alias("__n"))
+
+
 def bootstrap_ci(df: DataFrame, keys: list[str], item: str, value: str, replicates: int = 200, seed: int = 1) -> DataFrame:
     """keys, low, high: 2.5 and 97.5 percent bounds of the mean under a Poisson bootstrap of items.
 
@@ -360,11 +347,7 @@ def bootstrap_ci(df: DataFrame, keys: list[str], item: str, value: str, replicat
     are shuffled; rows are not written once for each replicate.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"), draws(F.col(item), replicates, seed).alias("__w"))
-    fields = [rows.schema[k] for k in keys]
-    schema = StructType([*[StructField(f"k{i}", f.dataType) for i, f in enumerate(fields)], *[StructField(n, ArrayType(DoubleType())) for n in ("__top", "__down")]])
-    sums = rows.mapInArrow(_weighted_sums([to_arrow_type(f.dataType) for f in fields], replicates), schema).toDF(*keys, "__top", "__down")
-    each = sums.select(*keys, F.posexplode(F.arrays_zip("__top", "__down")).alias("__rep", "__s"))
-    per = each.groupBy(*keys, "__rep").agg(F.sum("__s.__top").alias("__t"), F.sum("__s.__down").alias("__n"))
+    per = _replicate_sums(rows, keys, replicates)
     means = per.where("__n > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("__t") / F.col("__n"))).alias("__m"))  # one for each replicate
 
     def at(p: float) -> Column:
@@ -375,6 +358,36 @@ def bootstrap_ci(df: DataFrame, keys: list[str], item: str, value: str, replicat
     return means.select(*keys, at(0.025).alias("low"), at(0.975).alias("high"))
 
 
+def alpha_ordinal_ci(df: DataFrame, keys: list[str], item: str, rater: str, score: str, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """keys, low, high: 2.5 and 97.5 percent bounds of alpha_ordinal() under a Poisson bootstrap of items.
+
+    An item drawn w times counts as w items with the same ratings.  One pass: an item has an array of its weights in all
+    replicates, and a task adds up, for each pair of score levels, what the items' pairs of ratings weigh, and for each level
+    its ratings.  Only those sums are shuffled, so no row is written for a replicate; the levels are those of a scale, few.
+    Replicates whose alpha is null (no item, or one level only) are left out of the bounds.
+    """
+    counts = df.where(F.col(score).isNotNull()).groupBy(*keys, item, score).agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    items = counts.groupBy(*keys, item).agg(F.array_sort(F.collect_list(F.struct(F.col(score).cast("double").alias("s"), F.col("__n").alias("n")))).alias("__l"), F.sum("__n").alias("__m")).where("__m > 1")
+    pairs = F.flatten(F.transform("__l", lambda x: F.transform(F.filter("__l", lambda y: y["s"] >= x["s"]), lambda y: F.struct(x["s"].alias("a"), y["s"].alias("b"), F.when(x["s"] == y["s"], x["n"]).otherwise(2 * x["n"] * y["n"] / (F.col("__m") - 1)).alias("v")))))
+    rows = items.select(*keys, F.explode(pairs).alias("__p"), draws(F.col(item), replicates, seed).alias("__w")).select(*keys, F.col("__p.a").alias("__a"), F.col("__p.b").alias("__b"), F.col("__p.v").alias("__v"), "__w")
+    sums = _replicate_sums(rows, [*keys, "__a", "__b"], replicates).select(*keys, "__a", "__b", "__rep", F.col("__t").alias("__s"))
+    by = [*keys, "__rep"]
+    levels = sums.where("__a = __b and __s > 0")
+    upto = Window.partitionBy(*by).orderBy("__a").rowsBetween(Window.unboundedPreceding, 0)
+    levels = levels.select(*by, "__a", F.col("__s").alias("__f"), (F.sum("__s").over(upto) - F.col("__s") / 2).alias("__place"))
+    scale = levels.groupBy(*by).agg(F.collect_list(F.struct("__a", "__f", "__place")).alias("__scale"))
+    observed = sums.where("__a < __b").groupBy(*by).agg(F.collect_list(F.struct("__a", "__b", "__s")).alias("__o"))
+    per = joined(scale, observed, by).withColumn("__o", F.coalesce("__o", F.array().cast("array<struct<__a:double,__b:double,__s:double>>")))
+    place = lambda level: F.element_at(F.filter("__scale", lambda x: x["__a"] == level), 1)["__place"]
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    n = total(F.transform("__scale", lambda x: x["__f"]))
+    seen = total(F.transform(F.filter("__o", lambda o: o["__s"] > 0), lambda o: o["__s"] * F.pow(place(o["__a"]) - place(o["__b"]), 2)))
+    chance = total(F.transform("__scale", lambda x: total(F.transform("__scale", lambda y: x["__f"] * y["__f"] * F.pow(x["__place"] - y["__place"], 2))))) / (n - 1)
+    alphas = per.select(*keys, F.when(chance > 0, 1 - seen / chance).alias("__alpha"))
+    p = F.percentile("__alpha", F.array(F.lit(0.025), F.lit(0.975)))
+    return alphas.groupBy(*keys).agg(p.alias("__p")).select(*keys, F.col("__p")[0].alias("low"), F.col("__p")[1].alias("high"))
+
+
 def pair_summary(df: DataFrame, keys: list[str], left: str, right: str, target: str, tolerance: float = 0.1) -> DataFrame:
     """keys, identical, left_wins, ties, right_wins, p_superior and the largest gains with their targets."""
     d = F.col(right) - F.col(left)

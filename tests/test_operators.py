@@ -59,10 +59,10 @@ def test_methods_and_sites(spark):
 
 def test_outline_of_odd_texts():
     assert java.methods("class A { A() { } int f(int a) throws E, F { } int[] g = {h(1)}; <T> List<T> i(@N T t) { return j(); } }") == [("f", [], "{ }"), ("i", [], "{ return j(); }")]
-    assert java.methods("class A { @X int a; @Test void b() { c(); } class N { void inner() { } } @Y(z = {1, 2}) void d() { } }") == [("b", ["Test"], "{ c(); }"), ("d", ["Y"], "{ }")]
+    assert java.methods("class A { @X int a; @Test void b() { c(); } class N { void inner() { } } @Y(z = {1, 2}) void d() { } }") == [("b", ["Test"], "{ c(); }"), ("inner", [], "{ }"), ("d", ["Y"], "{ }")]
     assert java.methods("class A { void open() { if (a) {") == [("open", [], "{ if (a) {")]
     for code in ("", "}}}", ")))", "((((", "class {", "@", "a.b.(", "f(])"):
-        assert java.outline(code).methods == []
+        assert java.methods(code) == [] and java.members(code) == []
     (call,) = java.calls(java.outline("x = f(a, g(b, c), {d, e}, (h, i)).j(k);"), "f")
     assert (call["arguments"], call["terminal"], call["lead"]) == (["a", "g(b, c)", "{d, e}", "(h, i)"], "j", " ")
 
@@ -265,7 +265,7 @@ def test_members_and_quality(spark):
     assert {"type:K", "type:N", "method:g/0"} <= {k for k, _ in java.members(code)}
     assert value(spark, java.complexity(F.lit("{ if (a && b) { } for (;;) { } }"))) == 4
     got = conventions.quality(spark.createDataFrame([(1, code), (2, "")], "doc_id int, text string"), ["doc_id"]).orderBy("doc_id").collect()
-    assert (got[0]["functions"], got[0]["complexity"]) == (1, 3) and got[1]["mean_complexity"] is None
+    assert (got[0]["functions"], got[0]["complexity"]) == (2, 4) and got[1]["mean_complexity"] is None
     logs = spark.createDataFrame([(1, "src/A.java:5: error: package x.y does not exist\n  symbol:   class Foo\nsrc/A.java:9: error: z\nsrc/A.java:5: error: w")], "id int, text string")
     errors = st.error_locations(logs, ["id"])
     assert {(r["file"], r["line"]) for r in errors.collect()} == {("src/A.java", 5), ("src/A.java", 9)}
