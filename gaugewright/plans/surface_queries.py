@@ -268,7 +268,7 @@ def similar_turns(t):
     return pairs.select(F.col("left_id.conv_id").alias("a_conv"), F.col("left_id.turn").alias("a_turn"), F.col("right_id.conv_id").alias("b_conv"), F.col("right_id.turn").alias("b_turn"), F.round("jaccard", 9).alias("jaccard"))
 
 
-# Streams over the events, run to their end; their rows are compared with the batch SQL.
+# Streams over the events, run to their end; their rows go to tables by key, which are compared with the batch SQL.
 
 
 def _stream(t):
@@ -278,23 +278,26 @@ def _stream(t):
 @query("""
 select time_bucket(interval 1 hour, ts) window_start, event_type, count(*) n from events group by all""")
 def stream_windows(t):
-    out = streams.windowed(_stream(t), "1 hour")
-    return streams.run_once(out.select("window_start", "event_type", "n"), "stream_windows", fresh_folder(t._spark, "stream"), "complete")
+    out = streams.windowed(_stream(t), "1 hour").select("window_start", "event_type", "n")
+    return _table(t, out, ["window_start", "event_type"])
+
+
+def _table(t, stream, keys):
+    """The stream's rows in a table by key, updated batch by batch."""
+    return streams.run_keyed(stream, fresh_folder(t._spark, "table"), keys, fresh_folder(t._spark, "stream"))
 
 
 @query("select user_id, min(event_id) \"owner\" from events group by 1")
 def stream_owners(t):
-    rows = streams.run_once(streams.first_owners(_stream(t), "user_id", "event_id"), "stream_owners", fresh_folder(t._spark, "stream"), "update")
-    return rows.groupBy("user_id").agg(F.min("owner").alias("owner"))
+    return _table(t, streams.first_owners(_stream(t), "user_id", "event_id"), ["user_id"]).select("user_id", "owner")
 
 
 @query("""
 select user_id, count(*) seen, count(*) filter (event_type = 'purchase') decided, max(ts) last_ts from events group by 1""")
 def stream_log_state(t):
     """What a log has said of each key so far, consumed piece by piece."""
-    rows = streams.run_once(streams.consumed(_stream(t), "user_id", F.col("event_type") == "purchase", "10 minutes"), "stream_log_state", fresh_folder(t._spark, "stream"), "update")
-    last = ranking.last_wins(rows.where("status <> 'expired'"), ["user_id"], "seen")
-    return last.select("user_id", "seen", "decided", "last_ts")
+    rows = _table(t, streams.consumed(_stream(t), "user_id", F.col("event_type") == "purchase", "60 days"), ["user_id"])
+    return rows.select("user_id", "seen", "decided", "last_ts")
 
 
 @query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F')")

@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..sources.sinks import write_upsert
+from ..sources.sinks import read_upserted, write_upsert
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -86,35 +88,61 @@ def first_owners(candidates: DataFrame, unit: str, order: str, idle_ms: int | No
     return candidates.select(unit, order).groupBy(unit).applyInPandasWithState(run, f"{unit} {kind}, owner long, changed long", "owner long, changed long", "update", timeout)
 
 
+class LogState(StatefulProcessor):
+    """What a log has said of a key: a value with lines, deciding lines and the last moment, and a timer for its deadline.
+
+    Each line moves the deadline; a timer that was set for an earlier one is deleted, so a key has one timer."""
+
+    def __init__(self, key: str, wait: int):
+        self.key, self.wait = key, wait
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.said = handle.getValueState("said", "seen long, decided long, last_us long, timer long")
+
+    def _row(self, key, seen: int, decided: int, last: int, ended: bool):
+        import pandas as pd
+
+        status = "decided" if decided else "expired" if ended else "open"
+        return pd.DataFrame({self.key: [key[0]], "seen": [seen], "decided": [decided], "last_us": [last], "status": [status]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        seen, decided, last, timer = self.said.get() if self.said.exists() else (0, 0, 0, 0)
+        for f in rows:
+            seen, decided = seen + len(f), decided + int(f["decides"].sum())
+            last = max(last, int(f["ts"].max().value // 1000))
+        due = max(last // 1000 + self.wait, timerValues.getCurrentWatermarkInMs() + 1)
+        if timer and timer != due:
+            self.handle.deleteTimer(timer)
+        if timer != due:
+            self.handle.registerTimer(due)
+        self.said.update((seen, decided, last, due))
+        yield self._row(key, seen, decided, last, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.said.exists():
+            seen, decided, last, _ = self.said.get()
+            self.said.clear()
+            yield self._row(key, seen, decided, last, True)
+
+    def close(self) -> None:
+        pass
+
+
 def consumed(lines: DataFrame, key: str, decides: Column, deadline: str, late: str = "0 seconds") -> DataFrame:
     """key, seen, decided, last_ts, status: what a log has said of each key so far, in update mode.
 
     lines: key, ts and whatever ``decides`` looks at.  A key is open until a line decides it; once the watermark is
-    ``deadline`` past its last line it comes out a last time, as decided or expired, and its state goes.
+    ``deadline`` past its last line its timer fires: it comes out a last time, as decided or expired, and its state goes.
+    State is in RocksDB, which the session is set to for the stream.
     """
+    spark = lines.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = _late(lines, late)
     zone = dict(lines.dtypes)["ts"]
-    rows = rows.select(key, "ts", F.coalesce(decides, F.lit(False)).cast("long").alias("__decides"))
-    wait = int(interval_ms(deadline))
-
-    def run(keys, frames, state: GroupState):
-        import pandas as pd
-
-        seen, decided, last = state.get if state.exists else (0, 0, 0)
-        ended = state.hasTimedOut
-        if ended:
-            state.remove()
-        else:
-            for f in frames:
-                seen, decided = seen + len(f), decided + int(f["__decides"].sum())
-                last = max(last, int(f["ts"].max().value // 1000))
-            state.update((seen, decided, last))
-            state.setTimeoutTimestamp(max(last // 1000 + wait, state.getCurrentWatermarkMs() + 1))
-        status = "decided" if decided else "expired" if ended else "open"
-        yield pd.DataFrame({key: [keys[0]], "seen": [seen], "decided": [decided], "last_us": [last], "status": [status]})
-
+    rows = rows.select(key, "ts", F.coalesce(decides, F.lit(False)).cast("long").alias("decides"))
     kind = lines.schema[key].dataType.simpleString()
-    out = rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, seen long, decided long, last_us long, status string", "seen long, decided long, last_us long", "update", GroupStateTimeout.EventTimeTimeout)
+    out = rows.groupBy(key).transformWithStateInPandas(LogState(key, int(interval_ms(deadline))), f"{key} {kind}, seen long, decided long, last_us long, status string", "update", "eventTime")
     return out.select(key, "seen", "decided", F.timestamp_micros("last_us").cast(zone).alias("last_ts"), "status")
 
 
@@ -135,13 +163,24 @@ def pending(targets: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return targets.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def upserting(path: str, keys: list[str], seq: str):
-    """A foreachBatch function that upserts each batch by key; a batch that is run again changes nothing."""
-    return lambda batch, _: write_upsert(batch, path, keys, seq)
+def upserting(path: str, keys: list[str], seq: str | None = None):
+    """A foreachBatch function that upserts each batch by key; a batch that is run again changes nothing.  Without ``seq`` the
+    batch's number stands for it, in __batch."""
+    if seq is not None:
+        return lambda batch, _: write_upsert(batch, path, keys, seq)
+    return lambda batch, number: write_upsert(batch.withColumn("__batch", F.lit(number).cast("long")), path, keys, "__batch")
+
+
+def run_keyed(query: DataFrame, path: str, keys: list[str], checkpoint: str, mode: str = "update") -> DataFrame:
+    """Runs a stream over what is there into a table that holds the last row of each key, and reads that table."""
+    q = query.writeStream.foreachBatch(upserting(path, keys)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    schema = StructType([*query.schema.fields, StructField("__batch", LongType())])
+    return read_upserted(query.sparkSession, path, schema).drop("__batch")
 
 
 def run_once(query: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its result from memory (for tests and small results)."""
+    """Runs a stream over what is there and returns its result from the driver's memory: for tests."""
     q = query.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return query.sparkSession.table(name)

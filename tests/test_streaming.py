@@ -88,6 +88,34 @@ def test_log_consumption(spark, tmp_path):
     assert by[1][-1][2] == "expired" and by[2][-1][2] == "decided" and by[3][-1][2] in ("open", "expired")
 
 
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    """The keyed sink gets a batch twice, and an older one again: the table holds the last row of each key."""
+    from pyspark.sql import functions as F
+
+    sink = streams.upserting(str(tmp_path / "t"), ["k"])
+    batch = lambda *r: spark.createDataFrame(list(r), "k int, v string")
+    read = lambda: sorted((r["k"], r["v"]) for r in sinks.read_upserted(spark, str(tmp_path / "t")).collect())
+    sink(batch((1, "a"), (2, "b")), 0)
+    sink(batch((2, "c"), (3, "d")), 1)
+    assert read() == [(1, "a"), (2, "c"), (3, "d")]
+    sink(batch((2, "c"), (3, "d")), 1)
+    assert read() == [(1, "a"), (2, "c"), (3, "d")]
+    empty = streams.run_keyed(streams.read_events(spark, str(tmp_path / "none"), batch().schema).select("k", F.upper("v").alias("v")), str(tmp_path / "e"), ["k"], str(tmp_path / "c")) if (tmp_path / "none").mkdir() is None else None
+    assert empty.count() == 0 and empty.columns == ["k", "v"]
+
+
+def test_log_timers_move_with_lines(spark, tmp_path):
+    """A line before the deadline moves it: the key has not expired where the first deadline was."""
+    rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:08:00"), (2, "2024-01-01 00:12:00"), (2, "2024-01-01 00:30:00"), (2, "2024-01-01 00:31:00")]
+    for k, ts in rows:
+        spark.createDataFrame([(k, ts, "x")], "k long, ts string, line string").selectExpr("k", "cast(ts as timestamp) ts", "line").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    from pyspark.sql import functions as F
+
+    stream = streams.read_events(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_per_trigger=1)
+    got = streams.run_once(streams.consumed(stream, "k", F.col("line") == "keep", "10 minutes"), "timers", str(tmp_path / "c"), "update").collect()
+    assert [(r["seen"], r["status"]) for r in got if r["k"] == 1] == [(1, "open"), (2, "open"), (2, "expired")]
+
+
 def test_pending_targets(spark):
     targets = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
     assert {r["k"] for r in streams.pending(targets, spark.createDataFrame([(2, "x"), (2, "y")], "k int, w string"), ["k"]).collect()} == {1, 3}
