@@ -71,38 +71,65 @@ def humanized_names(t):
     return t.part.select("p_partkey", text.humanize(name).alias("human"))
 
 
-_MATCH = """
-with w as (select item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) a from benchmark),
-l as (select item_id left_id, unnest(a) x from w), p as (select l.left_id, r.left_id right_id, count(*) shared from l join l r using (x) where l.left_id <> r.left_id group by 1, 2),
-j as (select left_id, right_id, shared::double / (len(m.a) + len(n.a) - shared) jaccard from p join w m on m.item_id = left_id join w n on n.item_id = right_id),
+#: Pairs less alike change no decision about a match.
+_LEAST = matching.COUNTS
+_MATCH = f"""
+with w as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) a from documents where text is not null),
+l as (select doc_id, len(a) n, unnest(a) x from w), p as (select l.doc_id left_id, r.doc_id right_id, any_value(l.n) m, any_value(r.n) n, count(*) shared from l join l r using (x) where l.doc_id <> r.doc_id group by 1, 2),
+j as (select left_id, right_id, shared::double / (m + n - shared) jaccard from p where shared::double / (m + n - shared) >= {_LEAST}::double),
 r as (select *, row_number() over (partition by left_id order by jaccard desc, right_id) k, lead(jaccard) over (partition by left_id order by jaccard desc, right_id) nx from j)
 """
 
 
 def _similar(t):
-    """Benchmark items, a small table, against one another."""
-    rows = t.benchmark.select("item_id", F.array_distinct(text.words(F.col("text"))).alias("a"))
-    left, right = rows.withColumnRenamed("item_id", "left_id"), rows.withColumnRenamed("item_id", "right_id")
-    return matching.jaccard_pairs(left, right, "left_id", "right_id", "a").where("left_id <> right_id")
+    """Each document and the one whose words are most alike."""
+    rows = t.documents.select(F.col("doc_id").alias("left_id"), text.words(F.col("text")).alias("a"))
+    return matching.best_matches(rows, rows.withColumnRenamed("left_id", "right_id"), "left_id", "right_id", "a", _LEAST, but_itself=True)
 
 
 @query(_MATCH + "select left_id, right_id, round(jaccard, 9) jaccard, round(jaccard - coalesce(nx, 0), 9) margin from r where k = 1")
 def similar_pairs_best(t):
-    out = ranking.best_and_margin(_similar(t), ["left_id"], "right_id", "jaccard")
-    return out.select("left_id", "right_id", F.round("jaccard", 9).alias("jaccard"), F.round("margin", 9).alias("margin"))
+    return _similar(t).select("left_id", "right_id", F.round("jaccard", 9).alias("jaccard"), F.round("margin", 9).alias("margin"))
 
 
-@query(_MATCH + ", b as (select *, row_number() over (partition by right_id order by jaccard desc, left_id) u from r where k = 1 and jaccard >= 0.1) select left_id, right_id, round(jaccard, 9) jaccard from b where u = 1")
+@query(_MATCH + ", b as (select *, row_number() over (partition by right_id order by jaccard desc, left_id) u from r where k = 1) select left_id, right_id, round(jaccard, 9) jaccard from b where u = 1")
 def greedy_unique(t):
-    out = matching.one_to_one(_similar(t), "left_id", "right_id", "jaccard", 0.1)
+    out = matching.one_to_one(_similar(t), [], "left_id", "right_id", "jaccard")
     return out.select("left_id", "right_id", F.round("jaccard", 9).alias("jaccard"))
 
 
+_PARTS = """
+with d as (select doc_id, lang, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) w from documents where text is not null),
+m as (select *, list_sort(w)[1:6] "name", list_distinct(list_filter(w, lambda x: length(x) > 11)) calls, list_distinct(list_transform(list_filter(w, lambda x: length(x) > 11), lambda x: x[1:8])) words from d),
+q as (select x.lang, x.doc_id l, y.doc_id r, x."name" n1, y."name" n2, x.calls c1, y.calls c2, x.words w1, y.words w2, x.w b1, y.w b2 from m x join m y on x.lang = y.lang and x.doc_id % 2 = 0 and y.doc_id % 2 = 1),
+i as (select *, len(list_intersect(n1, n2)) ni, len(list_intersect(c1, c2)) ci, len(list_intersect(w1, w2)) wi, len(list_intersect(b1, b2)) bi from q),
+s as (select *, 0.40 * coalesce(ni::double / nullif(len(n1) + len(n2) - ni, 0), 0) + 0.35 * greatest(coalesce(ci::double / nullif(len(c1) + len(c2) - ci, 0), 0), coalesce(wi::double / nullif(len(w1) + len(w2) - wi, 0), 0))
+  + 0.25 * coalesce(bi::double / nullif(len(b1) + len(b2) - bi, 0), 0) + case when ni > 0 and ci > 0 then 0.27 else 0 end raw from i where ni > 0 or ci > 0 or wi > 0),
+k as (select lang, l, r, least(raw, 1.0) score, ni > 0 and ci > 0 specific from s where least(raw, 1.0) >= 0.35),
+f as (select *, row_number() over (partition by lang, l order by score desc, r) p, lead(score) over (partition by lang, l order by score desc, r) nx from k)
+"""
+
+
+@query(_PARTS + """select lang, l left_id, r right_id, round(score, 9) score, round(score - coalesce(nx, 0), 9) margin, score >= 0.5 or (score >= 0.4 and score - coalesce(nx, 0) >= 0.05 and specific) accepted from f where p = 1""")
+def semantic_matches(t):
+    """Documents of even number as methods against those of odd number, within a language: first words by the alphabet as names,
+    long words as calls, their beginnings as words of calls."""
+    words = F.array_distinct(text.words(F.col("text")))
+    rows = t.documents.where("text is not null and lang is not null").select("doc_id", "lang", words.alias("body"))
+    calls = F.filter("body", lambda w: F.length(w) > 11)
+    rows = rows.select("*", F.slice(F.array_sort("body"), 1, 6).alias("name"), calls.alias("calls"), F.array_distinct(F.transform(calls, lambda w: F.substring(w, 1, 8))).alias("call_words"))
+    left, right = rows.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "left_id"), rows.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "right_id")
+    out = matching.semantic_matches(left, right, "left_id", "right_id", ["lang"])
+    return out.select("lang", "left_id", "right_id", F.round("score", 9).alias("score"), F.round("margin", 9).alias("margin"), "accepted")
+
+
 @query("""
-with recursive e as (select n_nationkey a, n_regionkey b from nation), c(node) as (select 24 union select b from e join c on e.a = c.node) select node::int node from c""")
+with recursive e as (select distinct l_partkey a, l_suppkey b from lineitem union select distinct l_suppkey, l_partkey % 37 from lineitem where l_quantity > 45),
+c(target, node) as (select n_nationkey, n_nationkey::bigint from nation union select target, b from e join c on e.a = c.node) select target, node from c""")
 def reference_closure(t):
-    edges = t.nation.select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("b"))
-    return matching.closure(edges, t.nation.where("n_nationkey = 24").select(F.col("n_nationkey").alias("node")))
+    """What each nation's number reaches, over edges with cycles, all at once."""
+    edges = t.lineitem.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).unionByName(t.lineitem.where("l_quantity > 45").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 37).alias("b"))).distinct()
+    return matching.closure(edges, t.nation.select(F.col("n_nationkey").alias("target"), F.col("n_nationkey").cast("long").alias("node")))
 
 
 @query("""

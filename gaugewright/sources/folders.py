@@ -33,3 +33,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
+
+def released(df: DataFrame) -> None:
+    """Removes the files of a checkpointed() frame; only for one that no frame still to be read comes from."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        spark = df.sparkSession
+        to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)

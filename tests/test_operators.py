@@ -206,7 +206,10 @@ def test_selection_and_matching(spark):
     nothing = [F.array(F.lit("a")), F.array(F.lit("b"))]
     assert value(spark, matching.semantic_score(tuple(nothing), tuple(nothing), tuple(nothing), tuple(calls))) == 0
     edges = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(9, 3)], "a int, b int")
-    assert {r["node"] for r in matching.closure(edges, spark.createDataFrame([(3,)], "node int")).collect()} == {3, 4, 5, 6}
+    seeds = spark.createDataFrame([("x", 3), ("x", 3), ("y", 9), ("z", 77)], "target string, node int")
+    assert sorted((r["target"], r["node"]) for r in matching.closure(edges, seeds).collect()) == [("x", 3), ("x", 4), ("x", 5), ("x", 6), ("y", 3), ("y", 4), ("y", 5), ("y", 6), ("y", 9), ("z", 77)]
+    ring = spark.createDataFrame([(i, (i + 1) % 40) for i in range(40)], "a int, b int")
+    assert matching.closure(ring, spark.createDataFrame([("r", 0), ("s", 7)], "target string, node int")).count() == 80
 
 
 def test_incremental_states(spark):
@@ -341,7 +344,7 @@ def test_similar_pairs_by_prefixes(spark):
     rng = random.Random(9)
     sets = [sorted({rng.choice("aaaabbbbccccdefghijklmnop") for _ in range(rng.randint(1, 9))}) for _ in range(60)]
     frame = spark.createDataFrame(list(enumerate(sets)), "i int, a array<string>")
-    for least in (0.0, 0.3, 0.5, 0.8, 1.0):
+    for least in (0.01, 0.3, 0.5, 0.8, 1.0):
         got = {(r["x"], r["y"]): r["jaccard"] for r in matching.jaccard_pairs(frame.withColumnRenamed("i", "x"), frame.withColumnRenamed("i", "y"), "x", "y", "a", least).collect()}
         want = {}
         for i, j in itertools.product(range(60), repeat=2):
@@ -412,3 +415,56 @@ def test_scores_of_ngrams(spark):
     assert 0 < score("a b c x", "a b c d") < 1
     assert score("if x", "if y", weights={"if": 5.0}, most=1) == pytest.approx(5 / 6) and score("if x", "if y", most=1) == pytest.approx(0.5)
     assert value(spark, reports.ngram_score(F.array().cast("array<string>"), F.array(F.lit("a")))) is None
+
+
+def test_best_matches_with_copies(spark):
+    rng = random.Random(4)
+    sets = [sorted({rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(1, 7))}) for _ in range(40)]
+    sets += [sets[0]] * 5 + [sets[1], []]
+    frame = spark.createDataFrame(list(enumerate(sets)), "x int, a array<string>").repartition(4)
+    got = {r["x"]: (r["y"], r["jaccard"], r["margin"]) for r in matching.best_matches(frame, frame.withColumnRenamed("x", "y"), "x", "y", "a", 0.3, but_itself=True).collect()}
+    for i, a in enumerate(sets):
+        alike = sorted((-len(set(a) & set(b)) / len(set(a) | set(b)), j) for j, b in enumerate(sets) if i != j and a and len(set(a) & set(b)) >= 0.3 * len(set(a) | set(b)))
+        if not alike:
+            assert i not in got
+            continue
+        best, second = alike[0], alike[1] if len(alike) > 1 else (0, None)
+        assert got[i] == (best[1], pytest.approx(-best[0]), pytest.approx(second[0] - best[0])), i
+    with pytest.raises(ValueError):
+        matching.jaccard_pairs(frame, frame.withColumnRenamed("x", "y"), "x", "y", "a", 0.0)
+
+
+def test_semantic_matches(spark):
+    """Bounds lose no match: every pair scored, as a plain loop has it."""
+    rng = random.Random(11)
+    some = lambda alphabet, n: sorted({rng.choice(alphabet) for _ in range(rng.randint(0, n))})
+
+    def made(ids):
+        for i in ids:
+            calls = some(["aa", "ab", "ba", "bb", "ca", "cb"], 4)
+            yield i, rng.choice(["p", "q"]), some("nmopqr", 3), calls, sorted({c[0] for c in calls}), some("abcdefgh", 6)
+
+    kind = "id int, k string, name array<string>, calls array<string>, call_words array<string>, body array<string>"
+    left, right = list(made(range(25))), list(made(range(100, 130)))
+    frames = [spark.createDataFrame(rows, kind).withColumnRenamed("id", name) for rows, name in ((left, "x"), (right, "y"))]
+    got = {r["x"]: r for r in matching.semantic_matches(*frames, "x", "y", ["k"]).collect()}
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0.0
+
+    def score(a, b):
+        share = [bool(set(a[i]) & set(b[i])) for i in (2, 3, 4)]
+        if not any(share):
+            return 0.0
+        return min(1.0, 0.4 * like(a[2], b[2]) + 0.35 * max(like(a[3], b[3]), like(a[4], b[4])) + 0.25 * like(a[5], b[5]) + (0.27 if share[0] and share[1] else 0))
+
+    for a in left:
+        found = sorted((-score(a, b), b[0], b) for b in right if a[1] == b[1] and score(a, b) >= 0.35)
+        if not found:
+            assert a[0] not in got
+            continue
+        best, margin = -found[0][0], -found[0][0] + (found[1][0] if len(found) > 1 else 0)
+        both = bool(set(a[2]) & set(found[0][2][2])) and bool(set(a[3]) & set(found[0][2][3]))
+        r = got[a[0]]
+        assert (r["y"], r["score"], r["margin"]) == (found[0][1], pytest.approx(best), pytest.approx(margin))
+        assert r["accepted"] == (best >= 0.5 or (best >= 0.4 and margin >= 0.05 and both))
+    unique = matching.one_to_one(spark.createDataFrame([(r["k"], r["x"], r["y"], r["score"]) for r in got.values()], "k string, x int, y int, score double"), ["k"], "x", "y", "score")
+    assert unique.count() == len({(r["k"], r["y"]) for r in got.values()})
