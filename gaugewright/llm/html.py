@@ -14,7 +14,7 @@ which a large enough ratio outweighs.  Paths whose figure reaches the threshold
 The deepest element that holds nearly all content (or the next one around it that calls itself content) gives the text:
 all its blocks in page order, so that its lists, tables, code and short paragraphs stay, but for elements in it with
 doubtful names, which are kept or left out whole by their own mean figure.  Elements beside it whose paths are content
-belong to it as well.  Where the page as a whole is the holder, parts before or after all content that are links for the
+belong to it as well; beside an article or main element only those that call themselves content.  Where the page as a whole is the holder, parts before or after all content that are links for the
 most part are left out.
 
 Pages are read in one pass: each sign is looked at a fixed number of times, whatever is left open or unquoted.
@@ -40,8 +40,9 @@ SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long, n_
 
 #: Names of HTML elements by their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math select object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg select object canvas audio video annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mpadded mphantom mstyle mtable mtr mtd mmultiscripts mprescripts semantics".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {
     "li": frozenset("li p".split()),
@@ -66,6 +67,7 @@ TOPICS = frozenset("alert legal disclaimer header related social side aside copy
 #: Elements whose ids are often made of a heading's words, and those of them that hold text themselves.
 TEXTS = HEADINGS | frozenset("p li td th dt dd pre blockquote".split())
 SLUGS = TEXTS | frozenset("section article".split())
+QUOTES = frozenset("blockquote p pre td dd".split())
 CONTENT = frozenset("article main post entry story content articlebody maincontent".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -119,6 +121,10 @@ def doubt_of(name: str, found: dict[str, str], up: Node) -> int:
     if name not in TEXTS:
         whole.add(found.get("id", "").strip().lower())
     parts = set().union(*map(words, labels))
+    if up.within and name in QUOTES and (whole | parts) & (PLAIN | WHOLE) <= {"comment"}:
+        return CLEAR  # a remark that the text quotes, not a reader's
+    if up.within and whole & (PLAIN | WHOLE) == {"menu"}:
+        return TOPIC  # a meal's, if it holds sentences
     if whole & (PLAIN | WHOLE) or parts & PLAIN or len(parts & WHOLE) > 1:
         return SURE
     if name in TEXTS and up.within:
@@ -232,7 +238,7 @@ def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
         if name == "br":
             parts.append(" ")
             continue
-        if name in INLINE:
+        if name in INLINE or name in MATH:
             if name == "a":
                 in_link = not ends
             continue
@@ -362,7 +368,9 @@ def main_text(page: str) -> tuple[str, int, int]:
     for node in nodes:
         parts.append(node if node.at in around or node is holder or not node.up or node.up.at in around else parts[node.up.at])
     kept = _kept(found, own, smooth, holder)
-    taken = {parts[b[0].at].at for b, c, o in zip(found, chosen, own >= bar, strict=True) if c and o} | {holder.at}
+    beside = [parts[b[0].at] for b, c, o in zip(found, chosen, own >= bar, strict=True) if c and o]
+    # beside an element that says it is the text only others that say so belong to it
+    taken = {n.at for n in beside if n.within or not holder.article} | {holder.at}
     whole = holder.name in ("", "html", "body")
     first, last = 0, len(found)
     menus: dict[int, list[float]] = {}
