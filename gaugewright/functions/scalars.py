@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 
 def percentage(covered: Column, total: Column) -> Column:
     """100 * covered / total, 0 where total is null or not positive."""
@@ -75,6 +77,16 @@ def duration(start: Column, end: Column, now: Column | None = None) -> Column:
     return F.coalesce(end, F.current_timestamp() if now is None else now) - start
 
 
+def landed(body: Column, fields: dict[str, tuple[str, str, object]]) -> Column:
+    """struct of the named fields of a landed JSON text, each (path, type, what holds where it is missing, of another type, or
+    the text no JSON): the text is parsed once, as a VARIANT, whatever its shape."""
+
+    def of(v: Column) -> Column:
+        return F.struct(*[F.coalesce(F.try_variant_get(v, path, kind), F.lit(default).cast(kind)).alias(n) for n, (path, kind, default) in fields.items()])
+
+    return bound(F.try_parse_json(body), of)
+
+
 def utf8_text(content: Column) -> Column:
     """The text of bytes as UTF-8; those that are none are dropped.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import java, text
+from ..functions import codematch, java, scalars, text
 from .ordered import merged
 from .ranking import ORDERS, largest_span, order_of, top_k, within_budget
 
@@ -236,6 +236,22 @@ def _matched(a: Column, b: Column, n: int, weights: dict[str, float] | None) ->
     return text.bound(F.struct(grams(a).alias("x"), grams(b).alias("y")), of)
 
 
+def code_score(candidate: Column, reference: Column) -> Column:
+    """struct<ngrams, weighted, syntax, flow, score> of two Java sources: BLEU of their tokens, the same with keywords five times
+    as heavy, the shares of the reference's part shapes and value flows that the candidate has, and the mean of those of the
+    four that there are: a source without flows, or without tokens, has that part null."""
+
+    def of(row: Column) -> Column:
+        a, b = row["a"], row["b"]
+        parts = {"ngrams": ngram_score(a, b), "weighted": ngram_score(a, b, {k: 5.0 for k in sorted(codematch.KEYWORDS)}), "syntax": row["syntax"], "flow": row["flow"]}
+        return F.struct(*[v.alias(k) for k, v in parts.items()], scalars.mean_of_available(*parts.values()).alias("score"))
+
+    tokens = lambda c: text.tokenize(text.normalize_literals(text.strip_comments(c)))
+    syntax = codematch.found_share(codematch.shapes_column(candidate), codematch.shapes_column(reference))
+    flow = codematch.found_share(codematch.flows_column(candidate), codematch.flows_column(reference))
+    return text.bound(F.struct(tokens(candidate).alias("a"), tokens(reference).alias("b"), syntax.alias("syntax"), flow.alias("flow")), of)
+
+
 def ranked_selection(selected: DataFrame, keys: list[str]) -> DataFrame:
     """selected_tests() with their rank among the key's."""
     order = [c.replace("test_selector", "test_method") for c in ORDERS["pr"]]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import java, scalars, text
 from ..operators import classify, conventions, sources_text, stages
 from .registry import query
+from .surface_queries import next_names
 
 _LIBS = ("org.assertj.core.api.Assertions", "org.hamcrest.Matchers", "com.google.common.truth.Truth")
 _MORE = (
@@ -235,7 +236,4 @@ h as (select p_partkey, len(a) x, len(b) y, len(pick) n, ('|' || array_to_string
 select p_partkey, round(max(case when ok then n else 0 end)::double / greatest(max(x), max(y)), 9) lcs_ratio from h group by 1""")
 def lcs_ratio(t):
     """Names of parts against the next one's: all subsequences of their few words are tried in the SQL."""
-    from pyspark.sql import Window
-
-    rows = t.part.select("p_partkey", F.col("p_name").alias("a"), F.lead("p_name").over(Window.orderBy("p_partkey")).alias("b")).where("b is not null")
-    return conventions.similarity(rows, "a", "b").select("p_partkey", F.round("lcs_ratio", 9).alias("lcs_ratio"))
+    return conventions.similarity(next_names(t), "a", "b").select("p_partkey", F.round("lcs_ratio", 9).alias("lcs_ratio"))

@@ -179,11 +179,12 @@ def archive_entries(t):
     return found.select(name.alias("archive"), "entry", F.col("major").cast("int").alias("major"))
 
 
-@query("select c_nationkey \"name\", 'src/test/C' || c_custkey || '.java' path, 'test' kind from customer where c_acctbal >= 0")
+@query("select c_nationkey \"name\", 'src/test/C' || c_custkey || '.java' path, (c_custkey // 100) % 2 = 1 truncated, 'test' kind from customer where c_acctbal >= 0")
 def tree_entries(t):
     """Landed JSON trees of files and folders."""
     entry = F.struct(F.when(F.col("c_acctbal") < 0, "tree").otherwise("blob").alias("type"), F.concat(F.lit("src/test/C"), "c_custkey", F.lit(".java")).alias("path"))
-    trees = t.customer.groupBy(F.col("c_nationkey").alias("name"), F.expr("c_custkey div 100")).agg(F.to_json(F.struct(F.collect_list(entry).alias("tree"))).alias("body"))
+    trees = t.customer.groupBy(F.col("c_nationkey").alias("name"), F.expr("c_custkey div 100")).agg(F.collect_list(entry).alias("tree"), F.first(F.expr("c_custkey div 100")).alias("page"))
+    trees = trees.select("name", F.to_json(F.struct((F.col("page") % 2 == 1).alias("truncated"), "tree")).alias("body"))
     return readers.tree_entries(trees, "name", "body").withColumn("kind", selection.path_kind(F.col("path")))
 
 
@@ -201,6 +202,19 @@ def landed_metadata(t):
     return t.events.select("event_id", "user_id", scalars.json_path(F.col("props"), "$.k", "0").alias("stars"), scalars.json_path(F.col("props"), "$.license.name", "none").alias("license"))
 
 
+@query("""
+select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), -1) k, case when event_id % 7 = 0 then 'none' else event_type end "name", case when event_id % 7 = 0 then false else event_id % 2 = 0 end is_even, case when event_id % 7 = 0 then 0 else 2 end::int tags
+from events""")
+def landed_variants(t):
+    """Fields of nested JSON by path and type, some of it cut off."""
+    whole = F.to_json(F.struct(F.struct(F.col("event_type").alias("name"), F.array(F.lit("a"), F.lit("b")).alias("tags")).alias("meta"), (F.col("event_id") % 2 == 0).alias("even")))
+    body = F.when(F.col("event_id") % 7 == 0, F.substring(whole, 1, 20)).otherwise(whole)
+    facts = scalars.landed(body, {"name": ("$.meta.name", "string", "none"), "is_even": ("$.even", "boolean", False), "tags": ("$.meta.tags", "array<string>", None)})
+    k = scalars.landed(F.col("props"), {"k": ("$.k", "long", -1)})
+    rows = t.events.select("event_id", k["k"].alias("k"), facts.alias("f"))
+    return rows.select("event_id", "k", "f.name", "f.is_even", F.coalesce(F.nullif(F.size("f.tags"), F.lit(-1)), F.lit(0)).alias("tags"))
+
+
 @query("""
 select o_custkey, arg_max(o_totalprice, o_orderkey) price, min(case when o_orderstatus = 'F' then o_orderkey end) first_f, count(*) n from orders group by 1""")
 def upsert_round_trip(t):

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import java, ranges, scalars, text
-from ..operators import checks, matching, ranking, reports, sources_text, stages, statistics
+from ..operators import checks, matching, ordered, ranking, reports, sources_text, stages, statistics
 from ..sources.folders import fresh_folder
 from ..streaming import events as streams
 from .registry import query
@@ -141,6 +141,25 @@ def import_hints(t):
     return hints.join(missing.withColumnRenamed("package", "missing"), ["s_suppkey", "symbol"]).join(found.drop("package"), "symbol").select("s_suppkey", "symbol", F.array_join("packages", ",").alias("packages"), "missing", "path")
 
 
+def next_names(t):
+    """p_partkey, a, b: each part's name and the next one's, carried along buckets of keys."""
+    rows = ordered.by_position(t.part.select("p_partkey", "p_name"), [], F.col("p_partkey"))
+    seen = ordered.running(rows, [F.col("p_partkey")], {"before": ("last", F.struct("p_partkey", "p_name"))}, upto=-1)
+    return seen.where("before is not null").select("before.p_partkey", F.col("before.p_name").alias("a"), F.col("p_name").alias("b"))
+
+
+@query("""
+with p as (select s_suppkey, s_nationkey % 5 k, s_nationkey % 2 = 0 flows from supplier)
+select s_suppkey, round((1 + least(2 * k, 6) + least(k, 3) + case when k = 3 and not flows then 3 else 0 end) / 13.0, 9)::double syntax, case when flows then 0.5::double end flow from p""")
+def code_scores(t):
+    """Sources of no to four equal blocks against one of three; where values flow, half of the flows are there."""
+    blocks = lambda n: F.repeat(F.lit("if (p) { y(p); } "), n)
+    flows = F.col("s_nationkey") % 2 == 0
+    code = lambda said, n: F.concat(F.lit("class C { void f(int p) { "), F.when(flows, said).otherwise(""), blocks(n), F.lit("} }"))
+    found = reports.code_score(code("int z = 1; int y = z; ", (F.col("s_nationkey") % 5).cast("int")), code("int a = 1; int b = a; b += a; ", F.lit(3)))
+    return t.supplier.select("s_suppkey", found.alias("f")).select("s_suppkey", F.round("f.syntax", 9).alias("syntax"), "f.flow")
+
+
 @query("""
 with w as (select p_partkey, string_split(p_name, ' ') a, lead(string_split(p_name, ' ')) over (order by p_partkey) b from part), k as (select * from w where b is not null),
 u as (select p_partkey, len(a) la, len(b) lb, sum(least(len(list_filter(a, lambda x: x = g)), len(list_filter(b, lambda x: x = g)))) h from (select *, unnest(list_distinct(a)) g from k) group by 1, 2, 3),
@@ -148,7 +167,7 @@ v as (select p_partkey, greatest(len(a) - 1, 0) t, (case when len(a) > 1 and len
 select p_partkey, round(case when u.h = 0 then 0 else exp((ln(u.h::double / la) + ln((v.h + 1.0) / (v.t + 1.0))) / 2 + least(0, 1 - lb::double / la)) end, 9) score from u join v using (p_partkey)""")
 def ngram_scores(t):
     """Names of parts against the next one's by single words and pairs of words."""
-    rows = t.part.select("p_partkey", F.split("p_name", " ").alias("a"), F.lead(F.split("p_name", " ")).over(Window.orderBy("p_partkey")).alias("b")).where("b is not null")
+    rows = next_names(t).select("p_partkey", F.split("a", " ").alias("a"), F.split("b", " ").alias("b"))
     return rows.select("p_partkey", F.round(reports.ngram_score(F.col("a"), F.col("b"), most=2), 9).alias("score"))
 
 

@@ -157,9 +157,12 @@ def log_lines(logs: DataFrame, keys: list[str], text: str = "text") -> DataFrame
 
 
 def tree_entries(rows: DataFrame, name: str, body: str) -> DataFrame:
-    """name, path of the files in landed JSON trees ``{"tree": [{"type", "path"}]}``."""
-    schema = "tree array<struct<type:string,path:string>>"
-    return rows.select(name, F.explode(F.from_json(F.col(body), schema)["tree"]).alias("e")).where("e.type = 'blob'").select(name, "e.path")
+    """name, path, truncated of the files in landed JSON trees ``{"truncated", "tree": [{"type", "path"}]}``; what is no such
+    tree has no files, and one that does not say whether it is cut is not."""
+    landed = rows.select(name, F.try_parse_json(F.col(body)).alias("__v"))
+    entries = F.try_variant_get("__v", "$.tree", "array<struct<type:string,path:string>>")
+    cut = F.coalesce(F.try_variant_get("__v", "$.truncated", "boolean"), F.lit(False))
+    return landed.select(name, cut.alias("truncated"), F.explode(entries).alias("e")).where("e.type = 'blob'").select(name, "e.path", "truncated")
 
 
 def archive_entries(spark: SparkSession, path: str, pattern: str = "*.{jar,zip}") -> DataFrame:
