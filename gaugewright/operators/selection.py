@@ -72,3 +72,33 @@ def no_artifact(path: Column) -> Column:
 def fatjar_problem(value: Column) -> Column:
     """Whether an artifact path is a sentinel: empty, FAIL, FAIL:..., SKIP..."""
     return F.coalesce(F.trim(value).rlike(r"(?i)^(fail(:.*)?|skip.*)?$"), F.lit(True))
+
+
+#: Names, beginnings and endings of files that guide contributors, in the order in which they are read, and
+#: folders that are not looked into.
+GUIDE_NAMES = ("agents.md", "claude.md", "copilot-instructions.md")
+GUIDE_PREFIXES = ("contributing", "readme", "testing", "development")
+GUIDE_SUFFIXES = ("", ".md", ".markdown", ".rst", ".txt", ".adoc")
+PRUNED = (".agents", ".git", ".gradle", ".idea", "build", "dist", "node_modules", "target", "vendor")
+
+
+def _base(path: Column) -> Column:
+    return F.lower(F.element_at(F.split(path, "/"), -1))
+
+
+def is_guidance(path: Column, deepest: int = 4) -> Column:
+    """Whether a relative path is that of a file that guides contributors: by its name, not below a pruned folder, and not
+    deeper than ``deepest`` folders."""
+    name, parts = _base(path), F.split(path, "/")
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    suffix = F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1)  # a leading or last dot begins none
+    named = name.isin(*GUIDE_NAMES) | (suffix.isin(*GUIDE_SUFFIXES) & name.rlike(f"^(?:{'|'.join(GUIDE_PREFIXES)})"))
+    return named & ~F.arrays_overlap(folders, F.array(*map(F.lit, PRUNED))) & (F.size(folders) <= deepest)
+
+
+def guidance_order(path: Column) -> Column:
+    """struct<scope, kind, path> by which such files are taken: those at the root, then of .github, then others; by name."""
+    name, parts = _base(path), F.split(F.lower(path), "/")
+    scope = F.when(F.size(parts) == 1, 0).when(parts[0] == ".github", 1).otherwise(2)
+    kinds = [F.when(name == GUIDE_NAMES[0], 0), *[F.when(name.startswith(p), i + 1) for i, p in enumerate(GUIDE_PREFIXES)], F.lit(len(GUIDE_PREFIXES) + 1)]
+    return F.struct(scope.alias("scope"), F.coalesce(*kinds).alias("kind"), F.lower(path).alias("path"))

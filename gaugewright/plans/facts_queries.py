@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import java, scalars, text
-from ..operators import checks, classify, conventions, incremental, selection, sources_text, stages, statistics
+from ..operators import checks, classify, conventions, incremental, ranking, selection, sources_text, stages, statistics
 from .registry import query
 
 
@@ -235,6 +235,25 @@ def scaled_columns(t):
     return m.select("c_mktsegment", "c_nationkey", *[F.round(scalars.minmax(F.col(c), F.lit(low[f"l{c}"]), F.lit(low[f"h{c}"])), 9).alias(c) for c in "ab"])
 
 
+#: Paths, and whether they guide contributors, with scope and kind.
+_GUIDES = (
+    ("README.md", True, 0, 2), ("docs/Contributing.rst", True, 2, 1), (".github/copilot-instructions.md", True, 1, 5), ("build/readme.md", False, 0, 0), ("a/b/c/d/testing.txt", True, 2, 3),
+    ("a/b/c/d/e/testing.txt", False, 0, 0), ("src/Readme.java", False, 0, 0), ("AGENTS.md", True, 0, 0), ("x/development", True, 2, 4), ("readme.old.md", True, 0, 2), ("notes/my-readme.md", False, 0, 0),
+)
+
+
+@query("""
+with g(i, path, keep, scope, kind) as (values {}), f as (select c_nationkey, c_custkey, path, scope, kind, c_custkey % 40 + 1 size from customer join g on i = c_custkey % {} where keep),
+r as (select *, sum(size) over w - size used, row_number() over w k from f window w as (partition by c_nationkey order by scope, kind, lower(path), c_custkey rows unbounded preceding))
+select c_nationkey, c_custkey, path, least(size, 100 - used)::bigint taken from r where used < 100 and k <= 5""".format(", ".join(f"({i}, '{p}', {k}, {a}, {b})" for i, (p, k, a, b) in enumerate(_GUIDES)), len(_GUIDES)))
+def guidance_files(t):
+    """Files that guide contributors, the first ones of each key within limits of number and size."""
+    path = F.array(*[F.lit(p) for p, *_ in _GUIDES])[(F.col("c_custkey") % len(_GUIDES)).cast("int")]
+    files = t.customer.select("c_nationkey", "c_custkey", path.alias("path"), (F.col("c_custkey") % 40 + 1).alias("size"))
+    ranked = files.where(selection.is_guidance(F.col("path"))).withColumn("o", selection.guidance_order(F.col("path")))
+    return ranking.within_budget(ranked, ["c_nationkey"], ("o", "c_custkey"), "size", 100, 5).select("c_nationkey", "c_custkey", "path", F.col("taken").cast("long").alias("taken"))
+
+
 _RUN = """
 with g as (select l_suppkey target, l_partkey m, count(*) n, max(l_quantity) q, bool_or(l_returnflag = 'R') r, min(l_orderkey) o from lineitem where l_partkey % 40 = l_suppkey % 40 or l_partkey % 41 = 0 group by 1, 2),
 x as (select *, row_number() over (partition by target order by m) p, count(*) over (partition by target) size from g)

@@ -215,6 +215,14 @@ def landed_variants(t):
     return rows.select("event_id", "k", "f.name", "f.is_even", F.coalesce(F.nullif(F.size("f.tags"), F.lit(-1)), F.lit(0)).alias("tags"))
 
 
+@query("""
+select c_custkey, c_acctbal > 0 positive, case when c_acctbal > 0 then 'a' else 'b' end kind, length(c_name) + (case when c_acctbal > 0 then 1 else 0 end)::bigint size from customer""")
+def staged_columns(t):
+    """Columns that are added one by one, the table written after each."""
+    steps = {"positive": F.col("c_acctbal") > 0, "kind": F.when(F.col("positive"), "a").otherwise("b"), "size": (F.length("c_name") + F.col("positive").cast("int")).cast("long")}
+    return sinks.staged(t.customer.select("c_custkey", "c_name", "c_acctbal"), steps, fresh_folder(t._spark, "staged")).select("c_custkey", *steps)
+
+
 @query("""
 select o_custkey, arg_max(o_totalprice, o_orderkey) price, min(case when o_orderstatus = 'F' then o_orderkey end) first_f, count(*) n from orders group by 1""")
 def upsert_round_trip(t):

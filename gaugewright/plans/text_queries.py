@@ -207,8 +207,8 @@ def cube(t):
 
 @query("select o_orderstatus, o_orderpriority, count(*) n from orders group by grouping sets ((o_orderstatus), (o_orderpriority))")
 def grouping_sets(t):
-    t.orders.createOrReplaceTempView("gw_orders")
-    return t.orders.sparkSession.sql("select o_orderstatus, o_orderpriority, count(*) n from gw_orders group by grouping sets ((o_orderstatus), (o_orderpriority))")
+    by = ["o_orderstatus", "o_orderpriority"]
+    return t.orders.groupingSets([[c] for c in by], *by).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select user_id, event_type from events where value > 20 except all select user_id, event_type from events where value > 60")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import upsert
@@ -119,3 +119,21 @@ def with_sentinel(rows: DataFrame, results: DataFrame, keys: list[str], path: st
 
 def write_text(df: DataFrame, line: str, path: str) -> None:
     df.select(F.col(line).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
+def staged(df: DataFrame, steps: dict[str, Column], path: str) -> DataFrame:
+    """df with a column for each step, in order; after each one the table is written below ``path`` and read again.
+
+    A step whose table is there whole is not run again: a run that was lost goes on after the last column that it wrote.
+    A step's table is removed when the next one's is whole."""
+    spark = df.sparkSession
+    _, to, files = _hadoop(spark, path)
+    done = [i for i in range(len(steps)) if files.exists(to(f"step-{i:03d}/_SUCCESS"))]
+    start = max(done, default=-1) + 1
+    table = spark.read.parquet(f"{path}/step-{start - 1:03d}") if start else df
+    for i, (name, value) in list(enumerate(steps.items()))[start:]:
+        table.withColumn(name, value).write.mode("overwrite").parquet(f"{path}/step-{i:03d}")
+        table = spark.read.parquet(f"{path}/step-{i:03d}")
+        if i:
+            files.delete(to(f"step-{i - 1:03d}"), True)
+    return table

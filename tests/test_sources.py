@@ -159,3 +159,14 @@ def test_artifacts_go_by_file_and_line(spark, tmp_path):
         (tmp_path / name).write_text("repo,fqcn,fatjar\n" + "\n".join(lines) + "\n")
     assert readers.artifact_map(readers.csv_rows(spark, str(tmp_path))).first()["path"] == "three.jar"
     assert readers.csv_rows(spark, str(tmp_path), breaks_in_fields=False).count() == 3
+
+
+def test_staged_columns_go_on(spark, tmp_path):
+    """A run that is taken up again reads what was written and runs the rest."""
+    rows = spark.createDataFrame([(1, 2), (3, 4)], "a int, b int")
+    path = str(tmp_path / "s")
+    first = {"c": F.col("a") + 1, "d": F.col("c") * 2}
+    assert sorted(tuple(r) for r in sinks.staged(rows, first, path).collect()) == [(1, 2, 2, 4), (3, 4, 4, 8)]
+    assert [p.name for p in (tmp_path / "s").iterdir()] == ["step-001"]
+    broken = {"c": F.raise_error(F.lit("run again")).cast("int"), "d": F.raise_error(F.lit("run again")).cast("int"), "e": F.col("d") + F.col("b")}
+    assert sorted(r["e"] for r in sinks.staged(rows, broken, path).collect()) == [6, 12]
