@@ -58,7 +58,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to equal weights; copies keep their doc_id.
 
     A null source is a source of its own; repeated rows count each and are drawn alike, as a row's copies follow from a hash
-    of its doc_id and source; a document may come several times or not at all, which is the mix; other columns stay.
+    of its doc_id; a document may come several times or not at all, which is the mix; other columns stay.
     """
     return mixing.mix(held(docs, "doc_id", "source")).select("__row.*")
 
