@@ -388,7 +388,8 @@ def distinct(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH)
     least = found.groupBy("key").agg(F.min(F.struct("doc_id", "tid")).alias("r"))
     kept = least.join(named.where("key <> class_key"), "key", "left_anti").select(F.col("r.doc_id").alias("__id"), F.col("r.tid").alias("__tid"))
     # Rows of one doc_id and text may differ in other columns: the one with the least hash, whatever their order.
-    rows = docs.groupBy(_id().alias("__id"), _tid().alias("__tid")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]  # a dot in a name is part of it
+    rows = docs.groupBy(_id().alias("__id"), _tid().alias("__tid")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__row"))
     return rows.join(kept, ["__id", "__tid"], "left_semi").select("__row.*")
 
 

@@ -6,7 +6,8 @@ and none has padding.  Sequences are numbered bucket by bucket (equal lengths si
 of equal lengths are ranges of sequence_id.
 
 Cases: null text counts as empty (its end id alone); repeated rows are packed once each and keep their own sequences;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; other columns are ignored.  A text of any length is encoded whole, in memory linear in it, and
+is cut into so many full blocks and a rest; pieces equal in length, doc_id, start and ids may swap their sequence numbers.
 """
 
 from __future__ import annotations

@@ -459,7 +459,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without those that the model rejects; columns as they were."""
+    """docs without those that the model rejects; columns as they were.
+
+    Texts are hashed again here: vectors that are kept would have to be joined to the texts, which would shuffle them all.
+    """
     ship(docs.sparkSession)
 
     @F.pandas_udf("boolean")

@@ -7,7 +7,8 @@ crosses a boundary belongs wholly to the section with its first byte (rule "firs
 earlier one in a tie ("most"); so the counts of a document's sections always add up to its tokens.
 
 Cases: null fields count as empty and still form one empty section; empty documents give sections with 0 tokens;
-repeated rows give repeated results; columns not named as fields are ignored.
+repeated rows give repeated results; columns not named as fields are ignored.  A text of any length is encoded whole, in
+memory linear in it; of a token half in one section and half in another "most" takes the earlier section.
 """
 
 from __future__ import annotations

@@ -91,9 +91,9 @@ def test_near_copies_go_by_row(spark):
 
 def test_columns_of_other_names_stay(spark):
     """Columns that the operators name themselves come out of each stage as they were."""
-    extra = ("blob", "secrets", "rate", "copies", "copy", "shuffle_key", "key", "tid", "x", "y", "score", "keep")
+    extra = ("blob", "secrets", "rate", "copies", "copy", "shuffle_key", "key", "tid", "x", "y", "score", "keep", "dotted.name")
     rows = [(i, f"password=abcdefgh{i} and a text with more words, number {i}", "en", "s", 9, *[f"{c}{i}" for c in extra]) for i in range(6)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.dtypes == docs.dtypes
