@@ -196,3 +196,49 @@ def test_sample_tables_by_another_reader(n):
     times = [0, *track.ticks.cumsum().tolist()][:-1]
     assert times == [t for _, _, t, _ in found] and scale == track.scale
     assert abs(track.seconds - (times[-1] + int(track.ticks[-1])) / scale) < 1e-9
+
+
+# ---- tokens by the vocabulary's own bytes
+
+
+def vocabulary_bytes(tokenizer, ids):
+    """The bytes of each id: a vocabulary's signs stand for bytes, printable ones for themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    signs = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+    return [bytes(signs[c] for c in tokenizer.id_to_token(i)) for i in ids]
+
+
+@pytest.mark.parametrize("rule", ["first", "most"])
+def test_tokens_of_sections_byte_by_byte(spark, rule):
+    """Texts in several scripts, whose signs are cut by tokens, with breaks anywhere: each byte knows its section."""
+    from tokenizers import Tokenizer
+
+    from gaugewright.llm import tokens
+    from gaugewright.llm.queries import tokenizer_path
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(23)
+    signs = ["word", " and", "\n", "\n\n", "é", "ß ", "日本語", "🙂", "👩‍👩‍👧", "́", " 12 345", "\r\n", "\t", "Ünï", "x" * 30, "العربية"]
+    rows = [(i, "".join(rng.choices(signs, k=rng.randint(0, 40))), rng.choice(["en", None, "é\nn"])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {}
+    for r in tokens.count_tokens(frame, tokenizer_path(), ["lang", "text"], rule).collect():
+        got.setdefault(r["doc_id"], {})[r["section"]] = r
+    for i, text, lang in rows:
+        whole = f"{lang or ''}\n{text}".encode()
+        section = [0]  # of each byte: a break belongs to the section that it ends
+        for b in whole[:-1]:
+            section.append(section[-1] + (b == 10))
+        n = whole.count(b"\n") + 1
+        counts, crossing, at = [0] * n, [0] * n, 0
+        ids = tokenizer.encode(whole.decode(), add_special_tokens=False).ids
+        for token in vocabulary_bytes(tokenizer, ids):
+            where = section[at : at + len(token)]
+            owner = where[0] if rule == "first" else max(sorted(set(where)), key=where.count)
+            counts[owner] += 1
+            crossing[owner] += len(set(where)) > 1
+            at += len(token)
+        assert at == len(whole)
+        assert [got[i][k]["tokens"] for k in range(n)] == counts
+        assert [got[i][k]["crossing"] for k in range(n)] == crossing
+        assert sorted(got[i]) == list(range(n)) and got[i][0]["doc_tokens"] == len(ids)
