@@ -71,10 +71,14 @@ def largest_span(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def best_and_margin(df: DataFrame, keys: list[str], item: str, score: str) -> DataFrame:
-    """keys, item, score, margin: the best item by score (then item) and its lead over the runner-up (over 0 if alone)."""
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col(item).asc())
-    rows = df.withColumn("__r", F.row_number().over(w)).withColumn("__next", F.lead(score).over(w)).where("__r = 1")
-    return rows.select(*keys, item, score, (F.col(score) - F.coalesce(F.col("__next"), F.lit(0.0))).alias("margin"))
+    """keys, item, score, margin: the best item by score (then item) and its lead over the runner-up (over 0 if alone).
+
+    Two rows a key are enough, and the window's limit leaves no more of a task's rows before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col(item).asc()))
+    two = df.select(*keys, item, score, place.alias("__r")).where("__r <= 2")
+    of = lambda c, r: F.max(F.when(F.col("__r") == r, F.col(c)))
+    best = two.groupBy(*keys).agg(of(item, 1).alias(item), of(score, 1).alias(score), of(score, 2).alias("__next"))
+    return best.select(*keys, item, score, (F.col(score) - F.coalesce(F.col("__next"), F.lit(0.0))).alias("margin"))
 
 
 def unique_right(best: DataFrame, left: list[str], right: str, score: str) -> DataFrame:
