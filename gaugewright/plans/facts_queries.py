@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import java, scalars, text
+from ..functions import java, registered, scalars, text
 from ..operators import checks, classify, conventions, incremental, ranking, selection, sources_text, stages, statistics
 from .registry import query
 
@@ -46,6 +46,16 @@ def java_nested_smells(t):
     return conventions.smell_totals(_nested(t), ["c_custkey"]).select("c_custkey", "methods", "unknown_test", "smells")
 
 
+@query(_NESTED + "select c_custkey, 'method' kind, \"name\" from m union all select c_custkey, 'test', \"name\" from m where is_test")
+def registered_functions(t):
+    """The functions that are registered by name, from SQL: a column function and a table function."""
+    registered.register(t._spark)
+    docs = _nested(t)
+    return t._spark.sql("""
+        select c_custkey, 'method' kind, m.name from (select c_custkey, explode(java_methods(text)) m from {docs})
+        union all select c_custkey, 'test', b.name from {docs} d, lateral test_method_bodies(d.text) b""", docs=docs)
+
+
 @query("""
 select p_partkey, 'import a.B' || p_size || ';' || chr(10) || 'import static x.Y;' || chr(10) || 'class A { String s = "http://' || p_brand || '/*"; ' || chr(10) || ' void f' || p_partkey || '() { } int g() { } void h(int a) { } }' stripped,
   'a.B' || p_size imports, 'f' || p_partkey without_arguments from part""")
