@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Token and name patterns.
+#: Token and name patterns, comments and literals as the measures of likeness take them.
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|\d+|==|!=|<=|>=|&&|\|\||[{}()\[\];.,+\-*/%<>=!&|^~?:]"
 NAME_PART = r"[A-Z]+(?=[A-Z][a-z]|\d|$)|[A-Z]?[a-z]+|[A-Z]+|\d+"
 IMPORT = r"(?m)^\s*import\s+(?!static\b)([\w.]+(?:\.\*)?)\s*;?"
+COMMENT = r"(?s)/\*.*?\*/|//[^\n]*"
+STRING, CHARACTER = r'"(?:\\.|[^"\\])*"', r"'(?:\\.|[^'\\])'"
 TEST_MARKS = ("Test", "ParameterizedTest", "RepeatedTest", "TestFactory")
 #: Joins the tokens of a shingle; no token holds it.
 JOINT = "\u0001"
 
 
 def strip_comments(code: Column) -> Column:
-    return F.regexp_replace(code, r"(?s)/\*.*?\*/|//[^\n]*", "")
+    return F.regexp_replace(code, COMMENT, "")
 
 
 def strip_comments_keep_strings(code: Column) -> Column:
@@ -24,7 +26,7 @@ def strip_comments_keep_strings(code: Column) -> Column:
 
 
 def normalize_literals(code: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(code, r'"(?:\\.|[^"\\])*"', '"<STR>"'), r"'(?:\\.|[^'\\])'", "'<CHR>'")
+    return F.regexp_replace(F.regexp_replace(code, STRING, '"<STR>"'), CHARACTER, "'<CHR>'")
 
 
 def tokenize(code: Column) -> Column:
