@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bound
 from ..sources.folders import checkpointed
 
 WIDTH = 1 << 16
@@ -51,35 +50,25 @@ def running(df: DataFrame, order: list[Column], values: dict[str, tuple[str, Col
     return out.withColumns({name: both[kind](F.col(name), F.col(f"__{name}")) for name, (kind, _) in values.items()}).drop(*[f"__{name}" for name in values])
 
 
-def _runs(values: Column) -> Column:
-    """array<struct<start, end>> of the runs in an ascending array of different integers, which is not empty."""
-
-    def of(x: Column) -> Column:
-        inner, gap = F.slice(x, 1, F.size(x) - 1), F.array(F.lit(None).cast("long"))
-        starts = F.filter(F.zip_with(x, F.concat(gap, inner), lambda v, p: F.when(p.isNull() | (p < v - 1), v)), lambda v: v.isNotNull())
-        ends = F.filter(F.zip_with(x, F.concat(F.slice(x, 2, F.size(x)), gap), lambda v, n: F.when(n.isNull() | (n > v + 1), v)), lambda v: v.isNotNull())
-        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
-
-    return bound(values, of)
-
-
 def islands(df: DataFrame, keys: list[str], value: str, width: int = WIDTH) -> DataFrame:
     """keys, start, end: runs of consecutive integers; nulls are none.
 
-    A bucket's different values are one array of ``width`` at most, brought together before the shuffle and after it.  Runs
-    within a bucket are whole; those that touch its edges, two a bucket, are joined along the key.
+    Repeated values go before the shuffle and after it; then a bucket has ``width`` values at most.  Runs within a bucket are
+    whole; those that touch its edges, two a bucket, are joined along the key.
     """
     at = F.col(value)
-    sets = by_position(df.where(at.isNotNull()), keys, at, width).groupBy(*keys, "__key", "__bucket").agg(F.array_sort(F.collect_set(at.cast("long"))).alias("__set"))
-    found = sets.select(*keys, "__key", "__bucket", F.inline(_runs(F.col("__set"))))
+    values = by_position(df.where(at.isNotNull()), keys, at, width).select("__key", "__bucket", at.cast("long").alias("__v")).distinct()
+    here = Window.partitionBy("__key", "__bucket").orderBy("__v")
+    rows = values.withColumn("__run", F.col("__v") - F.row_number().over(here))
+    found = rows.groupBy("__key", "__bucket", "__run").agg(F.min("__v").alias("start"), F.max("__v").alias("end"))
     edge = (F.pmod("start", F.lit(width)) == 0) | (F.pmod("end", F.lit(width)) == width - 1)
     along = Window.partitionBy("__key").orderBy("start")
     cut = found.where(edge).withColumn("__new", F.coalesce((F.lag("end").over(along) != F.col("start") - 1).cast("int"), F.lit(1)))
     cut = cut.withColumn("__run", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = cut.groupBy(*keys, "__key", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    joined = cut.groupBy("__key", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("__key", "start", "end")
     kind = df.schema[value].dataType
-    cast = [F.col(c).cast(kind).alias(c) for c in ("start", "end")]
-    return found.where(~edge).select(*keys, *cast).unionByName(joined.select(*keys, *cast))
+    every = found.where(~edge).select("__key", "start", "end").unionByName(joined)
+    return every.select(*[F.col("__key")[k].alias(k) for k in keys], *[F.col(c).cast(kind).alias(c) for c in ("start", "end")])
 
 
 def merged(df: DataFrame, keys: list[str], start: str, end: str, reach: int = 1, width: int = WIDTH) -> DataFrame:
