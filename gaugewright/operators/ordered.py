@@ -71,18 +71,26 @@ def islands(df: DataFrame, keys: list[str], value: str, width: int = WIDTH) -> D
     return every.select(*[F.col("__key")[k].alias(k) for k in keys], *[F.col(c).cast(kind).alias(c) for c in ("start", "end")])
 
 
-def merged(df: DataFrame, keys: list[str], start: str, end: str, reach: int = 1, width: int = WIDTH) -> DataFrame:
-    """keys, start, end: spans of integers merged when one starts at most ``reach`` after what lies before it ends; spans
-    without a start or an end are none.
-
-    Of a start the farthest end counts, found before the shuffle.  A span begins a run where no earlier one reaches it; what
-    earlier buckets reach, and where their last run began, comes from a row for each bucket.
+def merged(df: DataFrame, keys: list[str], start: str, end: str, reach: int = 1, width: int = WIDTH, unknown: bool = False) -> DataFrame:
+    """keys, start, end: spans of integers merged, by start and end, when one starts at most ``reach`` after what lies before
+    it ends; spans without a start or an end are none.
+
+    With ``unknown`` they are rows like others: a null comes last, reaches nothing, and begins a run only where nothing before
+    it has an end.  Of a start the farthest end counts, found before the shuffle; a span that ends more than ``reach``
+    before its own start (or nowhere) does not reach its copies either, so those are counted: each is a run of its own, if
+    one is.  A span begins a run where no earlier one reaches it; what earlier buckets reach, and how many runs they begin,
+    comes from a row for each bucket.
     """
-    known = df.where(F.col(start).isNotNull() & F.col(end).isNotNull())
-    far = known.groupBy(*keys, F.col(start).alias("start")).agg(F.max(end).alias("end"))
-    rows = by_position(far, keys, F.col("start"), width)
-    order = [F.col("start")]
+    s, e = F.col(start), F.col(end)
+    spans = df if unknown else df.where(s.isNotNull() & e.isNotNull())
+    apart = F.coalesce(s.isNull() | (e < s - reach), F.lit(True))
+    far = spans.groupBy(*keys, s.alias("start"), apart.alias("__apart"), F.when(apart, e).alias("__own")).agg(F.max(e).alias("end"), F.count(F.lit(1)).alias("__n"))
+    rows = by_position(far, keys, F.col("start"), width).withColumn("__bucket", F.coalesce("__bucket", F.lit((1 << 63) - 1)))
+    order = [F.asc_nulls_last("start"), F.asc_nulls_last("end")]
     held = running(rows, order, {"__held": ("max", F.col("end"))}, upto=-1)
-    head = F.col("__held").isNull() | (F.col("start") > F.col("__held") + reach)
-    runs = running(held, order, {"__run": ("max", F.when(head, F.col("start")))})
-    return runs.groupBy(*keys, "__key", F.col("__run").alias("start")).agg(F.max("end").alias("end")).select(*keys, "start", "end")
+    head = F.col("__held").isNull() | F.coalesce(F.col("start") > F.col("__held") + reach, F.lit(False))
+    runs = running(held.withColumn("__head", head.cast("long")), order, {"__run": ("sum", F.col("__head"))})
+    one = runs.groupBy(*keys, "__key", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*keys, "start", "end")
+    again = (F.col("__head") == 1) & F.col("__apart") & (F.col("end").isNull() | F.col("start").isNotNull()) & (F.col("__n") > 1)
+    copies = runs.where(again).select(*keys, "start", "end", F.explode(F.sequence(F.lit(2).cast("long"), "__n")).alias("__copy"))
+    return one.unionByName(copies.drop("__copy"))

@@ -158,9 +158,9 @@ m as (select user_id, min(a) as "start", max(b) as "end" from r group by user_id
 
 
 def _event_spans(t):
-    hour = F.expr("timestampdiff(HOUR, timestamp_ntz'1970-01-01', ts)")
+    hour = F.floor(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)") / 3_600_000_000)  # down, before 1970 too
     spans = t.events.select("user_id", hour.alias("a"), (hour + F.floor(F.col("value") / 100).cast("long")).alias("b"))
-    return ordered.merged(spans, ["user_id"], "a", "b")
+    return ordered.merged(spans, ["user_id"], "a", "b", unknown=True)
 
 
 @query(_SPANS + "select * from m")

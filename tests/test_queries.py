@@ -52,6 +52,17 @@ def test_query(spark, duck, name):
     assert expected or name in MAY_BE_EMPTY
 
 
+@pytest.mark.parametrize("name", ["span_merge", "largest_span"])
+def test_odd_events(spark, duck, tmp_path, name):
+    """Values below zero, unknown times, values and users, times before 1970."""
+    odd = f"""select event_id, case when event_id % 11 > 0 then ts - to_days(case when event_id % 3 = 0 then 19740 else 0 end) end ts, case when event_id % 13 > 0 then user_id % 5 end user_id, event_type,
+      case when user_id % 5 > 0 and event_id % 7 > 0 then case when event_id % 2 = 0 then -value else value end end as value, props from '{SF}/events.parquet'"""
+    duck.sql(f"copy ({odd}) to '{tmp_path}/events.parquet'")
+    want = duck.sql(catalog.ORACLES[name].replace("from events", f"from '{tmp_path}/events.parquet'"))
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(want.columns, want.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 
