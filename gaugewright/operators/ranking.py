@@ -66,8 +66,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], seq: str) -> DataFra
 
 
 def largest_span(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The longest span of each key, the first one of equal ones."""
-    return best(df, keys, F.col("start") - F.col("end"), F.col("start"))
+    """The longest span of each key, the first one of equal ones; one without a length only where there is no other."""
+    length = F.col("start") - F.col("end")
+    return best(df, keys, length.isNull(), length, F.col("start").isNull(), F.col("start"))
 
 
 def best_and_margin(df: DataFrame, keys: list[str], item: str, score: str) -> DataFrame:

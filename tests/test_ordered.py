@@ -44,6 +44,31 @@ def test_merged_spans(spark, width, reach):
     assert got == sorted(map(tuple, want))
 
 
+@pytest.mark.parametrize("width", [1, 5, 1 << 16])
+def test_merged_odd_spans(spark, width):
+    """Spans that end before they start, copies, nulls: row by row, as an ordered window has them."""
+    rng = random.Random(width)
+    rows = [("a", s := rng.randrange(-30, 200), rng.choice([s - 9, s - 3, s - 1, s, s + 4, None])) for _ in range(120)] + [("a", 250, 245)] * 3 + [("a", 260, 280), ("a", None, None)]
+    rows += [("n", None, None)] * 2 + [("n", 4, None)] * 2 + [(None, 3, 1), (None, 3, 9), ("m", None, 7), ("m", None, 7), ("m", None, None)]
+    frame = spark.createDataFrame(rows, "k string, s long, e long").repartition(4)
+    got = sorted((str(r["k"]), str(r["start"]), str(r["end"])) for r in ordered.merged(frame, ["k"], "s", "e", 1, width, unknown=True).collect())
+    runs = []
+    for k in ("a", None, "n", "m"):
+        held, run = None, None
+        for s, e in sorted(((s, e) for g, s, e in rows if g == k), key=lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or 0)):
+            if held is None or (s is not None and s > held + 1):
+                runs.append(run := [str(k), s, e])
+            run[1:] = [min((v for v in (run[1], s) if v is not None), default=None), max((v for v in (run[2], e) if v is not None), default=None)]
+            held = max((v for v in (held, e) if v is not None), default=None)
+    assert got == sorted((k, str(s), str(e)) for k, s, e in runs)
+
+
+def test_largest_span_without_an_end(spark):
+    spans = spark.createDataFrame([("a", 1, None), ("a", 5, 6), ("b", None, None), ("b", 2, None), ("c", 9, 9), ("c", 1, 1)], "k string, start long, end long")
+    got = {r["k"]: (r["start"], r["end"]) for r in ranking.largest_span(spans, ["k"]).collect()}
+    assert got == {"a": (5, 6), "b": (2, None), "c": (1, 1)}
+
+
 @pytest.mark.parametrize("by", ["position", "range"])
 def test_running_values(spark, by):
     rng = random.Random(3)
