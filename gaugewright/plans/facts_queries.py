@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import java, registered, scalars, text
 from ..operators import checks, classify, conventions, incremental, ranking, selection, sources_text, stages, statistics
-from .registry import query
+from .registry import query, spread
 
 
 def _nested(t):
@@ -21,7 +21,7 @@ def _nested(t):
 
     local = F.when(F.col("c_nationkey") % 5 == 0, "void h(int a, List<A, B> b) { class Z { void z() { } } new Object() { void no() { } }; } ").otherwise("")
     code = F.aggregate(F.sequence(depth.cast("bigint"), F.lit(0).cast("bigint")), local, level)
-    return t.customer.select("c_custkey", "c_nationkey", code.alias("text"))
+    return spread(t.customer.select("c_custkey", "c_nationkey")).select("c_custkey", "c_nationkey", code.alias("text"))
 
 
 _NESTED = """
@@ -63,8 +63,8 @@ def source_strings(t):
     """Comments go, strings with what looks like comments stay; imports without static ones; methods that take nothing."""
     key = F.col("p_partkey")
     code = F.concat(F.lit("import a.B"), "p_size", F.lit(";\nimport static x.Y;\nclass A { String s = \"http://"), "p_brand", F.lit("/*\"; // "), "p_name", F.lit("\n/* c */ void f"), key, F.lit("() { } int g() { } void h(int a) { } }"))
-    run = F.pandas_udf(lambda codes: codes.map(lambda c: ",".join(java.zero_argument_methods(c))), "string")
-    return t.part.select("p_partkey", text.strip_comments_keep_strings(code).alias("stripped"), F.array_join(text.imports(code), ",").alias("imports"), run(code).alias("without_arguments"))
+    run = java._udf(lambda c: ",".join(java.zero_argument_methods(c)), "string")
+    return spread(t.part.select("p_partkey", "p_size", "p_brand", "p_name")).select("p_partkey", text.strip_comments_keep_strings(code).alias("stripped"), F.array_join(text.imports(code), ",").alias("imports"), run(code).alias("without_arguments"))
 
 
 @query("""

@@ -22,6 +22,11 @@ class Tables:
         return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small file that cost much each, dealt to all cores: files are cut by their bytes."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def query(sql: str | None = None):
     def add(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

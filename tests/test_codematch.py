@@ -66,3 +66,30 @@ def test_score_over_what_there_is(spark):
     assert got[2]["flow"] is None and got[2]["score"] == 1.0
     assert got[3]["ngrams"] is None and got[3]["flow"] is None and got[3]["syntax"] == 0.0
     assert got[4]["syntax"] == 0.0
+
+
+def test_equal_sources_are_read_once():
+    import pyarrow as pa
+
+    from gaugewright.functions import java
+
+    read = []
+    run = java._udf(lambda c: read.append(c) or f"{c}!", "string").func
+    assert run(pa.array(["a", "b", None, "a"])).to_pylist() == ["a!", "b!", None, "a!"] and read == ["a", "b"]
+
+
+def test_multisets_by_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from gaugewright.functions import text
+
+    lit = lambda s: F.array(*map(F.lit, s))
+    row = spark.range(1).select(F.sort_array(F.array_intersect(text.numbered(lit("abaca")), text.numbered(lit("aabb")))).alias("v")).first()
+    assert row["v"] == ["1:a", "1:b", "2:a"] or row["v"] == ["0:a", "0:b", "1:a"]
+
+
+def test_rows_of_a_small_file_are_spread(spark):
+    from gaugewright import catalog
+
+    for name in ("java_nested", "registered_functions", "source_strings", "code_scores"):
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1, name
