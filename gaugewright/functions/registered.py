@@ -6,6 +6,8 @@ Table, to be used after LATERAL: ``assertion_sites(code)``, ``test_method_bodies
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -21,16 +23,20 @@ class AssertionCalls:
             yield c["name"], c["lead"], c["qualifier"], c["arguments"], c["terminal"]
 
 
-@F.udtf(returnType="name string, annotations array<string>, body string")
+@lru_cache(maxsize=256)
+def _test_bodies(code: str) -> list[tuple]:
+    """Of sources that come again those of late are kept."""
+    return [m for m in java.methods(code) if java.is_test(m[0], m[1])]
+
+
+@F.udtf(returnType="name string, annotations array<string>, body string", useArrow=True)
 class TestMethodBodies:
     """A row for each test method with its masked body."""
 
     __test__ = False  # not for the test runner
 
     def eval(self, code: str):
-        for name, annotations, body in java.methods(code or ""):
-            if java.is_test(name, annotations):
-                yield name, annotations, body
+        yield from _test_bodies(code or "")
 
 
 @F.udtf(returnType="line int")
