@@ -216,20 +216,18 @@ def ngram_score(candidate: Column, reference: Column, weights: dict[str, float]
 def _matched(a: Column, b: Column, n: int, weights: dict[str, float] | None) -> Column:
     """Weighted share of a's n-grams that b has, each as often as b has it at most; null where there is none."""
     grams = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), text.JOINT))).otherwise(F.array().cast("array<string>"))
-    weight = F.lit(1.0)
 
     def weighed(g: Column) -> Column:
-        if n > 1 or not weights:
-            return weight
         named = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-        return F.coalesce(F.try_element_at(named, g), weight)
+        return F.coalesce(F.try_element_at(named, g), F.lit(1.0))
 
     def of(row: Column) -> Column:
         x, y = row["x"], row["y"]
-        kinds = F.array_distinct(x)
-        many = lambda t, g: F.size(F.filter(t, lambda v: v == g))
-        hits = F.aggregate(kinds, F.lit(0.0), lambda s, g: s + weighed(g) * F.least(many(x, g), many(y, g)))
-        total = F.aggregate(x, F.lit(0.0), lambda s, g: s + weighed(g))
+        kept = F.array_intersect(text.numbered(x), text.numbered(y))
+        hits, total = F.size(kept).cast("double"), F.size(x).cast("double")
+        if n == 1 and weights:
+            hits = F.aggregate(kept, F.lit(0.0), lambda s, g: s + weighed(F.regexp_replace(g, "^[0-9]+:", "")))
+            total = F.aggregate(x, F.lit(0.0), lambda s, g: s + weighed(g))
         more = 0.0 if n == 1 else 1.0
         return F.when(total + more > 0, F.nullif((hits + more) / (total + more), F.lit(0.0)))
 

@@ -9,7 +9,7 @@ from ..functions import java, ranges, scalars, text
 from ..operators import checks, matching, ordered, ranking, reports, sources_text, stages, statistics
 from ..sources.folders import fresh_folder
 from ..streaming import events as streams
-from .registry import query
+from .registry import query, spread
 
 
 def _candidates(t):
@@ -157,7 +157,7 @@ def code_scores(t):
     flows = F.col("s_nationkey") % 2 == 0
     code = lambda said, n: F.concat(F.lit("class C { void f(int p) { "), F.when(flows, said).otherwise(""), blocks(n), F.lit("} }"))
     found = reports.code_score(code("int z = 1; int y = z; ", (F.col("s_nationkey") % 5).cast("int")), code("int a = 1; int b = a; b += a; ", F.lit(3)))
-    return t.supplier.select("s_suppkey", found.alias("f")).select("s_suppkey", F.round("f.syntax", 9).alias("syntax"), "f.flow")
+    return spread(t.supplier.select("s_suppkey", "s_nationkey")).select("s_suppkey", found.alias("f")).select("s_suppkey", F.round("f.syntax", 9).alias("syntax"), "f.flow")
 
 
 @query("""
