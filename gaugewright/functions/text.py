@@ -45,7 +45,7 @@ def bound(value: Column, use) -> Column:
 
 def numbered(values: Column) -> Column:
     """Each of an array of strings with its number among its equals before it, so that array_intersect() compares multisets."""
-    return bound(F.sort_array(values), lambda s: F.transform(s, lambda v, i: F.concat((i - F.array_position(s, v)).cast("string"), F.lit(":"), v)))
+    return bound(F.sort_array(values), lambda s: F.transform(s, lambda v, i: F.concat((i + 1 - F.array_position(s, v)).cast("string"), F.lit(":"), v)))
 
 
 def shingles(tokens: Column, k: int = 5) -> Column:

@@ -85,7 +85,7 @@ def test_multisets_by_numbers(spark):
 
     lit = lambda s: F.array(*map(F.lit, s))
     row = spark.range(1).select(F.sort_array(F.array_intersect(text.numbered(lit("abaca")), text.numbered(lit("aabb")))).alias("v")).first()
-    assert row["v"] == ["1:a", "1:b", "2:a"] or row["v"] == ["0:a", "0:b", "1:a"]
+    assert row["v"] == ["0:a", "0:b", "1:a"]
 
 
 def test_rows_of_a_small_file_are_spread(spark):
