@@ -468,3 +468,26 @@ def test_semantic_matches(spark):
         assert r["accepted"] == (best >= 0.5 or (best >= 0.4 and margin >= 0.05 and both))
     unique = matching.one_to_one(spark.createDataFrame([(r["k"], r["x"], r["y"], r["score"]) for r in got.values()], "k string, x int, y int, score double"), ["k"], "x", "y", "score")
     assert unique.count() == len({(r["k"], r["y"]) for r in got.values()})
+
+
+def test_pairs_of_many_blocks(spark, monkeypatch):
+    """Blocks and strips of a few sets each: every pair once, whichever tile it lies in."""
+    monkeypatch.setattr(matching, "SETS", 7)
+    monkeypatch.setattr(matching, "STRIP", 3)
+    rng = random.Random(12)
+    sets = [sorted({rng.choice("aaaabbbbccccdefghijklmnop") for _ in range(rng.randint(1, 12))}) for _ in range(50)]
+    x = spark.createDataFrame(list(enumerate(sets)), "__c int, __set array<string>")
+    y = x.select("__c", "__set")
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = sorted((i, j, like(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if like(a, b) >= 0.3)
+    for other in (x, y):
+        assert sorted(map(tuple, matching.set_pairs(x, other, 0.3).collect())) == want
+
+
+def test_anchors_with_one_hash(spark):
+    rows = spark.range(200_000).select(F.col("id").cast("string").alias("a")).withColumn("h", F.hash("a").bitwiseAND(F.lit(0x7FFFFFFF)))
+    same = [a for r in rows.groupBy("h").agg(F.collect_list("a").alias("v")).where("size(v) > 1").collect() for a in r["v"]]
+    assert same
+    sets = spark.createDataFrame([(1, [*same, "x"]), (2, same[:1])], "i int, __set array<string>")
+    got = {r["i"]: r["__set"] for r in matching._numbered(sets)[0].collect()}
+    assert len(set(got[1])) == len(same) + 1 and got[2][0] in got[1]
