@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 from ..sources.folders import checkpointed
 
 WIDTH = 1 << 16
+#: Rows of a table for each task that sorts or aggregates them.
+ROWS = 1 << 18
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int, most: int = ROWS) -> DataFrame:
+    """df dealt by keys to as many tasks as ``rows``, a count of it or a bound on that, asks for: a task's memory stays the same
+    as the table grows.  Splits of files and merged shuffle partitions grow with the table, up to what 64 MB or more hold."""
+    return df.repartition(max(1, -(-rows // most)), *keys)
 
 
 def by_position(df: DataFrame, keys: list[str], position: Column, width: int = WIDTH) -> DataFrame:

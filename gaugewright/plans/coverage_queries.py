@@ -186,13 +186,23 @@ with d as (select l_partkey target, l_suppkey test_selector, count(*) added_line
 
 
 def _deltas(t):
-    return t.lineitem.groupBy(F.col("l_partkey").alias("target"), F.col("l_suppkey").alias("test_selector")).agg(
-        F.count(F.lit(1)).alias("added_lines"),
-        F.count_distinct("l_orderkey").alias("added_methods"),
-        F.count_if(F.col("l_returnflag") == "R").alias("added_branches"),
-        F.sum("l_quantity").cast("long").alias("added_instructions"),
-        F.count_if(F.col("l_linestatus") == "F").alias("target_lines"),
-        (F.max("l_discount") > 0.05).alias("measured"),
+    """Dealt by target, a row for each test; orders are told apart before, so that a test's lines are spread."""
+    lines, n = t.lineitem.withColumnsRenamed({"l_partkey": "target", "l_suppkey": "test_selector"}), t.lineitem.count()
+    by = ["target", "test_selector", "l_orderkey"]
+    orders = ordered.dealt(lines.select(*by, "l_returnflag", "l_quantity", "l_linestatus", "l_discount"), by, n).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(F.col("l_returnflag") == "R").alias("branches"),
+        F.sum("l_quantity").alias("quantity"),
+        F.count_if(F.col("l_linestatus") == "F").alias("ended"),
+        F.max("l_discount").alias("discount"),
+    )
+    return ordered.dealt(orders, ["target"], n).groupBy("target", "test_selector").agg(
+        F.sum("lines").alias("added_lines"),
+        F.count("l_orderkey").alias("added_methods"),
+        F.sum("branches").alias("added_branches"),
+        F.sum("quantity").cast("long").alias("added_instructions"),
+        F.sum("ended").alias("target_lines"),
+        (F.max("discount") > 0.05).alias("measured"),
     )
 
 

@@ -161,3 +161,20 @@ def test_quantiles(spark, monkeypatch, exact):
     assert (rest["nothing"]["available"], rest["nothing"]["unavailable"], rest["nothing"]["median"]) == (0, 2, None)
     assert (rest["ties"]["available"], rest["ties"]["unavailable"]) == (704, 2)
     assert statistics.quartiles(frame, ["k"], "v").where("k = 'ties'").first()["n"] == 704
+
+
+def test_a_task_ranks_so_many_rows(spark, tmp_path, monkeypatch):
+    """rank_specs deals lines to tasks by their count, and ranks as its SQL does, null keys and hot targets included."""
+    import duckdb
+
+    from gaugewright.plans import coverage_queries
+    from gaugewright.plans.registry import ORACLES, QUERIES
+
+    rows = "select case when id % 50 = 0 then null when id % 2 = 0 then 1 else id % 37 end l_partkey, id % 11 l_suppkey, case when id % 13 = 0 then null else id % 17 end l_orderkey, cast(id % 7 as int) l_linenumber"
+    rows += ", cast(id % 5 as double) l_quantity, id % 9 / 100 l_discount, case when id % 3 = 0 then 'R' else 'A' end l_returnflag, case when id % 4 = 0 then 'F' else 'O' end l_linestatus from range(3000)"
+    spark.sql(rows).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(coverage_queries.ordered, "dealt", lambda df, keys, n, dealt=coverage_queries.ordered.dealt: dealt(df, keys, n, 100))
+    got = QUERIES["rank_specs"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 30
+    want = duckdb.sql(ORACLES["rank_specs"].replace("from lineitem", f"from '{tmp_path}/lineitem.parquet/*.parquet'")).fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
