@@ -61,11 +61,13 @@ def running(df: DataFrame, order: list[Column], values: dict[str, tuple[str, Col
 def islands(df: DataFrame, keys: list[str], value: str, width: int = WIDTH) -> DataFrame:
     """keys, start, end: runs of consecutive integers; nulls are none.
 
-    Repeated values go before the shuffle and after it; then a bucket has ``width`` values at most.  Runs within a bucket are
-    whole; those that touch its edges, two a bucket, are joined along the key.
+    Rows are counted and dealt by bucket; repeated values go there as they come in, so a task holds ``width`` values of a
+    bucket at most, however often they are repeated.  Runs within a bucket are whole; those that touch its edges, two a
+    bucket, are joined along the key.
     """
     at = F.col(value)
-    values = by_position(df.where(at.isNotNull()), keys, at, width).select("__key", "__bucket", at.cast("long").alias("__v")).distinct()
+    known = df.where(at.isNotNull())
+    values = dealt(by_position(known, keys, at, width).select("__key", "__bucket", at.cast("long").alias("__v")), ["__key", "__bucket"], known.count()).distinct()
     here = Window.partitionBy("__key", "__bucket").orderBy("__v")
     rows = values.withColumn("__run", F.col("__v") - F.row_number().over(here))
     found = rows.groupBy("__key", "__bucket", "__run").agg(F.min("__v").alias("start"), F.max("__v").alias("end"))

@@ -178,3 +178,23 @@ def test_a_task_ranks_so_many_rows(spark, tmp_path, monkeypatch):
     assert got.rdd.getNumPartitions() == 30
     want = duckdb.sql(ORACLES["rank_specs"].replace("from lineitem", f"from '{tmp_path}/lineitem.parquet/*.parquet'")).fetchall()
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_islands_come_from_tasks_of_so_many_rows(spark, monkeypatch):
+    """Rows are dealt by their count, and a bucket's repeated values are one before it is sorted."""
+    frame = spark.range(3000).selectExpr("if(id % 9 = 0, null, id % 3) k", "if(id % 100 < 50, 7, (id * 7) % 500) v").coalesce(1)
+    asked = []
+
+    def few(df, keys, n, dealt=ordered.dealt):
+        out = dealt(df, keys, n, 100)
+        asked.append((n, out.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(ordered, "dealt", few)
+    got = sorted((str(r["k"]), r["start"], r["end"]) for r in ordered.islands(frame, ["k"], "v", 64).collect())
+    want = []
+    for k in ("0", "1", "2", "None"):
+        values = sorted({r["v"] for r in frame.collect() if str(r["k"]) == k})
+        heads = [v for v in values if v - 1 not in values]
+        want += [(k, v, next(e for e in range(v, 600) if e + 1 not in values)) for v in heads]
+    assert got == sorted(want) and asked == [(3000, 30)]
