@@ -87,7 +87,9 @@ def unit_construction(t):
 select l_suppkey, sum(lines)::bigint lines, sum(methods)::bigint methods from (
   select l_suppkey, l_partkey, count(*) lines, count(distinct l_orderkey) methods from lineitem group by 1, 2) group by 1""")
 def delta_totals(t):
-    per = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("l_orderkey").alias("methods"))
+    by, n = ["l_suppkey", "l_partkey", "l_orderkey"], t.lineitem.count()
+    orders = ordered.dealt(t.lineitem.select(*by), by, n).groupBy(*by).agg(F.count(F.lit(1)).alias("lines"))
+    per = ordered.dealt(orders, by[:2], n).groupBy(*by[:2]).agg(F.sum("lines").alias("lines"), F.count("l_orderkey").alias("methods"))
     return coverage.totals(per, ["l_suppkey"], ["lines", "methods"])
 
 

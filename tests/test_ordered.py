@@ -198,3 +198,26 @@ def test_islands_come_from_tasks_of_so_many_rows(spark, monkeypatch):
         heads = [v for v in values if v - 1 not in values]
         want += [(k, v, next(e for e in range(v, 600) if e + 1 not in values)) for v in heads]
     assert got == sorted(want) and asked == [(3000, 30)]
+
+
+def test_a_task_counts_so_many_rows(spark, tmp_path, monkeypatch):
+    """delta_totals deals lines by order and then by pair, and counts as its SQL does, null keys and hot pairs included."""
+    import duckdb
+
+    from gaugewright.plans import coverage_queries
+    from gaugewright.plans.registry import ORACLES, QUERIES
+
+    rows = "select case when id % 50 = 0 then null when id % 2 = 0 then 1 else id % 37 end l_partkey, case when id % 2 = 0 then 3 else id % 11 end l_suppkey, case when id % 13 = 0 then null else id % 400 end l_orderkey from range(3000)"
+    spark.sql(rows).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    asked = []
+
+    def few(df, keys, n, dealt=coverage_queries.ordered.dealt):
+        out = dealt(df, keys, n, 100)
+        asked.append((keys, out.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(coverage_queries.ordered, "dealt", few)
+    got = QUERIES["delta_totals"](spark, str(tmp_path)).collect()
+    want = duckdb.sql(ORACLES["delta_totals"].replace("from lineitem", f"from '{tmp_path}/lineitem.parquet/*.parquet'")).fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert asked == [(["l_suppkey", "l_partkey", "l_orderkey"], 30), (["l_suppkey", "l_partkey"], 30)]
