@@ -279,75 +279,96 @@ def alpha_ordinal(df: DataFrame, keys: list[str], item: str, rater: str, score:
     return joined.select(*keys, "n_items", F.when(expected > 0, 1 - F.col("__o") / expected).alias("alpha"))
 
 
-def draws(item: Column, replicates: int, seed: int = 1) -> Column:
-    """array<int>: an item's Poisson(1) weight in each replicate, from the first eight digits of an MD5 of (seed, replicate,
-    item)."""
-    limits, term = [0.0], math.exp(-1)
+def digest(item: Column, rep: Column, seed: int = 1) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), rep.cast("string"), item.cast("string")))
+
+
+def drawn(digest: Column) -> Column:
+    """A Poisson(1) weight from the first eight digits of a digest; digits of equal number compare as their numbers do, so the
+    limits are digits as well."""
+    upto, term, limits = 0.0, math.exp(-1), []
     for k in range(1, 13):
-        limits.append(limits[-1] + term)
+        upto += term
         term /= k
+        limits.append(math.ceil(upto * (1 << 32)))
+    weight = F.when(digest < f"{limits[0]:08x}", 0)
+    for k, limit in enumerate(limits[1:], 1):
+        if limit < 1 << 32:
+            weight = weight.when(digest < f"{limit:08x}", k)
+    return weight.otherwise(sum(x < 1 << 32 for x in limits))
 
-    def weight(rep: Column) -> Column:
-        digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), rep.cast("string"), item.cast("string"))), 1, 8)
-        u = F.conv(digits, 16, 10).cast("double") / float(1 << 32)
-        return F.transform(F.array(u), lambda v: sum((F.when(v >= x, 1).otherwise(0) for x in limits[1:]), F.lit(0)))[0]
 
-    return F.transform(F.sequence(F.lit(1), F.lit(replicates)), weight)
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that cost much each, dealt to all cores, however few bytes they have."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
-#: So many keys' sums are held at a time in a task.
-HELD = 4096
+#: So many numbers of a matrix are held at a time in a task.
+HELD = 1 << 22
 
 
 def _weighted_sums(kinds: list, replicates: int):
-    """Batches of key columns, value and weights -> keys, sums of weighted values, sums of weights, replicate by replicate."""
-
-    def batch_of(found: dict, top: np.ndarray, down: np.ndarray):
-        columns = [pa.array([k[i] for k in found], kind) for i, kind in enumerate(kinds)]
-        sums = [pa.array(list(x[: len(found)]), pa.list_(pa.float64())) for x in (top, down)]
-        return pa.RecordBatch.from_arrays(columns + sums, names=[f"k{i}" for i in range(len(kinds))] + ["__top", "__down"])
+    """Batches of items (key columns, pairs of levels with values, weights) -> keys, levels, and replicate by replicate the sum
+    of weighted values."""
 
     def run(batches):
         found: dict = {}
-        top, down = (np.zeros((HELD, replicates)) for _ in range(2))
         for batch in batches:
-            *keys, value, weights = batch.columns
-            w = weights.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, replicates)
-            v = value.to_numpy(zero_copy_only=False)
-            places: dict = {}
-            for i, key in enumerate(zip(*(k.to_pylist() for k in keys), strict=True) if keys else [()] * batch.num_rows):
-                places.setdefault(key, []).append(i)
-            for key, rows in places.items():
-                if key not in found and len(found) == HELD:
-                    yield batch_of(found, top, down)
-                    found = {}
-                    top[:], down[:] = 0, 0
-                at = found.setdefault(key, len(found))
-                top[at] += v[rows] @ w[rows]
-                down[at] += w[rows].sum(axis=0)
+            *keys, pairs, weights = batch.columns
+            w = weights.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, replicates).astype(float)
+            at = np.repeat(np.arange(batch.num_rows), pairs.value_lengths().to_numpy(zero_copy_only=False))
+            a, b, v = (pairs.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            levels, level = np.unique(np.stack([a, b], axis=1), axis=0, return_inverse=True)
+            level = level.reshape(-1)
+            rows: dict = {}
+            for i, key in enumerate(zip(*(k.to_pylist() for k in keys), strict=True)):
+                rows.setdefault(key, []).append(i)
+            for key, own in rows.items():
+                sums = found.setdefault(key, {})
+                step = max(1, HELD // max(1, len(levels)))
+                for start in range(0, len(own), step):
+                    part = np.asarray(own[start : start + step])
+                    place = np.full(batch.num_rows, -1)
+                    place[part] = np.arange(len(part))
+                    here = place[at] >= 0
+                    matrix = np.zeros((len(levels), len(part)))
+                    matrix[level[here], place[at][here]] = v[here]  # an item has a pair of levels once
+                    for i in np.unique(level[here]):
+                        pair = tuple(levels[i])
+                        sums[pair] = sums.get(pair, 0) + matrix[i] @ w[part]
+            if sum(map(len, found.values())) * replicates > HELD:
+                yield batch_of(found)
+                found = {}
         if found:
-            yield batch_of(found, top, down)
+            yield batch_of(found)
+
+    def batch_of(found: dict):
+        rows = [(*key, *pair, sums) for key, by in found.items() for pair, sums in by.items()]
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate([*kinds, pa.float64(), pa.float64(), pa.list_(pa.float64())])]
+        return pa.RecordBatch.from_arrays(columns, names=[f"k{i}" for i in range(len(kinds))] + ["__a", "__b", "__top"])
 
     return run
 
 
-def _replicate_sums(rows: DataFrame, keys: list[str], replicates: int) -> DataFrame:
-    """keys, __rep, __t, __n: of rows (keys, __v, __w) the sums of weighted values and of weights in each replicate."""
-    fields = [rows.schema[k] for k in keys]
-    schema = StructType([*[StructField(f"k{i}", f.dataType) for i, f in enumerate(fields)], *[StructField(n, ArrayType(DoubleType())) for n in ("__top", "__down")]])
-    sums = rows.mapInArrow(_weighted_sums([to_arrow_type(f.dataType) for f in fields], replicates), schema).toDF(*keys, "__top", "__down")
-    each = sums.select(*keys, F.posexplode(F.arrays_zip("__top", "__down")).alias("__rep", "__s"))
-    return each.groupBy(*keys, "__rep").agg(F.sum("__s.__top").alias("__t"), F.sum("__s.__down").alias("__n"))
+def _replicate_sums(items: DataFrame, keys: list[str], replicates: int) -> DataFrame:
+    """keys, __a, __b, __rep, __s: of items (keys, __p, __w) the sums of weighted pairs in each replicate."""
+    fields = [items.schema[k] for k in keys]
+    schema = StructType([*[StructField(f"k{i}", f.dataType) for i, f in enumerate(fields)], *[StructField(n, DoubleType()) for n in ("__a", "__b")], StructField("__top", ArrayType(DoubleType()))])
+    sums = items.mapInArrow(_weighted_sums([to_arrow_type(f.dataType) for f in fields], replicates), schema).toDF(*keys, "__a", "__b", "__top")
+    each = sums.select(*keys, "__a", "__b", F.posexplode("__top").alias("__rep", "__s"))
+    return each.groupBy(*keys, "__a", "__b", "__rep").agg(F.sum("__s").alias("__s"))
 
 
 def bootstrap_ci(df: DataFrame, keys: list[str], item: str, value: str, replicates: int = 200, seed: int = 1) -> DataFrame:
     """keys, low, high: 2.5 and 97.5 percent bounds of the mean under a Poisson bootstrap of items.
 
-    One pass: each row has an array of its weights in all replicates, a task adds them up key by key, and only those sums
-    are shuffled; rows are not written once for each replicate.
+    Rows are dealt to all cores, as a draw costs far more than its row's bytes.  Each goes with its weight into a task's sums
+    once for each replicate; only those sums are shuffled, rows are not written.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"), draws(F.col(item), replicates, seed).alias("__w"))
-    per = _replicate_sums(rows, keys, replicates)
+    rows = spread(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"), F.col(item).alias("__item")))
+    each = rows.select(*keys, "__v", "__item", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("__rep"))
+    weighted = each.select(*keys, "__rep", "__v", drawn(digest(F.col("__item"), F.col("__rep"), seed)).alias("__w"))
+    per = weighted.groupBy(*keys, "__rep").agg(F.sum(F.col("__w") * F.col("__v")).alias("__t"), F.sum("__w").alias("__n"))
     means = per.where("__n > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("__t") / F.col("__n"))).alias("__m"))  # one for each replicate
 
     def at(p: float) -> Column:
@@ -361,16 +382,17 @@ def bootstrap_ci(df: DataFrame, keys: list[str], item: str, value: str, replicat
 def alpha_ordinal_ci(df: DataFrame, keys: list[str], item: str, rater: str, score: str, replicates: int = 200, seed: int = 1) -> DataFrame:
     """keys, low, high: 2.5 and 97.5 percent bounds of alpha_ordinal() under a Poisson bootstrap of items.
 
-    An item drawn w times counts as w items with the same ratings.  One pass: an item has an array of its weights in all
-    replicates, and a task adds up, for each pair of score levels, what the items' pairs of ratings weigh, and for each level
-    its ratings.  Only those sums are shuffled, so no row is written for a replicate; the levels are those of a scale, few.
+    An item drawn w times counts as w items with the same ratings.  One pass, items dealt to all cores: an item has an array of
+    its weights in all replicates and one of its pairs of score levels, and a task adds up, for each pair of levels, what the
+    items' pairs of ratings weigh, and for each level its ratings.  Only those sums are shuffled, so no row is written for a replicate; the levels are those of a scale, few.
     Replicates whose alpha is null (no item, or one level only) are left out of the bounds.
     """
     counts = df.where(F.col(score).isNotNull()).groupBy(*keys, item, score).agg(F.count(F.lit(1)).cast("double").alias("__n"))
     items = counts.groupBy(*keys, item).agg(F.array_sort(F.collect_list(F.struct(F.col(score).cast("double").alias("s"), F.col("__n").alias("n")))).alias("__l"), F.sum("__n").alias("__m")).where("__m > 1")
     pairs = F.flatten(F.transform("__l", lambda x: F.transform(F.filter("__l", lambda y: y["s"] >= x["s"]), lambda y: F.struct(x["s"].alias("a"), y["s"].alias("b"), F.when(x["s"] == y["s"], x["n"]).otherwise(2 * x["n"] * y["n"] / (F.col("__m") - 1)).alias("v")))))
-    rows = items.select(*keys, F.explode(pairs).alias("__p"), draws(F.col(item), replicates, seed).alias("__w")).select(*keys, F.col("__p.a").alias("__a"), F.col("__p.b").alias("__b"), F.col("__p.v").alias("__v"), "__w")
-    sums = _replicate_sums(rows, [*keys, "__a", "__b"], replicates).select(*keys, "__a", "__b", "__rep", F.col("__t").alias("__s"))
+    weights = F.transform(F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda rep: digest(F.col(item), rep, seed)), drawn)
+    drawn_items = items.select(*keys, pairs.alias("__p"), weights.alias("__w"))
+    sums = _replicate_sums(drawn_items, keys, replicates)
     by = [*keys, "__rep"]
     levels = sums.where("__a = __b and __s > 0")
     upto = Window.partitionBy(*by).orderBy("__a").rowsBetween(Window.unboundedPreceding, 0)

@@ -1,6 +1,7 @@
 """Operators that the driver's tables cannot show: Java sources, conventions, logs, statistics against known values."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -491,3 +492,18 @@ def test_anchors_with_one_hash(spark):
     sets = spark.createDataFrame([(1, [*same, "x"]), (2, same[:1])], "i int, __set array<string>")
     got = {r["i"]: r["__set"] for r in matching._numbered(sets)[0].collect()}
     assert len(set(got[1])) == len(same) + 1 and got[2][0] in got[1]
+
+
+def test_bootstraps_deal_their_items(spark):
+    """Items of one small file are dealt to all cores, and the weights are those of the digits as numbers."""
+    import hashlib
+
+    limits, term = [math.exp(-1)], math.exp(-1)
+    for k in range(1, 12):
+        term /= k
+        limits.append(limits[-1] + term)
+    got = spark.range(3000).select("id", statistics.digest(F.col("id"), F.lit(7)).alias("d")).withColumn("w", statistics.drawn(F.col("d"))).collect()
+    assert all(r["w"] == sum(int(hashlib.md5(f"1:7:{r['id']}".encode()).hexdigest()[:8], 16) / (1 << 32) >= x for x in limits) for r in got)
+    one = spark.range(400).selectExpr("'g' g", "id", "cast(id % 10 as double) v").coalesce(1)
+    for out in (statistics.bootstrap_ci(one, ["g"], "id", "v"),):
+        assert f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism})" in out._jdf.queryExecution().toString()
