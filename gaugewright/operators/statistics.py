@@ -391,7 +391,7 @@ def alpha_ordinal_ci(df: DataFrame, keys: list[str], item: str, rater: str, scor
     items = counts.groupBy(*keys, item).agg(F.array_sort(F.collect_list(F.struct(F.col(score).cast("double").alias("s"), F.col("__n").alias("n")))).alias("__l"), F.sum("__n").alias("__m")).where("__m > 1")
     pairs = F.flatten(F.transform("__l", lambda x: F.transform(F.filter("__l", lambda y: y["s"] >= x["s"]), lambda y: F.struct(x["s"].alias("a"), y["s"].alias("b"), F.when(x["s"] == y["s"], x["n"]).otherwise(2 * x["n"] * y["n"] / (F.col("__m") - 1)).alias("v")))))
     weights = F.transform(F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda rep: digest(F.col(item), rep, seed)), drawn)
-    drawn_items = items.select(*keys, pairs.alias("__p"), weights.alias("__w"))
+    drawn_items = spread(items).select(*keys, pairs.alias("__p"), weights.alias("__w"))
     sums = _replicate_sums(drawn_items, keys, replicates)
     by = [*keys, "__rep"]
     levels = sums.where("__a = __b and __s > 0")

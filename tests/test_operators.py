@@ -505,5 +505,5 @@ def test_bootstraps_deal_their_items(spark):
     got = spark.range(3000).select("id", statistics.digest(F.col("id"), F.lit(7)).alias("d")).withColumn("w", statistics.drawn(F.col("d"))).collect()
     assert all(r["w"] == sum(int(hashlib.md5(f"1:7:{r['id']}".encode()).hexdigest()[:8], 16) / (1 << 32) >= x for x in limits) for r in got)
     one = spark.range(400).selectExpr("'g' g", "id", "cast(id % 10 as double) v").coalesce(1)
-    for out in (statistics.bootstrap_ci(one, ["g"], "id", "v"),):
+    for out in (statistics.bootstrap_ci(one, ["g"], "id", "v"), statistics.alpha_ordinal_ci(one, ["g"], "id", "id", "v")):
         assert f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism})" in out._jdf.queryExecution().toString()
