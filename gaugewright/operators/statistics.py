@@ -18,6 +18,8 @@ from . import ordered
 
 #: Groups of up to EXACT values are aggregated whole; in larger ones bounds close in until no more lie between them.
 EXACT = 100_000
+#: Bounds of up to so many groups are sent to every task; those of more are joined by key.
+GROUPS = 10_000
 #: A sketch's ranks are off by a group's rows over ACCURACY at most; its quantiles are asked for at STEPS steps.
 ACCURACY, STEPS = 2000, 400
 
@@ -64,6 +66,7 @@ def at_ranks(known: DataFrame, wanted: DataFrame, keys: list[str], most: int) ->
     bounds, whose rows are counted exactly.  Each step leaves a hundredth of the rows; once there are ``most`` or fewer, they
     are counted value by value.  Copies of a value are one value, and bounds are values, so a step always gets on.
     """
+    wanted = checkpointed(wanted)
     state = _counted(known, wanted.withColumnRenamed("__n", "__all"), keys).withColumnRenamed("__all", "__n")
     while True:
         state = checkpointed(state)
@@ -88,10 +91,17 @@ def at_ranks(known: DataFrame, wanted: DataFrame, keys: list[str], most: int) ->
     return joined(state, hit, [*keys, "__rank"]).select(*keys, "__n", "__rank", F.coalesce("__v", edge).alias("__v"))
 
 
+def _bounded(known: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """known with __b, for groups that have bounds.  A small file's rows may be many, so Spark's guess of what is small enough
+    to send is not asked: bounds are sent if their count is small, and values never."""
+    few = bounds.limit(GROUPS + 1).count() <= GROUPS
+    return joined(known if few else known.hint("merge"), F.broadcast(bounds) if few else bounds, keys).where("__b is not null")
+
+
 def _between(known: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """keys, __rank, __upto, __v: the values strictly between each rank's bounds."""
     bounds = state.groupBy(*keys).agg(F.collect_list(F.struct("__rank", "__upto", "__low", "__high")).alias("__b"))  # a few a group
-    rows = joined(known, bounds, keys).where("__b is not null")
+    rows = _bounded(known, bounds, keys)
     each = rows.select(*keys, "__v", F.explode(F.filter("__b", lambda b: (F.col("__v") > b["__low"]) & (F.col("__v") < b["__high"]))).alias("__b"))
     return each.select(*keys, "__b.__rank", "__b.__upto", "__v")
 
@@ -99,7 +109,7 @@ def _between(known: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
 def _counted(known: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """state with __upto and __inside: how many values are up to __low, and strictly between __low and __high."""
     bounds = state.groupBy(*keys).agg(F.collect_list(F.struct("__rank", "__low", "__high")).alias("__b"))
-    rows = joined(known, bounds, keys).where("__b is not null")
+    rows = _bounded(known, bounds, keys)
     each = rows.select(*keys, "__v", F.explode(F.filter("__b", lambda b: F.col("__v") < b["__high"])).alias("__b"))
     counts = each.groupBy(*keys, F.col("__b.__rank").alias("__rank")).agg(F.count_if(F.col("__v") <= F.col("__b.__low")).alias("__upto"), F.count_if(F.col("__v") > F.col("__b.__low")).alias("__inside"))
     zero = F.lit(0).cast("long")

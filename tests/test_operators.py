@@ -507,3 +507,25 @@ def test_bootstraps_deal_their_items(spark):
     one = spark.range(400).selectExpr("'g' g", "id", "cast(id % 10 as double) v").coalesce(1)
     for out in (statistics.bootstrap_ci(one, ["g"], "id", "v"), statistics.alpha_ordinal_ci(one, ["g"], "id", "id", "v")):
         assert f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism})" in out._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("groups", [10_000, 1])
+def test_values_are_not_sent_to_all(spark, tmp_path, monkeypatch, groups):
+    """Large groups of a small file: their bounds are sent to the tasks or joined by key, their values never."""
+    monkeypatch.setattr(statistics, "EXACT", 50)
+    monkeypatch.setattr(statistics, "GROUPS", groups)
+    plans, bounded = [], statistics._bounded
+
+    def seen(known, bounds, keys):
+        out = bounded(known, bounds, keys)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(statistics, "_bounded", seen)
+    spark.range(2000).selectExpr("if(id % 3 = 0, null, id % 3) k", "cast((id * 7) % 1999 as double) v").coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    got = {r["k"]: r["m"] for r in statistics.quantiles(rows, ["k"], "v", {"m": 0.5}).collect()}
+    want = rows.groupBy("k").agg(F.percentile("v", 0.5).alias("m")).collect()
+    assert got == {r["k"]: r["m"] for r in want} and len(plans) >= 3
+    joins = [next(line for line in p.splitlines() if "Join" in line) for p in plans]  # the outermost one
+    assert all(("SortMergeJoin" in j) if groups == 1 else ("BroadcastHashJoin" in j and "BuildRight" in j) for j in joins)
