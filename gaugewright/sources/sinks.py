@@ -84,7 +84,8 @@ def write_upsert(new: DataFrame, path: str, keys: list[str], seq: str, buckets:
     known = [there[b] for b in touched if b in there]
     old = spark.read.schema(data.schema).parquet(*[f"{path}/{folder}" for folder in known]) if known else data.where("false")
     version = f"v{number + 1:09d}-{uuid.uuid4().hex}"
-    upsert(old, data, keys, seq).withColumn("__bucket", bucket).write.partitionBy("__bucket").parquet(f"{path}/{version}")
+    # A bucket comes from one task: else each of them writes a file into nearly every bucket.
+    upsert(old, data, keys, seq).withColumn("__bucket", bucket).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{path}/{version}")
     now = {**there, **{b: f"{version}/__bucket={b}" for b in touched}}
     text = f"buckets {buckets}\n" + "".join(f"{b} {folder}\n" for b, folder in sorted(now.items()))
     staged = to(f"_staged-{uuid.uuid4().hex}")

@@ -166,9 +166,15 @@ def pending(targets: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def upserting(path: str, keys: list[str], seq: str | None = None):
     """A foreachBatch function that upserts each batch by key; a batch that is run again changes nothing.  Without ``seq`` the
     batch's number stands for it, in __batch."""
-    if seq is not None:
-        return lambda batch, _: write_upsert(batch, path, keys, seq)
-    return lambda batch, number: write_upsert(batch.withColumn("__batch", F.lit(number).cast("long")), path, keys, "__batch")
+
+    def write(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()  # it is read twice, and a stream's step would run again for each
+        try:
+            write_upsert(kept if seq is not None else kept.withColumn("__batch", F.lit(number).cast("long")), path, keys, seq or "__batch")
+        finally:
+            kept.unpersist()
+
+    return write
 
 
 def run_keyed(query: DataFrame, path: str, keys: list[str], checkpoint: str, mode: str = "update") -> DataFrame:

@@ -125,3 +125,21 @@ def test_inactivity_deadlines(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:03:00"), (1, "2024-01-01 01:00:00")], "user_id long, ts string").selectExpr("user_id", "cast(ts as timestamp) ts")
     got = sorted((str(r["last_start"]), str(r["deadline"])) for r in streams.inactive(rows, "user_id", "5 minutes").collect())
     assert got == [("2024-01-01 00:00:00", "2024-01-01 00:08:00"), ("2024-01-01 01:00:00", "2024-01-01 01:05:00")]
+
+
+def test_a_batch_is_computed_once_and_a_bucket_is_one_file(spark, tmp_path):
+    """A batch's step runs once though the sink reads its rows twice; its rows of a bucket come from one task."""
+    from pyspark.sql import functions as F
+
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            ran.add(len(f))
+            yield f
+
+    sink = streams.upserting(str(tmp_path / "t"), ["k"])
+    sink(spark.range(0, 2000, 1, 4).select(F.col("id").alias("k")).mapInPandas(counted, "k long"), 0)
+    assert ran.value == 2000
+    files = list((tmp_path / "t").glob("v*/__bucket=*/*.parquet"))
+    assert len(files) == sinks.BUCKETS and sinks.read_upserted(spark, str(tmp_path / "t")).count() == 2000
