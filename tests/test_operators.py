@@ -485,6 +485,24 @@ def test_pairs_of_many_blocks(spark, monkeypatch):
         assert sorted(map(tuple, matching.set_pairs(x, other, 0.3).collect())) == want
 
 
+def test_tiles_give_the_best_alone(spark, monkeypatch):
+    """Sets alike by chance are quadratic in number: of each tile come three others of a set, the best of all among them."""
+    monkeypatch.setattr(matching, "SETS", 40)
+    monkeypatch.setattr(matching, "STRIP", 16)
+    found, whole = [], matching.numbered_pairs
+    monkeypatch.setattr(matching, "numbered_pairs", lambda *a: found.append(whole(*a)) or found[-1])
+    rng = random.Random(5)
+    sets = [sorted(rng.sample("abcdefgh", 5)) + [f"own{i}"] * (i % 2) for i in range(100)]
+    frame = spark.createDataFrame(list(enumerate(sets)), "x int, a array<string>")
+    got = {r["x"]: (r["y"], r["jaccard"], r["margin"]) for r in matching.best_matches(frame, frame.withColumnRenamed("x", "y"), "x", "y", "a", 0.2, but_itself=True).collect()}
+    for i, a in enumerate(sets):
+        best, second = sorted((-len(set(a) & set(b)) / len(set(a) | set(b)), j) for j, b in enumerate(sets) if i != j)[:2]
+        assert got[i] == (best[1], pytest.approx(-best[0]), pytest.approx(second[0] - best[0]))
+    kinds = len({tuple(a) for a in sets})
+    (pairs,) = found
+    assert max(r["count"] for r in pairs.groupBy("__x").count().collect()) <= 3 * -(-kinds // 40) and pairs.count() < kinds**2 / 4
+
+
 def test_anchors_with_one_hash(spark):
     rows = spark.range(200_000).select(F.col("id").cast("string").alias("a")).withColumn("h", F.hash("a").bitwiseAND(F.lit(0x7FFFFFFF)))
     same = [a for r in rows.groupBy("h").agg(F.collect_list("a").alias("v")).where("size(v) > 1").collect() for a in r["v"]]
