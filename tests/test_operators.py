@@ -471,6 +471,34 @@ def test_semantic_matches(spark):
     assert unique.count() == len({(r["k"], r["y"]) for r in got.values()})
 
 
+def test_semantic_matches_of_many_tiles(spark, monkeypatch):
+    """Groups of several blocks, small groups and null keys; of each tile come two rights of a left, whatever scores enough."""
+    for name, n in (("ROWS", 16), ("FEW", 1), ("STRIP", 5)):
+        monkeypatch.setattr(matching, name, n)
+    rng = random.Random(13)
+    some = lambda alphabet, least, n: rng.sample(alphabet, rng.randint(least, n))
+    kind = "id int, k string, name array<string>, calls array<string>, call_words array<string>, body array<string>"
+    rows = [(i, rng.choice(["p"] * 12 + ["q", "r", None]), some("nmo", 1, 3), some("uvw", 0, 3), some("xy", 0, 2), some("abcdefgh", 0, 6)) for i in range(160)]
+    frames = [spark.createDataFrame([r for r in rows if r[0] % 2 == side], kind).withColumnRenamed("id", name) for side, name in ((0, "x"), (1, "y"))]
+    out = matching.semantic_matches(*frames, "x", "y", ["k"])
+    got = {r["x"]: (r["k"], r["y"], pytest.approx(r["score"]), pytest.approx(r["margin"])) for r in out.collect()}
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0.0
+    want = {}
+    for a in rows[::2]:
+        found = []
+        for b in rows[1::2]:
+            share = [bool(set(a[i]) & set(b[i])) for i in (2, 3, 4)]
+            score = 0.4 * like(a[2], b[2]) + 0.35 * max(like(a[3], b[3]), like(a[4], b[4])) + 0.25 * like(a[5], b[5]) + (0.27 if share[0] and share[1] else 0)
+            if a[1] and a[1] == b[1] and any(share) and score >= 0.35:
+                found.append((-min(1.0, round(score, 12)), b[0]))
+        if found:
+            best, second = (sorted(found) + [(0, None)])[:2]
+            want[a[0]] = (a[1], best[1], -best[0], second[0] - best[0])
+    assert got == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate explode(__x_" not in plan and "SortMergeJoin" not in plan
+
+
 def test_pairs_of_many_blocks(spark, monkeypatch):
     """Blocks and strips of a few sets each: every pair once, whichever tile it lies in."""
     monkeypatch.setattr(matching, "SETS", 7)
