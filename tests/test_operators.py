@@ -513,6 +513,25 @@ def test_pairs_of_many_blocks(spark, monkeypatch):
         assert sorted(map(tuple, matching.set_pairs(x, other, 0.3).collect())) == want
 
 
+def test_strips_of_unlike_texts():
+    """Sets that share too little with a whole strip are not compared with its sets; those that are share what they share."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gaugewright.functions import overlaps
+
+    rng = random.Random(6)
+    texts = [[rng.sample(range(k * 100, k * 100 + 60), 20) + [7000, 7001] for _ in range(30)] for k in (1, 2)]
+    strips = lambda: [s for (s,) in overlaps._strips([pa.array(t, pa.list_(pa.int32())) for t in texts], 30)]
+    of_a, of_b, shared = overlaps._near(*strips(), 0.15)
+    assert not len(of_a) and not len(of_b) and not shared.size
+    texts[1][4] = texts[0][3]
+    a, b = strips()
+    of_a, of_b, shared = overlaps._near(a, b, 0.15)
+    assert b.rows[of_b].tolist() == [4] and 3 in a.rows[of_a]
+    assert shared[:, 0].tolist() == [len(set(texts[0][i]) & set(texts[1][4])) for i in a.rows[of_a]] and shared.dtype == np.float32
+
+
 def test_tiles_give_the_best_alone(spark, monkeypatch):
     """Sets alike by chance are quadratic in number: of each tile come three others of a set, the best of all among them."""
     monkeypatch.setattr(matching, "SETS", 40)
